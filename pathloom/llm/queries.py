@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, warc
+from . import bpe, media, packing, suffix_array, suffix_tree, warc
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.remove(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.archives(table(spark, sf_dir, "pages"))).drop("payload")
 
@@ -38,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
     "op4_packing": op4_packing,
+    "op5_suffix_tree": op5_suffix_tree,
+    "op8_suffix_array": op8_suffix_array,
     "op9_warc": op9_warc,
 }
 
