@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, suffix_array, suffix_tree, warc
+from . import bitslice, bpe, media, packing, quality, suffix_array, suffix_tree, warc
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -42,13 +47,19 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.archives(table(spark, sf_dir, "pages"))).drop("payload")
 
 
+def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
+    "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_suffix_tree": op5_suffix_tree,
     "op8_suffix_array": op8_suffix_array,
     "op9_warc": op9_warc,
+    "op10_bit_sliced": op10_bit_sliced,
 }
 
 ORACLES: dict[str, str] = {}
