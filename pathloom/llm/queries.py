@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, bpe, jaccard, media, packing, quality, suffix_array, suffix_tree, warc
+from . import bitslice, bpe, jaccard, media, packing, quality, secrets, suffix_array, suffix_tree, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.remove(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).drop("key")
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_suffix_tree": op5_suffix_tree,
+    "op6_secrets": op6_secrets,
     "op7_jaccard": op7_jaccard,
     "op8_suffix_array": op8_suffix_array,
     "op9_warc": op9_warc,
