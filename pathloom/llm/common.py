@@ -19,13 +19,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_by
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text.cast("binary") if as_bytes else text).alias("text"))
 
 
-def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow by one function of a batch; it may return None for no rows."""
+def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 10_000) -> DataFrame:
+    """mapInArrow by one function of a batch of so many rows at most; it may return None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := of_batch(b)) is not None:
-                yield out
+            for k in range(0, b.num_rows, rows):
+                if (out := of_batch(b.slice(k, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ is a stretch of window starts with one anchor. Three steps leave few windows to
 2. The runs of a group are compared as a whole (all symbols that their windows cover). If all are alike, every window of
    theirs repeats. Alike runs are one class from here on, with a weight.
 3. Only where a group has several classes, the windows of one run of each class are compared, by the operator's method.
+   These runs are written out with the text that they cover, so the corpus isn't needed for that.
 
 Symbols are 64-bit hashes. Names of grams double in length: a name of 2n symbols is a mix of two names of n. Names are
 compared only between runs with the same anchor, so two 64-bit names must collide at once to mislead.
@@ -20,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch
+from .sieve import sieve
 from .storage import stash
 
 U = np.uint64
@@ -62,17 +64,16 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def names(symbols: np.ndarray, *lengths: int) -> list[np.ndarray]:
     """Names of all grams of these lengths; those that would begin too late for their length are missing."""
-    found: dict[int, np.ndarray] = {1: symbols}
-    n = 1
-    while 2 * n <= max(lengths):
-        found[2 * n] = mix(found[n][: max(0, len(found[n]) - n)], found[n][n:])
+    found: dict[int, np.ndarray] = {}
+    n, now = 1, symbols
+    while True:
+        for k in lengths:
+            if n <= k < 2 * n:
+                found[k] = now if k == n else mix(now[: max(0, len(now) - (k - n))], now[k - n :])
+        if 2 * n > max(lengths):
+            return [found[k] for k in lengths]
+        now = mix(now[: max(0, len(now) - n)], now[n:])
         n *= 2
-    out = []
-    for k in lengths:
-        p = 1 << (k.bit_length() - 1)
-        x = found[p]
-        out.append(x if k == p else mix(x[: max(0, len(x) - (k - p))], x[k - p :]))
-    return out
 
 
 def cover(power: np.ndarray, at: np.ndarray, length: np.ndarray, p: int) -> np.ndarray:
@@ -85,13 +86,14 @@ def cover(power: np.ndarray, at: np.ndarray, length: np.ndarray, p: int) -> np.n
 
 def runs(symbols: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """Of texts that lie one after the other in symbols (bounds: where they begin, and the end): for each run, its text's
-    number, its first window's start, number of windows, anchor name, and the name of what it covers."""
+    number, its first window's start, number of windows, the anchor's place after the start, its name, and the name of
+    what the run covers."""
     w, k, p = shape.width, shape.gram, shape.power
     none = np.zeros(0, np.int64)
     if len(symbols) < w or len(symbols) >= 1 << PLACE:
         if len(symbols) >= 1 << PLACE:
             raise ValueError("too many symbols at once")
-        return none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none, none.astype(U), none.astype(U)
     gram, power = names(symbols, k, p)
     low = (gram >> U(PLACE) << U(PLACE)) | np.arange(len(gram), dtype=U)
     n, least = 1, low
@@ -103,7 +105,7 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndar
     sizes = np.diff(bounds)
     ok = np.flatnonzero(sizes >= w)
     if not len(ok):
-        return none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none, none.astype(U), none.astype(U)
     starts = np.concatenate([np.arange(bounds[i], bounds[i + 1] - w + 1) for i in ok])
     place = (least[starts] & U((1 << PLACE) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(starts) != 1)]))
@@ -111,7 +113,7 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndar
     at, anchor = starts[first], place[first]
     whole = mix(cover(power, at, count + w - 1, p), (anchor - at).astype(U))
     text = np.searchsorted(bounds, at, "right") - 1
-    return text, at - bounds[text], count, mix(gram[anchor], gram[anchor]), whole
+    return text, at - bounds[text], count, anchor - at, mix(gram[anchor], gram[anchor]), whole
 
 
 def parts(arrays: Iterator[np.ndarray], width: int) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
@@ -141,69 +143,79 @@ def parts(arrays: Iterator[np.ndarray], width: int) -> Iterator[tuple[list[tuple
 Symbols = Callable[[bytes], np.ndarray]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key of the text."""
-    return docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
-
-
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def find(own: DataFrame, symbols: Symbols, shape: Shape, repeated: Callable[[DataFrame], DataFrame], digits: tuple[tuple[int, int], ...]) -> DataFrame:
-    """own: (key, text binary), each row a text, with equal keys for equal texts. Returns (key, text, stretches) of the
-    distinct texts: stretches (null if none) are structs (start, windows, places) of repeated windows, for covered().
+Cut = Callable[[bytes, list[tuple[int, int]]], list[bytes]]
+
+
+@dataclass(frozen=True)
+class Found:
+    """clean: (doc_id, text) of rows without a repeated window. Of the others, rows: (doc_id, key), and texts: (key, text,
+    stretches) of the distinct texts, where stretches (null if none) are for covered(). may: whether a key is of these texts."""
+
+    clean: DataFrame
+    rows: DataFrame
+    texts: DataFrame
+    may: Callable[[Column], Column]
+
+
+def find(docs: DataFrame, symbols: Symbols, cut: Cut, shape: Shape, compare: Callable[[DataFrame], DataFrame]) -> Found:
+    """docs: (doc_id, text binary). cut: gives stretches (start, length) of a text's symbols as texts of their own.
+
+    compare: gets runs that must be compared window by window, as (run long, anchor, weight, shift, windows, region): a
+    number, its anchor's name, how many runs are like it, the anchor's place after the run's start, how many windows it
+    has, and the text of all that these cover. It returns (run, places array<int>): for each run the windows, counted
+    from 0, that runs of at least 2 in weight have. Windows are only equal if anchor and place before it are."""
+    own = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
 
-    repeated: gets the windows to compare as (anchor, whole, place, weight, d0, d1, ...): a run's anchor and class, the
-    window's place in the run, the weight of the class, and the names of the window's parts `digits` (from, to), which
-    cover it together; returns the anchor, whole and place of windows that rows of at least 2 in weight have."""
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0)
             for ids, x, bounds in parts((symbols(t.as_py()) for t in b.column(1)), shape.width):
-                text, at, count, anchor, whole = runs(x, bounds, shape)
+                text, at, count, shift, anchor, whole = runs(x, bounds, shape)
                 if len(text):
                     which, offset = np.array(ids).T
-                    yield batch(key=keys.take(pa.array(which[text])), start=pa.array((at + offset[text]).astype(np.int32)), windows=pa.array(count.astype(np.int32)), anchor=signed(anchor), whole=signed(whole))
+                    small = lambda y: pa.array(y.astype(np.int32))
+                    yield batch(key=keys.take(pa.array(which[text])), start=small(at + offset[text]), windows=small(count), shift=small(shift), anchor=signed(anchor), whole=signed(whole))
 
-    found = stash(own.mapInArrow(anchors, "key binary, start int, windows int, anchor long, whole long"))
+    found = stash(own.select("key", "text").mapInArrow(anchors, "key binary, start int, windows int, shift int, anchor long, whole long"), "runs")
     groups = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") == F.max("whole")).alias("alike")).filter("n > 1").drop("n")
-    again = found.join(groups, "anchor")
-    mixed = again.filter(~F.col("alike"))
-    one_each = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("key", "start", "windows")).alias("run"))
-    todo = one_each.groupBy(F.col("run.key").alias("key")).agg(F.collect_list(F.struct("anchor", "whole", "weight", F.col("run.start").alias("start"), F.col("run.windows").alias("windows"))).alias("runs"))
-    distinct = own.groupBy("key").agg(F.first("text").alias("text"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups = stash(groups, "anchors")
+    again = stash(found.filter(sieve(groups, "anchor")(F.col("anchor"))).join(groups, "anchor"), "again")
+    mixed = again.filter("NOT alike")
+    one_each = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("key", "start", "windows", "shift")).alias("run"))
+    one_each = stash(one_each.select("anchor", "whole", "weight", "run.*"), "classes")
+    todo = one_each.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "whole", "weight", "shift")).alias("runs"))
+
+    def distinct(of: DataFrame) -> DataFrame:
+        """(key, text): texts whose key may be in `of`, each once."""
+        return own.filter(sieve(of, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text"))
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, asked in zip(b.column(0), b.column(1), strict=True):
-                x, values = symbols(text.as_py()), asked.values
-                by = [np.asarray(values.field(k)) for k in range(5)]
-                order = np.argsort(by[3], kind="stable")
-                k = 0
-                while k < len(order):  # runs that lie near each other are named together
-                    low = by[3][order[k]]
-                    m = k + 1
-                    while m < len(order) and by[3][order[m]] < low + PART:
-                        m += 1
-                    some = order[k:m]
-                    k = m
-                    count = by[4][some].astype(np.int64)
-                    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    at = np.repeat(by[3][some].astype(np.int64) - low, count) + place
-                    piece = x[low : low + at.max() + shape.width]
-                    lengths = [e - s for s, e in digits]
-                    parts_ = dict(zip(sorted(set(lengths)), names(piece, *sorted(set(lengths))), strict=True))
-                    d = {f"d{i}": signed(parts_[e - s][at + s]) for i, (s, e) in enumerate(digits)}
-                    yield batch(anchor=pa.array(np.repeat(by[0][some], count)), whole=pa.array(np.repeat(by[1][some], count)), place=pa.array(place.astype(np.int16)), weight=pa.array(np.repeat(by[2][some], count)), **d)
-
-    rows = distinct.join(todo, "key").select("text", "runs")
-    compared = rows.mapInArrow(windows, "anchor long, whole long, place short, weight long, " + ", ".join(f"d{i} long" for i in range(len(digits))))
-    places = repeated(compared).groupBy("anchor", "whole").agg(F.array_sort(F.collect_list(F.col("place").cast("int"))).alias("places"))
+                start, windows, anchor, whole, weight, shift = (np.asarray(asked.values.field(k)) for k in range(6))
+                region = cut(text.as_py(), list(zip(start.tolist(), (windows + shape.width - 1).tolist(), strict=True)))
+                yield batch(anchor=pa.array(anchor), whole=pa.array(whole), weight=pa.array(weight), shift=pa.array(shift), windows=pa.array(windows), region=pa.array(region, pa.binary()))
+
+    rows = distinct(todo).join(todo, "key").select("text", "runs")
+    rows = rows.mapInArrow(regions, "anchor long, whole long, weight long, shift int, windows int, region binary")
+    listed = stash(rows.withColumn("run", F.monotonically_increasing_id()), "regions")  # numbers are fixed once written
+    places = listed.select("run", "anchor", "whole").join(compare(listed.drop("whole")), "run")
     single = again.filter("alike").select("key", "start", "windows", F.lit(None).cast("array<int>").alias("places"))
-    some = mixed.join(places, ["anchor", "whole"]).select("key", "start", F.lit(0).alias("windows"), "places")
-    stretches = single.unionByName(some).groupBy("key").agg(F.collect_list(F.struct("start", "windows", "places")).alias("stretches"))
-    return distinct.join(stretches, "key", "left").select("key", "text", "stretches")
+    some = mixed.join(places.drop("run"), ["anchor", "whole"]).select("key", "start", F.lit(0).alias("windows"), "places")
+    stretches = stash(single.unionByName(some).groupBy("key").agg(F.collect_list(F.struct("start", "windows", "places")).alias("stretches")), "stretches")
+    may = sieve(stretches, "key")
+    marked = own.withColumn("hit", may(F.col("key")))
+    return Found(marked.filter("NOT hit").select("doc_id", "text"), marked.filter("hit").select("doc_id", "key"), distinct(stretches).join(stretches, "key", "left").select("key", "text", "stretches"), may)
+
+
+def windows_of(shift: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of runs, one after the other: the number of the run, and the place in it."""
+    which = np.repeat(np.arange(len(windows)), windows)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
 
 
 def covered(n: int, stretches: list[dict] | None, width: int) -> np.ndarray:

@@ -3,13 +3,14 @@
 Only the first WIDTH bytes of a suffix decide whether the window that it begins repeats, so suffixes are put in order
 through that depth alone: each pass deals them by their next digit, and a group of one is done. The first digit is the
 window's anchor (its least gram, and where it lies), which deals out whole runs of neighbouring suffixes at once
-(repeats.py); the runs that this leaves are split further by the halves of their windows, a pass for each. The groups
-that are equal after the last pass are exactly the repeated windows.
+(repeats.py). The runs that this leaves are dealt by what small blocks of suffixes share, then by what a block covers,
+and what is left by whole windows. The groups that are equal after the last pass are exactly the repeated windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_rows, texts
-from .repeats import M1, M2, Shape, covered, find, keyed, spans
+from .repeats import M1, M2, Found, Shape, cover, covered, find, mix, names, signed, spans, windows_of
+from .sieve import sieve
+from .storage import stash
 
-WIDTH, GRAM = 400, 64
+WIDTH, GRAM, BLOCK = 400, 64, 16
+#: Runs whose symbols are held at once.
+AT_ONCE = 256
 #: A hash of each byte.
 BYTES = (np.arange(1, 257, dtype=np.uint64) * M1 ^ (np.arange(1, 257, dtype=np.uint64) * M2 >> np.uint64(31))) * M2
 
@@ -28,23 +33,98 @@ def symbols(text: bytes) -> np.ndarray:
     return BYTES[np.frombuffer(text, np.uint8)]
 
 
-def msd_passes(suffixes: DataFrame, digits: int) -> DataFrame:
-    """The suffixes (anchor, whole, place, weight, d0, ...) whose group, after a pass by each digit, has a weight of 2 at
-    least. Each pass counts groups with partial sums and keeps what lies in groups of more than one."""
-    by = ["anchor"]
-    for i in range(digits):
-        by.append(f"d{i}")
-        groups = suffixes.groupBy(*by).agg(F.sum("weight").alias("size")).filter("size > 1").drop("size")
-        suffixes = suffixes.join(groups, list(by), "left_semi")
-    return suffixes.select("anchor", "whole", "place")
-
-
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) for each row, and (key, text, stretches) for each distinct text; see repeats.find."""
-    own = keyed(texts(docs, id_col, text_col, as_bytes=True))
-    half = width - width // 2
-    found = find(own.select("key", "text"), symbols, Shape(width, gram), lambda x: msd_passes(x, 2), ((0, half), (width - half, width)))
-    return own.select("doc_id", "key"), found
+def cut(text: bytes, stretches: list[tuple[int, int]]) -> list[bytes]:
+    return [text[s : s + n] for s, n in stretches]
+
+
+def joined(regions: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the regions, one after the other, and where each begins."""
+    return symbols(b"".join(regions)), np.cumsum([0, *map(len, regions)])[:-1]
+
+
+def block_digits(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """A row for each block of suffixes of each run: those whose anchor lies BLOCK * block to BLOCK * block + BLOCK - 1
+    after their start. core: the name of what all windows of the full block share; cover: of what the run's windows in
+    the block cover together, and which they are."""
+    shift, windows = (np.asarray(b.column(b.schema.get_field_index(c))).astype(np.int64) for c in ("shift", "windows"))
+    x, base = joined(b.column(b.schema.get_field_index("region")).to_pylist())
+    low, high = (shift - windows + 1) // BLOCK, shift // BLOCK
+    which, k = windows_of(shift, high - low + 1)
+    block = low[which] + k
+    anchor = base[which] + shift[which]
+    near = np.maximum(block * BLOCK, (shift - windows + 1)[which])  # of the run's windows in the block, the last
+    far = np.minimum(block * BLOCK + BLOCK - 1, shift[which])  # and the first
+    core = width - BLOCK + 1
+    p = 1 << (core.bit_length() - 1)
+    names_core, power = names(x, core, p)
+    whole = mix(mix(cover(power, anchor - far, far - near + width, p), far.astype(np.uint64)), near.astype(np.uint64))
+    take = lambda c: b.column(b.schema.get_field_index(c)).take(pa.array(which))
+    return batch(run=take("run"), anchor=take("anchor"), weight=take("weight"), block=pa.array(block.astype(np.int32)), core=signed(names_core[anchor - block * BLOCK]), cover=signed(whole))
+
+
+def window_digits(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """A row for each suffix in the asked block of a run, with its anchor's place after its start, and its window's name."""
+    shift, windows, block = (np.asarray(b.column(b.schema.get_field_index(c))).astype(np.int64) for c in ("shift", "windows", "block"))
+    x, base = joined(b.column(b.schema.get_field_index("region")).to_pylist())
+    near, far = np.maximum(block * BLOCK, shift - windows + 1), np.minimum(block * BLOCK + BLOCK - 1, shift)
+    which, k = windows_of(shift, far - near + 1)
+    place = near[which] + k
+    window = names(x, width)[0][base[which] + shift[which] - place]
+    take = lambda c: b.column(b.schema.get_field_index(c)).take(pa.array(which))
+    return batch(anchor=take("anchor"), cover=take("cover"), block=take("block"), weight=take("weight"), place=pa.array(place.astype(np.int32)), window=signed(window))
+
+
+def msd_passes(listed: DataFrame, width: int) -> DataFrame:
+    """(run, places): which suffixes of the runs (see repeats.find) have an equal one, through `width` bytes. Passes by the
+    digit that the suffixes of a block share, by what the block covers, and by the window; groups of one, in weight, drop
+    out after each pass. All counts are partial sums before they are shuffled."""
+    of = listed.select("run", "anchor", "weight", "shift", "windows", "region")
+    blocks = map_rows(of, lambda b: block_digits(b, width), "run long, anchor long, weight long, block int, core long, cover long", AT_ONCE)
+    blocks = stash(blocks, "blocks")
+    by = ["anchor", "block", "core"]
+    groups = blocks.groupBy(*by).agg(F.sum("weight").alias("size")).filter("size > 1").drop("size")
+    left = stash(blocks.filter(sieve(groups, *by)(*map(F.col, by))).join(groups, by, "left_semi"), "left")
+    alike = left.groupBy(*by, "cover").agg(F.sum("weight").alias("weight"), F.min("run").alias("run"))
+    alike = stash(alike, "alike")
+    several = alike.groupBy(*by).count().filter("count > 1").drop("count")
+    asked = alike.join(several, by, "left_semi").select("run", "block", "cover", "weight")
+    regions = of.drop("weight").join(asked, "run").select("anchor", "shift", "windows", "region", "block", "cover", "weight")
+    suffixes = map_rows(regions, lambda b: window_digits(b, width), "anchor long, cover long, block int, weight long, place int, window long", AT_ONCE)
+    suffixes = stash(suffixes, "suffixes")
+    equal = suffixes.groupBy("anchor", "place", "window").agg(F.sum("weight").alias("size")).filter("size > 1").drop("size")
+    some = suffixes.join(equal, ["anchor", "place", "window"], "left_semi").groupBy("anchor", "block", "cover").agg(F.collect_list("place").alias("behind"))
+    first = F.col("block") * BLOCK
+    every = alike.filter("weight > 1").select("anchor", "block", "cover", F.sequence(first, first + BLOCK - 1).alias("behind"))
+    found = left.join(every.unionByName(some), ["anchor", "block", "cover"]).groupBy("run").agg(F.flatten(F.collect_list("behind")).alias("behind"))
+    places = F.array_distinct(F.transform("behind", lambda d: F.col("shift") - d))
+    return found.join(of.select("run", "shift", "windows"), "run").select("run", F.filter(places, lambda p: (p >= 0) & (p < F.col("windows"))).alias("places"))
+
+
+def repeated_bytes(docs: DataFrame, width: int, gram: int, id_col: str, text_col: str) -> Found:
+    if width < 2 * BLOCK or gram > width:
+        raise ValueError("windows are too narrow")
+    return find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: msd_passes(x, width))
+
+
+def whole(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The mask without bytes of characters that it has only in part."""
+    if not mask.any():
+        return mask
+    lead = np.flatnonzero((x & 0xC0) != 0x80)
+    return np.repeat(np.minimum.reduceat(mask, lead), np.diff(np.append(lead, len(x))))
+
+
+def _all_rows(found: Found, run: Callable[[bytes, list[dict] | None], tuple], schema: str, kinds: tuple[pa.DataType, ...]) -> DataFrame:
+    """A row for each row of docs, from run(text, stretches)."""
+
+    def of(b: pa.RecordBatch) -> pa.RecordBatch:
+        stretches = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+        out = zip(*map(run, b.column(1).to_pylist(), stretches), strict=True)
+        names_ = [b.schema.names[0], *(x.split()[0] for x in schema.split(", "))]
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names_)
+
+    clean = map_rows(found.clean, of, f"doc_id long, {schema}")
+    return clean.unionByName(found.rows.join(map_rows(found.texts, of, f"key binary, {schema}"), "key").drop("key"))
 
 
 def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
@@ -55,38 +135,48 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str =
     Null texts are empty; texts shorter than a window keep everything; rows that repeat remove one another, whatever
     their doc_id, which may be null. Other columns don't matter; an empty table gives no rows. A text that many rows have
     is examined once."""
-    rows, found = repeated_bytes(docs, width, gram, id_col, text_col)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, stretches in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            x = np.frombuffer(text, np.uint8)
-            mask = covered(len(x), stretches, width)
-            if whole_characters and mask.any():
-                lead = np.flatnonzero((x & 0xC0) != 0x80)
-                mask = np.repeat(np.minimum.reduceat(mask, lead), np.diff(np.append(lead, len(x))))
-            out.append((len(x), int(mask.sum()), len(spans(mask)), x[~mask].tobytes()))
-        n, gone, count, kept = zip(*out, strict=True)
-        long = pa.int64()
-        return batch(key=b.column(0), n_bytes=pa.array(n, long), n_removed=pa.array(gone, long), n_spans=pa.array(count, long), kept=pa.array(kept, pa.binary()))
-
-    cut = map_rows(found, run, "key binary, n_bytes long, n_removed long, n_spans long, kept binary")
-    return rows.join(cut, "key").drop("key")
+    def run(text: bytes, stretches: list[dict] | None) -> tuple:
+        x = np.frombuffer(text, np.uint8)
+        mask = covered(len(x), stretches, width)
+        mask = whole(x, mask) if whole_characters else mask
+        return len(x), int(mask.sum()), len(spans(mask)), x[~mask].tobytes()
+
+    long = pa.int64()
+    return _all_rows(repeated_bytes(docs, width, gram, id_col, text_col), run, "n_bytes long, n_removed long, n_spans long, kept binary", (long, long, long, pa.binary()))
 
 
 def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """remove(), with kept_sha256 for kept."""
-    rows, found = repeated_bytes(docs, width, gram, id_col, text_col)
+
+    def run(text: bytes, stretches: list[dict] | None) -> tuple:
+        mask = covered(len(text), stretches, width) if stretches else np.zeros(0, bool)
+        kept = np.frombuffer(text, np.uint8)[~mask] if stretches else text
+        return len(text), int(mask.sum()), len(spans(mask)), hashlib.sha256(kept).hexdigest()
+
+    long = pa.int64()
+    return _all_rows(repeated_bytes(docs, width, gram, id_col, text_col), run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", (long, long, long, pa.string()))
+
+
+def strip(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs, all rows and columns, with repeated bytes taken out of their texts at whole characters; null texts stay null.
+    length_col: gets the new length in characters, where a text has changed."""
+    text = F.col(f"`{text_col}`").cast("string")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"))
+    found = repeated_bytes(docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), width, gram, "doc_id", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, stretches in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            mask = covered(len(text), stretches, width)
-            kept = np.frombuffer(text, np.uint8)[~mask] if mask.any() else text
-            out.append((len(text), int(mask.sum()), len(spans(mask)), hashlib.sha256(kept).hexdigest()))
-        n, gone, count, sha = zip(*out, strict=True)
-        long = pa.int64()
-        return batch(key=b.column(0), n_bytes=pa.array(n, long), n_removed=pa.array(gone, long), n_spans=pa.array(count, long), kept_sha256=pa.array(sha))
-
-    cut = map_rows(found, run, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return rows.join(cut, "key").drop("key")
+        new = []
+        for t, stretches in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            x = np.frombuffer(t, np.uint8)
+            new.append(x[~whole(x, covered(len(x), stretches, width))].tobytes().decode())
+        return batch(key=b.column(0), new=pa.array(new, pa.string()))
+
+    cut_ = map_rows(found.texts, run, "key binary, new string")
+    hit = F.col("new").isNotNull() & F.col(f"row.`{text_col}`").isNotNull()
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.when(hit, F.col("new")).otherwise(F.col(f"row.`{text_col}`"))}
+    if length_col:
+        columns[length_col] = F.when(hit, F.length("new")).otherwise(F.col(f"row.`{length_col}`")).cast(docs.schema[length_col].dataType)
+    may = found.may(F.col("key"))
+    marked = own.withColumn("hit", may)
+    return marked.filter("NOT hit").select("row.*").unionByName(marked.filter("hit").join(cut_, "key", "left").select(*(v.alias(c) for c, v in columns.items())))

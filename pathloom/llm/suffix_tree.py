@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts
-from .repeats import Shape, covered, find, keyed
+from .common import batch, map_rows, partitions, texts
+from .repeats import Shape, covered, find, names, signed, windows_of
 from .storage import stash
 
-WIDTH, GRAM, STEP = 35, 12, 8
+WIDTH, GRAM, STEP = 35, 12, 12
 #: Suffixes that a task may hold.
 LIMIT = 200_000
 WORD = re.compile(rb"[^ \t-\r]+")
@@ -74,33 +74,55 @@ def leaves(table: pa.Table, depth: int) -> np.ndarray:
     return order[np.bincount(node, weight)[node] >= 2]
 
 
-def trees(suffixes: DataFrame, depth: int, limit: int = LIMIT) -> DataFrame:
-    """anchor, whole, place of the suffixes (anchor, whole, place, weight, d0, ...) whose steps d0, ... others share."""
+def cut(text: bytes, stretches: list[tuple[int, int]]) -> list[bytes]:
+    found = words(text)
+    return [b" ".join(found[s : s + n]) for s, n in stretches]
+
+
+def suffixes(listed: DataFrame, width: int, parts: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(run, place, weight, d0, d1, ...): each suffix that is to be placed, read through its first `width` words."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        each = [symbols(r) for r in b.column(2).to_pylist()]
+        windows = np.array([len(x) - width + 1 for x in each])
+        base = np.cumsum([0, *map(len, each)])[:-1]
+        which, place = windows_of(windows, windows)
+        at = base[which] + place
+        lengths = sorted({e - s for s, e in parts})
+        named = dict(zip(lengths, names(np.concatenate(each), *lengths), strict=True))
+        take = lambda k: b.column(k).take(pa.array(which))
+        return batch(run=take(0), place=pa.array(place.astype(np.int16)), weight=take(1), **{f"d{i}": signed(named[e - s][at + s]) for i, (s, e) in enumerate(parts)})
+
+    return map_rows(listed.select("run", "weight", "region"), run, "run long, place short, weight long, " + ", ".join(f"d{i} long" for i in range(len(parts))), 2000)
+
+
+def trees(listed: DataFrame, width: int, step: int, limit: int = LIMIT) -> DataFrame:
+    """(run, places): which suffixes of the runs (see repeats.find) share all of a window with another."""
+    parts = steps(width, step)
+    depth = len(parts)
     d = [f"d{i}" for i in range(depth)]
-    left = stash(suffixes, "suffixes")
-    total, dealt, alike = left.count(), None, None
+    left = suffixes(listed, width, parts)
+    total = listed.agg(F.sum("windows")).first()[0] or 0
+    dealt, alike = None, None
     for k in range(1, depth + 1):
-        heavy = left.groupBy(*d[:k]).count().filter(F.col("count") > limit).select(*d[:k])
-        if k > 1 or not heavy.isEmpty():
-            heavy = stash(heavy, "heavy")
-            light, more = left.join(heavy, d[:k], "left_anti"), left.join(heavy, d[:k], "left_semi")
-        else:
-            light, more = left, None
-        light = light.withColumn("prefix", F.xxhash64(F.lit(k), *d[:k]))
+        heavy = stash(left.groupBy(*d[:k]).count().filter(F.col("count") > limit).select(*d[:k]), "heavy")
+        none = heavy.isEmpty()
+        light = (left if none else left.join(heavy, d[:k], "left_anti")).withColumn("prefix", F.xxhash64(F.lit(k), *d[:k]))
         dealt = light if dealt is None else dealt.unionByName(light)
-        if more is None or more.isEmpty():
+        if none:
             break
-        left = more
+        left = stash(left.join(heavy, d[:k], "left_semi"), "heavy")
     else:
         alike = left  # too many suffixes for a task, but all the same: no tree is needed to tell
-    tasks = max(1, -(-total // limit))
 
     def grow(table: pa.Table) -> pa.Table:
-        return table.select(["anchor", "whole", "place"]).take(pa.array(leaves(table, depth)))
+        return table.select(["run", "place"]).take(pa.array(leaves(table, depth)))
 
-    dealt = dealt.select(F.pmod("prefix", F.lit(4 * tasks)).alias("task"), "anchor", "whole", "place", "weight", *d)
-    found = dealt.groupBy("task").applyInArrow(grow, "anchor long, whole long, place short")
-    return found if alike is None else found.unionByName(alike.select("anchor", "whole", "place"))
+    tasks = max(partitions(listed.sparkSession), -(-4 * total // limit))
+    dealt = dealt.select(F.pmod("prefix", F.lit(tasks)).alias("task"), "run", "place", "weight", *d)
+    found = dealt.groupBy("task").applyInArrow(grow, "run long, place short")
+    found = found if alike is None else found.unionByName(alike.select("run", "place"))
+    return found.groupBy("run").agg(F.collect_list(F.col("place").cast("int")).alias("places"))
 
 
 def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int = STEP, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -111,20 +133,24 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int = ST
     Null texts have no words; texts shorter than a window keep everything; rows that repeat remove one another, whatever
     their doc_id, which may be null. Other columns don't matter; an empty table gives no rows. A text that many rows have
     is examined once."""
-    own = keyed(texts(docs, id_col, text_col, as_bytes=True))
-    parts = steps(width, step)
-    found = find(own.select("key", "text"), symbols, Shape(width, gram), lambda x: trees(x, len(parts), limit), parts)
+    found = find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: trees(x, width, step, limit))
+    name = "kept_sha256" if digest else "kept"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, stretches in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            x = words(text)
-            mask = covered(len(x), stretches, width)
-            kept = b" ".join(compress(x, (~mask).tolist()))
-            out.append((len(x), int(mask.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode(errors="replace")))
+        for text, stretches in zip(b.column(1).to_pylist(), b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows, strict=True):
+            x, gone = words(text), 0
+            if stretches:
+                mask = covered(len(x), stretches, width)
+                gone, n = int(mask.sum()), len(x)
+                x = compress(x, (~mask).tolist())
+            else:
+                n = len(x)
+            kept = b" ".join(x)
+            out.append((n, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode(errors="replace")))
         n, gone, kept = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_words", "n_removed", name])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[b.schema.names[0], "n_words", "n_removed", name])
 
-    name = "kept_sha256" if digest else "kept"
-    cut = map_rows(found, run, f"key binary, n_words long, n_removed long, {name} string")
-    return own.select("doc_id", "key").join(cut, "key").drop("key")
+    schema = f"n_words long, n_removed long, {name} string"
+    clean = map_rows(found.clean, run, f"doc_id long, {schema}")
+    return clean.unionByName(found.rows.join(map_rows(found.texts, run, f"key binary, {schema}"), "key").drop("key"))
