@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, map_rows, partitions, texts
 from .components import components
+from .sieve import sieve
 from .storage import stash
 
 WORDS, PERCENT = 5, 75
@@ -266,8 +267,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n_shingles, component_id) for each row of docs: the size of its set of n-grams of words, and the
-    smallest doc_id among the documents that links lead to, its own included. Two documents are linked if their sets'
+    """(doc_id, key, group, n_shingles, component_id) for each row of docs: its text's and its component's key, the size of
+    its set of n-grams of words, and the smallest doc_id among the documents that links lead to, its own included. Two documents are linked if their sets'
     intersection is at least `percent` hundredths of their union.
 
     A text of fewer words than n has one n-gram, all its words; one without words, or null, has none, and no links. Rows
@@ -293,4 +294,26 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
         parts = stash(components(links.unionByName(more)), "parts")
     named = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.join(least, "component", "left").select("doc_id", "key", F.col("component").alias("group"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, but of each component one document only: the one with the smallest id. Texts without
+    words are in no component: each of them stays. Of rows that share the smallest id, the first by text and by all other
+    columns stays; rows without id stay only if no row of their component has one, and then one of them."""
+    named = classes(docs, n, percent, id_col, text_col)
+    # a component's document is told by its id and its text's key; choosing needs narrow rows only
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    counted = named.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+    chosen = counted.filter("size > 0").groupBy("group").agg(F.min(F.struct(order.alias("o"), "n")).alias("it")).select("it.o.doc_id", "it.o.key", "it.n")
+    empty = counted.filter("size = 0").select("doc_id", "key", F.lit(1).cast("long").alias("n"))
+    wanted = stash(chosen.unionByName(empty).withColumnsRenamed({"doc_id": "id", "key": "k"}), "wanted")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))).alias("key"))
+    meets = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))
+    kept = own.join(wanted.filter("n = 1"), meets, "left_semi").select("row.*")
+    several = wanted.filter("n > 1")
+    if several.isEmpty():
+        return kept
+    # rows that share id and text: the first by all columns, which are compared as JSON, as any type has that
+    many = own.filter(sieve(several, "id", "k")(F.col("doc_id"), F.col("key"))).join(several, meets).groupBy("doc_id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.unionByName(many.select("row.*"))

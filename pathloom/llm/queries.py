@@ -44,7 +44,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(table(spark, sf_dir, "documents")).drop("key")
+    return jaccard.classes(table(spark, sf_dir, "documents")).drop("key", "group")
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
