@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grams import gram_names, pattern_name
+from ..functions.grams import gram_names, names_up_to, pattern_name
 from ..sources.panel import Panel
 
 ROW = ["query_id", "q_start", "length", "seq_id", "t_start"]
@@ -94,14 +94,12 @@ def verified(matches: DataFrame, queries: DataFrame, panel: Panel) -> DataFrame:
 
 
 def _probed(q: DataFrame, panel: Panel, limit: int) -> DataFrame:
-    """(query_id, pos, m): for each position, the most symbols from there on, up to limit, that the panel has somewhere.
-    Each length is a semi-join with the panel's distinct grams, of those positions that the length before has left."""
-    found = q.select("query_id", "pos", F.lit(0).cast("long").alias("m"))
-    for n in range(1, limit + 1):
-        names = gram_names(panel.positions, n).select("g0", "g1").distinct()
-        hit = gram_names(q, n, "query_id").join(names, ["g0", "g1"], "left_semi").select("query_id", "pos", F.lit(n).cast("long").alias("m"))
-        found = found.unionByName(hit)
-    return found.groupBy("query_id", "pos").agg(F.max("m").alias("m"))
+    """(query_id, pos, m): for each position, the most symbols from there on, up to limit, that the panel has somewhere:
+    a semi-join with the panel's distinct grams of all lengths up to limit, at once."""
+    names = names_up_to(panel.positions, limit).select("n", "g0", "g1").distinct()
+    hit = names_up_to(q, limit, "query_id").join(names, ["n", "g0", "g1"], "left_semi").select("query_id", "pos", "n")
+    none = q.select("query_id", "pos", F.lit(0).cast("long").alias("n"))
+    return none.unionByName(hit).groupBy("query_id", "pos").agg(F.max("n").alias("m"))
 
 
 def matching_statistics(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty") -> DataFrame:
@@ -134,11 +132,10 @@ def set_maximal_matches(queries: DataFrame, panel: Panel, probes: int = 12, on_u
     stats = matching_statistics(q, panel, probes, "ignore").withColumn("before", F.lag("m").over(w))
     kept = stats.filter((F.col("m") > 0) & (F.col("before").isNull() | (F.col("m") >= F.col("before")))).select("query_id", "pos", "m")
     found = long_matches(q, panel, probes + 1, on_unknown="ignore").join(kept.select("query_id", F.col("pos").alias("q_start"), F.col("m").alias("length")), ["query_id", "q_start", "length"], "left_semi")
-    for n in range(1, probes + 1):
-        asked = gram_names(q, n, "query_id").join(kept.filter(F.col("m") == n), ["query_id", "pos"], "left_semi").select("query_id", F.col("pos").alias("q_start"), "g0", "g1")
-        rows = asked.join(gram_names(panel.positions, n).select("seq_id", F.col("pos").alias("t_start"), "g0", "g1"), ["g0", "g1"])
-        found = found.unionByName(rows.select("query_id", "q_start", F.lit(n).cast("long").alias("length"), "seq_id", "t_start"))
-    return found.select(*ROW)
+    on = ["n", "g0", "g1"]
+    asked = names_up_to(q, probes, "query_id").join(kept.withColumnRenamed("m", "n"), ["query_id", "pos", "n"], "left_semi").select("query_id", F.col("pos").alias("q_start"), *on)
+    rows = asked.join(names_up_to(panel.positions, probes).select("seq_id", F.col("pos").alias("t_start"), *on), on)
+    return found.select(*ROW).unionByName(rows.select("query_id", "q_start", F.col("n").alias("length"), "seq_id", "t_start"))
 
 
 def without_places(matches: DataFrame) -> DataFrame:

@@ -99,4 +99,4 @@ def write_segments(segments: DataFrame, path: str) -> None:
     """Tab-separated values in order of all columns, the names led by '#' in the first line of each file."""
     order = ["hap1_id", "hap2_id", "hap1_start", "hap2_start", "length_nodes"]
     named = segments.orderBy(*order).select(F.col("hap1_id").alias("#hap1_id"), *order[1:])
-    named.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    named.write.mode("overwrite").option("sep", "\t").option("header", True).option("comment", "\u0001").csv(path)  # else the name that begins with # is quoted
