@@ -169,14 +169,25 @@ def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: i
         names = [np.frombuffer(x, "V20") for x in columns["keys"]]
         first = np.cumsum([0, *map(len, names)])
         node = np.concatenate([np.frombuffer(x, np.uint32) + f for x, f in zip(columns["nodes"], first, strict=False)])
-        known, same = np.unique(np.concatenate(names), return_inverse=True) if len(names) > 1 else (names[0], np.arange(len(names[0])))
-        node = same[node]  # a node that several tasks have sent is one
-        once = np.unique(np.stack([token, node, pos]), axis=1) if len(names) > 1 else np.stack([token, node, pos])
-        token, node, pos = once
-        _, at, count = np.unique(token, return_inverse=True, return_counts=True)
+        often = lambda t: np.unique(t, return_counts=True, return_inverse=True)
+        _, at, count = often(token)
+        some = count[at] > 1
+        token, node, pos = token[some], node[some], pos[some]
+        used, local = np.unique(node, return_inverse=True)
+        keys = [x.tobytes() for x in np.concatenate(names)[used]]
+        numbers: dict[bytes, int] = {}
+        node = np.array([numbers.setdefault(k, len(numbers)) for k in keys], np.int64)[local] if len(local) else local
+        known = list(numbers)
+        order = np.lexsort((node, token))  # a node that several tasks have sent is one
+        token, node, pos = token[order], node[order], pos[order]
+        once = np.ones(len(token), bool)
+        once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, pos = token[once], node[once], pos[once]
+        _, at, count = often(token)
         some = np.flatnonzero(count[at] > 1)
-        whole = np.frombuffer(known[node[some]].tobytes(), np.dtype([("key", "V16"), ("size", "<u4")]))
-        return pa.table({"rng": pa.array(np.full(len(some), key[0].as_py(), np.int32)), "token": pa.array(token[some].astype(np.int64)), "key": pa.array([x.tobytes() for x in whole["key"]], pa.binary()), "size": pa.array(whole["size"].astype(np.int32)), "pos": pa.array(pos[some].astype(np.int32))})
+        whole = [known[i] for i in node[some]]
+        sizes = np.array([int.from_bytes(k[16:], "little") for k in known], np.int32)[node[some]] if len(some) else np.zeros(0, np.int32)
+        return pa.table({"rng": pa.array(np.full(len(some), key[0].as_py(), np.int32)), "token": pa.array(token[some].astype(np.int64)), "key": pa.array([k[:16] for k in whole], pa.binary()), "size": pa.array(sizes), "pos": pa.array(pos[some].astype(np.int32))})
 
     sent = docs.mapInArrow(send, "rng int, tokens binary, nodes binary, pos binary, keys binary")
     return sent.groupBy("rng").applyInArrow(gather, "rng int, token long, key binary, size int, pos int")
