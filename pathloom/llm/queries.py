@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bitslice, bpe, jaccard, media, packing, quality, secrets, suffix_array, suffix_tree, warc
 from .common import table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "tokenizer"]
 
 
 def tokenizer(name: str) -> str:
@@ -71,5 +74,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_bit_sliced": op10_bit_sliced,
 }
-
-ORACLES: dict[str, str] = {}
