@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-END = F.lit("$")
+END = "$"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -225,12 +225,12 @@ STEPS = f"WITH {EVENTS}, s AS (SELECT a.*, coalesce(b.node, '$') AS next_node FR
 
 @query("edges", STEPS + ", c AS (SELECT node, next_node, count(*) AS visits FROM s GROUP BY 1, 2) SELECT node, next_node, CAST(visits AS BIGINT) AS visits, CAST((SELECT count(*) FROM c y WHERE y.node = c.node AND y.next_node < c.next_node) AS BIGINT) AS rank FROM c")
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigate.edges(events(spark, sf_dir), END)
+    return navigate.edges(events(spark, sf_dir), F.lit(END))
 
 
 @query("outdegree", STEPS + " SELECT node, CAST(count(DISTINCT next_node) AS BIGINT) AS outdegree FROM s GROUP BY 1")
 def outdegree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigate.outdegrees(events(spark, sf_dir), END)
+    return navigate.outdegrees(events(spark, sf_dir), F.lit(END))
 
 
 @query("outgoing_rank", f"WITH {ORDERS}, s AS (SELECT b.node AS node, a.node AS next_node FROM pos a LEFT JOIN pos b ON a.seq_id = b.seq_id AND b.pos = a.pos - 1) SELECT CAST(node AS BIGINT) AS node, CAST(next_node AS BIGINT) AS next_node, CAST(count(*) AS BIGINT) AS visits, CAST((SELECT count(*) FROM s x WHERE x.next_node = s.next_node AND coalesce(x.node, -1) < coalesce(s.node, -1)) AS BIGINT) AS first FROM s GROUP BY 1, 2, s.node, s.next_node")
@@ -244,7 +244,7 @@ v AS (SELECT node, row_number() OVER (PARTITION BY node ORDER BY prefix, seq_id)
 
 
 def event_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigate.visits(events(spark, sf_dir), END)
+    return navigate.visits(events(spark, sf_dir), F.lit(END))
 
 
 @query("visits", VISITS + f" SELECT node, {longs('off', 'seq_id', 'pos')}, next_node, {longs('seq_offset')} FROM v")
@@ -267,12 +267,12 @@ RUNS = VISITS + ", f AS (SELECT node, off, next_node, CASE WHEN lag(next_node) O
 
 @query("runs", RUNS + " SELECT node, CAST(sum(n) AS BIGINT) AS concrete, CAST(sum(n) - sum(CASE WHEN next_node = '$' THEN n ELSE 0 END) + sum(CASE WHEN next_node = '$' THEN 1 ELSE 0 END) AS BIGINT) AS logical FROM f GROUP BY node")
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigate.runs(event_visits(spark, sf_dir), END)
+    return navigate.runs(event_visits(spark, sf_dir), F.lit(END))
 
 
 @query("run_ids", RUNS + " SELECT node, CAST(off AS BIGINT) AS off, CAST(sum(n) OVER w - 1 AS BIGINT) AS run_id, CAST(sum(greatest(n, CASE WHEN next_node = '$' THEN 1 ELSE 0 END)) OVER w - 1 AS BIGINT) AS logical_id FROM f WINDOW w AS (PARTITION BY node ORDER BY off)")
 def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigate.run_ids(event_visits(spark, sf_dir), END)
+    return navigate.run_ids(event_visits(spark, sf_dir), F.lit(END))
 
 
 @query("locate_ends", VISITS + " SELECT node, CAST(arg_min(seq_id, off) AS BIGINT) AS first_seq, CAST(arg_min(seq_offset, off) AS BIGINT) AS first_offset, CAST(arg_max(seq_id, off) AS BIGINT) AS last_seq, CAST(arg_max(seq_offset, off) AS BIGINT) AS last_offset FROM v GROUP BY node")
