@@ -25,7 +25,7 @@ from .common import batch, map_rows, texts
 
 #: Rows that the model and the prior are fitted on, at most; hashed trigrams; ratios.
 POSITIVES, UNLABELLED, TRIGRAMS, RATIOS = 2000, 4000, 1024, 7
-STEPS, RATE, DECAY, SEED = 400, 0.05, 1e-4, 7
+STEPS, RATE, DECAY, SEED = 400, 0.05, 1e-2, 7
 UPPER, SYMBOL, SPACE = (np.array([f(c) for c in range(256)]) for f in (lambda c: 65 <= c <= 90, lambda c: 33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:'\"-?()", lambda c: c in (9, 10, 13, 32)))
 
 
@@ -59,14 +59,14 @@ def risk_gradient(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[fl
 
 
 def descend(x: np.ndarray, gradient, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> np.ndarray:
-    """Adam on a linear model; gradient: of the loss by the scores."""
+    """Adam on a linear model, with steps that shrink to none; gradient: of the loss by the scores."""
     w = np.zeros(x.shape[1], x.dtype)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         g = x.T @ gradient(x @ w).astype(x.dtype) + decay * w
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w -= rate * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
