@@ -154,3 +154,38 @@ def violations(table: DataFrame) -> DataFrame:
     forth, back = lf(table), inverse_lf(table)
     met = forth.join(back.select(F.col("node").alias("next_node"), F.col("off").alias("next_off"), "prev_node", "prev_off"), ["next_node", "next_off"], "left")
     return met.filter(~(F.col("prev_node").eqNullSafe(F.col("node")) & F.col("prev_off").eqNullSafe(F.col("off"))))
+
+
+def alphabet(panel: Panel) -> DataFrame:
+    """(node, comp): nodes numbered from 1 in their order; 0 is left for the endmarker. One task numbers the distinct
+    nodes, after they are found with partial sums."""
+    nodes = panel.positions.select("node").distinct()
+    return nodes.withColumn("comp", F.row_number().over(Window.orderBy("node")).cast(LONG))
+
+
+def offset_to(table: DataFrame) -> DataFrame:
+    """(node, next_node, next_off, off): for each step that a path makes, where it came from."""
+    return lf(table).select("node", "next_node", "next_off", "off")
+
+
+def lf_with_runs(table: DataFrame, end: Column) -> DataFrame:
+    """(node, off, next_node, next_off, run_first, run_last, logical_id): each step with the run that its visit is in."""
+    ids = run_ids(table, end)
+    w = Window.partitionBy("node", "run_id")
+    bounds = ids.select("node", "off", F.min("off").over(w).alias("run_first"), F.max("off").over(w).alias("run_last"), "logical_id")
+    return lf(table).join(bounds, ["node", "off"]).select("node", "off", "next_node", "next_off", "run_first", "run_last", "logical_id")
+
+
+def suffixes_of(table: DataFrame, node) -> DataFrame:
+    """(off, seq_id, seq_offset): all suffixes of a node, which `off` puts in order."""
+    return table.filter(F.col("node") == node).select("off", "seq_id", "seq_offset")
+
+
+def insertion_offsets(queries: DataFrame, table: DataFrame) -> DataFrame:
+    """(query_id, pos, off): before which visit of its node each query prefix would stand, in co-lexicographic order; at
+    equal prefixes, before all. Only queries whose nodes all have visits should be asked."""
+    q = Panel(queries.withColumnRenamed("query_id", "seq_id")).paths().select("seq_id", "path", F.posexplode("path").alias("pos", "node"))
+    q = q.select(F.col("seq_id").alias("query_id"), F.col("pos").cast(LONG).alias("pos"), "node", F.reverse(F.slice("path", 1, F.col("pos") + 1)).alias("prefix"), F.lit(0).alias("panel"))
+    both = q.unionByName(table.select(F.lit(None).cast(LONG).alias("query_id"), F.lit(None).cast(LONG).alias("pos"), "node", "prefix", F.lit(1).alias("panel")))
+    w = Window.partitionBy("node").orderBy("prefix", "panel").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("off", F.sum("panel").over(w).cast(LONG)).filter("panel = 0").select("query_id", "pos", "off")

@@ -350,3 +350,18 @@ def repeat_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("panel_stats", f"WITH {EVENTS} SELECT CAST(count(*) + count(DISTINCT seq_id) AS BIGINT) AS size, CAST(count(DISTINCT seq_id) AS BIGINT) AS sequences, CAST(max(pos) + 1 AS BIGINT) AS longest, CAST(count(DISTINCT node) AS BIGINT) AS nodes FROM pos")
 def panel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).stats()
+
+
+@query("alphabet", "SELECT node, CAST(row_number() OVER (ORDER BY node) AS BIGINT) AS comp FROM (SELECT DISTINCT event_type AS node FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL)")
+def alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.alphabet(events(spark, sf_dir))
+
+
+@query("lf_with_runs", RUNS + ", r AS (SELECT node, off, sum(n) OVER w AS run_id, sum(greatest(n, CASE WHEN next_node = '$' THEN 1 ELSE 0 END)) OVER w - 1 AS logical_id FROM f WINDOW w AS (PARTITION BY node ORDER BY off)), e AS (SELECT node, run_id, min(off) AS lo, max(off) AS hi FROM r GROUP BY 1, 2) SELECT a.node, CAST(a.off AS BIGINT) AS off, b.node AS next_node, CAST(b.off AS BIGINT) AS next_off, CAST(e.lo AS BIGINT) AS run_first, CAST(e.hi AS BIGINT) AS run_last, CAST(r.logical_id AS BIGINT) AS logical_id FROM v a JOIN v b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1 JOIN r ON r.node = a.node AND r.off = a.off JOIN e ON e.node = r.node AND e.run_id = r.run_id")
+def lf_with_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.lf_with_runs(event_visits(spark, sf_dir), F.lit(END))
+
+
+@query("insertion_offsets", VISITS + ", q AS (SELECT pos.seq_id, pos.pos, pos.node, list_reverse(a.p[1:pos.pos + 1]) AS prefix FROM pos JOIN a ON a.seq_id = pos.seq_id WHERE pos.seq_id % 10 = 0) SELECT CAST(q.seq_id AS BIGINT) AS query_id, CAST(q.pos AS BIGINT) AS pos, CAST((SELECT count(*) FROM v WHERE v.node = q.node AND v.prefix < q.prefix) AS BIGINT) AS off FROM q")
+def insertion_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.insertion_offsets(events(spark, sf_dir).where("seq_id % 10 = 0").as_queries(), event_visits(spark, sf_dir))
