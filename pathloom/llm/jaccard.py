@@ -4,12 +4,13 @@ Every set is ordered rarest n-gram first; two sets of the asked similarity then
 (the prefix), so sets are only compared within the buckets of prefix n-grams. How rare an n-gram is, a sketch of a fixed
 number of counters tells; any order is right as long as all sets use the same, so counts that are too high cost time
 at most. Within a bucket, pairs must pass the length filter and the positional filter (what may still be shared after
-this n-gram); before a pair is counted out, the suffix filter bounds its overlap by parts of the hash range. Each pair
-is verified once, with whole sets.
+this n-gram), and bitmaps of the sets must not rule it out. Before a pair is counted out, the suffix filter bounds its
+overlap by parts of the hash range. Each pair is verified once, with whole sets.
 
 Components need few of the pairs. First each member of a bucket is only compared with the bucket's least member and with
-its neighbour in size. The components of the links so found are already nearly those asked for. Then whatever pairs of a
-bucket lie in different components are verified, so that no link is lost; pairs within one component needn't be.
+its neighbour in size, then with a neighbour of another component in a random order. The components of the links so found
+are already nearly those asked for. At last whatever pairs of a bucket still lie in different components are verified, so
+that no link is lost; pairs within one component needn't be.
 
 Texts that are equal are one node; a node is the MD5 of its text.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from .common import batch, map_rows, partitions, texts
 from .components import components
 from .sieve import sieve
-from .storage import stash
+from .storage import scratch, stash
 
 WORDS, PERCENT = 5, 75
-#: Counters of the sketch, in blocks; it's 2 MB whatever the input is.
-COUNTERS, BLOCKS = 1 << 19, 64
+#: Counters of the sketch, in blocks, and where a hash's counter is; the table of classes is 2 MB whatever the input is.
+COUNTERS, BLOCKS, COUNTER = 1 << 21, 64, 43
 #: Prefix n-grams that a task holds before it sends them on.
 HELD = 2_000_000
 WORD = re.compile(rb"[^ \t-\r]+")
@@ -80,38 +81,60 @@ def prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """A bit for each n-gram, by the lower bits of its hash, in a power of two of bits that is at least their number."""
+    m = max(8, 1 << (len(grams) - 1).bit_length()) if len(grams) else 8
+    bits = np.zeros(m, bool)
+    bits[(grams & U(m - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
+    """Whether sets with these bitmaps and sizes may have the asked similarity. An n-gram whose bit the other set lacks
+    isn't shared; a longer bitmap is folded to the shorter one's length first."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    m = min(len(x), len(y))
+    x, y = np.bitwise_or.reduce(x.reshape(-1, m)), np.bitwise_or.reduce(y.reshape(-1, m))
+    shared = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * shared >= percent * (n_a + n_b - shared)
+
+
 def scan(docs: DataFrame, n: int) -> DataFrame:
-    """A row (key, doc_id, n_shingles) for each row of docs, and rows (block, counts) of partial sketches."""
+    """A row (key, doc_id, n_shingles, bits) for each row of docs, and rows (block, counts) of partial sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(COUNTERS, np.int64), ["doc_id", "key", "n_shingles", "block", "counts"]
-        kinds = pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()
+        counts, names = np.zeros(COUNTERS, np.uint32), ["doc_id", "key", "n_shingles", "bits", "block", "counts"]
+        kinds = pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()
         for b in batches:
-            texts_, sizes = b.column(2).to_pylist(), []
+            texts_, sizes, bits = b.column(2).to_pylist(), [], []
             for t in texts_:
                 h = gram_set(t, n)
                 sizes.append(len(h))
-                np.add.at(counts, (h >> U(45)).astype(np.int64), 1)
-            none = [pa.nulls(b.num_rows, k) for k in kinds[3:]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, kinds[2]), *none], names=names)
+                bits.append(bitmap(h))
+                np.add.at(counts, (h >> U(COUNTER)).astype(np.int64), 1)
+            none = [pa.nulls(b.num_rows, k) for k in kinds[4:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, kinds[2]), pa.array(bits, kinds[3]), *none], names=names)
         if counts.any():
             parts = [x.tobytes() for x in counts.reshape(BLOCKS, -1)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, k) for k in kinds[:3]), pa.array(range(BLOCKS), kinds[3]), pa.array(parts, kinds[4])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, k) for k in kinds[:4]), pa.array(range(BLOCKS), kinds[4]), pa.array(parts, kinds[5])], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, bits binary, block int, counts binary")
 
 
 def sketch(scanned: DataFrame) -> np.ndarray:
-    """The rarity class of each counter: 0 up to a few times the mean, then one more for each doubling."""
+    """The class of each counter: 0 as long as chance may have filled it beyond the others, then one more for each doubling
+    of what it has beyond the median."""
 
     def add(table: pa.Table) -> pa.Table:
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()).tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()).tobytes()], pa.binary())})
 
     counts = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
     for block, x in scanned.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         counts[block] = np.frombuffer(x, np.int64)
     counts = counts.ravel()
-    return np.floor(np.log2(np.maximum(1, counts / (4 + 2 * counts.mean())))).astype(np.uint8)
+    usual = np.median(counts)
+    beyond = (counts - usual) / (4 + 4 * np.sqrt(usual))
+    return np.where(beyond < 1, 0, 1 + np.floor(np.log2(np.maximum(1, beyond)))).astype(np.uint8)
 
 
 def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: int) -> DataFrame:
@@ -153,7 +176,7 @@ def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: i
                 if not len(h):
                     continue
                 p = prefix_size(len(h), percent)
-                order = np.lexsort((h, rare[(h >> U(45)).astype(np.int64)]))[:p]
+                order = np.lexsort((h, rare[(h >> U(COUNTER)).astype(np.int64)]))[:p]
                 held.append((h[order], key + len(h).to_bytes(4, "little")))
                 size += p
                 if size >= HELD:
@@ -206,11 +229,13 @@ def _pairs_table(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(keys[some[0]].tolist(), pa.binary()), "b": pa.array(keys[some[1]].tolist(), pa.binary())})
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+def _columns(table: pa.Table, *more: str) -> tuple[np.ndarray, ...]:
+    """Distinct keys, and by token and size: the number of the row's key, its token, size, place; numbers for `more`."""
     table = table.sort_by([("token", "ascending"), ("size", "ascending"), ("key", "ascending")])
-    keys, node = np.unique(np.array(table.column("key").to_pylist(), object), return_inverse=True)
+    number = lambda c: np.unique(np.array(table.column(c).to_pylist(), object), return_inverse=True)
+    keys, node = number("key")
     token, size, pos = (table.column(c).to_numpy() for c in ("token", "size", "pos"))
-    return keys, node, token, size, pos
+    return keys, node, token, size, pos, *(number(c)[1] for c in more)
 
 
 def stars(found: DataFrame, percent: int) -> DataFrame:
@@ -228,15 +253,32 @@ def stars(found: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("rng").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def across(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): in each bucket, the pairs of nodes of different components that pass the filters; found also has the
-    node's component."""
+def split_buckets(found: DataFrame) -> DataFrame:
+    """The buckets whose nodes are of more than one component; found also has the node's component."""
     split = found.groupBy("rng", "token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("rng", "token")
+    return found.join(split, ["rng", "token"], "left_semi")
+
+
+def chains(found: DataFrame, percent: int, seed: int = 1) -> DataFrame:
+    """(a, b): in each bucket, in an order by a hash that differs from bucket to bucket, neighbours of different components
+    that pass the filters. A node of a large group of near copies so meets others of the group, one in each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("token", "ascending"), ("size", "ascending"), ("key", "ascending")])
-        keys, node, token, size, pos = _columns(table)
-        _, part = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)
+        keys, node, token, size, pos, part = _columns(table, "component")
+        mixed = (node.astype(np.uint64) + U(seed)) * U(0x9E3779B97F4A7C15) ^ (token.astype(np.uint64) + U(1)) * U(0xD6E8FEB86659FD93)
+        order = np.lexsort(((mixed ^ mixed >> U(31)) * U(0x9E3779B97F4A7C15) >> U(8), token))
+        i, j = order[:-1], order[1:]
+        ok = (token[i] == token[j]) & (part[i] != part[j]) & may_match(size, pos, i, j, percent)
+        return _pairs_table(keys, node[i[ok]], node[j[ok]])
+
+    return split_buckets(found).groupBy("rng").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def across(found: DataFrame, percent: int) -> DataFrame:
+    """(a, b): in each bucket, the pairs of nodes of different components that pass the filters."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, node, token, size, pos, part = _columns(table, "component")
         none = np.zeros(0, np.int64)
         left, right = [none], [none]
         for gap in range(1, len(token)):  # rows so far apart in one bucket, which is in order of size
@@ -250,7 +292,7 @@ def across(found: DataFrame, percent: int) -> DataFrame:
             right.append(node[j[ok]])
         return _pairs_table(keys, np.concatenate(left), np.concatenate(right))
 
-    return found.join(split, ["rng", "token"], "left_semi").groupBy("rng").applyInArrow(run, "a binary, b binary").distinct()
+    return split_buckets(found).groupBy("rng").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -266,15 +308,35 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= least
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (key, grams binary) have the asked similarity."""
+def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps of nodes (key, n_shingles, bits) don't rule out."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        ok = [may_be_similar(*x, percent) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
+        return b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    first = nodes.select(F.col("key").alias("a"), F.col("bits").alias("x"), F.col("n_shingles").alias("m"))
+    second = nodes.select(F.col("key").alias("b"), F.col("bits").alias("y"), F.col("n_shingles").alias("n"))
+    return map_rows(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y", "m", "n"), run, "a binary, b binary")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts in docs (key, text) have sets of the asked similarity. Whole sets are only made for
+    the pairs that bitmaps leave."""
+    left = stash(sift(pairs, nodes, percent), "pairs")
+    wanted = left.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts_ = docs.filter(sieve(wanted, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
+
+    def grams(b: pa.RecordBatch) -> pa.RecordBatch:
+        return batch(key=b.column(0), grams=pa.array([gram_set(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary()))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         return b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
+    sets = stash(map_rows(texts_.select("key", "text"), grams, "key binary, grams binary"), "sets")
     first, second = sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
-    return map_rows(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, "a binary, b binary")
+    return stash(map_rows(left.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, "a binary, b binary", 1000), "links")
 
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,22 +349,21 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
     component_id. Other columns don't matter; an empty table gives no rows."""
     spark = docs.sparkSession
     own = texts(docs, id_col, text_col, as_bytes=True).select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
-    scanned = stash(scan(own, n), "scan")
+    scanned = stash(scan(own, n), "scan", keep=True)
     rows = scanned.filter("block IS NULL").select("doc_id", "key", "n_shingles")
-    found = stash(buckets(own.select("key", "text"), sketch(scanned), n, percent, max(16, partitions(spark))), "buckets")
-    wanted = found.select("key").distinct()
-    texts_ = own.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
-
-    def grams(b: pa.RecordBatch) -> pa.RecordBatch:
-        return batch(key=b.column(0), grams=pa.array([gram_set(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary()))
-
-    sets = stash(map_rows(texts_.select("key", "text"), grams, "key binary, grams binary"), "sets")
-    links = stash(verify(stars(found, percent), sets, percent), "links")
-    parts = stash(components(links), "parts")
-    labelled = found.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    more = stash(verify(across(labelled, percent), sets, percent), "links")
-    if not more.isEmpty():
-        parts = stash(components(links.unionByName(more)), "parts")
+    with scratch():
+        found = stash(buckets(own.select("key", "text"), sketch(scanned), n, percent, max(16, partitions(spark))), "buckets")
+        nodes = scanned.filter("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+        nodes = stash(nodes.join(found.select("key").distinct(), "key", "left_semi"), "nodes")
+        corpus = own.select("key", "text")
+        links = verify(stars(found, percent), nodes, corpus, n, percent)
+        parts = stash(components(links), "parts", keep=True)
+        for pairs in chains, partial(chains, seed=2), across:
+            labelled = found.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+            more = verify(pairs(labelled, percent), nodes, corpus, n, percent)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                parts = stash(components(links), "parts", keep=True)
     named = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", "key", F.col("component").alias("group"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
