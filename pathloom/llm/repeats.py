@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import batch
 from .sieve import sieve
-from .storage import stash
+from .storage import scratch, stash
 
 U = np.uint64
 #: Odd multipliers of the mixing steps.
@@ -180,15 +180,6 @@ def find(docs: DataFrame, symbols: Symbols, cut: Cut, shape: Shape, compare: Cal
                     small = lambda y: pa.array(y.astype(np.int32))
                     yield batch(key=keys.take(pa.array(which[text])), start=small(at + offset[text]), windows=small(count), shift=small(shift), anchor=signed(anchor), whole=signed(whole))
 
-    found = stash(own.select("key", "text").mapInArrow(anchors, "key binary, start int, windows int, shift int, anchor long, whole long"), "runs")
-    groups = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") == F.max("whole")).alias("alike")).filter("n > 1").drop("n")
-    groups = stash(groups, "anchors")
-    again = stash(found.filter(sieve(groups, "anchor")(F.col("anchor"))).join(groups, "anchor"), "again")
-    mixed = again.filter("NOT alike")
-    one_each = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("key", "start", "windows", "shift")).alias("run"))
-    one_each = stash(one_each.select("anchor", "whole", "weight", "run.*"), "classes")
-    todo = one_each.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "whole", "weight", "shift")).alias("runs"))
-
     def distinct(of: DataFrame) -> DataFrame:
         """(key, text): texts whose key may be in `of`, each once."""
         return own.filter(sieve(of, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text"))
@@ -200,13 +191,23 @@ def find(docs: DataFrame, symbols: Symbols, cut: Cut, shape: Shape, compare: Cal
                 region = cut(text.as_py(), list(zip(start.tolist(), (windows + shape.width - 1).tolist(), strict=True)))
                 yield batch(anchor=pa.array(anchor), whole=pa.array(whole), weight=pa.array(weight), shift=pa.array(shift), windows=pa.array(windows), region=pa.array(region, pa.binary()))
 
-    rows = distinct(todo).join(todo, "key").select("text", "runs")
-    rows = rows.mapInArrow(regions, "anchor long, whole long, weight long, shift int, windows int, region binary")
-    listed = stash(rows.withColumn("run", F.monotonically_increasing_id()), "regions")  # numbers are fixed once written
-    places = listed.select("run", "anchor", "whole").join(compare(listed.drop("whole")), "run")
-    single = again.filter("alike").select("key", "start", "windows", F.lit(None).cast("array<int>").alias("places"))
-    some = mixed.join(places.drop("run"), ["anchor", "whole"]).select("key", "start", F.lit(0).alias("windows"), "places")
-    stretches = stash(single.unionByName(some).groupBy("key").agg(F.collect_list(F.struct("start", "windows", "places")).alias("stretches")), "stretches")
+    with scratch():
+        found = stash(own.select("key", "text").mapInArrow(anchors, "key binary, start int, windows int, shift int, anchor long, whole long"), "runs")
+        groups = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") == F.max("whole")).alias("alike")).filter("n > 1").drop("n")
+        groups = stash(groups, "anchors")
+        again = stash(found.filter(sieve(groups, "anchor")(F.col("anchor"))).join(groups, "anchor"), "again")
+        mixed = again.filter("NOT alike")
+        one_each = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("key", "start", "windows", "shift")).alias("run"))
+        one_each = stash(one_each.select("anchor", "whole", "weight", "run.*"), "classes")
+        todo = one_each.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "whole", "weight", "shift")).alias("runs"))
+
+        rows = distinct(todo).join(todo, "key").select("text", "runs")
+        rows = rows.mapInArrow(regions, "anchor long, whole long, weight long, shift int, windows int, region binary")
+        listed = stash(rows.withColumn("run", F.monotonically_increasing_id()), "regions")  # numbers are fixed once written
+        places = listed.select("run", "anchor", "whole").join(compare(listed.drop("whole")), "run")
+        single = again.filter("alike").select("key", "start", "windows", F.lit(None).cast("array<int>").alias("places"))
+        some = mixed.join(places.drop("run"), ["anchor", "whole"]).select("key", "start", F.lit(0).alias("windows"), "places")
+        stretches = stash(single.unionByName(some).groupBy("key").agg(F.collect_list(F.struct("start", "windows", "places")).alias("stretches")), "stretches", keep=True)
     may = sieve(stretches, "key")
     marked = own.withColumn("hit", may(F.col("key")))
     return Found(marked.filter("NOT hit").select("doc_id", "text"), marked.filter("hit").select("doc_id", "key"), distinct(stretches).join(stretches, "key", "left").select("key", "text", "stretches"), may)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
 
 def shared(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset, as in tests on one machine, a temporary folder."""
@@ -19,9 +23,23 @@ def _own() -> str:
     return f"file://{tempfile.mkdtemp(prefix='pathloom-')}"
 
 
-def stash(df: DataFrame, name: str = "step") -> DataFrame:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are stashed within, but not kept, are deleted at the end: what is returned must not read them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stash(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
     """df, computed once and read again: its lineage ends here, and it outlives executors."""
     spark = df.sparkSession
     path = f"{shared(spark).rstrip('/')}/pathloom/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
