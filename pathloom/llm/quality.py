@@ -156,8 +156,10 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text isn't rejected (score of at least 0.5), with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([features((t or "").encode()) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], np.float32).reshape(b.num_rows, TRIGRAMS + RATIOS)
-            yield b.filter(pa.array(model.score(x) >= 0.5))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                x = np.array([features((t or "").encode()) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], np.float32)
+                yield b.filter(pa.array(model.score(x) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
