@@ -125,16 +125,22 @@ def at_least(sums: list[np.ndarray], limit: np.ndarray, rows: np.ndarray) -> np.
     return over | level
 
 
+def rows_of(ids: np.ndarray, k: int) -> int:
+    """So many rows hold k distinct ids, whichever rows they are: one more than k - 1 ids have at most."""
+    counts = np.unique(ids, return_counts=True)[1]
+    return int(np.sort(counts)[::-1][: k - 1].sum()) + 1
+
+
 def top(index: Index, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, row's id, score): the k best rows of the block for each query at least, ties to the smaller id."""
-    n = len(ids)
+    """(query, id, score): the k best ids of the block for each query, each by its best row, ties to the smaller id."""
+    n, enough = len(ids), rows_of(ids, k)
     all_rows = bitmap(np.ones((1, n), bool))
     for s in range(0, len(queries), AT_ONCE):
         q, own = queries[s : s + AT_ONCE], query_ids[s : s + AT_ONCE]
         rows = np.repeat(all_rows, len(q), 0) & ~bitmap(ids[None, :] == own[:, None])
         there = np.bitwise_count(rows).sum(1).astype(np.int64)
         sums = add_slices(index, q)
-        wanted = np.minimum(k, there)
+        wanted = np.minimum(enough, there)
         least = highest(sums, np.maximum(wanted, 1), rows)
         # a sum counts steps of 2 ** drop; a score differs from it by an offset of the query, and by no more than this:
         bound = np.sqrt((q.astype(float) ** 2).sum(1)) * index.rest / (1 << index.drop)
@@ -142,7 +148,8 @@ def top(index: Index, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarra
         for i in np.flatnonzero(there):
             found = np.flatnonzero(near[i])
             score = index.exact[found] @ q[i]
-            best = np.lexsort((ids[found], -score))[:k]
+            best = np.lexsort((ids[found], -score))
+            best = best[np.sort(np.unique(ids[found][best], return_index=True)[1])[:k]]
             yield from ((int(own[i]), int(ids[found[b]]), int(score[b])) for b in best)
 
 
@@ -154,14 +161,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     another length than the query's aren't its candidates. Rows that share an id and a vector count once; of rows that
     share an id but no vector, each is a candidate, the best is kept, and as queries they compete for one list. Other
     columns don't matter. Blocks of rows meet blocks of queries in tasks of their own: what is shuffled is the rows times
-    the number of query blocks and the queries times the number of row blocks; nothing is broadcast. Each block returns
-    no more than k rows for a query."""
+    the number of query blocks and the queries times the number of row blocks, after one exchange in which repeated rows
+    drop out; nothing is broadcast. A block returns its k best ids for a query, so other rows of one id take no places."""
     v = F.col("v")
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     own = own.filter(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)))
     own = own.filter(F.size("v") > 0).select("id", "v", F.size("v").alias("n"))
     rows, asked = own.count(), own.filter(F.col("id") % every == 0).count()
     blocks, query_blocks = max(1, -(-rows // block)), max(1, -(-asked // query_block))
+    own = own.dropDuplicates(["id", "v"])
     number = lambda kind, n: F.pmod(F.xxhash64("id", F.lit(kind)), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = own.select(number("row", blocks).cast("int").alias("rb"), "n", "id", "v").withColumn("qb", each(query_blocks)).withColumn("asked", F.lit(False))

@@ -170,3 +170,23 @@ def test_nearest(spark):
     found = bitslice.nearest(df, block=64, query_block=3)
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()} == want
     assert bitslice.nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("copies,spread", [(2, 0), (5, 0), (7, 0.01)])
+def test_nearest_distinct_ids(spark, copies, spread):
+    """Rows that share an id, with the same vector or with others, take one place of the list."""
+    r = np.random.default_rng(3)
+    v = r.normal(size=(60, 8)).round(2)
+    rows = [(i, (x + spread * c).tolist()) for i, x in enumerate(v) for c in range(copies)]
+    best = {}
+    for q, x in rows:
+        for i, y in rows:
+            if q % 20 == 0 and i != q:
+                best[q, i] = max(best.get((q, i), -(10**9)), int(np.floor(np.array(x) * 256) @ np.floor(np.array(y) * 256)))
+    want = set()
+    for q in (0, 20, 40):
+        order = sorted((-s, i) for (p, i), s in best.items() if p == q)[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(order)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (8192, 64):
+        assert {tuple(x) for x in bitslice.nearest(df, every=20, block=block).collect()} == want
