@@ -12,6 +12,8 @@ its neighbour in size, then with a neighbour of another component in a random or
 are already nearly those asked for. At last whatever pairs of a bucket still lie in different components are verified, so
 that no link is lost; pairs within one component needn't be.
 
+All links are pairs within a component, so they are counted there: every pair of a component's nodes is looked at once.
+
 Texts that are equal are one node; a node is the MD5 of its text.
 """
 
@@ -41,6 +43,8 @@ WORD = re.compile(rb"[^ \t-\r]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 MEMO = 400_000
+#: Nodes of a component that meet others in one task, and n-grams that are multiplied out at once.
+MEMBERS, COLUMNS = 512, 4096
 
 
 class _Hashes(dict):
@@ -369,6 +373,80 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
     return named.join(least, "component", "left").select("doc_id", "key", F.col("component").alias("group"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of a shares with each of b: products of 0/1 matrices, some n-grams at a time."""
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        grams, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        some = np.isin(grams, common)
+        at = np.searchsorted(common, grams[some])
+        order = np.argsort(at, kind="stable")
+        return at[order], row[some][order]
+
+    (x, x_row), (y, y_row) = places(a), places(b)
+    out = np.zeros((len(a), len(b)), np.int64)
+    for low in range(0, len(common), COLUMNS):
+        parts = []
+        for at, row, n in (x, x_row, len(a)), (y, y_row, len(b)):
+            i, j = np.searchsorted(at, [low, low + COLUMNS])
+            part = np.zeros((n, COLUMNS), np.float32)  # exact: sums are 4096 at most
+            part[row[i:j], at[i:j] - low] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def count_links(members: DataFrame, n: int, percent: int, block: int, groups: int) -> DataFrame:
+    """(key, links): the rows that a node is linked to, those of its own text aside. members: (key, group, members,
+    copies, text), a component's nodes and how many these are. Nodes of a component are dealt into blocks, and each block
+    meets each in a task of its own; components of one block share tasks."""
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("k", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")})
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(groups))).otherwise(F.xxhash64("group", "i", "j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        where: dict[tuple, list[int]] = {}
+        for at, name in enumerate(zip(*(table.column(c).to_pylist() for c in ("group", "i", "j")), strict=True)):
+            where.setdefault(name, []).append(at)
+        block_of, copies, texts_ = table.column("k").to_numpy(), table.column("copies").to_numpy(), table.column("text")
+        links = np.zeros(table.num_rows, np.int64)
+        for (_, i, j), rows in where.items():
+            at = np.array(rows)
+            sets = {r: gram_set(texts_[r].as_py(), n) for r in rows}
+            a, b = at[block_of[at] == i], at[block_of[at] == j]
+            if not len(a) or not len(b):
+                continue
+            both = shared([sets[r] for r in a], [sets[r] for r in b])
+            sizes = [np.array([len(sets[r]) for r in x]) for x in (a, b)]
+            ok = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+            if i == j:
+                np.fill_diagonal(ok, False)
+            else:
+                links[b] += ok.T @ copies[a]
+            links[a] += ok @ copies[b]
+        return pa.table({"key": table.column("key"), "links": pa.array(links)})
+
+    met = own.select(task.alias("task"), "key", "group", "i", "j", "k", "copies", "text").groupBy("task").applyInArrow(run, "key binary, links long")
+    return met.groupBy("key").agg(F.sum("links").alias("links"))
+
+
+def links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = MEMBERS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for each row of docs: as classes(), and the number of other rows that
+    it is linked to, rows of the same text among them. A text without words has no links."""
+    named = stash(classes(docs, n, percent, id_col, text_col), "named", keep=True)
+    nodes = named.filter("n_shingles > 0").groupBy("key").agg(F.first("group").alias("group"), F.count("*").alias("copies"))
+    with scratch():
+        sizes = nodes.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
+        wanted = stash(nodes.join(sizes, "group"), "members")
+        own = texts(docs, id_col, text_col, as_bytes=True).select(F.unhex(F.md5("text")).alias("key"), "text")
+        members = own.filter(sieve(wanted, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
+        found = stash(count_links(members, n, percent, block, max(16, partitions(docs.sparkSession))), "counts", keep=True)
+    counts = nodes.join(found, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return named.join(counts, "key", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, but of each component one document only: the one with the smallest id. Texts without
     words are in no component: each of them stays. Of rows that share the smallest id, the first by text and by all other

@@ -37,6 +37,8 @@ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.at)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(r.at) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+OP7_LINKS = OP7.replace("AS component_id FROM", "AS component_id, (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links FROM")
+
 _BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 _CHUNK = "CAST('0x' || substr(sha1(h), 5 * k + 1, 5) AS BIGINT)"
 OP9 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
@@ -49,4 +51,4 @@ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
-ORACLES: dict[str, str] = {"op5_suffix_tree": OP5, "op6_secrets": OP6, "op7_jaccard": OP7, "op9_warc": OP9, "op10_bit_sliced": OP10}
+ORACLES: dict[str, str] = {"op5_suffix_tree": OP5, "op6_secrets": OP6, "op7_jaccard": OP7, "op7_links": OP7_LINKS, "op9_warc": OP9, "op10_bit_sliced": OP10}

@@ -50,6 +50,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).drop("key", "group")
 
 
+def op7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.digests(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_tree": op5_suffix_tree,
     "op6_secrets": op6_secrets,
     "op7_jaccard": op7_jaccard,
+    "op7_links": op7_links,
     "op8_suffix_array": op8_suffix_array,
     "op9_warc": op9_warc,
     "op10_bit_sliced": op10_bit_sliced,

@@ -98,6 +98,19 @@ def test_similar_documents(docs, none):
     assert {30, 53, 54, 55, 56} <= set(left) and not {31, 32, 57, 61} & set(left)
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_all_links(docs, none, block):
+    """Every link counts, those within a group of near copies too, and equal texts by their number."""
+    sets, _ = components(ROWS)
+    alike = lambda s, t: s and t and 100 * len(s & t) >= 75 * len(s | t)
+    want = Counter((i, len(s), sum(bool(alike(s, t)) for m, t in enumerate(sets) if m != k)) for k, ((i, _), s) in enumerate(zip(ROWS, sets, strict=True)))
+    found = jaccard.links(docs, block=block).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in found) == want
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter((r.doc_id, r.component_id) for r in jaccard.classes(docs).collect())
+    assert max(r.n_links for r in found) > 10
+    assert jaccard.links(none).count() == 0
+
+
 def test_rare_heavy_links(spark):
     """A chain, a star and a ring have the components that they should."""
     links = [(i, i + 1) for i in range(100, 160)] + [(200, 201 + i) for i in range(50)] + [(300, 301), (301, 302), (302, 300), (5, 5), (None, 7), (300, 301)]
