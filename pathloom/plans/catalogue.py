@@ -107,6 +107,16 @@ def long_matches_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.long_matches(q, words(table(spark, sf_dir, "documents"), "doc_id"), 8)
 
 
+#: All items: those with a word that no document has as well.
+ALL_ITEMS = ORACLES["long_matches_contamination"].replace(" WHERE query_id NOT IN (SELECT query_id FROM bad)", "")
+
+
+@query("long_matches_contamination_all", ALL_ITEMS)
+def long_matches_contamination_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = words(table(spark, sf_dir, "benchmark"), "item_id").as_queries()
+    return matches.long_matches(q, words(table(spark, sf_dir, "documents"), "doc_id"), 8, on_unknown="ignore")
+
+
 @query("set_maximal_events", islands(10) + BEST + f" SELECT {MATCH} FROM found")
 def set_maximal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = split(events(spark, sf_dir), 10)

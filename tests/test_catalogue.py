@@ -34,3 +34,12 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_items_with_unknown_words(spark, tmp_path):
+    """A passage is found though its item has a word that no document has."""
+    text = "one two three four five six seven eight nine"
+    spark.createDataFrame([(1, text + " unheard")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "so " + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()["long_matches_contamination_all"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.select("query_id", "q_start", "length", "seq_id", "t_start").collect()] == [(1, 0, 9, 7, 1)]
