@@ -93,48 +93,57 @@ def verified(matches: DataFrame, queries: DataFrame, panel: Panel) -> DataFrame:
     return matches.join(q, "query_id").join(t, "seq_id").filter(cut("qp", "q_start") == cut("tp", "t_start")).select(*matches.columns)
 
 
-def _probed(q: DataFrame, panel: Panel, limit: int) -> DataFrame:
+OTHERS = "seq_id != query_id"  # text, as a column needs a session
+
+
+def _probed(q: DataFrame, panel: Panel, limit: int, others: bool = False) -> DataFrame:
     """(query_id, pos, m): for each position, the most symbols from there on, up to limit, that the panel has somewhere:
     a semi-join with the panel's distinct grams of all lengths up to limit, at once."""
-    names = names_up_to(panel.positions, limit).select("n", "g0", "g1").distinct()
-    hit = names_up_to(q, limit, "query_id").join(names, ["n", "g0", "g1"], "left_semi").select("query_id", "pos", "n")
+    names, asked = names_up_to(panel.positions, limit), names_up_to(q, limit, "query_id")
+    if others:  # a gram is elsewhere if the least or the greatest sequence that has it is another one
+        ends = names.groupBy("n", "g0", "g1").agg(F.min("seq_id").alias("low"), F.max("seq_id").alias("high"))
+        hit = asked.join(ends, ["n", "g0", "g1"]).filter("low != query_id OR high != query_id").select("query_id", "pos", "n")
+    else:
+        hit = asked.join(names.select("n", "g0", "g1").distinct(), ["n", "g0", "g1"], "left_semi").select("query_id", "pos", "n")
     none = q.select("query_id", "pos", F.lit(0).cast("long").alias("n"))
     return none.unionByName(hit).groupBy("query_id", "pos").agg(F.max("n").alias("m"))
 
 
-def matching_statistics(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty") -> DataFrame:
+def matching_statistics(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty", others: bool = False) -> DataFrame:
     """(query_id, pos, m): the longest match that starts at each position. Up to `probes` symbols by semi-joins; longer
-    ones from the long matches of more, of which the furthest end so far tells how far the symbols from here go on."""
+    ones from the long matches of more, of which the furthest end so far tells how far the symbols from here go on.
+    others: queries aren't matched with the sequence of their own id."""
     q = guard(queries, panel, on_unknown)
-    short = _probed(q, panel, probes)
-    far = long_matches(q, panel, probes + 1, on_unknown="ignore").groupBy("query_id", F.col("q_start").alias("pos")).agg(F.max(F.col("q_start") + F.col("length")).alias("end"))
+    short = _probed(q, panel, probes, others)
+    far = long_matches(q, panel, probes + 1, on_unknown="ignore", residual=OTHERS if others else None).groupBy("query_id", F.col("q_start").alias("pos")).agg(F.max(F.col("q_start") + F.col("length")).alias("end"))
     w = Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     both = short.join(far, ["query_id", "pos"], "left").withColumn("end", F.max("end").over(w))
     return both.select("query_id", "pos", F.greatest("m", F.coalesce(F.col("end") - F.col("pos"), F.lit(0))).cast("long").alias("m"))
 
 
-def matching_statistics_end(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty") -> DataFrame:
+def matching_statistics_end(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty", others: bool = False) -> DataFrame:
     """(query_id, pos, m): the longest match that ends with each position: those of the sequences read backwards."""
     def back(df: DataFrame, key: str) -> DataFrame:
         w = Window.partitionBy(key)
         return df.select(key, (F.max("pos").over(w) - F.col("pos")).alias("pos"), "node")
 
-    found = matching_statistics(back(queries, "query_id"), Panel(back(panel.positions, "seq_id")), probes, on_unknown)
+    found = matching_statistics(back(queries, "query_id"), Panel(back(panel.positions, "seq_id")), probes, on_unknown, others)
     w = Window.partitionBy("query_id")
     return found.select("query_id", (F.max("pos").over(w) - F.col("pos")).alias("pos"), "m")
 
 
-def set_maximal_matches(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty") -> DataFrame:
+def set_maximal_matches(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty", others: bool = False) -> DataFrame:
     """(query_id, q_start, length, seq_id, t_start): matches that lie in no longer match's part of the query: each
     position's longest ones, where they are no shorter than at the position before."""
     q = guard(queries, panel, on_unknown)
     w = Window.partitionBy("query_id").orderBy("pos")
-    stats = matching_statistics(q, panel, probes, "ignore").withColumn("before", F.lag("m").over(w))
+    stats = matching_statistics(q, panel, probes, "ignore", others).withColumn("before", F.lag("m").over(w))
     kept = stats.filter((F.col("m") > 0) & (F.col("before").isNull() | (F.col("m") >= F.col("before")))).select("query_id", "pos", "m")
-    found = long_matches(q, panel, probes + 1, on_unknown="ignore").join(kept.select("query_id", F.col("pos").alias("q_start"), F.col("m").alias("length")), ["query_id", "q_start", "length"], "left_semi")
+    found = long_matches(q, panel, probes + 1, on_unknown="ignore", residual=OTHERS if others else None).join(kept.select("query_id", F.col("pos").alias("q_start"), F.col("m").alias("length")), ["query_id", "q_start", "length"], "left_semi")
     on = ["n", "g0", "g1"]
     asked = names_up_to(q, probes, "query_id").join(kept.withColumnRenamed("m", "n"), ["query_id", "pos", "n"], "left_semi").select("query_id", F.col("pos").alias("q_start"), *on)
     rows = asked.join(names_up_to(panel.positions, probes).select("seq_id", F.col("pos").alias("t_start"), *on), on)
+    rows = rows.filter(OTHERS) if others else rows
     return found.select(*ROW).unionByName(rows.select("query_id", "q_start", F.col("n").alias("length"), "seq_id", "t_start"))
 
 

@@ -140,6 +140,50 @@ def matching_stats_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.matching_statistics_end(q, t, probes=6)
 
 
+#: The same with each query against all sequences but its own.
+def whole(panel: Panel, every: int = 20) -> tuple[DataFrame, Panel]:
+    return panel.where(F.col("seq_id") % every == 0).as_queries(), panel
+
+
+def islands_whole(source: str = EVENTS, every: int = 20) -> str:
+    return f"WITH {source}, q AS (SELECT seq_id AS query_id, pos, node FROM pos WHERE seq_id % {every} = 0), t AS (SELECT * FROM pos), " + ISLANDS.format(on=" AND t.seq_id <> q.query_id")
+
+
+@query("long_matches_events_whole", ORACLES["long_matches_events"].replace(islands(10), islands_whole()))
+def long_matches_events_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.long_matches(*whole(events(spark, sf_dir)), 6, residual=matches.OTHERS)
+
+
+@query("long_matches_grams_whole", ORACLES["long_matches_grams"].replace(islands(10), islands_whole()))
+def long_matches_grams_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.long_matches(*whole(events(spark, sf_dir)), 7, strategy="grams", residual=matches.OTHERS)
+
+
+@query("long_matches_orders_whole", ORACLES["long_matches_orders"].replace(islands(50, ORDERS), islands_whole(ORDERS)))
+def long_matches_orders_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.long_matches(*whole(orders(spark, sf_dir)), 5, residual=matches.OTHERS)
+
+
+@query("set_maximal_events_whole", ORACLES["set_maximal_events"].replace(islands(10), islands_whole()))
+def set_maximal_events_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.set_maximal_matches(*whole(events(spark, sf_dir)), probes=7, others=True)
+
+
+@query("set_maximal_ids_bag_whole", ORACLES["set_maximal_ids_bag"].replace(islands(10), islands_whole()))
+def set_maximal_ids_bag_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.without_places(set_maximal_events_whole(spark, sf_dir))
+
+
+@query("matching_stats_start_whole", ORACLES["matching_stats_start"].replace(islands(10), islands_whole()))
+def matching_stats_start_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.matching_statistics(*whole(events(spark, sf_dir)), probes=6, others=True)
+
+
+@query("matching_stats_end_whole", ORACLES["matching_stats_end"].replace(islands(10), islands_whole()))
+def matching_stats_end_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.matching_statistics_end(*whole(events(spark, sf_dir)), probes=6, others=True)
+
+
 def with_unknown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Panel]:
     """Queries of which every other one has a symbol that no path has, at its fifth place."""
     q, t = split(events(spark, sf_dir), 10)

@@ -77,6 +77,22 @@ def test_unknown_nodes(spark, toy):
         matches.long_matches(q, toy, 0)
 
 
+def test_queries_within_the_panel(spark):
+    """A sequence of the panel as a query meets all others, other queries too, but not itself."""
+    r = random.Random(5)
+    paths = {s: [r.choice([2, 4, 6]) for _ in range(14)] for s in range(5)}
+    own, asked = panel(spark, paths), {s: paths[s] for s in (0, 2)}
+    q = queries(spark, asked)
+    found = matches.long_matches(q, own, 2, residual=matches.OTHERS).collect()
+    stats = matches.matching_statistics(q, own, probes=2, others=True).collect()
+    maximal = matches.set_maximal_matches(q, own, probes=2, others=True).collect()
+    for i, x in asked.items():
+        rest = {s: p for s, p in paths.items() if s != i}
+        assert sorted((f.q_start, f.length, f.seq_id, f.t_start) for f in found if f.query_id == i) == brute.long_matches(x, rest, 2)
+        assert [f.m for f in sorted(stats, key=lambda f: f.pos) if f.query_id == i] == brute.statistics(x, rest)
+        assert sorted((f.q_start, f.length, f.seq_id, f.t_start) for f in maximal if f.query_id == i) == brute.set_maximal(x, rest)
+
+
 def test_names_are_verified_and_empty_input(spark, toy):
     q = queries(spark, {0: brute.QUERY})
     found = matches.long_matches(q, toy, 4)
