@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bitslice, bpe, jaccard, media, packing, quality, secrets, suffix_array, suffix_tree, warc
 from .common import table
 from .oracles import ORACLES
+from .storage import stash
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer"]
 
@@ -59,7 +60,7 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read(warc.archives(table(spark, sf_dir, "pages"))).drop("payload")
+    return warc.read(stash(warc.archives(table(spark, sf_dir, "pages")), "archives", keep=True)).drop("payload")
 
 
 def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
