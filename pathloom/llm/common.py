@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between Spark and Python, about: what a task holds of its input at once.
+BATCH_BYTES = 4 << 20
+#: Words whose hashes a Python worker remembers, and the longest of them.
+MEMO, LONGEST = 200_000, 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session sends rows to Python in batches of BATCH_BYTES, unless it has a smaller size set."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name, None)
+    if not held or not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False) -> DataFrame:
     """(doc_id long, text): every row of docs, null texts as empty ones. Other columns, whatever their names, are left out."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text.cast("binary") if as_bytes else text).alias("text"))
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), (text.cast("binary") if as_bytes else text).alias("text")))
 
 
-def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 10_000) -> DataFrame:
+def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
     """mapInArrow by one function of a batch of so many rows at most; it may return None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,7 +44,7 @@ def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch
                 if (out := of_batch(b.slice(k, rows))) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def batch(**columns: pa.Array) -> pa.RecordBatch:
@@ -37,3 +53,21 @@ def batch(**columns: pa.Array) -> pa.RecordBatch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Hashes(dict):
+    """64-bit hashes of words; those of short words are remembered, within a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
+        return h
+
+
+@lru_cache(maxsize=1)
+def hashes() -> Hashes:
+    """One for each Python worker."""
+    return Hashes()

@@ -19,17 +19,16 @@ Texts that are equal are one node; a node is the MD5 of its text.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows, partitions, texts
+from .common import batch, hashes, map_rows, partitions, texts
 from .components import components
 from .sieve import sieve
 from .storage import scratch, stash
@@ -47,21 +46,6 @@ MEMO = 400_000
 MEMBERS, COLUMNS = 512, 4096
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = h
-        return h
-
-
-@lru_cache(maxsize=1)
-def hashes() -> _Hashes:
-    return _Hashes()
-
-
 def all_grams(text: bytes, n: int) -> np.ndarray:
     """Hashes of the n-grams of lower-cased words; of fewer words, one of the whole sequence; of none, none."""
     found = WORD.findall(text.translate(LOWER))

@@ -56,7 +56,8 @@ def op7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array.digests(table(spark, sf_dir, "documents"))
+    found = suffix_array.digests(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_bytes", found["n_bytes"] - found["n_removed"])
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Windows that occur more than once: the part that the two substring operators share.
 
-A window is `width` consecutive symbols of one text. Its anchor is the leftmost of its `gram`-symbol grams that have the
-smallest hash, so equal windows have equal anchors at equal places, and neighbouring windows mostly share theirs: a run
-is a stretch of window starts with one anchor. Three steps leave few windows to compare one by one, and lose none:
-
-1. Runs are grouped by anchor. A group of one run holds no repeated window.
-2. The runs of a group are compared as a whole (all symbols that their windows cover). If all are alike, every window of
-   theirs repeats. Alike runs are one class from here on, with a weight.
-3. Only where a group has several classes, the windows of one run of each class are compared, by the operator's method.
-   These runs are written out with the text that they cover, so the corpus isn't needed for that.
-
-Symbols are 64-bit hashes. Names of grams double in length: a name of 2n symbols is a mix of two names of n. Names are
-compared only between runs with the same anchor, so two 64-bit names must collide at once to mislead.
+A window is `width` consecutive symbols of one text. Its anchor is the smallest hash among its `gram`-symbol grams, so
+equal windows have equal anchors, and neighbouring windows mostly share theirs: a run is a stretch of windows with one
+anchor, as long as the windows in it still overlap. This rules windows out, and deals the others to tasks:
+
+1. Each distinct text is looked at once, with the number of rows that have it as its weight.
+2. Runs are counted by anchor. An anchor of one run, of weight one, has no repeated window if the run holds it once.
+3. Runs of one anchor that cover the same symbols are one class, which has the sum of their weights.
+4. Each class is written out with the text that it covers, and the operator's own method compares the classes' windows,
+   symbol by symbol. A class of weight two or more stands for so many windows at each of its places.
+
+Symbols are 64-bit hashes. Names of grams double in length: a name of 2n symbols is a mix of two names of n. Names only
+tell which windows need not be compared, but in one place: that runs of one anchor are of one class is told by their
+64-bit names. That two different ones among n runs of an anchor have one has a chance of about n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -31,10 +32,8 @@ from .storage import scratch, stash
 U = np.uint64
 #: Odd multipliers of the mixing steps.
 M1, M2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-#: A key is a symbol place in the lower bits below the upper bits of a hash.
-PLACE = 24
 #: Symbols that are handled at once; longer texts are cut into overlapping parts.
-PART = 1 << 18
+PART = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -44,7 +43,7 @@ class Shape:
 
     @property
     def span(self) -> int:
-        """Grams in a window."""
+        """Grams in a window, and windows in a run at most."""
         return self.width - self.gram + 1
 
     @property
@@ -84,36 +83,48 @@ def cover(power: np.ndarray, at: np.ndarray, length: np.ndarray, p: int) -> np.n
     return mix(x, length.astype(U))
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches of so many numbers from each first on, one after the other: which stretch, and the number."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]
+
+
+def slide(x: np.ndarray, n: int, of) -> np.ndarray:
+    """of (np.minimum, np.maximum) of each n neighbours"""
+    k = 1
+    while 2 * k <= n:
+        x = of(x[:-k], x[k:])
+        k *= 2
+    return of(x[: len(x) - (n - k)], x[n - k :]) if k < n else x
+
+
 def runs(symbols: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """Of texts that lie one after the other in symbols (bounds: where they begin, and the end): for each run, its text's
-    number, its first window's start, number of windows, the anchor's place after the start, its name, and the name of
-    what the run covers."""
-    w, k, p = shape.width, shape.gram, shape.power
+    number, its first window's start, number of windows, the anchor, the name of what the run covers, and whether it may
+    hold the anchor more than once."""
+    w, p = shape.width, shape.power
     none = np.zeros(0, np.int64)
-    if len(symbols) < w or len(symbols) >= 1 << PLACE:
-        if len(symbols) >= 1 << PLACE:
-            raise ValueError("too many symbols at once")
-        return none, none, none, none, none.astype(U), none.astype(U)
-    gram, power = names(symbols, k, p)
-    low = (gram >> U(PLACE) << U(PLACE)) | np.arange(len(gram), dtype=U)
-    n, least = 1, low
-    while 2 * n <= shape.span:
-        least = np.minimum(least[:-n], least[n:])
-        n *= 2
-    if n < shape.span:
-        least = np.minimum(least[: len(least) - (shape.span - n)], least[shape.span - n :])
     sizes = np.diff(bounds)
     ok = np.flatnonzero(sizes >= w)
     if not len(ok):
-        return none, none, none, none, none.astype(U), none.astype(U)
-    starts = np.concatenate([np.arange(bounds[i], bounds[i + 1] - w + 1) for i in ok])
-    place = (least[starts] & U((1 << PLACE) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(starts) != 1)]))
-    count = np.diff(np.concatenate([first, [len(starts)]]))
-    at, anchor = starts[first], place[first]
-    whole = mix(cover(power, at, count + w - 1, p), (anchor - at).astype(U))
+        return none, none, none, none.astype(U), none.astype(U), none.astype(bool)
+    gram, power = names(symbols, shape.gram, p)
+    least = slide(gram, shape.span, np.minimum)
+    edge = np.zeros(shape.span - 1, U)
+    some = np.flatnonzero(gram == slide(np.concatenate([edge, least, edge]), shape.span, np.maximum))  # grams that are anchors
+    twice = np.concatenate([[0], np.cumsum(gram[some[1:]] == gram[some[:-1]]), [0]])  # between two places of a run's anchor lies no other
+    _, starts = ranges(bounds[ok], sizes[ok] - w + 1)
+    anchor = least[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1)
+    first = np.flatnonzero(new)
+    since = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
+    first = np.flatnonzero(since % shape.span == 0)
+    count = np.diff(np.append(first, len(starts)))
+    at = starts[first]
     text = np.searchsorted(bounds, at, "right") - 1
-    return text, at - bounds[text], count, anchor - at, mix(gram[anchor], gram[anchor]), whole
+    low, high = np.searchsorted(some, at), np.searchsorted(some, at + count - 1 + shape.span) - 1
+    return text, at - bounds[text], count, anchor[first], cover(power, at, count + w - 1, p), twice[high] > twice[low]
 
 
 def parts(arrays: Iterator[np.ndarray], width: int) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
@@ -140,20 +151,21 @@ def parts(arrays: Iterator[np.ndarray], width: int) -> Iterator[tuple[list[tuple
         yield done()
 
 
-Symbols = Callable[[bytes], np.ndarray]
-
-
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-Cut = Callable[[bytes, list[tuple[int, int]]], list[bytes]]
+Symbols = Callable[[bytes], np.ndarray]
+#: Gives stretches (starts, lengths) of a text's symbols as texts of their own.
+Cut = Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]
+#: What compare functions return: stretches of repeated windows, from one symbol to another, counted from their run's start.
+FOUND = "run long, s int, e int"
 
 
 @dataclass(frozen=True)
 class Found:
     """clean: (doc_id, text) of rows without a repeated window. Of the others, rows: (doc_id, key), and texts: (key, text,
-    stretches) of the distinct texts, where stretches (null if none) are for covered(). may: whether a key is of these texts."""
+    gone) of the distinct texts, where gone (null if none) is for covered(). may: whether a key is of these texts."""
 
     clean: DataFrame
     rows: DataFrame
@@ -162,78 +174,127 @@ class Found:
 
 
 def find(docs: DataFrame, symbols: Symbols, cut: Cut, shape: Shape, compare: Callable[[DataFrame], DataFrame]) -> Found:
-    """docs: (doc_id, text binary). cut: gives stretches (start, length) of a text's symbols as texts of their own.
-
-    compare: gets runs that must be compared window by window, as (run long, anchor, weight, shift, windows, region): a
-    number, its anchor's name, how many runs are like it, the anchor's place after the run's start, how many windows it
-    has, and the text of all that these cover. It returns (run, places array<int>): for each run the windows, counted
-    from 0, that runs of at least 2 in weight have. Windows are only equal if anchor and place before it are."""
+    """docs: (doc_id, text binary). compare: gets classes of runs as (run long, anchor long, weight long, windows int,
+    region binary): a number, the anchor, how many runs they are, how many windows a run has, and the text of all that
+    these cover. It returns FOUND for the windows that occur twice or more, in weight. Equal windows have equal anchors."""
     own = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = lambda y: pa.array(y.astype(np.int32))
         for b in batches:
-            keys = b.column(0)
+            keys, weights = b.column(0), b.column(2)
             for ids, x, bounds in parts((symbols(t.as_py()) for t in b.column(1)), shape.width):
-                text, at, count, shift, anchor, whole = runs(x, bounds, shape)
+                text, at, count, anchor, whole, inner = runs(x, bounds, shape)
                 if len(text):
                     which, offset = np.array(ids).T
-                    small = lambda y: pa.array(y.astype(np.int32))
-                    yield batch(key=keys.take(pa.array(which[text])), start=small(at + offset[text]), windows=small(count), shift=small(shift), anchor=signed(anchor), whole=signed(whole))
-
-    def distinct(of: DataFrame) -> DataFrame:
-        """(key, text): texts whose key may be in `of`, each once."""
-        return own.filter(sieve(of, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text"))
+                    row = pa.array(which[text])
+                    yield batch(key=keys.take(row), weight=weights.take(row), start=small(at + offset[text]), windows=small(count), anchor=signed(anchor), whole=signed(whole), inner=pa.array(inner))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, asked in zip(b.column(0), b.column(1), strict=True):
-                start, windows, anchor, whole, weight, shift = (np.asarray(asked.values.field(k)) for k in range(6))
-                region = cut(text.as_py(), list(zip(start.tolist(), (windows + shape.width - 1).tolist(), strict=True)))
-                yield batch(anchor=pa.array(anchor), whole=pa.array(whole), weight=pa.array(weight), shift=pa.array(shift), windows=pa.array(windows), region=pa.array(region, pa.binary()))
+                start, windows, anchor, whole, weight = (np.asarray(asked.values.field(k)) for k in range(5))
+                for k in range(0, len(start), 2000):
+                    some = slice(k, k + 2000)
+                    region = cut(text.as_py(), start[some], windows[some] + (shape.width - 1))
+                    yield batch(anchor=pa.array(anchor[some]), whole=pa.array(whole[some]), weight=pa.array(weight[some]), windows=pa.array(windows[some]), region=pa.array(region, pa.binary()))
 
     with scratch():
-        found = stash(own.select("key", "text").mapInArrow(anchors, "key binary, start int, windows int, shift int, anchor long, whole long"), "runs")
-        groups = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") == F.max("whole")).alias("alike")).filter("n > 1").drop("n")
-        groups = stash(groups, "anchors")
-        again = stash(found.filter(sieve(groups, "anchor")(F.col("anchor"))).join(groups, "anchor"), "again")
-        mixed = again.filter("NOT alike")
-        one_each = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("key", "start", "windows", "shift")).alias("run"))
-        one_each = stash(one_each.select("anchor", "whole", "weight", "run.*"), "classes")
-        todo = one_each.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "whole", "weight", "shift")).alias("runs"))
-
-        rows = distinct(todo).join(todo, "key").select("text", "runs")
-        rows = rows.mapInArrow(regions, "anchor long, whole long, weight long, shift int, windows int, region binary")
+        copied = stash(own.groupBy("key").agg(F.count("*").alias("weight")).filter("weight > 1"), "copied")
+        has_copies = sieve(copied, "key")
+        marked = own.withColumn("copied", has_copies(F.col("key")))
+        several = marked.filter("copied").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("weight"))
+        several = stash(several, "several", keep=True)  # copies are shuffled once, one of each map task at most
+        distinct = marked.filter("NOT copied").select("key", "text", F.lit(1).cast("long").alias("weight")).unionByName(several)
+        found = stash(distinct.select("key", "text", "weight").mapInArrow(anchors, "key binary, weight long, start int, windows int, anchor long, whole long, inner boolean"), "runs")
+        groups = stash(found.groupBy("anchor").agg(F.sum("weight").alias("n"), F.bool_or("inner").alias("inner")).filter("n > 1 OR inner").select("anchor"), "anchors")
+        again = stash(found.filter(sieve(groups, "anchor")(F.col("anchor"))).join(groups, "anchor", "left_semi"), "again")
+        classes = again.groupBy("anchor", "whole").agg(F.sum("weight").alias("weight"), F.min(F.struct("key", "start", "windows")).alias("run"))
+        todo = classes.select("anchor", "whole", "weight", "run.*").groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "whole", "weight")).alias("runs"))
+        todo = stash(todo, "classes")
+        rows = distinct.filter(sieve(todo, "key")(F.col("key"))).select("key", "text").join(todo, "key").select("text", "runs")
+        rows = rows.mapInArrow(regions, "anchor long, whole long, weight long, windows int, region binary")
         listed = stash(rows.withColumn("run", F.monotonically_increasing_id()), "regions")  # numbers are fixed once written
-        places = listed.select("run", "anchor", "whole").join(compare(listed.drop("whole")), "run")
-        single = again.filter("alike").select("key", "start", "windows", F.lit(None).cast("array<int>").alias("places"))
-        some = mixed.join(places.drop("run"), ["anchor", "whole"]).select("key", "start", F.lit(0).alias("windows"), "places")
-        stretches = stash(single.unionByName(some).groupBy("key").agg(F.collect_list(F.struct("start", "windows", "places")).alias("stretches")), "stretches", keep=True)
-    may = sieve(stretches, "key")
+        places = listed.select("run", "anchor", "whole").join(compare(listed.drop("whole")), "run").drop("run")
+        gone = again.join(places, ["anchor", "whole"]).groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))).alias("gone"))
+        gone = stash(gone, "gone", keep=True)
+    may = sieve(gone, "key")
     marked = own.withColumn("hit", may(F.col("key")))
-    return Found(marked.filter("NOT hit").select("doc_id", "text"), marked.filter("hit").select("doc_id", "key"), distinct(stretches).join(stretches, "key", "left").select("key", "text", "stretches"), may)
+    once = marked.filter("hit").withColumn("copied", has_copies(F.col("key")))
+    texts = once.filter("NOT copied").select("key", "text").unionByName(several.select("key", "text")).join(gone, "key", "left").select("key", "text", "gone")
+    return Found(marked.filter("NOT hit").select("doc_id", "text"), marked.filter("hit").select("doc_id", "key"), texts, may)
 
 
-def windows_of(shift: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the windows of runs, one after the other: the number of the run, and the place in it."""
-    which = np.repeat(np.arange(len(windows)), windows)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+def lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """(s, e) of each row of an Arrow column of `gone`; None for null."""
+    for x in column:
+        yield None if x.values is None else (np.asarray(x.values.field(0)), np.asarray(x.values.field(1)))
 
 
-def covered(n: int, stretches: list[dict] | None, width: int) -> np.ndarray:
+def covered(n: int, gone: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
     """Which of a text's n symbols lie in a repeated window."""
-    edges = np.zeros(n + 1, np.int32)
-    for x in stretches or ():
-        if x["places"] is None:
-            edges[x["start"]] += 1
-            edges[x["start"] + x["windows"] - 1 + width] -= 1
-        else:
-            at = x["start"] + np.array(x["places"])
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + width, -1)
+    if gone is None:
+        return np.zeros(n, bool)
+    edges = np.bincount(gone[0], minlength=n + 1).astype(np.int32)
+    edges -= np.bincount(gone[1], minlength=n + 1).astype(np.int32)
     return np.cumsum(edges[:n]) > 0
 
 
-def spans(mask: np.ndarray) -> list[tuple[int, int]]:
-    """The maximal stretches of True, end exclusive."""
+def stretches(place: np.ndarray, run: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """FOUND (number of the run, s, e) for repeated windows, in order of run and place."""
+    if not len(place):
+        return run, place, place
+    new = np.ones(len(place), bool)
+    new[1:] = (np.diff(run) != 0) | (np.diff(place) != 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place)) - 1
+    return run[first], place[first], place[last] + width
+
+
+def spans(mask: np.ndarray) -> np.ndarray:
+    """(starts, ends) of the maximal stretches of True, end exclusive."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    return edge.reshape(-1, 2).T
+
+
+def deal(listed: DataFrame, symbols: Symbols, cut: Cut, width: int, prefixes: tuple[int, ...], limit: int, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """FOUND of classes (see find) from work(), which gets the suffixes of a task as (anchor, run, place, weight, windows,
+    region): place is that of the region's first window in its run.
+
+    Classes are dealt to tasks by their anchor, many anchors to one task. An anchor of more than `limit` windows is split:
+    its windows are written out one by one, and dealt by a prefix of theirs; those whose prefix still has too many, by the
+    next longer one. Too many that are alike to the end aren't sorted, but counted."""
+    columns = ["anchor", "run", "place", "weight", "windows", "region"]
+    own = listed.withColumn("place", F.lit(0)).select(*columns)
+    sizes = own.groupBy("anchor").agg(F.sum("windows").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, -(-4 * total // limit))
+    task = lambda *by: F.pmod(F.xxhash64(*by), F.lit(tasks)).alias("task")
+    heavy = stash(sizes.filter(F.col("n") > limit).select("anchor"), "heavy")
+    if heavy.isEmpty():
+        return own.select(task("anchor"), *columns).groupBy("task").applyInArrow(work, FOUND)
+    lengths = (*prefixes, width)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                region, n = row.column(5)[0].as_py(), row.column(4)[0].as_py()
+                x = symbols(region)
+                found = names(x, *lengths)
+                for low in range(0, n, 500):
+                    at = np.arange(low, min(n, low + 500))
+                    one = pa.array(np.zeros(len(at), np.int64))
+                    texts = cut(region, at, np.full(len(at), width))
+                    yield batch(anchor=row.column(0).take(one), run=row.column(1).take(one), place=pa.array(at.astype(np.int32)), weight=row.column(3).take(one), windows=pa.array(np.ones(len(at), np.int32)), region=pa.array(texts, pa.binary()), **{f"p{i}": signed(f[at]) for i, f in enumerate(found)})
+
+    kinds = "anchor long, run long, place int, weight long, windows int, region binary, " + ", ".join(f"p{i} long" for i in range(len(lengths)))
+    left = stash(own.join(heavy, "anchor").select(*columns).mapInArrow(windows, kinds), "heavy")
+    dealt = own.join(heavy, "anchor", "left_anti").select(task("anchor"), *columns)
+    for i in range(len(lengths)):
+        many = stash(left.groupBy("anchor", f"p{i}").count().filter(F.col("count") > limit).drop("count"), "many")
+        dealt = dealt.unionByName(left.join(many, ["anchor", f"p{i}"], "left_anti").select(task("anchor", F.lit(i), f"p{i}"), *columns))
+        left = stash(left.join(many, ["anchor", f"p{i}"], "left_semi"), "left")
+    alike = left.groupBy("anchor", "region").agg(F.sum("weight").alias("n")).filter("n > 1").drop("n")
+    alike = left.join(alike, ["anchor", "region"], "left_semi").select("run", F.col("place").alias("s"), (F.col("place") + width).alias("e"))
+    return dealt.groupBy("task").applyInArrow(work, FOUND).unionByName(alike)

@@ -1,10 +1,12 @@
 """Exact substring dedup over bytes: suffixes sorted by digits, most significant first, and only as deep as a window.
 
 Only the first WIDTH bytes of a suffix decide whether the window that it begins repeats, so suffixes are put in order
-through that depth alone: each pass deals them by their next digit, and a group of one is done. The first digit is the
-window's anchor (its least gram, and where it lies), which deals out whole runs of neighbouring suffixes at once
-(repeats.py). The runs that this leaves are dealt by what small blocks of suffixes share, then by what a block covers,
-and what is left by whole windows. The groups that are equal after the last pass are exactly the repeated windows.
+through that depth alone. They go to tasks by the anchor of their window (repeats.py), whole runs of neighbouring suffixes
+at once, so a task's first buckets are its anchors. Each pass puts the suffixes of a bucket in order of their next digit of
+DIGIT bytes and makes a bucket of each value; a bucket of one suffix is done. The buckets that are left after the last
+pass are exactly the repeated windows. A digit's order is found by doubling: of 2n bytes, from the ranks of n.
+
+The suffixes of an anchor that has too many for a task are dealt to tasks by their first digits, one more at a time.
 """
 
 from __future__ import annotations
@@ -17,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows, texts
-from .repeats import M1, M2, Found, Shape, cover, covered, find, mix, names, signed, spans, windows_of
-from .sieve import sieve
-from .storage import stash
+from .common import batch, map_rows, small_batches, texts
+from .repeats import M1, M2, Found, Shape, covered, deal, find, lists, ranges, spans, stretches
 
-WIDTH, GRAM, BLOCK = 400, 64, 16
-#: Runs whose symbols are held at once.
-AT_ONCE = 256
+WIDTH, GRAM, DIGIT = 400, 64, 64
+#: Suffixes that a task may hold.
+LIMIT = 400_000
 #: A hash of each byte.
 BYTES = (np.arange(1, 257, dtype=np.uint64) * M1 ^ (np.arange(1, 257, dtype=np.uint64) * M2 >> np.uint64(31))) * M2
 
@@ -33,77 +33,70 @@ def symbols(text: bytes) -> np.ndarray:
     return BYTES[np.frombuffer(text, np.uint8)]
 
 
-def cut(text: bytes, stretches: list[tuple[int, int]]) -> list[bytes]:
-    return [text[s : s + n] for s, n in stretches]
-
-
-def joined(regions: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the regions, one after the other, and where each begins."""
-    return symbols(b"".join(regions)), np.cumsum([0, *map(len, regions)])[:-1]
-
-
-def block_digits(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
-    """A row for each block of suffixes of each run: those whose anchor lies BLOCK * block to BLOCK * block + BLOCK - 1
-    after their start. core: the name of what all windows of the full block share; cover: of what the run's windows in
-    the block cover together, and which they are."""
-    shift, windows = (np.asarray(b.column(b.schema.get_field_index(c))).astype(np.int64) for c in ("shift", "windows"))
-    x, base = joined(b.column(b.schema.get_field_index("region")).to_pylist())
-    low, high = (shift - windows + 1) // BLOCK, shift // BLOCK
-    which, k = windows_of(shift, high - low + 1)
-    block = low[which] + k
-    anchor = base[which] + shift[which]
-    near = np.maximum(block * BLOCK, (shift - windows + 1)[which])  # of the run's windows in the block, the last
-    far = np.minimum(block * BLOCK + BLOCK - 1, shift[which])  # and the first
-    core = width - BLOCK + 1
-    p = 1 << (core.bit_length() - 1)
-    names_core, power = names(x, core, p)
-    whole = mix(mix(cover(power, anchor - far, far - near + width, p), far.astype(np.uint64)), near.astype(np.uint64))
-    take = lambda c: b.column(b.schema.get_field_index(c)).take(pa.array(which))
-    return batch(run=take("run"), anchor=take("anchor"), weight=take("weight"), block=pa.array(block.astype(np.int32)), core=signed(names_core[anchor - block * BLOCK]), cover=signed(whole))
-
-
-def window_digits(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
-    """A row for each suffix in the asked block of a run, with its anchor's place after its start, and its window's name."""
-    shift, windows, block = (np.asarray(b.column(b.schema.get_field_index(c))).astype(np.int64) for c in ("shift", "windows", "block"))
-    x, base = joined(b.column(b.schema.get_field_index("region")).to_pylist())
-    near, far = np.maximum(block * BLOCK, shift - windows + 1), np.minimum(block * BLOCK + BLOCK - 1, shift)
-    which, k = windows_of(shift, far - near + 1)
-    place = near[which] + k
-    window = names(x, width)[0][base[which] + shift[which] - place]
-    take = lambda c: b.column(b.schema.get_field_index(c)).take(pa.array(which))
-    return batch(anchor=take("anchor"), cover=take("cover"), block=take("block"), weight=take("weight"), place=pa.array(place.astype(np.int32)), window=signed(window))
-
-
-def msd_passes(listed: DataFrame, width: int) -> DataFrame:
-    """(run, places): which suffixes of the runs (see repeats.find) have an equal one, through `width` bytes. Passes by the
-    digit that the suffixes of a block share, by what the block covers, and by the window; groups of one, in weight, drop
-    out after each pass. All counts are partial sums before they are shuffled."""
-    of = listed.select("run", "anchor", "weight", "shift", "windows", "region")
-    blocks = map_rows(of, lambda b: block_digits(b, width), "run long, anchor long, weight long, block int, core long, cover long", AT_ONCE)
-    blocks = stash(blocks, "blocks")
-    by = ["anchor", "block", "core"]
-    groups = blocks.groupBy(*by).agg(F.sum("weight").alias("size")).filter("size > 1").drop("size")
-    left = stash(blocks.filter(sieve(groups, *by)(*map(F.col, by))).join(groups, by, "left_semi"), "left")
-    alike = left.groupBy(*by, "cover").agg(F.sum("weight").alias("weight"), F.min("run").alias("run"))
-    alike = stash(alike, "alike")
-    several = alike.groupBy(*by).count().filter("count > 1").drop("count")
-    asked = alike.join(several, by, "left_semi").select("run", "block", "cover", "weight")
-    regions = of.drop("weight").join(asked, "run").select("anchor", "shift", "windows", "region", "block", "cover", "weight")
-    suffixes = map_rows(regions, lambda b: window_digits(b, width), "anchor long, cover long, block int, weight long, place int, window long", AT_ONCE)
-    suffixes = stash(suffixes, "suffixes")
-    equal = suffixes.groupBy("anchor", "place", "window").agg(F.sum("weight").alias("size")).filter("size > 1").drop("size")
-    some = suffixes.join(equal, ["anchor", "place", "window"], "left_semi").groupBy("anchor", "block", "cover").agg(F.collect_list("place").alias("behind"))
-    first = F.col("block") * BLOCK
-    every = alike.filter("weight > 1").select("anchor", "block", "cover", F.sequence(first, first + BLOCK - 1).alias("behind"))
-    found = left.join(every.unionByName(some), ["anchor", "block", "cover"]).groupBy("run").agg(F.flatten(F.collect_list("behind")).alias("behind"))
-    places = F.array_distinct(F.transform("behind", lambda d: F.col("shift") - d))
-    return found.join(of.select("run", "shift", "windows"), "run").select("run", F.filter(places, lambda p: (p >= 0) & (p < F.col("windows"))).alias("places"))
-
-
-def repeated_bytes(docs: DataFrame, width: int, gram: int, id_col: str, text_col: str) -> Found:
-    if width < 2 * BLOCK or gram > width:
+def cut(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    return [text[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+def _rank(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+
+def digits(x: np.ndarray, size: int) -> np.ndarray:
+    """The ranks of all stretches of `size` bytes, a power of two, among one another."""
+    rank, n = x.astype(np.int64), 1
+    while n < size:
+        if 2 * n <= 4:  # still small enough as they are: numbers of two or four bytes
+            rank = (rank[:-n] << 8 * n) | rank[n:]
+        else:
+            rank = rank if n > 4 else _rank(rank)
+            rank = _rank(rank[:-n] * (int(rank.max(initial=0)) + 1) + rank[n:])
+        n *= 2
+    return rank
+
+
+def msd_passes(x: np.ndarray, at: np.ndarray, bucket: np.ndarray, weight: np.ndarray, width: int, digit: int = DIGIT) -> np.ndarray:
+    """Which of the suffixes that begin at `at` in the bytes x share their first `width` bytes with another suffix of their
+    bucket, or stand for several suffixes themselves: numbers of suffixes, in the order of bucket and bytes."""
+    while digit > width:
+        digit //= 2
+    rank = digits(x, digit)
+    some, bucket = np.arange(len(at)), _rank(bucket)
+    for offset in [*range(0, width - digit, digit), width - digit]:
+        if not len(some):
+            break
+        own = rank[at[some] + offset]
+        bucket = _rank(bucket * (int(own.max()) + 1) + own)
+        left = np.bincount(bucket, weight[some])[bucket] > 1
+        some, bucket = some[left], bucket[left]
+    return some[np.argsort(bucket, kind="stable")]
+
+
+def order(table: pa.Table, width: int, digit: int = DIGIT) -> pa.Table:
+    """FOUND (see repeats.py) of a task's suffixes."""
+    run, place, weight, windows = (table.column(c).to_numpy() for c in ("run", "place", "weight", "windows"))
+    anchor = _rank(table.column("anchor").to_numpy())
+    alone = (np.bincount(anchor)[anchor] == 1) & (weight > 1)  # of a bucket of one class, each suffix stands for several
+    region = table.column("region").filter(pa.array(~alone)).to_pylist()
+    x = np.frombuffer(b"".join(region), np.uint8)
+    base = np.zeros(len(run), np.int64)
+    base[~alone] = np.cumsum([0, *map(len, region)])[:-1]
+    which, at = ranges(base, np.where(alone, 0, windows))
+    found = np.sort(msd_passes(x, at, anchor[which], weight[which], width, digit))
+    k, s, e = stretches((at - base[which] + place[which])[found], which[found], width)
+    whole = np.flatnonzero(alone)
+    k, s, e = np.append(k, whole), np.append(s, place[whole]), np.append(e, place[whole] + windows[whole] - 1 + width)
+    return pa.table({"run": pa.array(run[k]), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
+
+
+def sorted_suffixes(listed: DataFrame, width: int, limit: int = LIMIT, digit: int = DIGIT) -> DataFrame:
+    """FOUND of classes of runs (see repeats.find)."""
+    return deal(listed, symbols, cut, width, tuple(range(digit, width, digit)), limit, lambda table: order(table, width, digit))
+
+
+def repeated_bytes(docs: DataFrame, width: int, gram: int, id_col: str, text_col: str, limit: int = LIMIT) -> Found:
+    if gram > width:
         raise ValueError("windows are too narrow")
-    return find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: msd_passes(x, width))
+    return find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: sorted_suffixes(x, width, limit))
 
 
 def whole(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -114,20 +107,20 @@ def whole(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(mask, lead), np.diff(np.append(lead, len(x))))
 
 
-def _all_rows(found: Found, run: Callable[[bytes, list[dict] | None], tuple], schema: str, kinds: tuple[pa.DataType, ...]) -> DataFrame:
-    """A row for each row of docs, from run(text, stretches)."""
+def _all_rows(found: Found, run: Callable[[bytes, tuple | None], tuple], schema: str, kinds: tuple[pa.DataType, ...]) -> DataFrame:
+    """A row for each row of docs, from run(text, gone)."""
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
-        stretches = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
-        out = zip(*map(run, b.column(1).to_pylist(), stretches), strict=True)
+        gone = lists(b.column(2)) if b.num_columns > 2 else [None] * b.num_rows
+        out = zip(*(run(t.as_py(), g) for t, g in zip(b.column(1), gone, strict=True)), strict=True)
         names_ = [b.schema.names[0], *(x.split()[0] for x in schema.split(", "))]
         return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names_)
 
-    clean = map_rows(found.clean, of, f"doc_id long, {schema}")
-    return clean.unionByName(found.rows.join(map_rows(found.texts, of, f"key binary, {schema}"), "key").drop("key"))
+    clean = map_rows(found.clean, of, f"doc_id long, {schema}", 200)
+    return clean.unionByName(found.rows.join(map_rows(found.texts, of, f"key binary, {schema}", 200), "key").drop("key"))
 
 
-def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row: its text in UTF-8 without the bytes that lie in a
     window of `width` bytes that also starts anywhere else, in the same text or another. All copies go, the first too.
     whole_characters: characters are kept that only in part would be removed, so that kept is UTF-8.
@@ -136,43 +129,46 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str =
     their doc_id, which may be null. Other columns don't matter; an empty table gives no rows. A text that many rows have
     is examined once."""
 
-    def run(text: bytes, stretches: list[dict] | None) -> tuple:
+    def run(text: bytes, gone: tuple | None) -> tuple:
         x = np.frombuffer(text, np.uint8)
-        mask = covered(len(x), stretches, width)
+        mask = covered(len(x), gone)
         mask = whole(x, mask) if whole_characters else mask
-        return len(x), int(mask.sum()), len(spans(mask)), x[~mask].tobytes()
+        return len(x), int(mask.sum()), spans(mask).shape[1], x[~mask].tobytes()
 
     long = pa.int64()
-    return _all_rows(repeated_bytes(docs, width, gram, id_col, text_col), run, "n_bytes long, n_removed long, n_spans long, kept binary", (long, long, long, pa.binary()))
+    return _all_rows(repeated_bytes(docs, width, gram, id_col, text_col, limit), run, "n_bytes long, n_removed long, n_spans long, kept binary", (long, long, long, pa.binary()))
 
 
 def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """remove(), with kept_sha256 for kept."""
 
-    def run(text: bytes, stretches: list[dict] | None) -> tuple:
-        mask = covered(len(text), stretches, width) if stretches else np.zeros(0, bool)
-        kept = np.frombuffer(text, np.uint8)[~mask] if stretches else text
-        return len(text), int(mask.sum()), len(spans(mask)), hashlib.sha256(kept).hexdigest()
+    def run(text: bytes, gone: tuple | None) -> tuple:
+        if gone is None:
+            return len(text), 0, 0, hashlib.sha256(text).hexdigest()
+        mask = covered(len(text), gone)
+        removed = int(mask.sum())
+        return len(text), removed, spans(mask).shape[1], hashlib.sha256(np.frombuffer(text, np.uint8)[~mask]).hexdigest()
 
     long = pa.int64()
     return _all_rows(repeated_bytes(docs, width, gram, id_col, text_col), run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", (long, long, long, pa.string()))
 
 
 def strip(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """docs, all rows and columns, with repeated bytes taken out of their texts at whole characters; null texts stay null.
-    length_col: gets the new length in characters, where a text has changed."""
+    """docs, all rows and columns, with repeated bytes taken out of their texts at whole characters; null texts stay null,
+    and rows that repeat are stripped alike. length_col: gets the new length in characters, where a text has changed. An
+    empty table stays empty; columns may have any names, `key`, `new` and `row` too, as long as no two are the same."""
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"))
-    found = repeated_bytes(docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), width, gram, "doc_id", "text")
+    found = repeated_bytes(small_batches(docs).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), width, gram, "doc_id", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         new = []
-        for t, stretches in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            x = np.frombuffer(t, np.uint8)
-            new.append(x[~whole(x, covered(len(x), stretches, width))].tobytes().decode())
+        for t, gone in zip(b.column(1), lists(b.column(2)), strict=True):
+            x = np.frombuffer(t.as_py(), np.uint8)
+            new.append(x[~whole(x, covered(len(x), gone))].tobytes().decode())
         return batch(key=b.column(0), new=pa.array(new, pa.string()))
 
-    cut_ = map_rows(found.texts, run, "key binary, new string")
+    cut_ = map_rows(found.texts, run, "key binary, new string", 200)
     hit = F.col("new").isNotNull() & F.col(f"row.`{text_col}`").isNotNull()
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.when(hit, F.col("new")).otherwise(F.col(f"row.`{text_col}`"))}
     if length_col:

@@ -1,52 +1,34 @@
 """Exact substring dedup over words: suffix trees of parts of the corpus that variable-length prefixes cut out.
 
-Suffixes that begin alike belong to one subtree. They are dealt to subtrees by prefixes: first by a short one; a prefix
-that too many suffixes share is made longer, step by step, until its suffixes fit the memory of a task, or, at the depth
-of a window, until they are all alike. Short of that, many prefixes share one task. A task sorts the suffixes of its
-prefixes and has the longest common prefix of each neighbour pair; that is the subtree, its inner nodes being the
-stretches of neighbours with a common prefix of at least some depth. Inner nodes as deep as a window are the maximal
-repeats, and their leaves are the windows to remove.
-
-Words are read in steps of the names of a few words at a time, and suffixes are only read to the depth of a window.
-Which suffixes need a tree at all is found by repeats.py.
+A suffix's prefix is its words up to the end of the anchor of its first window (repeats.py), so prefixes differ in length,
+and suffixes that share a window share their prefix. Prefixes go to tasks by their anchors, as many as fit the memory of
+a task, whole runs of neighbouring suffixes at once; the suffixes of an anchor that has too many are dealt by their first
+12 words, then 24, then a window. A task builds the tree of its suffixes, to the depth of a window: the suffixes in order, the
+longest common prefixes of neighbours, in words, and the inner nodes, which are the stretches of neighbours with a common
+prefix. Inner nodes as deep as a window are the maximal repeats, and their leaves are the windows to remove.
+
+Words are numbered in each task by themselves, not by hashes, so a tree is exact.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import batch, map_rows, partitions, texts
-from .repeats import Shape, covered, find, names, signed, windows_of
-from .storage import stash
+from .common import hashes, map_rows, texts
+from .repeats import Shape, covered, deal, find, lists, ranges, stretches
 
-WIDTH, GRAM, STEP = 35, 12, 12
+WIDTH, GRAM = 35, 12
 #: Suffixes that a task may hold.
 LIMIT = 200_000
 WORD = re.compile(rb"[^ \t-\r]+")
-MEMO = 400_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = h
-        return h
-
-
-@lru_cache(maxsize=1)
-def hashes() -> _Hashes:
-    return _Hashes()
 
 
 def words(text: bytes) -> list[bytes]:
@@ -58,99 +40,109 @@ def symbols(text: bytes) -> np.ndarray:
     return np.fromiter(map(hashes().__getitem__, found), np.uint64, len(found))
 
 
-def steps(width: int, step: int) -> tuple[tuple[int, int], ...]:
-    """Parts of a window, from left to right; the last may overlap the one before."""
-    return tuple((min(s, width - min(step, width)), min(s + step, width)) for s in range(0, width, step))
-
-
-def leaves(table: pa.Table, depth: int) -> np.ndarray:
-    """Rows that are leaves under an inner node at full depth, or that stand for several suffixes themselves."""
-    x = np.stack([np.asarray(table.column(f"d{i}").combine_chunks()) for i in range(depth)])
-    order = np.lexsort(x[::-1])
-    same = x[:, order[1:]] == x[:, order[:-1]]
-    common = np.where(same.all(0), depth, np.argmin(same, 0))  # steps that neighbours have in common
-    node = np.concatenate([[0], np.cumsum(common < depth)])  # neighbours below one node at full depth
-    weight = np.asarray(table.column("weight").combine_chunks())[order]
-    return order[np.bincount(node, weight)[node] >= 2]
-
-
-def cut(text: bytes, stretches: list[tuple[int, int]]) -> list[bytes]:
+def cut(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     found = words(text)
-    return [b" ".join(found[s : s + n]) for s, n in stretches]
-
-
-def suffixes(listed: DataFrame, width: int, parts: tuple[tuple[int, int], ...]) -> DataFrame:
-    """(run, place, weight, d0, d1, ...): each suffix that is to be placed, read through its first `width` words."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        each = [symbols(r) for r in b.column(2).to_pylist()]
-        windows = np.array([len(x) - width + 1 for x in each])
-        base = np.cumsum([0, *map(len, each)])[:-1]
-        which, place = windows_of(windows, windows)
-        at = base[which] + place
-        lengths = sorted({e - s for s, e in parts})
-        named = dict(zip(lengths, names(np.concatenate(each), *lengths), strict=True))
-        take = lambda k: b.column(k).take(pa.array(which))
-        return batch(run=take(0), place=pa.array(place.astype(np.int16)), weight=take(1), **{f"d{i}": signed(named[e - s][at + s]) for i, (s, e) in enumerate(parts)})
-
-    return map_rows(listed.select("run", "weight", "region"), run, "run long, place short, weight long, " + ", ".join(f"d{i} long" for i in range(len(parts))), 2000)
-
-
-def trees(listed: DataFrame, width: int, step: int, limit: int = LIMIT) -> DataFrame:
-    """(run, places): which suffixes of the runs (see repeats.find) share all of a window with another."""
-    parts = steps(width, step)
-    depth = len(parts)
-    d = [f"d{i}" for i in range(depth)]
-    left = suffixes(listed, width, parts)
-    total = listed.agg(F.sum("windows")).first()[0] or 0
-    dealt, alike = None, None
-    for k in range(1, depth + 1):
-        heavy = stash(left.groupBy(*d[:k]).count().filter(F.col("count") > limit).select(*d[:k]), "heavy")
-        none = heavy.isEmpty()
-        light = (left if none else left.join(heavy, d[:k], "left_anti")).withColumn("prefix", F.xxhash64(F.lit(k), *d[:k]))
-        dealt = light if dealt is None else dealt.unionByName(light)
-        if none:
-            break
-        left = stash(left.join(heavy, d[:k], "left_semi"), "heavy")
-    else:
-        alike = left  # too many suffixes for a task, but all the same: no tree is needed to tell
-
-    def grow(table: pa.Table) -> pa.Table:
-        return table.select(["run", "place"]).take(pa.array(leaves(table, depth)))
-
-    tasks = max(partitions(listed.sparkSession), -(-4 * total // limit))
-    dealt = dealt.select(F.pmod("prefix", F.lit(tasks)).alias("task"), "run", "place", "weight", *d)
-    found = dealt.groupBy("task").applyInArrow(grow, "run long, place short")
-    found = found if alike is None else found.unionByName(alike.select("run", "place"))
-    return found.groupBy("run").agg(F.collect_list(F.col("place").cast("int")).alias("places"))
-
-
-def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int = STEP, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for each row: its words, joined by a space, without those that lie in a window
-    of `width` words that also starts anywhere else, in the same text or another. All copies go, the first too. digest:
-    kept_sha256 instead of kept.
+    return [b" ".join(found[s : s + n]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A suffix tree to some depth: leaves (places of suffixes in the symbols) in order, and how many symbols each has in
+    common with the one before."""
+
+    leaves: np.ndarray
+    common: np.ndarray
+    depth: int
+
+    @classmethod
+    def of(cls, numbers: np.ndarray, suffixes: np.ndarray, depth: int) -> Tree:
+        """numbers: symbols as integers from 0 on; each suffix has `depth` of them at least."""
+        rank, n = {1: numbers.astype(np.int64)}, 1
+        while 2 * n <= depth:  # ranks of stretches of 2n symbols, from those of n
+            rank[2 * n] = _rank(rank[n][:-n], rank[n][n:])
+            n *= 2
+        last = rank[n][suffixes] if n == depth else _rank(rank[n][suffixes], rank[n][suffixes + depth - n])
+        order = np.argsort(last, kind="stable")
+        leaves = suffixes[order]
+        common = np.zeros(len(leaves), np.int64)
+        a, b = leaves[:-1], leaves[1:]
+        same = np.zeros(len(b), np.int64)
+        full = last[order][1:] == last[order][:-1]
+        for k in sorted(rank, reverse=True):
+            at = np.minimum(same, depth - k)  # the last steps may look at symbols once more
+            equal = rank[k][a + at] == rank[k][b + at]
+            same = np.where(equal, np.maximum(same, at + k), same)
+        common[1:] = np.where(full, depth, same)
+        return cls(leaves, common, depth)
+
+    def nodes(self, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Inner nodes by depth, from `least` on: (depth, first leaves, leaves after their last ones)."""
+        for depth in range(least, self.depth + 1):
+            inside = np.append(self.common >= depth, False)
+            inside[0] = False
+            edge = np.flatnonzero(np.diff(inside.astype(np.int8)))
+            first, last = edge[::2], edge[1::2] + 1  # common[k] is between leaves k - 1 and k
+            if len(first):
+                low = np.array([self.common[i + 1 : j].min() for i, j in zip(first, last, strict=True)]) if depth < self.depth else np.full(len(first), depth)
+                yield depth, first[low == depth], last[low == depth]
+
+
+def _rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs, from 0 on in their order."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
+def grow(table: pa.Table, width: int) -> pa.Table:
+    """FOUND (see repeats.py) from the tree of a task's suffixes."""
+    run, place, weight, windows = (table.column(c).to_numpy() for c in ("run", "place", "weight", "windows"))
+    numbers: dict[bytes, int] = {}
+    each = [[numbers.setdefault(w, len(numbers)) for w in words(region.as_py())] for region in table.column("region")]
+    base = np.cumsum([0, *map(len, each)])[:-1]
+    x = np.fromiter((i for r in each for i in r), np.int64)
+    del each
+    which, at = ranges(base, windows)
+    tree = Tree.of(x, at, width)
+    hit = np.zeros(len(x), bool)
+    for _, first, last in tree.nodes(width):
+        hit[tree.leaves[ranges(first, last - first)[1]]] = True
+    hit[at[weight[which] > 1]] = True  # a leaf that stands for several suffixes is a node by itself
+    found = hit[at]
+    k, s, e = stretches((at - base[which] + place[which])[found], which[found], width)
+    return pa.table({"run": pa.array(run[k]), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
+
+
+def trees(listed: DataFrame, width: int, gram: int, limit: int = LIMIT) -> DataFrame:
+    """FOUND of classes of runs (see repeats.find): which windows are leaves below an inner node as deep as they are wide."""
+    lengths = tuple(range(gram, width, gram))
+    return deal(listed, symbols, cut, width, lengths, limit, lambda table: grow(table, width))
+
+
+def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) for each row: its words, joined by a space, without those that lie in a
+    window of `width` words that also starts anywhere else, in the same text or another. All copies go, the first too.
+    digest: kept_sha256 instead of kept.
 
     Null texts have no words; texts shorter than a window keep everything; rows that repeat remove one another, whatever
     their doc_id, which may be null. Other columns don't matter; an empty table gives no rows. A text that many rows have
     is examined once."""
-    found = find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: trees(x, width, step, limit))
+    found = find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: trees(x, width, gram, limit))
     name = "kept_sha256" if digest else "kept"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, stretches in zip(b.column(1).to_pylist(), b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows, strict=True):
-            x, gone = words(text), 0
-            if stretches:
-                mask = covered(len(x), stretches, width)
-                gone, n = int(mask.sum()), len(x)
+        for text, gone in zip(b.column(1), lists(b.column(2)) if b.num_columns > 2 else [None] * b.num_rows, strict=True):
+            x = words(text.as_py())
+            n, removed = len(x), 0
+            if gone is not None:
+                mask = covered(n, gone)
+                removed = int(mask.sum())
                 x = compress(x, (~mask).tolist())
-            else:
-                n = len(x)
             kept = b" ".join(x)
-            out.append((n, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode(errors="replace")))
-        n, gone, kept = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[b.schema.names[0], "n_words", "n_removed", name])
+            out.append((n, removed, hashlib.sha256(kept).hexdigest() if digest else kept.decode(errors="replace")))
+        n, removed, kept = zip(*out, strict=True)
+        long = pa.int64()
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, long), pa.array(removed, long), pa.array(kept, pa.string())], names=[b.schema.names[0], "n_words", "n_removed", name])
 
     schema = f"n_words long, n_removed long, {name} string"
-    clean = map_rows(found.clean, run, f"doc_id long, {schema}")
-    return clean.unionByName(found.rows.join(map_rows(found.texts, run, f"key binary, {schema}"), "key").drop("key"))
+    clean = map_rows(found.clean, run, f"doc_id long, {schema}", 200)
+    return clean.unionByName(found.rows.join(map_rows(found.texts, run, f"key binary, {schema}", 200), "key").drop("key"))
