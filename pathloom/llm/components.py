@@ -23,17 +23,16 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.filter("a != b").unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that each node of links (a, b) reaches; only nodes with a link to another one.
     Null ends and links of a node to itself don't count; links may repeat. Each round shuffles the links four times,
-    with partial sums for nodes that have many; none is collected anywhere."""
+    with partial sums for nodes that have many; none is collected anywhere. Rounds go on until nothing changes, about as
+    many as the logarithm of the longest path."""
     now = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b").distinct()
-    mark = None
-    for _ in range(rounds):
+    last, mark = None, ()
+    while mark != last:
         now = stash(_small(_large(now)).distinct(), "links")
-        last, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == last or not mark[0]:
+        last, mark = mark, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64(F.lit(1), "a", "b").cast("decimal(38,0)"))).first())
+        if not mark[0]:
             break
-    else:
-        raise RuntimeError("components didn't settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

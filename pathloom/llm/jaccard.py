@@ -4,15 +4,16 @@ Every set is ordered rarest n-gram first; two sets of the asked similarity then
 (the prefix), so sets are only compared within the buckets of prefix n-grams. How rare an n-gram is, a sketch of a fixed
 number of counters tells; any order is right as long as all sets use the same, so counts that are too high cost time
 at most. Within a bucket, pairs must pass the length filter and the positional filter (what may still be shared after
-this n-gram), and bitmaps of the sets must not rule it out. Before a pair is counted out, the suffix filter bounds its
-overlap by parts of the hash range. Each pair is verified once, with whole sets.
+this n-gram). The suffix filter then splits the range of hashes into a few parts for each n-gram of a set; a bit tells
+whether a part has any, and parts that only one of two sets has bound what they may share. Only pairs that pass are given
+whole sets, and counted. A pair that was counted and rejected is kept in mind, so that each pair is counted once.
 
-Components need few of the pairs. First each member of a bucket is only compared with the bucket's least member and with
-its neighbour in size, then with a neighbour of another component in a random order. The components of the links so found
-are already nearly those asked for. At last whatever pairs of a bucket still lie in different components are verified, so
-that no link is lost; pairs within one component needn't be.
+Components need few of the pairs. First each node is only compared with the head of one of its buckets, the first node in
+an order by hash; the order is the same in all buckets at first, so that large groups meet one head, and then another in
+each bucket, so that they meet many. Buckets whose nodes are of one component need nothing more. At last whatever pairs
+of a bucket still lie in different components are counted, so that no link is lost.
 
-All links are pairs within a component, so they are counted there: every pair of a component's nodes is looked at once.
+All links are pairs within a component, so links() counts them there: every pair of a component's nodes is looked at once.
 
 Texts that are equal are one node; a node is the MD5 of its text.
 """
@@ -21,11 +22,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, hashes, map_rows, partitions, texts
@@ -37,7 +37,13 @@ WORDS, PERCENT = 5, 75
 #: Counters of the sketch, in blocks, and where a hash's counter is; the table of classes is 2 MB whatever the input is.
 COUNTERS, BLOCKS, COUNTER = 1 << 21, 64, 43
 #: Prefix n-grams that a task holds before it sends them on.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Prefix n-grams of a range of hashes, about, and rows of a bucket that meet others in one task.
+RANGE, ROWS = 200_000, 4096
+#: Parts of the range of hashes for each n-gram of a set, at least.
+PARTS = 4
+#: Times that buckets' heads are met, and the pairs across components at last.
+PHASES = 4
 WORD = re.compile(rb"[^ \t-\r]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
@@ -70,16 +76,16 @@ def prefix_size(size: int, percent: int) -> int:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """A bit for each n-gram, by the lower bits of its hash, in a power of two of bits that is at least their number."""
-    m = max(8, 1 << (len(grams) - 1).bit_length()) if len(grams) else 8
+    """A bit for each part of the range of hashes, by their lower bits; the parts are a power of two, PARTS for an n-gram."""
+    m = max(8, 1 << (PARTS * len(grams) - 1).bit_length()) if len(grams) else 8
     bits = np.zeros(m, bool)
     bits[(grams & U(m - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
-    """Whether sets with these bitmaps and sizes may have the asked similarity. An n-gram whose bit the other set lacks
-    isn't shared; a longer bitmap is folded to the shorter one's length first."""
+    """The suffix filter: whether sets with these bitmaps and sizes may have the asked similarity. An n-gram whose part the
+    other set lacks isn't shared; a longer bitmap is folded to the shorter one's length first."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     m = min(len(x), len(y))
     x, y = np.bitwise_or.reduce(x.reshape(-1, m)), np.bitwise_or.reduce(y.reshape(-1, m))
@@ -126,10 +132,10 @@ def sketch(scanned: DataFrame) -> np.ndarray:
 
 
 def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: int) -> DataFrame:
-    """(rng, token, key, size, pos): prefix n-grams that at least two nodes have. docs: (key, text).
+    """(bucket, key, size, pos): prefix n-grams that at least two nodes have. docs: (key, text).
 
     A task sends its prefixes as packed arrays, one for each range of hashes, and a node once; a range is one group. A
-    token is 32 bits of a hash beside its range, so a bucket may hold more than one n-gram, which costs time at most."""
+    bucket is a range and 32 bits of a hash, so it may hold more than one n-gram, which costs time at most."""
     table = docs.sparkSession.sparkContext.broadcast(rarity)  # of fixed size
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,106 +204,83 @@ def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: i
         some = np.flatnonzero(count[at] > 1)
         whole = [known[i] for i in node[some]]
         sizes = np.array([int.from_bytes(k[16:], "little") for k in known], np.int32)[node[some]] if len(some) else np.zeros(0, np.int32)
-        return pa.table({"rng": pa.array(np.full(len(some), key[0].as_py(), np.int32)), "token": pa.array(token[some].astype(np.int64)), "key": pa.array([k[:16] for k in whole], pa.binary()), "size": pa.array(sizes), "pos": pa.array(pos[some].astype(np.int32))})
+        return pa.table({"bucket": pa.array((key[0].as_py() << 32) + token[some].astype(np.int64)), "key": pa.array([k[:16] for k in whole], pa.binary()), "size": pa.array(sizes), "pos": pa.array(pos[some].astype(np.int32))})
 
     sent = docs.mapInArrow(send, "rng int, tokens binary, nodes binary, pos binary, keys binary")
-    return sent.groupBy("rng").applyInArrow(gather, "rng int, token long, key binary, size int, pos int")
+    return sent.groupBy("rng").applyInArrow(gather, "bucket long, key binary, size int, pos int")
 
 
-def may_match(size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Length and positional filter, for pairs of bucket rows."""
-    a, b = size[i].astype(np.int64), size[j].astype(np.int64)
-    least = -(-percent * (a + b) // (100 + percent))
-    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - pos[i], b - pos[j]) >= least)
-
-
-def _pairs_table(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
-    a, b = np.minimum(i, j), np.maximum(i, j)  # numbers in the order of keys
-    some = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(keys[some[0]].tolist(), pa.binary()), "b": pa.array(keys[some[1]].tolist(), pa.binary())})
-
-
-def _columns(table: pa.Table, *more: str) -> tuple[np.ndarray, ...]:
-    """Distinct keys, and by token and size: the number of the row's key, its token, size, place; numbers for `more`."""
-    table = table.sort_by([("token", "ascending"), ("size", "ascending"), ("key", "ascending")])
-    number = lambda c: np.unique(np.array(table.column(c).to_pylist(), object), return_inverse=True)
-    keys, node = number("key")
-    token, size, pos = (table.column(c).to_numpy() for c in ("token", "size", "pos"))
-    return keys, node, token, size, pos, *(number(c)[1] for c in more)
-
-
-def stars(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): in each bucket, each node with the first (of the smallest set) and with the one before, if filters pass."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, node, token, size, pos = _columns(table)
-        at = np.arange(len(token))
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        head = np.maximum.accumulate(np.where(new, at, 0))
-        i, j = np.concatenate([at[~new], at[~new]]), np.concatenate([head[~new], at[~new] - 1])
-        ok = may_match(size, pos, i, j, percent) & (node[i] != node[j])
-        return _pairs_table(keys, node[i[ok]], node[j[ok]])
-
-    return found.groupBy("rng").applyInArrow(run, "a binary, b binary").distinct()
+def passing(percent: int, x: str = "", y: str = "o_") -> Column:
+    """Length and positional filter, for pairs of bucket rows with columns size and pos."""
+    size, pos, other, at = (F.col(c).cast("long") for c in (f"{x}size", f"{x}pos", f"{y}size", f"{y}pos"))
+    least = F.ceil(percent * (size + other) / (100 + percent))
+    return (100 * F.least(size, other) >= percent * F.greatest(size, other)) & (F.least(size - pos, other - at) >= least)
 
 
 def split_buckets(found: DataFrame) -> DataFrame:
-    """The buckets whose nodes are of more than one component; found also has the node's component."""
-    split = found.groupBy("rng", "token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("rng", "token")
-    return found.join(split, ["rng", "token"], "left_semi")
-
-
-def chains(found: DataFrame, percent: int, seed: int = 1) -> DataFrame:
-    """(a, b): in each bucket, in an order by a hash that differs from bucket to bucket, neighbours of different components
-    that pass the filters. A node of a large group of near copies so meets others of the group, one in each bucket."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, node, token, size, pos, part = _columns(table, "component")
-        mixed = (node.astype(np.uint64) + U(seed)) * U(0x9E3779B97F4A7C15) ^ (token.astype(np.uint64) + U(1)) * U(0xD6E8FEB86659FD93)
-        order = np.lexsort(((mixed ^ mixed >> U(31)) * U(0x9E3779B97F4A7C15) >> U(8), token))
-        i, j = order[:-1], order[1:]
-        ok = (token[i] == token[j]) & (part[i] != part[j]) & may_match(size, pos, i, j, percent)
-        return _pairs_table(keys, node[i[ok]], node[j[ok]])
-
-    return split_buckets(found).groupBy("rng").applyInArrow(run, "a binary, b binary").distinct()
-
-
-def across(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): in each bucket, the pairs of nodes of different components that pass the filters."""
+    """Bucket rows, which have their node's component, of the buckets that have more than one component."""
+    split = found.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
+    return found.join(split, "bucket", "left_semi")
+
+
+def heads(found: DataFrame, percent: int, *by: str, seed: int = 0) -> DataFrame:
+    """(a, b): each node with the heads of two of its buckets at most, the first and the last in an order by hash of those
+    in another component that pass the filters. A bucket's head is its first node in an order by a hash of `by`."""
+    order = F.xxhash64(F.lit(seed), *by)
+    head = found.groupBy("bucket").agg(F.min_by(F.struct("key", "component", "size", "pos"), F.struct(order, "key")).alias("h"))
+    head = head.select("bucket", *(F.col(f"h.{c}").alias(f"o_{c}") for c in ("key", "component", "size", "pos")))
+    met = found.join(head, "bucket").filter((F.col("component") != F.col("o_component")) & passing(percent))
+    rank = F.struct(F.xxhash64(F.lit(seed), "o_key"), "o_key")
+    ends = met.groupBy("key").agg(F.min(rank).alias("low"), F.max(rank).alias("high"))
+    both = ends.select("key", F.col("low.o_key").alias("other")).unionByName(ends.select("key", F.col("high.o_key").alias("other")))
+    return both.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def across(found: DataFrame, percent: int, rows: int = ROWS) -> DataFrame:
+    """(a, b): in each bucket, the pairs of nodes of different components that pass the filters. A bucket of more than
+    `rows` is dealt into blocks by hash; each block meets each in a task of its own."""
+    sizes = found.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / rows).cast("int"))
+    own = found.join(sizes.select("bucket", "blocks"), "bucket").withColumn("k", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    large = own.filter("blocks > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")})
+    both = own.filter("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}).unionByName(large.drop("o"))
 
     def run(table: pa.Table) -> pa.Table:
-        keys, node, token, size, pos, part = _columns(table, "component")
-        none = np.zeros(0, np.int64)
-        left, right = [none], [none]
-        for gap in range(1, len(token)):  # rows so far apart in one bucket, which is in order of size
-            i = np.flatnonzero(token[gap:] == token[:-gap])
-            i = i[100 * size[i] >= percent * size[i + gap]]
-            if not len(i):
+        table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("size", "ascending"), ("key", "ascending")])
+        number = lambda c: np.unique(np.array(table.column(c).to_pylist(), object), return_inverse=True)
+        (keys, node), (_, part) = number("key"), number("component")
+        bucket, i_, j_, k, size, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j", "k", "size", "pos"))
+        new = np.ones(len(bucket), bool)
+        new[1:] = (np.diff(bucket) != 0) | (np.diff(i_) != 0) | (np.diff(j_) != 0)
+        task = np.cumsum(new)
+        held, size_ = [np.zeros(0, np.int64)], 0
+        for gap in range(1, len(task)):  # rows so far apart, which are in order of size
+            a = np.flatnonzero(task[gap:] == task[:-gap])
+            a = a[100 * size[a] >= percent * size[a + gap]]
+            if not len(a):
                 break
-            j = i + gap
-            ok = (part[i] != part[j]) & may_match(size, pos, i, j, percent)
-            left.append(node[i[ok]])
-            right.append(node[j[ok]])
-        return _pairs_table(keys, np.concatenate(left), np.concatenate(right))
+            b = a + gap
+            least = -(-percent * (size[a] + size[b]) // (100 + percent))
+            ok = (part[a] != part[b]) & ((k[a] != k[b]) | (i_[a] == j_[a])) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= least)
+            x, y = node[a[ok]], node[b[ok]]  # numbers in the order of keys
+            held.append(np.minimum(x, y) * len(keys) + np.maximum(x, y))
+            size_ += len(x)
+            if size_ > RANGE:  # a pair may share several buckets
+                held, size_ = [np.unique(np.concatenate(held))], 0
+        seen = np.unique(np.concatenate(held))
+        return pa.table({"a": pa.array(keys[seen // len(keys)].tolist(), pa.binary()), "b": pa.array(keys[seen % len(keys)].tolist(), pa.binary())})
 
-    return split_buckets(found).groupBy("rng").applyInArrow(run, "a binary, b binary").distinct()
+    tasks = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit((sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) * 4 // RANGE + partitions(found.sparkSession)))
+    return both.withColumn("task", tasks).groupBy("task").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets have the asked similarity, exactly; the suffix filter rules out most that haven't."""
-    both = len(a) + len(b)
-    least = -(-percent * both // (100 + percent))
-    if min(len(a), len(b)) < least:
-        return False
-    middle = a[len(a) // 2]
-    i, j = len(a) // 2, int(np.searchsorted(b, middle))
-    if min(i, j) + min(len(a) - i, len(b) - j) < least:
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= least
+    """Whether two sorted sets have the asked similarity, exactly."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the bitmaps of nodes (key, n_shingles, bits) don't rule out."""
+    """The pairs (a, b) that the suffix filter on the bitmaps of nodes (key, n_shingles, bits) doesn't rule out."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ok = [may_be_similar(*x, percent) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
@@ -309,22 +292,22 @@ def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts in docs (key, text) have sets of the asked similarity. Whole sets are only made for
-    the pairs that bitmaps leave."""
+    """(a, b, ok): of the pairs (a, b) that the suffix filter leaves, whether their texts in docs (key, text) have sets of
+    the asked similarity. Sets are only made for the nodes of these pairs."""
     left = stash(sift(pairs, nodes, percent), "pairs")
-    wanted = left.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = left.select(F.col("a").alias("key")).unionByName(left.select(F.col("b").alias("key"))).distinct()
     texts_ = docs.filter(sieve(wanted, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
 
     def grams(b: pa.RecordBatch) -> pa.RecordBatch:
-        return batch(key=b.column(0), grams=pa.array([gram_set(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary()))
+        return batch(key=b.column(0), grams=pa.array([gram_set(t.as_py(), n).tobytes() for t in b.column(1)], pa.binary()))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        return b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
+        return batch(a=b.column(0), b=b.column(1), ok=pa.array(ok, pa.bool_()))
 
     sets = stash(map_rows(texts_.select("key", "text"), grams, "key binary, grams binary"), "sets")
     first, second = sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
-    return stash(map_rows(left.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, "a binary, b binary", 1000), "links")
+    return stash(map_rows(left.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, "a binary, b binary, ok boolean"), "counted")
 
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,19 +322,28 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
     own = texts(docs, id_col, text_col, as_bytes=True).select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
     scanned = stash(scan(own, n), "scan", keep=True)
     rows = scanned.filter("block IS NULL").select("doc_id", "key", "n_shingles")
+    of_node = F.coalesce("component", "key").alias("component")
     with scratch():
-        found = stash(buckets(own.select("key", "text"), sketch(scanned), n, percent, max(16, partitions(spark))), "buckets")
+        total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+        ranges = max(16, partitions(spark), prefix_size(total, percent) // RANGE)
+        found = stash(buckets(own.select("key", "text"), sketch(scanned), n, percent, ranges), "buckets")
         nodes = scanned.filter("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
         nodes = stash(nodes.join(found.select("key").distinct(), "key", "left_semi"), "nodes")
         corpus = own.select("key", "text")
-        links = verify(stars(found, percent), nodes, corpus, n, percent)
-        parts = stash(components(links), "parts", keep=True)
-        for pairs in chains, partial(chains, seed=2), across:
-            labelled = found.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-            more = verify(pairs(labelled, percent), nodes, corpus, n, percent)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                parts = stash(components(links), "parts", keep=True)
+        live, parts, rejected = found.withColumn("component", F.col("key")), None, None
+        for phase in range(PHASES):
+            last = phase == PHASES - 1
+            todo = across(live, percent) if last else heads(live, percent, *(["key", "bucket"] if phase else ["key"]), seed=phase)
+            counted = verify(todo if rejected is None else todo.join(rejected, ["a", "b"], "left_anti"), nodes, corpus, n, percent)
+            no = counted.filter("NOT ok").select("a", "b")
+            rejected = no if rejected is None else rejected.unionByName(no)
+            links = counted.filter("ok").select("a", "b")
+            if parts is not None:  # what is known is a link of each node to its component
+                links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            parts = stash(components(links), "parts", keep=True)
+            if not last:
+                live = live.drop("component").join(parts.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "size", "pos", of_node)
+                live = stash(split_buckets(live), "live")
     named = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", "key", F.col("component").alias("group"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
