@@ -7,10 +7,14 @@ carry-save adders at the places of the bits of the component's magnitude. The re
 come from its most significant slice downward: while more rows than asked for have the bit, the rest drop out. Dropped
 bits make the sum inexact by no more than a bound that the norms of query and remainder give (Cauchy-Schwarz), so rows
 whose sum is within twice that bound of the last top row are resolved with the exact integers.
+
+Vectors with components so large that a score might not fit 64 bits aren't sliced: their scores are sums of Python's
+integers, and scores beyond 64 bits count as the largest or the smallest of 64 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,15 +24,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE, KEPT_BITS = 256, 4
-#: Rows of a block of vectors, and of a block of queries.
-BLOCK, QUERIES = 8192, 512
+#: Rows of a block of vectors, at most and at least, and of a block of queries.
+BLOCK, LEAST, QUERIES = 8192, 1024, 32_768
+#: Queries whose sums are held at once, of a block of BLOCK rows.
 AT_ONCE = 32
+MOST = (1 << 63) - 1
+
+
+def small(vectors: np.ndarray) -> np.ndarray:
+    """Which vectors have components so small that no score with another such one reaches 2 ** 62."""
+    limit = 1 << ((62 - max(1, vectors.shape[1]).bit_length()) // 2 - SCALE.bit_length())
+    return (np.abs(vectors) < limit).all(1)
 
 
 def integers(vectors: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x), for vectors that are small()."""
     return np.floor(vectors.astype(np.float64) * SCALE).astype(np.int64)
 
 
+def large_integers(vector: np.ndarray) -> list[int]:
+    """The same for any finite components: from 2 ** 53 on they are integers themselves."""
+    return [int(x) * SCALE if abs(x) >= 1 << 53 else math.floor(x * SCALE) for x in vector.tolist()]
+
+
+def score_of(a: list[int], b: list[int]) -> int:
+    return max(-MOST - 1, min(MOST, sum(x * y for x, y in zip(a, b, strict=True))))
+
+
+def slowly(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    """top() by Python's integers, for all pairs of a row and a query of which one isn't small."""
+    fits, asked = small(rows), small(queries)
+    each = [large_integers(x) for x in rows]
+    for q, own, fit in zip(queries, query_ids.tolist(), asked, strict=True):
+        whole, best = large_integers(q), {}
+        for i in np.flatnonzero(ids != own) if not fit else np.flatnonzero((ids != own) & ~fits):
+            best[int(ids[i])] = max(best.get(int(ids[i]), -MOST - 1), score_of(each[i], whole))
+        yield from ((own, i, s) for i, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k])
+
+
 def bitmap(rows: np.ndarray) -> np.ndarray:
     """Rows of booleans along the last axis as bitmaps of 64-bit words."""
     gap = -rows.shape[-1] % 64
@@ -135,8 +168,9 @@ def top(index: Index, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarra
     """(query, id, score): the k best ids of the block for each query, each by its best row, ties to the smaller id."""
     n, enough = len(ids), rows_of(ids, k)
     all_rows = bitmap(np.ones((1, n), bool))
-    for s in range(0, len(queries), AT_ONCE):
-        q, own = queries[s : s + AT_ONCE], query_ids[s : s + AT_ONCE]
+    step = AT_ONCE * max(1, BLOCK // max(n, LEAST))
+    for s in range(0, len(queries), step):
+        q, own = queries[s : s + step], query_ids[s : s + step]
         rows = np.repeat(all_rows, len(q), 0) & ~bitmap(ids[None, :] == own[:, None])
         there = np.bitwise_count(rows).sum(1).astype(np.int64)
         sums = add_slices(index, q)
@@ -153,7 +187,7 @@ def top(index: Index, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarra
             yield from ((int(own[i]), int(ids[found[b]]), int(score[b])) for b in best)
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", block: int | None = None, query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k other rows with the highest
     inner product of integers, ties to the smaller id.
 
@@ -162,12 +196,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     share an id but no vector, each is a candidate, the best is kept, and as queries they compete for one list. Other
     columns don't matter. Blocks of rows meet blocks of queries in tasks of their own: what is shuffled is the rows times
     the number of query blocks and the queries times the number of row blocks, after one exchange in which repeated rows
-    drop out; nothing is broadcast. A block returns its k best ids for a query, so other rows of one id take no places."""
+    drop out; nothing is broadcast. A block returns its k best ids for a query, so other rows of one id take no places.
+    Blocks have `block` rows; by default, as many as give each shuffle partition two, within LEAST and BLOCK. Scores beyond
+    64 bits are the largest or the smallest of 64 bits, and tie."""
     v = F.col("v")
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     own = own.filter(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)))
     own = own.filter(F.size("v") > 0).select("id", "v", F.size("v").alias("n"))
     rows, asked = own.count(), own.filter(F.col("id") % every == 0).count()
+    block = block or min(BLOCK, max(LEAST, rows // (2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     blocks, query_blocks = max(1, -(-rows // block)), max(1, -(-asked // query_block))
     own = own.dropDuplicates(["id", "v"])
     number = lambda kind, n: F.pmod(F.xxhash64("id", F.lit(kind)), F.lit(n))
@@ -178,11 +215,17 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     def meet(table: pa.Table) -> pa.Table:
         ids, flag = np.asarray(table.column("id").combine_chunks()), table.column("asked").to_numpy()
         n = table.column("n")[0].as_py()
-        x = integers(table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, n))
+        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, n).astype(np.float64)
         order = np.argsort(ids, kind="stable")
         ids, flag, x = ids[order], flag[order], x[order]
         q, c = np.flatnonzero(flag), np.flatnonzero(~flag)
-        found = list(top(Index.of(x[c]), ids[c], x[q], ids[q], k)) if len(q) and len(c) else []
+        fits, found = small(x), []
+        if len(q) and len(c):
+            if not fits.all():
+                found += slowly(x[c], ids[c], x[q], ids[q], k)
+            q, c = q[fits[q]], c[fits[c]]
+        if len(q) and len(c):
+            found += top(Index.of(integers(x[c])), ids[c], integers(x[q]), ids[q], k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(y, pa.int64()) for y in (zip(*found, strict=True) if found else ([], [], []))), strict=True)))
 
     met = left.unionByName(right).groupBy("rb", "qb", "n").applyInArrow(meet, "query_id long, vec_id long, score long")
