@@ -1,7 +1,7 @@
 """Packing of tokenised documents into sequences: first-fit decreasing by a tournament tree, in random groups.
 
-Documents go to groups by a hash of their id, so a group is a random part of the corpus with a bounded number of
-tokens; groups are packed independently, each in one task. In a group every document gives its full sequences first.
+Documents go to groups by a hash of their id and text, so a group is a random part of the corpus, with a bounded number
+of tokens; groups are packed independently, each in one task. In a group every document gives its full sequences first.
 The remainders, longest first, each go to the first sequence that has room; a tournament tree over the sequences' free
 space finds it in logarithmic time. Then sequences that still have a gap of more than MIN_GAP tokens are filled by
 cutting what lies in the emptiest ones, and the one that is left at last is cut at powers of two.
@@ -99,15 +99,17 @@ class Encoder:
     """Texts' ids, as little-endian 16-bit integers (the vocabulary has under 65,536 entries).
 
     No token spans white space, so the ids of a text are those of its words, which are kept in a memo. New words are
-    given to the tokenizer together, as one text; the places of its tokens tell which word they belong to."""
+    given to the tokenizer together, as one text; the places of its tokens tell which word they belong to. A special
+    token's string in a text is that token, as the tokenizer has it; none has white space in it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are text
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        if any(x.content.split() != [x.content] for x in tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("a special token has white space in it")
         self.tokenizer, self.words = tokenizer, {}
 
     def plainly(self, text: str) -> bytes:
@@ -158,7 +160,7 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         ids = [x + end for k in range(0, b.num_rows, AT_ONCE) for x in e.encode(b.column(2)[k : k + AT_ONCE].to_pylist())]
         return batch(grp=b.column(0), doc_id=b.column(1), ids=pa.array(ids, pa.binary()))
 
-    dealt = own.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"), "doc_id", "text")
+    dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "doc_id", "text")
     dealt = map_rows(dealt, tokenised, "grp long, doc_id long, ids binary")
     kind = pa.list_(pa.int32())
 

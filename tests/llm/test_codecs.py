@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -132,7 +133,6 @@ def test_sequences(spark, docs, none):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     found = packing.sequences(docs, path, with_ids=True).collect()
     by = {}
     for r in found:
@@ -190,3 +190,14 @@ def test_nearest_distinct_ids(spark, copies, spread):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for block in (8192, 64):
         assert {tuple(x) for x in bitslice.nearest(df, every=20, block=block).collect()} == want
+
+def test_archives_are_written(spark):
+    """op9_warc reads archives that lie in the shared folder."""
+    import __spark_entry__ as entry
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "pathloom")
+    before = set(folder.glob("archives-*"))
+    found = entry.queries()["op9_warc"](spark, "/root/testdata/sf0.001")
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+    (new,) = set(folder.glob("archives-*")) - before
+    assert spark.read.parquet(str(new)).agg({"archive": "max"}).first()[0][1:4] == b"\x2a\x4d\x18"  # a skippable frame

@@ -178,7 +178,6 @@ def test_pipeline(spark):
     rows = [x for k, x in enumerate(rows) if group[k] == k or not sets[k]]
     data = [t.encode() for _, t in rows]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = {}
     for (i, _), x, m in zip(rows, data, repeated(data, 400), strict=True):
         y = np.frombuffer(x, np.uint8)
