@@ -84,3 +84,14 @@ def _one(kind, value) -> tuple[set[str] | None, Query]:
 
 def trigram_query(pattern: str) -> Query:
     return _walk(parser.parse(pattern, re.ASCII))[1]
+
+
+def finder(trigrams: list[str]) -> str:
+    """An expression that matches, without taking anything, wherever one of the trigrams begins; its group 1 is the
+    trigram. What follows a first character is only looked at where that character is."""
+    by: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in sorted(trigrams):
+        by.setdefault(a, {}).setdefault(b, []).append(c)
+    one_of = lambda chars: re.escape(chars[0]) if len(chars) == 1 else f"[{''.join(map(re.escape, chars))}]"
+    tails = {a: "|".join(re.escape(b) + one_of(c) for b, c in of.items()) for a, of in by.items()}
+    return f"(?={one_of(list(by))})(?=({'|'.join(f'{re.escape(a)}(?:{t})' for a, t in tails.items())}))"
