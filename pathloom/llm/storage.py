@@ -60,7 +60,7 @@ def stash(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
     """df, computed once and read again: its lineage ends here, and it outlives executors. keep: it outlives scratch() as
     well, since a result reads it; clean() deletes it."""
     spark = df.sparkSession
-    path = f"{shared(spark).rstrip('/')}/pathloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared(spark).rstrip('/')}/pathloom/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     if _scopes() and not keep:
         _scopes()[-1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
@@ -69,4 +69,6 @@ def stash(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
 
 def clean(spark: SparkSession) -> None:
     """Deletes all tables of this application, those that results still read too: for when these are written."""
-    delete(spark, f"{shared(spark).rstrip('/')}/pathloom/{spark.sparkContext.applicationId}")
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared(spark).rstrip('/')}/pathloom/*-{spark.sparkContext.applicationId}-*")
+    for found in pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or ():
+        delete(spark, found.getPath().toString())
