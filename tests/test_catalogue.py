@@ -1,7 +1,6 @@
 """Every query with SQL, at the smallest size, beside DuckDB."""
 
 from collections import Counter
-from pathlib import Path
 
 import duckdb
 import pytest
@@ -44,13 +43,3 @@ def test_items_with_unknown_words(spark, tmp_path):
     spark.createDataFrame([(7, "so " + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = entry.queries()["long_matches_contamination_all"](spark, str(tmp_path))
     assert [tuple(r) for r in found.select("query_id", "q_start", "length", "seq_id", "t_start").collect()] == [(1, 0, 9, 7, 1)]
-
-
-def test_archives_are_written(spark):
-    """op9_warc reads archives that lie in the shared folder."""
-    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "pathloom")
-    before = set(folder.glob("archives-*"))
-    found = entry.queries()["op9_warc"](spark, DATA)
-    assert found.count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
-    (new,) = set(folder.glob("archives-*")) - before
-    assert spark.read.parquet(str(new)).agg({"archive": "max"}).first()[0][1:4] == b"\x2a\x4d\x18"  # a skippable frame
