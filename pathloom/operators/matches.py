@@ -3,16 +3,16 @@
 A long match is a pair of equal stretches that can be extended neither way. Three plans for it, which agree:
 
 - events (the default): k-grams of the least length are joined, but only where a match begins or ends, that is, where the
-  symbols before or after differ; the n-th beginning on a diagonal belongs to the n-th end. Grams that all have the same
-  symbol before them can't begin a match and are pruned before the join, likewise for ends. So the cost follows the
-  number of matches, not their lengths.
+  symbols before or after differ; a beginning on a diagonal belongs to the next end. The occurrences of a gram fall into
+  classes by the two symbols beside it, and a query's occurrence only meets the classes other than its own. So no pair
+  within a match is ever made, and the cost follows the number of matches, not their lengths.
 - grams: k-grams are joined, and neighbours on a diagonal are put together.
 - islands: single symbols are joined. The plain definition; quadratic in how often a symbol occurs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grams import gram_names, names_up_to, pattern_name
@@ -43,28 +43,33 @@ def _islands(pairs: DataFrame, extra: int) -> DataFrame:
     return grouped.agg(F.min("q_pos").alias("q_start"), (F.count("*") + extra).cast("long").alias("length"), F.min("t_pos").alias("t_start")).select(*ROW)
 
 
-def _grams(queries: DataFrame, panel: Panel, length: int) -> tuple[DataFrame, DataFrame]:
-    q = gram_names(queries, length, "query_id").withColumnsRenamed({"pos": "q_pos", "prev": "q_prev", "next": "q_next"})
-    t = gram_names(panel.positions, length).withColumnsRenamed({"pos": "t_pos", "prev": "t_prev", "next": "t_next"})
-    return q, t
+def named_panel(panel: Panel, length: int) -> DataFrame:
+    """The panel's grams as long_matches() joins them; kept as a table, they serve many calls of the same length."""
+    return gram_names(panel.positions, length).withColumnsRenamed({"pos": "t_pos", "prev": "t_prev", "next": "t_next"})
 
 
-def _events(q: DataFrame, t: DataFrame, side: str, residual) -> DataFrame:
-    """Pairs of gram occurrences with different symbols at the side, numbered along their diagonal."""
-    a, b = q.withColumnRenamed(f"q_{side}", "qs"), t.withColumnRenamed(f"t_{side}", "ts")
-    both = a.select("g0", "g1", F.col("qs").alias("s"), F.lit(1).alias("q"), F.lit(0).alias("t")).unionByName(b.select("g0", "g1", F.col("ts").alias("s"), F.lit(0).alias("q"), F.lit(1).alias("t")))
-    open_ = both.groupBy("g0", "g1").agg(F.max("q").alias("q"), F.max("t").alias("t"), F.min("s").alias("low"), F.max("s").alias("high"), F.bool_or(F.col("s").isNull()).alias("edge"))
-    open_ = open_.filter((F.col("q") == 1) & (F.col("t") == 1) & (F.col("edge") | (F.col("low") != F.col("high")))).select("g0", "g1")
-    # only the query side is cut down first: it's the smaller one, and an inner join does the rest
-    met = a.join(open_, ["g0", "g1"], "left_semi").join(b, ["g0", "g1"]).filter(F.col("qs").isNull() | F.col("ts").isNull() | (F.col("qs") != F.col("ts")))
+def _differ(side: str) -> Column:
+    a, b = F.col(f"q_{side}"), F.col(f"t_{side}")
+    return F.coalesce(a != b, F.lit(True))  # a path's end differs from everything
+
+
+def _events(q: DataFrame, t: DataFrame, length: int, residual) -> DataFrame:
+    """Long matches from pairs of gram occurrences with different symbols at a side."""
+    on = ["g0", "g1"]
+    t = t.withColumn("beside", F.xxhash64("t_prev", "t_next"))
+    classes = t.groupBy(*on, "beside").agg(F.first("t_prev").alias("t_prev"), F.first("t_next").alias("t_next"))
+    asked = q.join(classes, on).filter(_differ("prev") | _differ("next")).drop("t_prev", "t_next")
+    met = asked.join(t, [*on, "beside"])
     met = met if residual is None else met.filter(residual)
-    w = Window.partitionBy("query_id", "seq_id", "d").orderBy("q_pos")
-    return met.withColumn("d", F.col("t_pos") - F.col("q_pos")).select("query_id", "seq_id", "d", "q_pos", F.row_number().over(w).alias("n"))
+    met = met.select("query_id", "seq_id", (F.col("t_pos") - F.col("q_pos")).alias("d"), F.col("q_pos").alias("q_start"), _differ("prev").alias("begins"), F.when(_differ("next"), F.col("q_pos")).alias("q_end"))
+    on_from = Window.partitionBy("query_id", "seq_id", "d").orderBy("q_start").rowsBetween(0, Window.unboundedFollowing)
+    rows = met.withColumn("q_end", F.min("q_end").over(on_from)).filter("begins")
+    return rows.select("query_id", "q_start", (F.col("q_end") - F.col("q_start") + length).cast("long").alias("length"), "seq_id", (F.col("q_start") + F.col("d")).alias("t_start"))
 
 
-def long_matches(queries: DataFrame, panel: Panel, length: int, strategy: str = "events", on_unknown: str = "empty", residual=None) -> DataFrame:
+def long_matches(queries: DataFrame, panel: Panel, length: int, strategy: str = "events", on_unknown: str = "empty", residual=None, named: DataFrame | None = None) -> DataFrame:
     """(query_id, q_start, length, seq_id, t_start): all maximal matches of at least `length` symbols. residual: a
-    condition on query_id and seq_id that the join applies."""
+    condition on query_id and seq_id that the join applies. named: named_panel() of this panel and length, if it's kept."""
     if length < 1:
         raise ValueError("length is 1 at least")
     q = guard(queries, panel, on_unknown)
@@ -72,25 +77,27 @@ def long_matches(queries: DataFrame, panel: Panel, length: int, strategy: str =
         pairs = q.select("query_id", F.col("pos").alias("q_pos"), "node").join(panel.positions.select("seq_id", F.col("pos").alias("t_pos"), "node"), "node")
         pairs = pairs if residual is None else pairs.filter(residual)
         return _islands(pairs, 0).filter(F.col("length") >= length)
-    gq, gt = _grams(q, panel, length)
+    gq = gram_names(q, length, "query_id").withColumnsRenamed({"pos": "q_pos", "prev": "q_prev", "next": "q_next"})
+    gt = named_panel(panel, length) if named is None else named
     if strategy == "grams":
         pairs = gq.join(gt, ["g0", "g1"])
         pairs = pairs if residual is None else pairs.filter(residual)
         return _islands(pairs, length - 1)
     if strategy != "events":
         raise ValueError(f"strategy: {strategy}")
-    on = ["query_id", "seq_id", "d", "n"]
-    ends = _events(gq, gt, "next", residual).withColumnRenamed("q_pos", "q_end")
-    rows = _events(gq, gt, "prev", residual).withColumnRenamed("q_pos", "q_start").join(ends, on)
-    return rows.select("query_id", "q_start", (F.col("q_end") - F.col("q_start") + length).cast("long").alias("length"), "seq_id", (F.col("q_start") + F.col("d")).alias("t_start"))
+    return _events(gq, gt, length, residual)
 
 
 def verified(matches: DataFrame, queries: DataFrame, panel: Panel) -> DataFrame:
-    """The matches whose stretches are equal symbol by symbol: all of them, unless two names of 128 bits collide."""
-    q = Panel(queries.withColumnRenamed("query_id", "seq_id")).paths().select(F.col("seq_id").alias("query_id"), F.col("path").alias("qp"))
-    t = panel.paths().withColumnRenamed("path", "tp")
-    cut = lambda p, s: F.slice(F.col(p), (F.col(s) + 1).cast("int"), F.col("length").cast("int"))
-    return matches.join(q, "query_id").join(t, "seq_id").filter(cut("qp", "q_start") == cut("tp", "t_start")).select(*matches.columns)
+    """The matches whose stretches are equal symbol by symbol: all of them, unless two names of 128 bits collide. Only the
+    symbols of the stretches are joined, one row for each."""
+    each = matches.distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
+    each = each.withColumns({"q_pos": F.col("q_start") + F.col("k"), "t_pos": F.col("t_start") + F.col("k")})
+    q = queries.select("query_id", F.col("pos").alias("q_pos"), F.col("node").alias("a"))
+    t = panel.positions.select("seq_id", F.col("pos").alias("t_pos"), F.col("node").alias("b"))
+    same = each.join(q, ["query_id", "q_pos"]).join(t, ["seq_id", "t_pos"]).filter("a = b")
+    right = same.groupBy(*ROW).agg(F.count("*").alias("n")).filter("n = length").drop("n")
+    return matches.join(right, ROW, "left_semi").select(*matches.columns)
 
 
 OTHERS = "seq_id != query_id"  # text, as a column needs a session
@@ -134,17 +141,22 @@ def matching_statistics_end(queries: DataFrame, panel: Panel, probes: int = 12,
 
 def set_maximal_matches(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty", others: bool = False) -> DataFrame:
     """(query_id, q_start, length, seq_id, t_start): matches that lie in no longer match's part of the query: each
-    position's longest ones, where they are no shorter than at the position before."""
+    position's longest ones, where they are no shorter than at the position before. Those of more than `probes` symbols are
+    told from long matches alone: they end further than all that begin before. Shorter ones are told from probes alone: if
+    the position before has more than `probes`, so that it reaches further, its probes are one more."""
     q = guard(queries, panel, on_unknown)
-    w = Window.partitionBy("query_id").orderBy("pos")
-    stats = matching_statistics(q, panel, probes, "ignore", others).withColumn("before", F.lag("m").over(w))
-    kept = stats.filter((F.col("m") > 0) & (F.col("before").isNull() | (F.col("m") >= F.col("before")))).select("query_id", "pos", "m")
-    found = long_matches(q, panel, probes + 1, on_unknown="ignore", residual=OTHERS if others else None).join(kept.select("query_id", F.col("pos").alias("q_start"), F.col("m").alias("length")), ["query_id", "q_start", "length"], "left_semi")
+    far = long_matches(q, panel, probes + 1, on_unknown="ignore", residual=OTHERS if others else None).withColumn("end", F.col("q_start") + F.col("length"))
+    here = Window.partitionBy("query_id", "q_start")
+    before = Window.partitionBy("query_id").orderBy("q_start").rangeBetween(Window.unboundedPreceding, -1)
+    far = far.withColumns({"best": F.max("end").over(here), "reach": F.max("end").over(before)})
+    far = far.filter((F.col("end") == F.col("best")) & (F.col("reach").isNull() | (F.col("end") > F.col("reach"))))
+    stats = _probed(q, panel, probes + 1, others).withColumn("before", F.lag("m").over(Window.partitionBy("query_id").orderBy("pos")))
+    kept = stats.filter((F.col("m") > 0) & (F.col("m") <= probes) & (F.col("before").isNull() | (F.col("m") >= F.col("before")))).select("query_id", "pos", F.col("m").alias("n"))
     on = ["n", "g0", "g1"]
-    asked = names_up_to(q, probes, "query_id").join(kept.withColumnRenamed("m", "n"), ["query_id", "pos", "n"], "left_semi").select("query_id", F.col("pos").alias("q_start"), *on)
+    asked = names_up_to(q, probes, "query_id").join(kept, ["query_id", "pos", "n"], "left_semi").select("query_id", F.col("pos").alias("q_start"), *on)
     rows = asked.join(names_up_to(panel.positions, probes).select("seq_id", F.col("pos").alias("t_start"), *on), on)
     rows = rows.filter(OTHERS) if others else rows
-    return found.select(*ROW).unionByName(rows.select("query_id", "q_start", F.col("n").alias("length"), "seq_id", "t_start"))
+    return far.select(*ROW).unionByName(rows.select("query_id", "q_start", F.col("n").alias("length"), "seq_id", "t_start"))
 
 
 def without_places(matches: DataFrame) -> DataFrame:

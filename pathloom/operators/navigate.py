@@ -1,7 +1,9 @@
 """Tables for finding one's way in a panel: visits in co-lexicographic order, edges, runs, suffixes and text.
 
 A visit is a place where a path meets a node. A node's visits are ordered by the path's prefix that ends there, read
-backwards; at equal prefixes, by sequence. The visits table is for diagnosis: its sort keys are as long as the paths.
+backwards; at equal prefixes, by sequence. Prefixes are ranked by doubling: those of 2n nodes by the ranks of their last n
+nodes and of the n before. A round shuffles narrow rows twice, once by sequence and once by what still ties, so no
+task sorts all visits of a frequent node, and there are as many rounds as the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -9,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grams import gram_names
 from ..sources.panel import Panel
 
 LONG = "long"
+#: Nodes of a prefix that are compared at once before ranks double.
+LAST = 8
 
 
 def node_sizes(panel: Panel) -> DataFrame:
@@ -48,12 +53,57 @@ def outgoing(panel: Panel) -> DataFrame:
     return counted.withColumn("first", F.coalesce(F.sum("visits").over(before), F.lit(0)).cast(LONG))
 
 
+def _longest(rows: DataFrame) -> int:
+    return (rows.agg(F.max("pos")).first()[0] or 0) + 1
+
+
+def ranks(rows: DataFrame, counted: Column | None = None) -> DataFrame:
+    """rows (seq_id, pos, node, ...) with r: how many rows of the same node have a smaller prefix, read backwards, a path's
+    start being smaller than any node; rows of equal prefixes share theirs. counted: which rows count; then r_all is as if
+    all did."""
+    longest = _longest(rows)
+    near = min(LAST, longest)
+    sums = {"_all": F.lit(1).cast(LONG)} | ({} if counted is None else {"_r": F.when(counted, 1).otherwise(0).cast(LONG)})
+    by_seq = Window.partitionBy("seq_id").orderBy("pos")
+    own = rows.select("*", *(v.alias(f"{k}_n") for k, v in sums.items()), *(F.lag("node", k).over(by_seq).alias(f"_c{k}") for k in range(1, near)))
+    if near > 1:  # visits that come from smaller nodes: a sum over a node's predecessors, of which there are few
+        first = own.groupBy("node", "_c1").agg(*(F.sum(f"{k}_n").alias(k) for k in sums))
+        before = Window.partitionBy("node").orderBy(F.asc_nulls_first("_c1")).rowsBetween(Window.unboundedPreceding, -1)
+        first = first.select(F.col("node").alias("_node"), F.col("_c1").alias("_b1"), *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums))
+        own = own.join(first, F.col("node").eqNullSafe(F.col("_node")) & F.col("_c1").eqNullSafe(F.col("_b1"))).drop("_node", "_b1")
+        own = _refined(own, ["node", "_c1"], [f"_c{k}" for k in range(2, near)], [*sums])
+    else:
+        own = own.withColumns({k: F.lit(0).cast(LONG) for k in sums})
+    own, n = own.drop(*(f"_c{k}" for k in range(1, near))), near
+    while n < longest:
+        ahead = own.withColumns({"_c0": F.lag("node", n).over(by_seq), "_c1": F.lag("_all", n).over(by_seq)})
+        own, n = _refined(ahead, ["node", "_all"], ["_c0", "_c1"], [*sums]).drop("_c0", "_c1"), 2 * n
+    names = {"_all": "r"} if counted is None else {"_r": "r", "_all": "r_all"}
+    return own.withColumnsRenamed(names).drop(*(f"{k}_n" for k in sums))
+
+
+def _refined(own: DataFrame, ties: list[str], by: list[str], sums: list[str]) -> DataFrame:
+    """The sums with the rows of a tie put in order of `by`, nulls first."""
+    if not by:
+        return own
+    w = Window.partitionBy(*ties).orderBy(*(F.asc_nulls_first(c) for c in by))
+    more = {"_all": F.rank().over(w).cast(LONG) - 1}
+    if "_r" in sums:
+        up = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        more["_r"] = F.sum("_r_n").over(up) - F.sum("_r_n").over(Window.partitionBy(*ties, *by))
+    return own.withColumns({f"{k}_more": v for k, v in more.items()}).withColumns({k: F.col(k) + F.col(f"{k}_more") for k in more}).drop(*(f"{k}_more" for k in more))
+
+
 def visits(panel: Panel, end: Column) -> DataFrame:
-    """(node, off, seq_id, pos, next_node, seq_offset, prefix): prefix is read backwards from the visit."""
-    rows = panel.paths().select("seq_id", "path", F.posexplode("path").alias("pos", "node"))
-    rows = rows.select("seq_id", F.col("pos").cast(LONG).alias("pos"), "node", F.reverse(F.slice("path", 1, F.col("pos") + 1)).alias("prefix"), F.coalesce(F.get("path", F.col("pos") + 1), end).alias("next_node"), (F.size("path") - 1 - F.col("pos")).cast(LONG).alias("seq_offset"))
-    w = Window.partitionBy("node").orderBy("prefix", "seq_id")
-    return rows.select("node", (F.row_number().over(w) - 1).cast(LONG).alias("off"), "seq_id", "pos", "next_node", "seq_offset", "prefix")
+    """(node, off, seq_id, pos, next_node, seq_offset, prefix): prefix is read backwards from the visit; as it's as long as
+    the path so far, better drop it where it isn't needed."""
+    w = Window.partitionBy("seq_id").orderBy("pos")
+    prefix = F.reverse(F.collect_list("node").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = ranks(panel.positions.select("seq_id", "pos", "node"))
+    tied = Window.partitionBy("node", "r").orderBy("seq_id")
+    rows = rows.select("seq_id", "pos", "node", (F.col("r") + F.row_number().over(tied) - 1).cast(LONG).alias("off"))
+    rows = rows.select("*", F.coalesce(F.lead("node").over(w), end).alias("next_node"), (F.max("pos").over(Window.partitionBy("seq_id")) - F.col("pos")).cast(LONG).alias("seq_offset"), prefix.alias("prefix"))
+    return rows.select("node", "off", "seq_id", "pos", "next_node", "seq_offset", "prefix")
 
 
 def lf(table: DataFrame) -> DataFrame:
@@ -82,13 +132,18 @@ def runs(table: DataFrame, end: Column) -> DataFrame:
     return run_ids(table, end).groupBy("node").agg((F.max("run_id") + 1).alias("concrete"), (F.max("logical_id") + 1).alias("logical"))
 
 
-def run_ids(table: DataFrame, end: Column) -> DataFrame:
-    """(node, off, run_id, logical_id), both from 0"""
-    w = Window.partitionBy("node").orderBy("off")
-    new = F.when(F.lag("next_node").over(w).eqNullSafe(F.col("next_node")), 0).otherwise(1)
-    flags = table.select("node", "off", new.alias("n"), F.when(F.col("next_node") == end, 1).otherwise(new).alias("l"))
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    return flags.select("node", "off", (F.sum("n").over(up) - 1).alias("run_id"), (F.sum("l").over(up) - 1).alias("logical_id"))
+def run_ids(table: DataFrame, end: Column, bucket: int = 65536) -> DataFrame:
+    """(node, off, run_id, logical_id), both from 0. Sums run within buckets of a node's places, then over its buckets."""
+    after = table.select("node", (F.col("off") + 1).alias("off"), F.col("next_node").alias("_before"), F.lit(True).alias("_there"))
+    own = table.select("node", "off", "next_node", F.floor(F.col("off") / bucket).alias("b")).join(after, ["node", "off"], "left")
+    new = F.when(F.col("_there").isNotNull() & F.col("_before").eqNullSafe(F.col("next_node")), 0).otherwise(1)
+    flags = own.select("node", "off", "b", new.alias("n"), F.when(F.col("next_node") == end, 1).otherwise(new).alias("l"))
+    before = Window.partitionBy("node").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    base = flags.groupBy("node", "b").agg(F.sum("n").alias("n0"), F.sum("l").alias("l0"))
+    base = base.select("node", "b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n0", "l0")))
+    up = Window.partitionBy("node", "b").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    sums = flags.withColumns({"n": F.sum("n").over(up), "l": F.sum("l").over(up)}).join(base, ["node", "b"])
+    return sums.select("node", "off", (F.col("n") + F.col("n0") - 1).cast(LONG).alias("run_id"), (F.col("l") + F.col("l0") - 1).cast(LONG).alias("logical_id"))
 
 
 def run_samples(table: DataFrame, end: Column) -> DataFrame:
@@ -107,19 +162,31 @@ def locate_ends(table: DataFrame) -> DataFrame:
 
 
 def suffix_neighbours(table: DataFrame) -> DataFrame:
-    """(node, off, seq_id, seq_offset, prev_seq, prev_offset, next_seq, next_offset): null beyond a node's ends."""
-    w = Window.partitionBy("node").orderBy("off")
-    return table.select("node", "off", "seq_id", "seq_offset", *(f("seq_id").over(w).alias(f"{n}_seq") for n, f in (("prev", F.lag), ("next", F.lead))), *(f("seq_offset").over(w).alias(f"{n}_offset") for n, f in (("prev", F.lag), ("next", F.lead))))
+    """(node, off, seq_id, seq_offset, prev_seq, prev_offset, next_seq, next_offset): null beyond a node's ends. Joined by
+    node and place, so a frequent node's visits are many tasks' work."""
+    own = table.select("node", "off", "seq_id", "seq_offset")
+    beside = lambda name, step: table.select("node", (F.col("off") + step).alias("off"), F.col("seq_id").alias(f"{name}_seq"), F.col("seq_offset").alias(f"{name}_offset"))
+    return own.join(beside("prev", 1), ["node", "off"], "left").join(beside("next", -1), ["node", "off"], "left")
 
 
 def adjacent_lcp(table: DataFrame) -> DataFrame:
-    """(node, off, lcp): nodes that a visit's path shares, going backwards from the node itself, with the visit before."""
-    w = Window.partitionBy("node").orderBy("off")
-    pairs = table.select("node", "off", "prefix", F.lag("prefix").over(w).alias("before"))
-    same = F.zip_with("prefix", "before", lambda a, b: a.eqNullSafe(b))
-    first = F.array_position(same, False)  # 1-based, 0 if there is none
-    shorter = F.least(F.size("prefix"), F.size("before"))
-    return pairs.select("node", "off", F.when(F.col("before").isNull(), 0).otherwise(F.when(first == 0, shorter).otherwise(F.least(shorter, first - 1))).cast(LONG).alias("lcp"))
+    """(node, off, lcp): nodes that a visit's path shares, going backwards from the node itself, with the visit before.
+
+    Stretches of 2 ** k nodes that end at a place have names by doubling (grams.py). A pair of visits goes back together
+    by the longest stretch of one name first, then by half of it, and so on: the binary digits of what they share."""
+    rows = table.select("seq_id", "pos", "node")
+    pair = table.select("node", "off", F.col("seq_id").alias("x"), F.col("pos").alias("x_at"))
+    before = table.select("node", (F.col("off") + 1).alias("off"), F.col("seq_id").alias("y"), F.col("pos").alias("y_at"))
+    now = pair.join(before, ["node", "off"]).withColumn("lcp", F.lit(0).cast(LONG))
+    lengths = [1 << k for k in range(_longest(rows).bit_length())]
+    for n in reversed(lengths):
+        named = gram_names(rows, n).select("seq_id", (F.col("pos") + n - 1).alias("at"), "g0", "g1")
+        sides = (named.select(F.col("seq_id").alias(s), F.col("at").alias(f"{s}_at"), F.struct("g0", "g1").alias(f"{s}_name")) for s in ("x", "y"))
+        for s, side in zip(("x", "y"), sides, strict=True):
+            now = now.join(side, [s, f"{s}_at"], "left")
+        same = F.coalesce(F.col("x_name") == F.col("y_name"), F.lit(False))
+        now = now.withColumns({c: F.when(same, F.col(c) + step).otherwise(F.col(c)) for c, step in (("lcp", n), ("x_at", -n), ("y_at", -n))}).drop("x_name", "y_name")
+    return table.select("node", "off").join(now.select("node", "off", "lcp"), ["node", "off"], "left").select("node", "off", F.coalesce("lcp", F.lit(0)).cast(LONG).alias("lcp"))
 
 
 def path_lengths(panel: Panel) -> DataFrame:
@@ -171,8 +238,8 @@ def offset_to(table: DataFrame) -> DataFrame:
 def lf_with_runs(table: DataFrame, end: Column) -> DataFrame:
     """(node, off, next_node, next_off, run_first, run_last, logical_id): each step with the run that its visit is in."""
     ids = run_ids(table, end)
-    w = Window.partitionBy("node", "run_id")
-    bounds = ids.select("node", "off", F.min("off").over(w).alias("run_first"), F.max("off").over(w).alias("run_last"), "logical_id")
+    ends = ids.groupBy("node", "run_id").agg(F.min("off").alias("run_first"), F.max("off").alias("run_last"))
+    bounds = ids.join(ends, ["node", "run_id"]).select("node", "off", "run_first", "run_last", "logical_id")
     return lf(table).join(bounds, ["node", "off"]).select("node", "off", "next_node", "next_off", "run_first", "run_last", "logical_id")
 
 
@@ -184,8 +251,7 @@ def suffixes_of(table: DataFrame, node) -> DataFrame:
 def insertion_offsets(queries: DataFrame, table: DataFrame) -> DataFrame:
     """(query_id, pos, off): before which visit of its node each query prefix would stand, in co-lexicographic order; at
     equal prefixes, before all. Only queries whose nodes all have visits should be asked."""
-    q = Panel(queries.withColumnRenamed("query_id", "seq_id")).paths().select("seq_id", "path", F.posexplode("path").alias("pos", "node"))
-    q = q.select(F.col("seq_id").alias("query_id"), F.col("pos").cast(LONG).alias("pos"), "node", F.reverse(F.slice("path", 1, F.col("pos") + 1)).alias("prefix"), F.lit(0).alias("panel"))
-    both = q.unionByName(table.select(F.lit(None).cast(LONG).alias("query_id"), F.lit(None).cast(LONG).alias("pos"), "node", "prefix", F.lit(1).alias("panel")))
-    w = Window.partitionBy("node").orderBy("prefix", "panel").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("off", F.sum("panel").over(w).cast(LONG)).filter("panel = 0").select("query_id", "pos", "off")
+    panel = table.select(F.struct(F.lit(False).alias("asked"), F.col("seq_id").alias("id")).alias("seq_id"), "pos", "node")
+    asked = queries.select(F.struct(F.lit(True).alias("asked"), F.col("query_id").cast(LONG).alias("id")).alias("seq_id"), "pos", "node")
+    both = ranks(panel.unionByName(asked), ~F.col("seq_id.asked"))
+    return both.filter("seq_id.asked").select(F.col("seq_id.id").alias("query_id"), "pos", F.col("r").alias("off"))
