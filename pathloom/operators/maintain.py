@@ -39,17 +39,31 @@ def renumber(panel: Panel) -> Panel:
     return Panel(panel.positions.join(new, "seq_id").select(F.col("new_id").alias("seq_id"), "pos", "node"), panel.bidirectional)
 
 
+def _whole_haplotypes(panel: Panel, ids: DataFrame) -> DataFrame:
+    """(seq_id): in a bidirectional panel, both orientations of each haplotype that ids (seq_id) touch."""
+    own = ids.select("seq_id")
+    return own.unionByName(own.select(F.col("seq_id").bitwiseXOR(F.lit(1).cast("long")).alias("seq_id"))).distinct() if panel.bidirectional else own
+
+
 def remove(panel: Panel, ids: DataFrame) -> Panel:
-    """The panel without the sequences in ids (seq_id), renumbered."""
-    return renumber(Panel(panel.positions.join(ids.select("seq_id"), "seq_id", "left_anti"), panel.bidirectional))
+    """The panel without the sequences in ids (seq_id), renumbered. A bidirectional panel loses both orientations of a
+    haplotype, so that even ids stay forward."""
+    return renumber(Panel(panel.positions.join(_whole_haplotypes(panel, ids), "seq_id", "left_anti"), panel.bidirectional))
 
 
 def hold_out(panel: Panel, ids: DataFrame) -> tuple[Panel, DataFrame]:
-    """The panel without these sequences, and them as queries (query_id, pos, node)."""
-    held = panel.positions.join(ids.select("seq_id"), "seq_id", "left_semi")
+    """The panel without these sequences, and them as queries (query_id, pos, node); of a bidirectional panel, both
+    orientations."""
+    held = panel.positions.join(_whole_haplotypes(panel, ids), "seq_id", "left_semi")
     return remove(panel, ids), held.withColumnRenamed("seq_id", "query_id")
 
 
+def choose_haplotypes(panel: Panel, n: int, seed: int = 0) -> DataFrame:
+    """(seq_id): the forward sequences of n haplotypes, by a hash of their numbers. All but one can be held out at most."""
+    own = Panel(panel.positions.filter("seq_id % 2 = 0")) if panel.bidirectional else panel
+    return choose(own, n, seed)
+
+
 def repeat(panel: Panel, times: int) -> Panel:
     """Each path `times` times, one after the other."""
     w = Window.partitionBy("seq_id")
@@ -57,8 +71,9 @@ def repeat(panel: Panel, times: int) -> Panel:
     return Panel(rows.select("seq_id", (F.col("k") * F.col("n") + F.col("pos")).cast("long").alias("pos"), "node"), panel.bidirectional)
 
 
-def random_walk(paths: list[list[int]], mutation: float, new_node: float, seed: int, longest: int = 10_000) -> list[int]:
-    """A walk along the paths' steps, each as likely as often it's taken; now and then to any node, or to a new one."""
+def random_walk(paths: list[list[int]], mutation: float, new_node: float, seed: int) -> list[int]:
+    """A walk along the paths' steps, each as likely as often it's taken; now and then to any node, or to a new one. It
+    ends where a path ends."""
     r = random.Random(seed)
     steps: dict[int, list[int]] = {}
     for p in paths:
@@ -66,7 +81,7 @@ def random_walk(paths: list[list[int]], mutation: float, new_node: float, seed:
             steps.setdefault(a, []).append(b)
     nodes, fresh = sorted({x for p in paths for x in p}), max((x for p in paths for x in p), default=0) + 1
     at, out = 0, []
-    while len(out) < longest:
+    while True:
         kind = r.random() * (1 + mutation + new_node)
         if kind >= 1 + mutation:
             at, fresh = fresh, fresh + 1
@@ -75,6 +90,5 @@ def random_walk(paths: list[list[int]], mutation: float, new_node: float, seed:
         else:
             at = r.choice(steps.get(at, [0]))
         if at == 0:
-            break
+            return out
         out.append(at)
-    return out

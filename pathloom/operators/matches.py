@@ -36,6 +36,13 @@ def guard(queries: DataFrame, panel: Panel, on_unknown: str = "empty") -> DataFr
     raise ValueError(f"on_unknown: {on_unknown}")
 
 
+def reversed_with_end(queries: DataFrame, end: Column) -> DataFrame:
+    """(query_id, pos, node): each query read backwards, followed by the endmarker."""
+    last = queries.groupBy("query_id").agg((F.max("pos") + 1).alias("n"))
+    back = queries.join(last, "query_id").select("query_id", (F.col("n") - 1 - F.col("pos")).alias("pos"), "node")
+    return back.unionByName(last.select("query_id", F.col("n").alias("pos"), end.alias("node")))
+
+
 def _islands(pairs: DataFrame, extra: int) -> DataFrame:
     d = F.col("t_pos") - F.col("q_pos")
     w = Window.partitionBy("query_id", "seq_id", "d").orderBy("q_pos")

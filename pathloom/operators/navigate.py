@@ -28,6 +28,22 @@ def contains(panel: Panel, node) -> DataFrame:
     return panel.positions.agg(F.coalesce(F.bool_or(F.col("node") == node), F.lit(False)).alias("found"))
 
 
+def in_range(panel: Panel, nodes: DataFrame, endmarker: int = 0) -> DataFrame:
+    """(node, contained): whether each of nodes (node), which are integers, lies within the panel's least and greatest node,
+    visited or not, or is the endmarker."""
+    ends = panel.positions.agg(F.min("node").alias("low"), F.max("node").alias("high"))  # one row
+    inside = (F.col("node") == endmarker) | F.coalesce(F.col("node").between(F.col("low"), F.col("high")), F.lit(False))
+    return nodes.select("node").crossJoin(F.broadcast(ends)).select("node", inside.alias("contained"))
+
+
+def header(panel: Panel) -> DataFrame:
+    """One row: size (nodes, and an endmarker for each sequence), sequences, sigma (one more than the greatest node),
+    effective (nodes of the range between, and the endmarker), bidirectional. For panels of integers."""
+    ends = panel.positions.agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    both = panel.stats().crossJoin(ends)  # one row each
+    return both.select("size", "sequences", (F.col("high") + 1).cast(LONG).alias("sigma"), (F.col("high") - F.col("low") + 2).cast(LONG).alias("effective"), F.lit(panel.bidirectional).alias("bidirectional"))
+
+
 def successors(panel: Panel, end: Column) -> DataFrame:
     """(seq_id, pos, node, next_node): next_node is `end` after a path's last node."""
     w = Window.partitionBy("seq_id").orderBy("pos")
@@ -121,10 +137,21 @@ def inverse_lf(table: DataFrame) -> DataFrame:
 def lf_to(table: DataFrame, node, off: int, to) -> DataFrame:
     """(to_off): where a visit at `off` of node would land if it went on to `to`: visits of `to` that come from smaller
     nodes, and those from this node's earlier visits. off may be the node's size; no row if no path goes that way."""
-    way = table.filter(F.col("next_node") == to).groupBy("node").agg(F.count("*").alias("n"), F.sum(F.when(F.col("off") < off, 1).otherwise(0)).alias("before"))
-    starts = table.filter((F.col("pos") == 0) & (F.col("node") == to)).agg(F.count("*").alias("starts"))
-    total = way.agg(F.sum(F.when(F.col("node") < node, F.col("n")).when(F.col("node") == node, F.col("before"))).alias("n"), F.coalesce(F.bool_or(F.col("node") == node), F.lit(False)).alias("there"))
-    return total.crossJoin(starts).filter("there").select((F.col("n") + F.col("starts")).cast(LONG).alias("to_off"))
+    asked = table.sparkSession.range(1).select(F.lit(node).alias("node"), F.lit(off).cast(LONG).alias("off"), F.lit(to).alias("to"))
+    return lf_to_many(table, asked).select("to_off")
+
+
+def lf_to_many(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, off, to, to_off): lf_to() for each row of asked (node, off, to); no row if no path goes that way."""
+    counted = table.groupBy("node", F.col("next_node").alias("to")).agg(F.count("*").alias("n"))
+    starts = table.filter("pos = 0").groupBy(F.col("node").alias("to")).agg(F.count("*").alias("starts"))
+    below = Window.partitionBy("to").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.select("node", "to", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("first")).join(starts, "to", "left")
+    steps = table.select("node", F.col("next_node").alias("to"), "off", F.lit(1).alias("own"))
+    both = steps.unionByName(asked.select("node", "to", "off", F.lit(0).alias("own")))
+    earlier = Window.partitionBy("node", "to").orderBy("off").rangeBetween(Window.unboundedPreceding, -1)
+    done = both.withColumn("before", F.coalesce(F.sum("own").over(earlier), F.lit(0))).filter("own = 0").drop("own")
+    return done.join(first, ["node", "to"]).select("node", "off", "to", (F.col("first") + F.coalesce("starts", F.lit(0)) + F.col("before")).cast(LONG).alias("to_off"))
 
 
 def runs(table: DataFrame, end: Column) -> DataFrame:
@@ -154,6 +181,14 @@ def run_samples(table: DataFrame, end: Column) -> DataFrame:
     return both.select("node", "run_id", F.col("h.seq_id").alias("head_seq"), F.col("h.seq_offset").alias("head_offset"), F.col("t.seq_id").alias("tail_seq"), F.col("t.seq_offset").alias("tail_offset"))
 
 
+def head_lcp(table: DataFrame, end: Column) -> DataFrame:
+    """(node, run_id, head_seq, head_offset, lcp): for each logical run, the suffix of its first visit and what that has in
+    common with the visit before."""
+    heads = run_ids(table, end).groupBy("node", F.col("logical_id").alias("run_id")).agg(F.min("off").alias("off"))
+    at = table.select("node", "off", F.col("seq_id").alias("head_seq"), F.col("seq_offset").alias("head_offset"))
+    return heads.join(at, ["node", "off"]).join(adjacent_lcp(table), ["node", "off"]).select("node", "run_id", "head_seq", "head_offset", "lcp")
+
+
 def locate_ends(table: DataFrame) -> DataFrame:
     """(node, first_seq, first_offset, last_seq, last_offset): suffixes of the first and the last visit."""
     at = F.struct("seq_id", "seq_offset")
@@ -216,6 +251,23 @@ def text_at(panel: Panel, places: DataFrame, end: Column) -> DataFrame:
     return places.select("i").join(text(panel, end), "i", "left")
 
 
+def text_violations(panel: Panel, written: DataFrame, end: Column) -> DataFrame:
+    """(i, node, found): places of the panel's text where another table of it (i, node) has something else, or nothing, or
+    more than one row, and places that only that table has."""
+    want = text(panel, end)
+    got = written.groupBy("i").agg(F.count("*").alias("n"), F.min("node").alias("found"))
+    both = want.join(got, "i", "full")
+    return both.filter(~(F.col("node").eqNullSafe(F.col("found")) & (F.col("n") == 1))).select("i", "node", "found")
+
+
+def suffix_violations(table: DataFrame) -> DataFrame:
+    """Visits from which the next suffix's previous one isn't their own; none in a consistent table."""
+    near = suffix_neighbours(table)
+    back = near.select("node", F.col("seq_id").alias("next_seq"), F.col("seq_offset").alias("next_offset"), F.col("prev_seq").alias("x"), F.col("prev_offset").alias("y"))
+    met = near.filter("next_seq IS NOT NULL").join(back, ["node", "next_seq", "next_offset"], "left")
+    return met.filter(~(F.col("x").eqNullSafe(F.col("seq_id")) & F.col("y").eqNullSafe(F.col("seq_offset")))).select("node", "off", "seq_id", "seq_offset")
+
+
 def violations(table: DataFrame) -> DataFrame:
     """Visits whose step forward and back again doesn't lead to themselves; none in a consistent table."""
     forth, back = lf(table), inverse_lf(table)
@@ -224,10 +276,19 @@ def violations(table: DataFrame) -> DataFrame:
 
 
 def alphabet(panel: Panel) -> DataFrame:
-    """(node, comp): nodes numbered from 1 in their order; 0 is left for the endmarker. One task numbers the distinct
-    nodes, after they are found with partial sums."""
-    nodes = panel.positions.select("node").distinct()
-    return nodes.withColumn("comp", F.row_number().over(Window.orderBy("node")).cast(LONG))
+    """(node, comp): nodes numbered from 1 in their order; 0 is left for the endmarker. Numbers run within groups of nodes
+    that begin alike (in two characters, or in all but the last 16 bits), then over the groups."""
+    kind = panel.positions.schema["node"].dataType.typeName()
+    group = F.substring("node", 1, 2) if kind == "string" else F.floor(F.col("node") / 65536)
+    nodes = panel.positions.select("node").distinct().withColumn("b", group)
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # over groups, not nodes
+    base = nodes.groupBy("b").agg(F.count("*").alias("n")).select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return nodes.join(base, "b").select("node", (F.col("base") + F.row_number().over(Window.partitionBy("b").orderBy("node"))).cast(LONG).alias("comp"))
+
+
+def to_node(panel: Panel, numbers: DataFrame) -> DataFrame:
+    """(comp, node) for numbers (comp); null where no node has the number."""
+    return numbers.select("comp").join(alphabet(panel), "comp", "left").select("comp", "node")
 
 
 def offset_to(table: DataFrame) -> DataFrame:
@@ -245,7 +306,23 @@ def lf_with_runs(table: DataFrame, end: Column) -> DataFrame:
 
 def suffixes_of(table: DataFrame, node) -> DataFrame:
     """(off, seq_id, seq_offset): all suffixes of a node, which `off` puts in order."""
-    return table.filter(F.col("node") == node).select("off", "seq_id", "seq_offset")
+    return suffixes(table).filter(F.col("node") == node).drop("node")
+
+
+def suffixes(table: DataFrame) -> DataFrame:
+    """(node, off, seq_id, seq_offset): the suffixes of all nodes, which `off` puts in order."""
+    return table.select("node", "off", "seq_id", "seq_offset")
+
+
+def dump(panel: Panel, end: Column, n: int = 20) -> None:
+    """Prints all that this module derives from a panel, n rows of each."""
+    table = visits(panel, end).drop("prefix")
+    for name, df in {
+        "paths": panel.paths(), "nodes": node_sizes(panel), "edges": edges(panel, end), "from smaller nodes": outgoing(panel), "visits, successors and suffixes": table, "steps": lf(table), "steps back": inverse_lf(table),
+        "runs": runs(table, end), "samples of runs": run_samples(table, end), "shared with the visit before": adjacent_lcp(table), "text": text(panel, end), "starts of paths": path_starts(panel),
+    }.items():
+        print(name)
+        df.orderBy(*df.columns[:2]).show(n, truncate=False)
 
 
 def insertion_offsets(queries: DataFrame, table: DataFrame) -> DataFrame:

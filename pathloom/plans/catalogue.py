@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared_segments
 from ..operators import ibd, maintain, matches, navigate
 from ..sources.panel import Panel
 
@@ -419,3 +420,93 @@ def lf_with_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("insertion_offsets", VISITS + ", q AS (SELECT pos.seq_id, pos.pos, pos.node, list_reverse(a.p[1:pos.pos + 1]) AS prefix FROM pos JOIN a ON a.seq_id = pos.seq_id WHERE pos.seq_id % 10 = 0) SELECT CAST(q.seq_id AS BIGINT) AS query_id, CAST(q.pos AS BIGINT) AS pos, CAST((SELECT count(*) FROM v WHERE v.node = q.node AND v.prefix < q.prefix) AS BIGINT) AS off FROM q")
 def insertion_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigate.insertion_offsets(events(spark, sf_dir).where("seq_id % 10 = 0").as_queries(), event_visits(spark, sf_dir))
+
+
+#: What one sequence, one place or one check gives.
+@query("extract_one", f"WITH {EVENTS} SELECT {longs('seq_id', 'pos')}, node FROM pos WHERE seq_id = (SELECT max(seq_id) FROM pos)")
+def extract_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = events(spark, sf_dir)
+    return panel.extract(panel.positions.agg(F.max("seq_id")).first()[0])
+
+
+@query("nodes_in_range", f"WITH {ORDERS} SELECT CAST(k AS BIGINT) AS node, k = 0 OR k BETWEEN (SELECT min(node) FROM pos) AND (SELECT max(node) FROM pos) AS contained FROM range(-3, 12) r(k)")
+def nodes_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.in_range(orders(spark, sf_dir), spark.range(-3, 12).withColumnRenamed("id", "node"))
+
+
+@query("panel_header", f"WITH {ORDERS} SELECT CAST(count(*) + count(DISTINCT seq_id) AS BIGINT) AS size, CAST(count(DISTINCT seq_id) AS BIGINT) AS sequences, CAST(max(node) + 1 AS BIGINT) AS sigma, CAST(max(node) - min(node) + 2 AS BIGINT) AS effective, FALSE AS bidirectional FROM pos")
+def panel_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.header(orders(spark, sf_dir))
+
+
+@query("alphabet_inverse", "SELECT CAST(k AS BIGINT) AS comp, node FROM range(0, 9) r(k) LEFT JOIN (SELECT node, row_number() OVER (ORDER BY node) AS c FROM (SELECT DISTINCT event_type AS node FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL)) ON c = k")
+def alphabet_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.to_node(events(spark, sf_dir), spark.range(9).withColumnRenamed("id", "comp"))
+
+
+@query("lf_to", VISITS + """, c AS (SELECT node, next_node, count(*) AS n FROM v GROUP BY 1, 2), e AS (SELECT DISTINCT node, next_node AS to_node FROM v WHERE next_node <> '$')
+SELECT a.node, CAST(a.off AS BIGINT) AS off, e.to_node, CAST(coalesce((SELECT sum(n) FROM c WHERE c.next_node = e.to_node AND c.node < a.node), 0) + (SELECT count(*) FROM v x WHERE x.pos = 0 AND x.node = e.to_node)
++ coalesce(sum(CASE WHEN a.next_node = e.to_node THEN 1 ELSE 0 END) OVER (PARTITION BY a.node, e.to_node ORDER BY a.off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS to_off FROM v a JOIN e ON a.node = e.node""")
+def lf_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each visit would land by each way out of its node."""
+    table = event_visits(spark, sf_dir).drop("prefix")
+    ways = table.filter(F.col("next_node") != END).select("node", F.col("next_node").alias("to")).distinct()
+    return navigate.lf_to_many(table, table.select("node", "off").join(ways, "node")).withColumnRenamed("to", "to_node")
+
+
+@query("offset_to", VISITS + " SELECT a.node, b.node AS next_node, CAST(b.off AS BIGINT) AS next_off, CAST(a.off AS BIGINT) AS off FROM v a JOIN v b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1")
+def offset_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.offset_to(event_visits(spark, sf_dir))
+
+
+@query("node_suffixes", VISITS + f" SELECT node, {longs('off', 'seq_id', 'seq_offset')} FROM v")
+def node_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.suffixes(event_visits(spark, sf_dir))
+
+
+LOGICAL = RUNS + ", g AS (SELECT node, off, sum(greatest(n, CASE WHEN next_node = '$' THEN 1 ELSE 0 END)) OVER (PARTITION BY node ORDER BY off) - 1 AS run_id FROM f), u AS (SELECT g.node, g.run_id, g.off, v.seq_id, v.seq_offset FROM g JOIN v ON g.node = v.node AND g.off = v.off)"
+
+
+@query("run_samples", LOGICAL + " SELECT node, CAST(run_id AS BIGINT) AS run_id, CAST(arg_min(seq_id, off) AS BIGINT) AS head_seq, CAST(arg_min(seq_offset, off) AS BIGINT) AS head_offset, CAST(arg_max(seq_id, off) AS BIGINT) AS tail_seq, CAST(arg_max(seq_offset, off) AS BIGINT) AS tail_offset FROM u GROUP BY node, run_id")
+def run_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.run_samples(event_visits(spark, sf_dir), F.lit(END))
+
+
+@query("head_lcp", LOGICAL + ", h AS (SELECT node, run_id, min(off) AS off FROM u GROUP BY node, run_id) SELECT h.node, CAST(h.run_id AS BIGINT) AS run_id, CAST(a.seq_id AS BIGINT) AS head_seq, CAST(a.seq_offset AS BIGINT) AS head_offset, CAST(coalesce(len(list_filter(range(1, least(len(a.prefix), len(b.prefix)) + 1), lambda n: a.prefix[1:n] = b.prefix[1:n])), 0) AS BIGINT) AS lcp FROM h JOIN v a ON a.node = h.node AND a.off = h.off LEFT JOIN v b ON b.node = h.node AND b.off = h.off - 1")
+def head_lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.head_lcp(event_visits(spark, sf_dir), F.lit(END))
+
+
+@query("reverse_queries", f"WITH {EVENTS}, l AS (SELECT seq_id, max(pos) + 1 AS n FROM pos GROUP BY 1) SELECT CAST(seq_id AS BIGINT) AS query_id, CAST(n - 1 - pos AS BIGINT) AS pos, node FROM pos JOIN l USING (seq_id) UNION ALL SELECT CAST(seq_id AS BIGINT), CAST(n AS BIGINT), '$' FROM l")
+def reverse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.reversed_with_end(events(spark, sf_dir).as_queries(), F.lit(END))
+
+
+@query("text_check", TEXT + " SELECT CAST(i AS BIGINT) AS i, CAST(5 AS BIGINT) AS node, CAST(6 AS BIGINT) AS found FROM txt WHERE node = 5")
+def text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a text in which one node was written as another."""
+    panel, end = orders(spark, sf_dir), F.lit(0).cast("long")
+    written = navigate.text(panel, end).withColumn("node", F.when(F.col("node") == 5, 6).otherwise(F.col("node")))
+    return navigate.text_violations(panel, written, end)
+
+
+@query("suffix_check", VISITS + f" SELECT node, {longs('off', 'seq_id', 'seq_offset')} FROM v WHERE off < 0")
+def suffix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No visit's next suffix has another one before it."""
+    return navigate.suffix_violations(event_visits(spark, sf_dir).drop("prefix"))
+
+
+def both_ways(spark: SparkSession, sf_dir: str) -> Panel:
+    return maintain.bidirectional(Panel(orders(spark, sf_dir).positions.withColumn("node", 2 * F.col("node"))))
+
+
+@query("remove_haplotypes", f"WITH {ORDERS}, l AS (SELECT seq_id, count(*) AS n FROM pos GROUP BY 1), r AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS h, n FROM l WHERE seq_id % 7 <> 0) SELECT CAST(2 * h AS BIGINT) AS seq_id, CAST(pos AS BIGINT) AS pos, CAST(2 * node AS BIGINT) AS node FROM pos JOIN r USING (seq_id) UNION ALL SELECT CAST(2 * h + 1 AS BIGINT), CAST(n - 1 - pos AS BIGINT), CAST(2 * node + 1 AS BIGINT) FROM pos JOIN r USING (seq_id)")
+def remove_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both orientations go, though only the forward ones are named."""
+    panel = both_ways(spark, sf_dir)
+    return maintain.remove(panel, panel.positions.filter("seq_id % 14 = 0").select("seq_id").distinct()).positions
+
+
+@query("ibd_both_ways", f"WITH {ORDERS}, q AS (SELECT seq_id AS query_id, pos, node FROM pos), t AS (SELECT * FROM pos), " + ISLANDS.format(on=" AND t.seq_id > q.query_id") + f" SELECT {SEGMENT} FROM isl WHERE length >= 6")
+def ibd_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_segments.call(both_ways(spark, sf_dir), 6)

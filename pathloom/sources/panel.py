@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The columns of shared segments, in order.
+SEGMENT_COLUMNS = ("hap1_id", "hap2_id", "hap1_start", "hap2_start", "length_nodes")
+
+
 @dataclass(frozen=True)
 class Panel:
     """positions (seq_id long, pos long from 0, node of any comparable type). bidirectional: sequence 2h is haplotype h
@@ -26,17 +30,21 @@ class Panel:
 
     @staticmethod
     def from_paths(paths: DataFrame, bidirectional: bool = False) -> Panel:
-        """From (seq_id, path array)."""
+        """From (seq_id, path array). A sequence without nodes, null or empty, has no positions, and so isn't counted."""
         rows = paths.select(F.col("seq_id").cast("long").alias("seq_id"), F.posexplode("path").alias("pos", "node"))
         return Panel(rows.select("seq_id", F.col("pos").cast("long").alias("pos"), "node"), bidirectional)
 
     @staticmethod
     def from_text(spark: SparkSession, path: str) -> Panel:
-        """A line for each path: comma-separated integers, however padded; the order of lines within a file counts."""
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+        """A line for each path: comma-separated integers, however padded. Lines are numbered in the order of files and of
+        lines in them; a line without integers has a number and no path. Files may be split among tasks."""
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+        before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)  # over parts of files, not lines
+        base = lines.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("i").alias("low")).select("f", "b", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        number = (F.col("base") + F.col("i") - F.col("low")).cast("long")  # a part's lines are numbered without gaps
         nodes = F.transform(F.regexp_extract_all("value", F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long"))
-        paths = lines.select(F.col("line").cast("long").alias("seq_id"), nodes.alias("path")).filter(F.size("path") > 0)
-        return Panel.from_paths(paths)
+        paths = lines.join(base, ["f", "b"]).select(number.alias("seq_id"), nodes.alias("path"))
+        return Panel.from_paths(paths.filter(F.size("path") > 0))
 
     @staticmethod
     def load(spark: SparkSession, path: str, bidirectional: bool = False) -> Panel:
@@ -81,13 +89,16 @@ class Panel:
         self.paths().orderBy("seq_id").show(n, truncate=False)
 
 
-def queries_from_stream(symbols: DataFrame, endmarker=0) -> DataFrame:
-    """(query_id, pos, node) from (i, node): paths one after the other, each ended by the endmarker."""
-    w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    split = symbols.withColumn("query_id", F.coalesce(F.sum(F.when(F.col("node") == endmarker, 1).otherwise(0)).over(w), F.lit(0)).cast("long"))
-    split = split.filter(F.col("node") != endmarker)
-    within = Window.partitionBy("query_id").orderBy("i")
-    return split.select("query_id", (F.row_number().over(within) - 1).cast("long").alias("pos"), "node")
+def queries_from_stream(symbols: DataFrame, endmarker=0, bucket: int = 65536) -> DataFrame:
+    """(query_id, pos, node) from (i, node): paths one after the other, each ended by the endmarker. Endmarkers are counted
+    within buckets of i, then over the buckets, so no task holds the whole stream."""
+    own = symbols.select("i", "node", F.floor(F.col("i") / bucket).alias("b"), F.when(F.col("node") == endmarker, 1).otherwise(0).alias("e"))
+    earlier = lambda w: F.coalesce(F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = own.groupBy("b").agg(F.sum("e").alias("e")).select("b", earlier(Window.orderBy("b")).alias("base"))
+    split = own.withColumn("within", earlier(Window.partitionBy("b").orderBy("i"))).join(base, "b").filter("e = 0")
+    split = split.select((F.col("base") + F.col("within")).cast("long").alias("query_id"), "i", "node")
+    order = Window.partitionBy("query_id").orderBy("i")
+    return split.select("query_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), "node")
 
 
 def queries_to_stream(paths: DataFrame, endmarker: int = 0) -> DataFrame:
@@ -97,6 +108,5 @@ def queries_to_stream(paths: DataFrame, endmarker: int = 0) -> DataFrame:
 
 def write_segments(segments: DataFrame, path: str) -> None:
     """Tab-separated values in order of all columns, the names led by '#' in the first line of each file."""
-    order = ["hap1_id", "hap2_id", "hap1_start", "hap2_start", "length_nodes"]
-    named = segments.orderBy(*order).select(F.col("hap1_id").alias("#hap1_id"), *order[1:])
+    named = segments.orderBy(*SEGMENT_COLUMNS).select(F.col("hap1_id").alias("#hap1_id"), *SEGMENT_COLUMNS[1:])
     named.write.mode("overwrite").option("sep", "\t").option("header", True).option("comment", "\u0001").csv(path)  # else the name that begins with # is quoted
