@@ -10,7 +10,7 @@ anchor, as long as the windows in it still overlap. This rules windows out, and
 4. Each class is written out with the text that it covers, and the operator's own method compares the classes' windows,
    symbol by symbol. A class of weight two or more stands for so many windows at each of its places.
 
-Symbols are 64-bit hashes. Names of grams double in length: a name of 2n symbols is a mix of two names of n. Names only
+Symbols are 64-bit hashes; where they are bytes, they are hashed part by part. Names of grams double in length: a name of 2n symbols is a mix of two names of n. Names only
 tell which windows need not be compared, but in one place: that runs of one anchor are of one class is told by their
 64-bit names. That two different ones among n runs of an anchor have one has a chance of about n * n / 2 ** 65.
 """
@@ -32,6 +32,8 @@ from .storage import scratch, stash
 U = np.uint64
 #: Odd multipliers of the mixing steps.
 M1, M2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: A hash of each byte.
+BYTES = (np.arange(1, 257, dtype=U) * M1 ^ (np.arange(1, 257, dtype=U) * M2 >> U(31))) * M2
 #: Symbols that are handled at once; longer texts are cut into overlapping parts.
 PART = 1 << 17
 
@@ -127,6 +129,10 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndar
     return text, at - bounds[text], count, anchor[first], cover(power, at, count + w - 1, p), twice[high] > twice[low]
 
 
+def hashed(x: np.ndarray) -> np.ndarray:
+    return BYTES[x] if x.dtype == np.uint8 else x
+
+
 def parts(arrays: Iterator[np.ndarray], width: int) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
     """Symbols in parts of about PART: (number of the text, offset in it) of each piece, symbols, bounds."""
     held: list[np.ndarray] = []
@@ -141,7 +147,7 @@ def parts(arrays: Iterator[np.ndarray], width: int) -> Iterator[tuple[list[tuple
             piece = x[s : s + PART + width - 1]
             if len(piece) < width:
                 continue
-            held.append(piece)
+            held.append(hashed(piece))
             ids.append((i, s))
             size += len(piece)
             if size >= PART:
@@ -155,6 +161,7 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+#: A text's symbols, as hashes or as bytes.
 Symbols = Callable[[bytes], np.ndarray]
 #: Gives stretches (starts, lengths) of a text's symbols as texts of their own.
 Cut = Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]
@@ -233,11 +240,14 @@ def lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
 
 def covered(n: int, gone: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
     """Which of a text's n symbols lie in a repeated window."""
-    if gone is None:
-        return np.zeros(n, bool)
-    edges = np.bincount(gone[0], minlength=n + 1).astype(np.int32)
-    edges -= np.bincount(gone[1], minlength=n + 1).astype(np.int32)
-    return np.cumsum(edges[:n]) > 0
+    mask = np.zeros(n, bool)
+    if gone is not None and len(gone[0]):
+        order = np.argsort(gone[0], kind="stable")
+        start, reach = gone[0][order], np.maximum.accumulate(gone[1][order])
+        new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+        for a, b in zip(start[new].tolist(), reach[np.append(new[1:], len(start)) - 1].tolist(), strict=True):
+            mask[a:b] = True
+    return mask
 
 
 def stretches(place: np.ndarray, run: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,7 +291,7 @@ def deal(listed: DataFrame, symbols: Symbols, cut: Cut, width: int, prefixes: tu
                 row = b.slice(k, 1)
                 region, n = row.column(5)[0].as_py(), row.column(4)[0].as_py()
                 x = symbols(region)
-                found = names(x, *lengths)
+                found = names(hashed(x), *lengths)
                 for low in range(0, n, 500):
                     at = np.arange(low, min(n, low + 500))
                     one = pa.array(np.zeros(len(at), np.int64))

@@ -20,17 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_rows, small_batches, texts
-from .repeats import M1, M2, Found, Shape, covered, deal, find, lists, ranges, spans, stretches
+from .repeats import Found, Shape, covered, deal, find, lists, ranges, spans, stretches
 
 WIDTH, GRAM, DIGIT = 400, 64, 64
 #: Suffixes that a task may hold.
 LIMIT = 400_000
-#: A hash of each byte.
-BYTES = (np.arange(1, 257, dtype=np.uint64) * M1 ^ (np.arange(1, 257, dtype=np.uint64) * M2 >> np.uint64(31))) * M2
 
 
 def symbols(text: bytes) -> np.ndarray:
-    return BYTES[np.frombuffer(text, np.uint8)]
+    return np.frombuffer(text, np.uint8)
 
 
 def cut(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
@@ -101,10 +99,15 @@ def repeated_bytes(docs: DataFrame, width: int, gram: int, id_col: str, text_col
 
 def whole(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """The mask without bytes of characters that it has only in part."""
-    if not mask.any():
-        return mask
-    lead = np.flatnonzero((x & 0xC0) != 0x80)
-    return np.repeat(np.minimum.reduceat(mask, lead), np.diff(np.append(lead, len(x))))
+    part = (x & 0xC0) == 0x80  # not the first byte of a character
+    out = np.zeros(len(x), bool)
+    for a, b in spans(mask).T.tolist():
+        while a < b and part[a]:
+            a += 1
+        while a < b < len(x) and part[b]:
+            b -= 1
+        out[a:b] = True
+    return out
 
 
 def _all_rows(found: Found, run: Callable[[bytes, tuple | None], tuple], schema: str, kinds: tuple[pa.DataType, ...]) -> DataFrame:

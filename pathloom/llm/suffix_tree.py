@@ -28,21 +28,36 @@ from .repeats import Shape, covered, deal, find, lists, ranges, stretches
 WIDTH, GRAM = 35, 12
 #: Suffixes that a task may hold.
 LIMIT = 200_000
-WORD = re.compile(rb"[^ \t-\r]+")
+WORD, SPACE = re.compile(rb"[^ \t-\r]+"), re.compile(rb"[ \t-\r]")
+IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+CHUNK = 1 << 18
 
 
 def words(text: bytes) -> list[bytes]:
     return WORD.findall(text)
 
 
+def some_words(text: bytes) -> Iterator[list[bytes]]:
+    """words(text), in lists of what about CHUNK bytes hold."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + CHUNK)
+        end = space.start() if space else len(text)
+        yield WORD.findall(text, at, end)
+        at = end
+
+
 def symbols(text: bytes) -> np.ndarray:
-    found = words(text)
-    return np.fromiter(map(hashes().__getitem__, found), np.uint64, len(found))
+    parts = [np.fromiter(map(hashes().__getitem__, some), np.uint64, len(some)) for some in some_words(text)]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
 
 
 def cut(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    found = words(text)
-    return [b" ".join(found[s : s + n]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    """Stretches of words, each word followed by one space but the last."""
+    inside = np.concatenate([[False], ~IS_SPACE[np.frombuffer(text, np.uint8)], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edge[::2][starts], edge[1::2][starts + lengths - 1]
+    return [b" ".join(WORD.findall(text, a, b)) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
 
 @dataclass(frozen=True)
@@ -128,18 +143,22 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = L
     found = find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: trees(x, width, gram, limit))
     name = "kept_sha256" if digest else "kept"
 
+    def one(text: bytes, gone: tuple | None) -> tuple:
+        mask = None if gone is None else covered(sum(map(len, some_words(text))), gone)
+        n, parts, sha = 0, [], hashlib.sha256()
+        for some in some_words(text):
+            left = some if mask is None else list(compress(some, (~mask[n : n + len(some)]).tolist()))
+            n += len(some)
+            if left and digest:
+                sha.update(b" " * bool(parts) + b" ".join(left))
+                parts = [b""]
+            elif left:
+                parts.append(b" ".join(left))
+        return n, 0 if mask is None else int(mask.sum()), sha.hexdigest() if digest else b" ".join(parts).decode(errors="replace")
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, gone in zip(b.column(1), lists(b.column(2)) if b.num_columns > 2 else [None] * b.num_rows, strict=True):
-            x = words(text.as_py())
-            n, removed = len(x), 0
-            if gone is not None:
-                mask = covered(n, gone)
-                removed = int(mask.sum())
-                x = compress(x, (~mask).tolist())
-            kept = b" ".join(x)
-            out.append((n, removed, hashlib.sha256(kept).hexdigest() if digest else kept.decode(errors="replace")))
-        n, removed, kept = zip(*out, strict=True)
+        gone = lists(b.column(2)) if b.num_columns > 2 else [None] * b.num_rows
+        n, removed, kept = zip(*(one(t.as_py(), g) for t, g in zip(b.column(1), gone, strict=True)), strict=True)
         long = pa.int64()
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, long), pa.array(removed, long), pa.array(kept, pa.string())], names=[b.schema.names[0], "n_words", "n_removed", name])
 
