@@ -17,7 +17,10 @@ MEMO, LONGEST = 200_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A table, read by as many tasks as there are cores at least: one of fewer splits, such as a file of one row group, is
+    dealt out by rows first. Large tables have more splits, and are read as they are."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return small_batches(df if df.rdd.getNumPartitions() >= cores else df.repartition(cores))
 
 
 def small_batches(df: DataFrame) -> DataFrame:

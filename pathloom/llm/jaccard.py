@@ -8,10 +8,10 @@ this n-gram). The suffix filter then splits the range of hashes into a few parts
 whether a part has any, and parts that only one of two sets has bound what they may share. Only pairs that pass are given
 whole sets, and counted. A pair that was counted and rejected is kept in mind, so that each pair is counted once.
 
-Components need few of the pairs. First each node is only compared with the head of one of its buckets, the first node in
-an order by hash; the order is the same in all buckets at first, so that large groups meet one head, and then another in
-each bucket, so that they meet many. Buckets whose nodes are of one component need nothing more. At last whatever pairs
-of a bucket still lie in different components are counted, so that no link is lost.
+Components need few of the pairs. First each node is only compared with two heads of its buckets; a bucket's head is its
+first node in an order by hash, which is the same in all buckets, so that nodes of a group of near copies mostly meet the
+same few heads. Buckets whose nodes are of one component need nothing more. Large buckets that do are given other heads a
+few times. At last whatever pairs of a bucket still lie in different components are counted, so that no link is lost.
 
 All links are pairs within a component, so links() counts them there: every pair of a component's nodes is looked at once.
 
@@ -42,8 +42,8 @@ HELD = 1_000_000
 RANGE, ROWS = 200_000, 4096
 #: Parts of the range of hashes for each n-gram of a set, at least.
 PARTS = 4
-#: Times that buckets' heads are met, and the pairs across components at last.
-PHASES = 4
+#: Nodes of a bucket that is given other heads, at least, and how often.
+LARGE, ROUNDS = 32, 4
 WORD = re.compile(rb"[^ \t-\r]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
@@ -223,16 +223,26 @@ def split_buckets(found: DataFrame) -> DataFrame:
     return found.join(split, "bucket", "left_semi")
 
 
-def heads(found: DataFrame, percent: int, *by: str, seed: int = 0) -> DataFrame:
-    """(a, b): each node with the heads of two of its buckets at most, the first and the last in an order by hash of those
-    in another component that pass the filters. A bucket's head is its first node in an order by a hash of `by`."""
-    order = F.xxhash64(F.lit(seed), *by)
+def labelled(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """Bucket rows with the component of their node in parts (node, component); a node that isn't there is one by itself.
+    Only rows of nodes that may be there are shuffled."""
+    named = parts.select(F.col("node").alias("key"), "component")
+    own = found.select("bucket", "key", "size", "pos", sieve(named, "key")(F.col("key")).alias("hit"))
+    columns = ["bucket", "key", "size", "pos"]
+    alone = own.filter("NOT hit").select(*columns, F.col("key").alias("component"))
+    return alone.unionByName(own.filter("hit").join(named, "key", "left").select(*columns, F.coalesce("component", "key").alias("component")))
+
+
+def heads(found: DataFrame, percent: int, seed: int = 0) -> DataFrame:
+    """(a, b): each node with two of its buckets' heads at most, those in another component that pass the filters: the one
+    that it shares most buckets with, and the first in an order by hash. A bucket's head is its first node in another one."""
+    order = F.xxhash64(F.lit(seed), "key")
     head = found.groupBy("bucket").agg(F.min_by(F.struct("key", "component", "size", "pos"), F.struct(order, "key")).alias("h"))
     head = head.select("bucket", *(F.col(f"h.{c}").alias(f"o_{c}") for c in ("key", "component", "size", "pos")))
     met = found.join(head, "bucket").filter((F.col("component") != F.col("o_component")) & passing(percent))
-    rank = F.struct(F.xxhash64(F.lit(seed), "o_key"), "o_key")
-    ends = met.groupBy("key").agg(F.min(rank).alias("low"), F.max(rank).alias("high"))
-    both = ends.select("key", F.col("low.o_key").alias("other")).unionByName(ends.select("key", F.col("high.o_key").alias("other")))
+    shared = met.groupBy("key", "o_key").agg(F.count("*").alias("n"))
+    ends = shared.groupBy("key").agg(F.max(F.struct("n", "o_key")).alias("most"), F.min(F.struct(F.xxhash64("key", "o_key").alias("n"), "o_key")).alias("first"))
+    both = ends.select("key", F.col("most.o_key").alias("other")).unionByName(ends.select("key", F.col("first.o_key").alias("other")))
     return both.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
@@ -322,7 +332,6 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
     own = texts(docs, id_col, text_col, as_bytes=True).select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
     scanned = stash(scan(own, n), "scan", keep=True)
     rows = scanned.filter("block IS NULL").select("doc_id", "key", "n_shingles")
-    of_node = F.coalesce("component", "key").alias("component")
     with scratch():
         total = rows.agg(F.sum("n_shingles")).first()[0] or 0
         ranges = max(16, partitions(spark), prefix_size(total, percent) // RANGE)
@@ -330,20 +339,31 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
         nodes = scanned.filter("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
         nodes = stash(nodes.join(found.select("key").distinct(), "key", "left_semi"), "nodes")
         corpus = own.select("key", "text")
-        live, parts, rejected = found.withColumn("component", F.col("key")), None, None
-        for phase in range(PHASES):
-            last = phase == PHASES - 1
-            todo = across(live, percent) if last else heads(live, percent, *(["key", "bucket"] if phase else ["key"]), seed=phase)
-            counted = verify(todo if rejected is None else todo.join(rejected, ["a", "b"], "left_anti"), nodes, corpus, n, percent)
+        rejected = parts = None
+
+        def count(pairs: DataFrame, texts_: DataFrame) -> DataFrame:
+            """(node, component) with the links among these pairs as well."""
+            nonlocal rejected
+            counted = verify(pairs if rejected is None else pairs.join(rejected, ["a", "b"], "left_anti"), nodes, texts_, n, percent)
             no = counted.filter("NOT ok").select("a", "b")
             rejected = no if rejected is None else rejected.unionByName(no)
             links = counted.filter("ok").select("a", "b")
             if parts is not None:  # what is known is a link of each node to its component
                 links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            parts = stash(components(links), "parts", keep=True)
-            if not last:
-                live = live.drop("component").join(parts.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "size", "pos", of_node)
-                live = stash(split_buckets(live), "live")
+            return stash(components(links), "parts", keep=True)
+
+        parts = count(heads(found.withColumn("component", F.col("key")), percent), corpus)
+        live = stash(split_buckets(labelled(found, parts)), "live")
+        sizes = live.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") >= LARGE).select("bucket")
+        large = stash(live.join(sizes, "bucket", "left_semi"), "large")
+        some = stash(corpus.filter(sieve(large, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text")), "texts")
+        for seed in range(1, ROUNDS + 1):
+            if large.isEmpty():
+                break
+            parts = count(heads(large, percent, seed), some)
+            large = stash(split_buckets(labelled(large, parts)), "large")
+        live = stash(split_buckets(labelled(live, parts)), "live")
+        parts = count(across(live, percent), corpus)
     named = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", "key", F.col("component").alias("group"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -243,7 +243,7 @@ def test_pairs_that_only_the_last_phase_finds(spark):
                 want.add((min(x, y), max(x, y)))
     for block in (4096, 6):
         assert {(bytes(r.a), bytes(r.b)) for r in jaccard.across(found, 75, block).collect()} == want
-    some = [(bytes(r.a), bytes(r.b)) for r in jaccard.heads(found, 75, "key").collect()]
+    some = [(bytes(r.a), bytes(r.b)) for r in jaccard.heads(found, 75).collect()]
     assert set(some) <= want and len(some) == len(set(some)) > 0
     assert jaccard.across(found.limit(0), 75).count() == 0
 
