@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between Spark and Python, about: what a task holds of its input at once.
 BATCH_BYTES = 4 << 20
-#: Words whose hashes a Python worker remembers, and the longest of them.
-MEMO, LONGEST = 200_000, 64
+#: White space between words; odd random numbers for the places of a word; bytes of text that are hashed at once.
+SPACE, IS_SPACE = re.compile(rb"[ \t-\r]"), np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+PLACES = np.random.default_rng(1).integers(0, 1 << 63, 128, np.uint64) << np.uint64(1) | np.uint64(1)
+PIECE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,19 +61,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class Hashes(dict):
-    """64-bit hashes of words; those of short words are remembered, within a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = h
-        return h
-
-
-@lru_cache(maxsize=1)
-def hashes() -> Hashes:
-    """One for each Python worker."""
-    return Hashes()
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about PIECE bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + PIECE)
+        end = space.start() if space else len(text)
+        yield text[at:end] if at or end < len(text) else text
+        at = end
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes times fixed random numbers, one for each place in a word, summed and mixed.
+    Two words have the same sum with a chance of 2 ** -56 at most. Words that are longer than there are numbers are
+    hashed by blake2b."""
+    return np.concatenate([np.zeros(0, np.uint64), *map(_word_hashes, _pieces(text))])
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], ~IS_SPACE[b], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(length) - length
+    own = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
+    at = own + np.repeat(start, length)
+    terms = PLACES[np.minimum(own, len(PLACES) - 1)] * (b[at].astype(np.uint64) + np.uint64(1))
+    h = np.add.reduceat(terms, first)
+    for k in np.flatnonzero(length > len(PLACES)).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(text[start[k] : start[k] + length[k]], digest_size=8).digest(), "little")
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h

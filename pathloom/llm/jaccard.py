@@ -20,7 +20,6 @@ Texts that are equal are one node; a node is the MD5 of its text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, hashes, map_rows, partitions, texts
+from .common import batch, map_rows, partitions, texts, word_hashes
 from .components import components
 from .sieve import sieve
 from .storage import scratch, stash
@@ -44,7 +43,6 @@ RANGE, ROWS = 200_000, 4096
 PARTS = 4
 #: Nodes of a bucket that is given other heads, at least, and how often.
 LARGE, ROUNDS = 32, 4
-WORD = re.compile(rb"[^ \t-\r]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 MEMO = 400_000
@@ -54,8 +52,7 @@ MEMBERS, COLUMNS = 512, 4096
 
 def all_grams(text: bytes, n: int) -> np.ndarray:
     """Hashes of the n-grams of lower-cased words; of fewer words, one of the whole sequence; of none, none."""
-    found = WORD.findall(text.translate(LOWER))
-    x = np.fromiter(map(hashes().__getitem__, found), np.uint64, len(found))
+    x = word_hashes(text.translate(LOWER))
     n = min(n, len(x))
     if not n:
         return x
@@ -67,7 +64,8 @@ def all_grams(text: bytes, n: int) -> np.ndarray:
 
 
 def gram_set(text: bytes, n: int) -> np.ndarray:
-    return np.unique(all_grams(text, n))
+    h = np.sort(all_grams(text, n))
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def prefix_size(size: int, percent: int) -> int:
@@ -100,12 +98,14 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
         counts, names = np.zeros(COUNTERS, np.uint32), ["doc_id", "key", "n_shingles", "bits", "block", "counts"]
         kinds = pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()
         for b in batches:
-            texts_, sizes, bits = b.column(2).to_pylist(), [], []
-            for t in texts_:
-                h = gram_set(t, n)
+            sizes, bits, held = [], [], []
+            for t in b.column(2):
+                h = gram_set(t.as_py(), n)
                 sizes.append(len(h))
                 bits.append(bitmap(h))
-                np.add.at(counts, (h >> U(COUNTER)).astype(np.int64), 1)
+                held.append((h >> U(COUNTER)).astype(np.int32))
+            where, times = np.unique(np.concatenate(held), return_counts=True)
+            counts[where] += times.astype(np.uint32)
             none = [pa.nulls(b.num_rows, k) for k in kinds[4:]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, kinds[2]), pa.array(bits, kinds[3]), *none], names=names)
         if counts.any():

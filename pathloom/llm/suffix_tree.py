@@ -22,14 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import hashes, map_rows, texts
+from .common import IS_SPACE, SPACE, map_rows, texts, word_hashes
 from .repeats import Shape, covered, deal, find, lists, ranges, stretches
 
 WIDTH, GRAM = 35, 12
 #: Suffixes that a task may hold.
 LIMIT = 200_000
-WORD, SPACE = re.compile(rb"[^ \t-\r]+"), re.compile(rb"[ \t-\r]")
-IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+WORD = re.compile(rb"[^ \t-\r]+")
 CHUNK = 1 << 18
 
 
@@ -47,11 +46,6 @@ def some_words(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def symbols(text: bytes) -> np.ndarray:
-    parts = [np.fromiter(map(hashes().__getitem__, some), np.uint64, len(some)) for some in some_words(text)]
-    return np.concatenate([np.zeros(0, np.uint64), *parts])
-
-
 def cut(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """Stretches of words, each word followed by one space but the last."""
     inside = np.concatenate([[False], ~IS_SPACE[np.frombuffer(text, np.uint8)], [False]])
@@ -129,7 +123,7 @@ def grow(table: pa.Table, width: int) -> pa.Table:
 def trees(listed: DataFrame, width: int, gram: int, limit: int = LIMIT) -> DataFrame:
     """FOUND of classes of runs (see repeats.find): which windows are leaves below an inner node as deep as they are wide."""
     lengths = tuple(range(gram, width, gram))
-    return deal(listed, symbols, cut, width, lengths, limit, lambda table: grow(table, width))
+    return deal(listed, word_hashes, cut, width, lengths, limit, lambda table: grow(table, width))
 
 
 def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -140,7 +134,7 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = L
     Null texts have no words; texts shorter than a window keep everything; rows that repeat remove one another, whatever
     their doc_id, which may be null. Other columns don't matter; an empty table gives no rows. A text that many rows have
     is examined once."""
-    found = find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: trees(x, width, gram, limit))
+    found = find(texts(docs, id_col, text_col, as_bytes=True), word_hashes, cut, Shape(width, gram), lambda x: trees(x, width, gram, limit))
     name = "kept_sha256" if digest else "kept"
 
     def one(text: bytes, gone: tuple | None) -> tuple:
