@@ -12,20 +12,20 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows, texts
+from .common import batch, texts
 
 SIZE, END, MIN_GAP = 4096, 2, 32
 #: Bytes of text in a group, about.
 GROUP_BYTES = 12_000_000
-#: Words that a Python worker remembers, about, and texts that it takes at once.
-MEMO, AT_ONCE = 1_000_000, 200
+#: Words that a task remembers, the first that it meets, and texts that it takes at once.
+MEMO, AT_ONCE = 600_000, 200
 #: White space to Python, but not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -95,6 +95,15 @@ def pack(lengths: list[int], size: int = SIZE, min_gap: int = MIN_GAP) -> list[l
     return full + whole
 
 
+class _Known(dict):
+    """Ids of words: those that are remembered, and those of the words that are new in the texts at hand."""
+
+    fresh: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+
 class Encoder:
     """Texts' ids, as little-endian 16-bit integers (the vocabulary has under 65,536 entries).
 
@@ -110,36 +119,31 @@ class Encoder:
             raise ValueError("ids must fit 16 bits")
         if any(x.content.split() != [x.content] for x in tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("a special token has white space in it")
-        self.tokenizer, self.words = tokenizer, {}
+        self.tokenizer, self.words = tokenizer, _Known()
 
     def plainly(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> dict[str, bytes]:
         odd = [w for w in words if not unicodedata.is_normalized("NFC", w)]
-        if odd:
-            self.words.update((w, self.plainly(w)) for w in odd)
-            words = [w for w in words if w not in self.words]
-        if not words:
-            return
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, ends = np.array(found.ids, "<u2").tobytes(), np.array(found.offsets).reshape(-1, 2)[:, 1]
-        cuts = (np.searchsorted(ends, np.cumsum([len(w) + 1 for w in words])) * 2).tolist()
-        self.words.update(zip(words, map(ids.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        found = {w: self.plainly(w) for w in odd}
+        words = [w for w in words if w not in found] if odd else words
+        if words:
+            tokens = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ids, ends = np.array(tokens.ids, "<u2").tobytes(), np.array(tokens.offsets).reshape(-1, 2)[:, 1]
+            cuts = (np.searchsorted(ends, np.cumsum([len(w) + 1 for w in words])) * 2).tolist()
+            found.update(zip(words, map(ids.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.words) >= MEMO:
-            self.words.clear()
-        new = dict.fromkeys(w for words in cut if words for w in words if w not in self.words)
-        self.learn(list(new))
-        return [self.plainly(t) if words is None else b"".join(map(self.words.__getitem__, words)) for t, words in zip(texts, cut, strict=True)]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker."""
-    return Encoder(path)
+        known = self.words
+        known.fresh = self.learn(list(dict.fromkeys(w for words in cut if words for w in words if w not in known)))
+        out = [self.plainly(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, cut, strict=True)]
+        if len(known) < MEMO:
+            known.update(known.fresh)
+        known.fresh = {}
+        return out
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -155,13 +159,15 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
 
-    def tokenised(b: pa.RecordBatch) -> pa.RecordBatch:
-        e, end = encoder(path), np.array([END], "<u2").tobytes()
-        ids = [x + end for k in range(0, b.num_rows, AT_ONCE) for x in e.encode(b.column(2)[k : k + AT_ONCE].to_pylist())]
-        return batch(grp=b.column(0), doc_id=b.column(1), ids=pa.array(ids, pa.binary()))
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, end = Encoder(path), np.array([END], "<u2").tobytes()  # what a task remembers goes with it
+        for whole in batches:
+            for k in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(k, AT_ONCE)
+                yield batch(grp=b.column(0), doc_id=b.column(1), ids=pa.array([x + end for x in e.encode(b.column(2).to_pylist())], pa.binary()))
 
     dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "doc_id", "text")
-    dealt = map_rows(dealt, tokenised, "grp long, doc_id long, ids binary")
+    dealt = dealt.mapInArrow(tokenised, "grp long, doc_id long, ids binary")
     kind = pa.list_(pa.int32())
 
     def packed(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
