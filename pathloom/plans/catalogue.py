@@ -510,3 +510,47 @@ def remove_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ibd_both_ways", f"WITH {ORDERS}, q AS (SELECT seq_id AS query_id, pos, node FROM pos), t AS (SELECT * FROM pos), " + ISLANDS.format(on=" AND t.seq_id > q.query_id") + f" SELECT {SEGMENT} FROM isl WHERE length >= 6")
 def ibd_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_segments.call(both_ways(spark, sf_dir), 6)
+
+
+#: The queries with unknown symbols, each against all sequences but its own.
+def with_unknown_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Panel]:
+    q, t = whole(events(spark, sf_dir))
+    odd = (F.col("query_id") % 40 == 0) & (F.col("pos") == 4)
+    return q.withColumn("node", F.when(odd, F.lit("?")).otherwise(F.col("node"))), t
+
+
+UNKNOWN_WHOLE = f"WITH {EVENTS}, q0 AS (SELECT seq_id AS query_id, pos, CASE WHEN seq_id % 40 = 0 AND pos = 4 THEN '?' ELSE node END AS node FROM pos WHERE seq_id % 20 = 0), t AS (SELECT * FROM pos), "
+APART = ISLANDS.format(on=" AND t.seq_id <> q.query_id") + f" SELECT {MATCH} FROM isl WHERE length >= 6"
+
+
+@query("unknown_node_guard_whole", UNKNOWN_WHOLE + "q AS (SELECT * FROM q0 WHERE NOT EXISTS (SELECT 1 FROM q0 x WHERE x.query_id = q0.query_id AND NOT EXISTS (SELECT 1 FROM t WHERE t.node = x.node))), " + APART)
+def unknown_node_guard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.long_matches(*with_unknown_whole(spark, sf_dir), 6, residual=matches.OTHERS)
+
+
+@query("drop_unknown_whole", UNKNOWN_WHOLE + "q AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS pos, node FROM q0 WHERE node IN (SELECT node FROM t)), " + APART)
+def drop_unknown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.long_matches(*with_unknown_whole(spark, sf_dir), 6, on_unknown="drop", residual=matches.OTHERS)
+
+
+@query("ignore_unknown_whole", UNKNOWN_WHOLE + "q AS (SELECT * FROM q0), " + APART)
+def ignore_unknown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches.long_matches(*with_unknown_whole(spark, sf_dir), 6, on_unknown="ignore", residual=matches.OTHERS)
+
+
+@query("text_at_ends", TEXT + ", k AS (SELECT start AS i FROM st UNION ALL SELECT start + length AS i FROM st UNION ALL SELECT max(start + length) + 1 AS i FROM st) SELECT CAST(k.i AS BIGINT) AS i, CAST(node AS BIGINT) AS node FROM k LEFT JOIN txt ON txt.i = k.i")
+def text_at_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each path of the text begins and ends, and the place after the text."""
+    panel = orders(spark, sf_dir)
+    ends = navigate.path_starts(panel).select("start", (F.col("start") + F.col("length")).alias("stop"))
+    places = ends.select(F.col("start").alias("i")).unionByName(ends.select(F.col("stop").alias("i"))).unionByName(ends.agg((F.max("stop") + 1).alias("i")))
+    return navigate.text_at(panel, places, F.lit(0).cast("long"))
+
+
+@query("insert_after", f"WITH {EVENTS} SELECT {longs('seq_id', 'pos')}, node FROM pos UNION ALL SELECT CAST(seq_id + 1 + (SELECT max(seq_id) FROM pos) AS BIGINT), CAST(pos AS BIGINT), node FROM pos WHERE seq_id % 9 = 0")
+def insert_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that are added get ids beyond all that there are."""
+    panel = events(spark, sf_dir)
+    last = panel.positions.agg((F.max("seq_id") + 1).alias("shift"))  # one row
+    added = panel.where("seq_id % 9 = 0").positions.crossJoin(F.broadcast(last)).select((F.col("seq_id") + F.col("shift")).alias("seq_id"), "pos", "node")
+    return maintain.insert(panel, Panel(added)).positions

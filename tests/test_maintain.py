@@ -86,3 +86,10 @@ def test_streams_and_ranks_in_small_buckets(spark, toy):
     assert [r.found for r in navigate.text_violations(toy, navigate.text(toy, end).filter("i != 3"), end).collect()] == [None]
     header = navigate.header(toy).first()
     assert (header.sequences, header.sigma, header.effective, header.bidirectional) == (20, 20, 19, True)
+
+
+def test_dump(toy, capsys):
+    navigate.dump(toy, F.lit(0).cast("long"), 1)
+    toy.describe(1)
+    printed = capsys.readouterr().out
+    assert all(x in printed for x in ("paths", "visits, successors and suffixes", "samples of runs", "starts of paths", "longest"))
