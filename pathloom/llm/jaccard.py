@@ -10,8 +10,9 @@ whole sets, and counted. A pair that was counted and rejected is kept in mind, s
 
 Components need few of the pairs. First each node is only compared with two heads of its buckets; a bucket's head is its
 first node in an order by hash, which is the same in all buckets, so that nodes of a group of near copies mostly meet the
-same few heads. Buckets whose nodes are of one component need nothing more. Large buckets that do are given other heads a
-few times. At last whatever pairs of a bucket still lie in different components are counted, so that no link is lost.
+same few heads. Buckets whose nodes are of one component need nothing more. Then a few pairs of each component with others
+are compared, twice, as one link joins two. At last whatever pairs of a bucket still lie in different components are
+counted, so that no link is lost.
 
 All links are pairs within a component, so links() counts them there: every pair of a component's nodes is looked at once.
 
@@ -41,8 +42,8 @@ HELD = 1_000_000
 RANGE, ROWS = 200_000, 4096
 #: Parts of the range of hashes for each n-gram of a set, at least.
 PARTS = 4
-#: Nodes of a bucket that is given other heads, at least, and how often.
-LARGE, ROUNDS = 32, 4
+#: Pairs of a component that a task gives at first, and how many times.
+FEW, ROUNDS = 1, 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 MEMO = 400_000
@@ -233,10 +234,10 @@ def labelled(found: DataFrame, parts: DataFrame) -> DataFrame:
     return alone.unionByName(own.filter("hit").join(named, "key", "left").select(*columns, F.coalesce("component", "key").alias("component")))
 
 
-def heads(found: DataFrame, percent: int, seed: int = 0) -> DataFrame:
+def heads(found: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node with two of its buckets' heads at most, those in another component that pass the filters: the one
     that it shares most buckets with, and the first in an order by hash. A bucket's head is its first node in another one."""
-    order = F.xxhash64(F.lit(seed), "key")
+    order = F.xxhash64("key")
     head = found.groupBy("bucket").agg(F.min_by(F.struct("key", "component", "size", "pos"), F.struct(order, "key")).alias("h"))
     head = head.select("bucket", *(F.col(f"h.{c}").alias(f"o_{c}") for c in ("key", "component", "size", "pos")))
     met = found.join(head, "bucket").filter((F.col("component") != F.col("o_component")) & passing(percent))
@@ -246,14 +247,28 @@ def heads(found: DataFrame, percent: int, seed: int = 0) -> DataFrame:
     return both.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
-def across(found: DataFrame, percent: int, rows: int = ROWS) -> DataFrame:
-    """(a, b): in each bucket, the pairs of nodes of different components that pass the filters. A bucket of more than
-    `rows` is dealt into blocks by hash; each block meets each in a task of its own."""
+def across(found: DataFrame, percent: int, rows: int = ROWS, few: int | None = None) -> DataFrame:
+    """(a, b): in each bucket, the pairs of nodes of different components that pass the filters; few: of each component
+    no more from a task, but those that another one needs. A bucket of more than `rows` is dealt into blocks by hash; each block meets each in a
+    task of its own."""
     sizes = found.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / rows).cast("int"))
     own = found.join(sizes.select("bucket", "blocks"), "bucket").withColumn("k", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     large = own.filter("blocks > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")})
     both = own.filter("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}).unionByName(large.drop("o"))
 
+    def fewer(pairs: np.ndarray) -> np.ndarray:
+        """Each pair once, as it may share several buckets; if few, each component's first ones by hash."""
+        pairs = pairs[:, np.unique(pairs[0], return_index=True)[1]]
+        if few is None or not pairs.shape[1]:
+            return pairs
+        mixed, kept = pairs[0].astype(U) * U(0x9E3779B97F4A7C15), np.zeros(pairs.shape[1], bool)
+        for part in pairs[1:]:
+            order = np.lexsort((mixed ^ mixed >> U(29), part))
+            first = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            kept[order[rank < few]] = True
+        return pairs[:, kept]
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("size", "ascending"), ("key", "ascending")])
         number = lambda c: np.unique(np.array(table.column(c).to_pylist(), object), return_inverse=True)
@@ -262,7 +277,7 @@ def across(found: DataFrame, percent: int, rows: int = ROWS) -> DataFrame:
         new = np.ones(len(bucket), bool)
         new[1:] = (np.diff(bucket) != 0) | (np.diff(i_) != 0) | (np.diff(j_) != 0)
         task = np.cumsum(new)
-        held, size_ = [np.zeros(0, np.int64)], 0
+        held, size_ = [np.zeros((3, 0), np.int64)], 0
         for gap in range(1, len(task)):  # rows so far apart, which are in order of size
             a = np.flatnonzero(task[gap:] == task[:-gap])
             a = a[100 * size[a] >= percent * size[a + gap]]
@@ -272,11 +287,11 @@ def across(found: DataFrame, percent: int, rows: int = ROWS) -> DataFrame:
             least = -(-percent * (size[a] + size[b]) // (100 + percent))
             ok = (part[a] != part[b]) & ((k[a] != k[b]) | (i_[a] == j_[a])) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= least)
             x, y = node[a[ok]], node[b[ok]]  # numbers in the order of keys
-            held.append(np.minimum(x, y) * len(keys) + np.maximum(x, y))
+            held.append(np.stack([np.minimum(x, y) * len(keys) + np.maximum(x, y), part[a[ok]], part[b[ok]]]))
             size_ += len(x)
-            if size_ > RANGE:  # a pair may share several buckets
-                held, size_ = [np.unique(np.concatenate(held))], 0
-        seen = np.unique(np.concatenate(held))
+            if size_ > RANGE:
+                held, size_ = [fewer(np.concatenate(held, 1))], 0
+        seen = fewer(np.concatenate(held, 1))[0]
         return pa.table({"a": pa.array(keys[seen // len(keys)].tolist(), pa.binary()), "b": pa.array(keys[seen % len(keys)].tolist(), pa.binary())})
 
     tasks = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit((sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) * 4 // RANGE + partitions(found.sparkSession)))
@@ -341,10 +356,10 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
         corpus = own.select("key", "text")
         rejected = parts = None
 
-        def count(pairs: DataFrame, texts_: DataFrame) -> DataFrame:
+        def count(pairs: DataFrame) -> DataFrame:
             """(node, component) with the links among these pairs as well."""
             nonlocal rejected
-            counted = verify(pairs if rejected is None else pairs.join(rejected, ["a", "b"], "left_anti"), nodes, texts_, n, percent)
+            counted = verify(pairs if rejected is None else pairs.join(rejected, ["a", "b"], "left_anti"), nodes, corpus, n, percent)
             no = counted.filter("NOT ok").select("a", "b")
             rejected = no if rejected is None else rejected.unionByName(no)
             links = counted.filter("ok").select("a", "b")
@@ -352,18 +367,12 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
                 links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
             return stash(components(links), "parts", keep=True)
 
-        parts = count(heads(found.withColumn("component", F.col("key")), percent), corpus)
+        parts = count(heads(found.withColumn("component", F.col("key")), percent))
         live = stash(split_buckets(labelled(found, parts)), "live")
-        sizes = live.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") >= LARGE).select("bucket")
-        large = stash(live.join(sizes, "bucket", "left_semi"), "large")
-        some = stash(corpus.filter(sieve(large, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text")), "texts")
-        for seed in range(1, ROUNDS + 1):
-            if large.isEmpty():
-                break
-            parts = count(heads(large, percent, seed), some)
-            large = stash(split_buckets(labelled(large, parts)), "large")
-        live = stash(split_buckets(labelled(live, parts)), "live")
-        parts = count(across(live, percent), corpus)
+        for _ in range(ROUNDS):
+            parts = count(across(live, percent, few=FEW))
+            live = stash(split_buckets(labelled(live, parts)), "live")
+        parts = count(across(live, percent))
     named = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", "key", F.col("component").alias("group"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
