@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,22 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Gives memory that is free again back to the machine. A Python worker waits for further tasks, of other stages too,
+    and would keep what it once needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False) -> DataFrame:
     """(doc_id long, text): every row of docs, null texts as empty ones. Other columns, whatever their names, are left out."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -49,6 +67,7 @@ def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch
             for k in range(0, b.num_rows, rows):
                 if (out := of_batch(b.slice(k, rows))) is not None:
                     yield out
+        release()
 
     return small_batches(df).mapInArrow(run, schema)
 

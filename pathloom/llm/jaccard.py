@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows, partitions, texts, word_hashes
+from .common import batch, map_rows, partitions, release, texts, word_hashes
 from .components import components
 from .sieve import sieve
 from .storage import scratch, stash
@@ -112,6 +112,7 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
         if counts.any():
             parts = [x.tobytes() for x in counts.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, k) for k in kinds[:4]), pa.array(range(BLOCKS), kinds[4]), pa.array(parts, kinds[5])], names=names)
+        release()
 
     return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, bits binary, block int, counts binary")
 
@@ -179,6 +180,9 @@ def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: i
                     held, size = [], 0
         if held:
             yield flush()
+        held.clear()
+        seen.clear()
+        release()
 
     def gather(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         columns = {c: group.column(c).to_pylist() for c in ("tokens", "nodes", "pos", "keys")}

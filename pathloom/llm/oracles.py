@@ -1,4 +1,5 @@
-"""SQL for the operators that SQL can express on whole tables, by other formulas than the operators'."""
+"""SQL for the operators that SQL can express on whole tables. Formulas differ from the operators', but for op6: its SQL takes the
+rules' patterns from secrets.py and adds up the same lengths; tests/llm compares it with loops that share neither."""
 
 from __future__ import annotations
 

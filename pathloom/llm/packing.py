@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts
+from .common import batch, release, texts
 
 SIZE, END, MIN_GAP = 4096, 2, 32
 #: Bytes of text in a group, about.
 GROUP_BYTES = 12_000_000
 #: Words that a task remembers, the first that it meets, and texts that it takes at once.
-MEMO, AT_ONCE = 600_000, 200
+MEMO, AT_ONCE = 300_000, 200
 #: White space to Python, but not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -165,6 +165,8 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             for k in range(0, whole.num_rows, AT_ONCE):
                 b = whole.slice(k, AT_ONCE)
                 yield batch(grp=b.column(0), doc_id=b.column(1), ids=pa.array([x + end for x in e.encode(b.column(2).to_pylist())], pa.binary()))
+        del e
+        release()
 
     dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "doc_id", "text")
     dealt = dealt.mapInArrow(tokenised, "grp long, doc_id long, ids binary")
@@ -183,6 +185,7 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 offset += n
                 if with_ids:
                     parts.append(part.astype(np.int32))
+        release()
         columns = dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), (pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), strict=True))
         return pa.table(columns | ({"ids": pa.array(parts, kind)} if with_ids else {}))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows, small_batches, texts
+from .common import batch, map_rows, release, small_batches, texts
 
 #: Rows that the model and the prior are fitted on, at most; hashed trigrams; ratios.
 POSITIVES, UNLABELLED, TRIGRAMS, RATIOS = 2000, 4000, 1024, 7
@@ -151,6 +151,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 part = b.slice(k, AT_ONCE)
                 s = model.score(np.array([features(t) for t in part.column(1).to_pylist()]))
                 yield batch(doc_id=part.column(0), score=pa.array(s), predicted=pa.array((s >= 0.5).astype(np.int32)))
+        release()
 
     scored = texts(docs, id_col, text_col, as_bytes=True).mapInArrow(run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
@@ -166,6 +167,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     @F.pandas_udf("boolean")
     def good(each: pd.Series) -> pd.Series:
         parts = [model.score(np.array([features(t) for t in each[k : k + AT_ONCE]])) >= 0.5 for k in range(0, len(each), AT_ONCE)]
+        release()
         return pd.Series(np.concatenate([np.zeros(0, bool), *parts]))
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, release
 from .sieve import sieve
 from .storage import scratch, stash
 
@@ -196,6 +196,7 @@ def find(docs: DataFrame, symbols: Symbols, cut: Cut, shape: Shape, compare: Cal
                     which, offset = np.array(ids).T
                     row = pa.array(which[text])
                     yield batch(key=keys.take(row), weight=weights.take(row), start=small(at + offset[text]), windows=small(count), anchor=signed(anchor), whole=signed(whole), inner=pa.array(inner))
+        release()
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,6 +206,7 @@ def find(docs: DataFrame, symbols: Symbols, cut: Cut, shape: Shape, compare: Cal
                     some = slice(k, k + 2000)
                     region = cut(text.as_py(), start[some], windows[some] + (shape.width - 1))
                     yield batch(anchor=pa.array(anchor[some]), whole=pa.array(whole[some]), weight=pa.array(weight[some]), windows=pa.array(windows[some]), region=pa.array(region, pa.binary()))
+        release()
 
     with scratch():
         copied = stash(own.groupBy("key").agg(F.count("*").alias("weight")).filter("weight > 1"), "copied")
@@ -274,6 +276,12 @@ def deal(listed: DataFrame, symbols: Symbols, cut: Cut, width: int, prefixes: tu
     Classes are dealt to tasks by their anchor, many anchors to one task. An anchor of more than `limit` windows is split:
     its windows are written out one by one, and dealt by a prefix of theirs; those whose prefix still has too many, by the
     next longer one. Too many that are alike to the end aren't sorted, but counted."""
+
+    def worked(table: pa.Table) -> pa.Table:
+        found = work(table)
+        release()
+        return found
+
     columns = ["anchor", "run", "place", "weight", "windows", "region"]
     own = listed.withColumn("place", F.lit(0)).select(*columns)
     sizes = own.groupBy("anchor").agg(F.sum("windows").alias("n"))
@@ -282,7 +290,7 @@ def deal(listed: DataFrame, symbols: Symbols, cut: Cut, width: int, prefixes: tu
     task = lambda *by: F.pmod(F.xxhash64(*by), F.lit(tasks)).alias("task")
     heavy = stash(sizes.filter(F.col("n") > limit).select("anchor"), "heavy")
     if heavy.isEmpty():
-        return own.select(task("anchor"), *columns).groupBy("task").applyInArrow(work, FOUND)
+        return own.select(task("anchor"), *columns).groupBy("task").applyInArrow(worked, FOUND)
     lengths = (*prefixes, width)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,4 +315,4 @@ def deal(listed: DataFrame, symbols: Symbols, cut: Cut, width: int, prefixes: tu
         left = stash(left.join(many, ["anchor", f"p{i}"], "left_semi"), "left")
     alike = left.groupBy("anchor", "region").agg(F.sum("weight").alias("n")).filter("n > 1").drop("n")
     alike = left.join(alike, ["anchor", "region"], "left_semi").select("run", F.col("place").alias("s"), (F.col("place") + width).alias("e"))
-    return dealt.groupBy("task").applyInArrow(work, FOUND).unionByName(alike)
+    return dealt.groupBy("task").applyInArrow(worked, FOUND).unionByName(alike)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: 2 MB, in blocks of 64 KB.
 BITS, BLOCKS = 1 << 24, 32
 
@@ -35,6 +37,8 @@ def sieve(df: DataFrame, *columns: str):
         some = [k for k in range(BLOCKS) if parts[k].any()]
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.packbits(parts[k]).tobytes() for k in some], pa.binary())], names=["block", "bits"])
+        del bits, parts
+        release()
 
     def merge(table: pa.Table) -> pa.Table:
         bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
