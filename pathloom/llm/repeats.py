@@ -36,6 +36,8 @@ M1, M2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 BYTES = (np.arange(1, 257, dtype=U) * M1 ^ (np.arange(1, 257, dtype=U) * M2 >> U(31))) * M2
 #: Symbols that are handled at once; longer texts are cut into overlapping parts.
 PART = 1 << 17
+#: Blocks of windows that a run is cut into where its anchor has too many.
+BLOCKS = 16
 
 
 @dataclass(frozen=True)
@@ -269,13 +271,16 @@ def spans(mask: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2).T
 
 
-def deal(listed: DataFrame, symbols: Symbols, cut: Cut, width: int, prefixes: tuple[int, ...], limit: int, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
+def deal(listed: DataFrame, symbols: Symbols, cut: Cut, shape: Shape, prefixes: tuple[int, ...], limit: int, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """FOUND of classes (see find) from work(), which gets the suffixes of a task as (anchor, run, place, weight, windows,
     region): place is that of the region's first window in its run.
 
     Classes are dealt to tasks by their anchor, many anchors to one task. An anchor of more than `limit` windows is split:
-    its windows are written out one by one, and dealt by a prefix of theirs; those whose prefix still has too many, by the
-    next longer one. Too many that are alike to the end aren't sorted, but counted."""
+    its runs are cut into blocks of windows that have the anchor about as far from their start, and dealt by that and by
+    what all windows of such a block share, which is nearly a whole window. The windows of blocks that still have too many
+    are written out one by one, and dealt by a prefix of theirs; those whose prefix has too many, by the next longer one.
+    Too many that are alike to the end aren't sorted, but counted."""
+    width, step = shape.width, max(1, shape.span // BLOCKS)
 
     def worked(table: pa.Table) -> pa.Table:
         found = work(table)
@@ -293,22 +298,45 @@ def deal(listed: DataFrame, symbols: Symbols, cut: Cut, width: int, prefixes: tu
         return own.select(task("anchor"), *columns).groupBy("task").applyInArrow(worked, FOUND)
     lengths = (*prefixes, width)
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                region, n, anchor = row.column(5)[0].as_py(), row.column(4)[0].as_py(), row.column(0).to_numpy().view(U)[0]
+                x = hashed(symbols(region))
+                gram, core = names(x, shape.gram, width - step + 1)
+                at = np.flatnonzero(gram == anchor)
+                first = at[np.searchsorted(at, np.arange(n))]  # where each window's anchor is first
+                block = (first - np.arange(n)) // step
+                new = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(first) != 0)))
+                count = np.diff(np.append(new, n))
+                one = pa.array(np.zeros(len(new), np.int64))
+                shared = mix(core[first[new] - block[new] * step], block[new].astype(U))
+                yield batch(anchor=row.column(0).take(one), run=row.column(1).take(one), place=pa.array(new.astype(np.int32)), weight=row.column(3).take(one), windows=pa.array(count.astype(np.int32)), region=pa.array(cut(region, new, count + (width - 1)), pa.binary()), shared=signed(shared))
+        release()
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
-                region, n = row.column(5)[0].as_py(), row.column(4)[0].as_py()
-                x = symbols(region)
-                found = names(hashed(x), *lengths)
+                region, n, place = row.column(5)[0].as_py(), row.column(4)[0].as_py(), row.column(2)[0].as_py()
+                found = names(hashed(symbols(region)), *lengths)
                 for low in range(0, n, 500):
                     at = np.arange(low, min(n, low + 500))
                     one = pa.array(np.zeros(len(at), np.int64))
                     texts = cut(region, at, np.full(len(at), width))
-                    yield batch(anchor=row.column(0).take(one), run=row.column(1).take(one), place=pa.array(at.astype(np.int32)), weight=row.column(3).take(one), windows=pa.array(np.ones(len(at), np.int32)), region=pa.array(texts, pa.binary()), **{f"p{i}": signed(f[at]) for i, f in enumerate(found)})
+                    yield batch(anchor=row.column(0).take(one), run=row.column(1).take(one), place=pa.array((place + at).astype(np.int32)), weight=row.column(3).take(one), windows=pa.array(np.ones(len(at), np.int32)), region=pa.array(texts, pa.binary()), **{f"p{i}": signed(f[at]) for i, f in enumerate(found)})
+        release()
 
-    kinds = "anchor long, run long, place int, weight long, windows int, region binary, " + ", ".join(f"p{i} long" for i in range(len(lengths)))
-    left = stash(own.join(heavy, "anchor").select(*columns).mapInArrow(windows, kinds), "heavy")
+    kinds = "anchor long, run long, place int, weight long, windows int, region binary"
+    own_blocks = stash(own.join(heavy, "anchor").select(*columns).mapInArrow(blocks, f"{kinds}, shared long"), "blocks")
     dealt = own.join(heavy, "anchor", "left_anti").select(task("anchor"), *columns)
+    many = stash(own_blocks.groupBy("anchor", "shared").agg(F.sum("windows").alias("n")).filter(F.col("n") > limit).drop("n"), "many")
+    dealt = dealt.unionByName(own_blocks.join(many, ["anchor", "shared"], "left_anti").select(task("anchor", "shared"), *columns))
+    if many.isEmpty():
+        return dealt.groupBy("task").applyInArrow(worked, FOUND)
+    left = own_blocks.join(many, ["anchor", "shared"], "left_semi").select(*columns)
+    left = stash(left.mapInArrow(windows, f"{kinds}, " + ", ".join(f"p{i} long" for i in range(len(lengths)))), "left")
     for i in range(len(lengths)):
         many = stash(left.groupBy("anchor", f"p{i}").count().filter(F.col("count") > limit).drop("count"), "many")
         dealt = dealt.unionByName(left.join(many, ["anchor", f"p{i}"], "left_anti").select(task("anchor", F.lit(i), f"p{i}"), *columns))

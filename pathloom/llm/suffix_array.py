@@ -6,7 +6,8 @@ at once, so a task's first buckets are its anchors. Each pass puts the suffixes
 DIGIT bytes and makes a bucket of each value; a bucket of one suffix is done. The buckets that are left after the last
 pass are exactly the repeated windows. A digit's order is found by doubling: of 2n bytes, from the ranks of n.
 
-The suffixes of an anchor that has too many for a task are dealt to tasks by their first digits, one more at a time.
+The suffixes of an anchor that has too many for a task are dealt by what they share (repeats.py), and by their first digits
+at last, one more at a time.
 """
 
 from __future__ import annotations
@@ -86,15 +87,15 @@ def order(table: pa.Table, width: int, digit: int = DIGIT) -> pa.Table:
     return pa.table({"run": pa.array(run[k]), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
 
 
-def sorted_suffixes(listed: DataFrame, width: int, limit: int = LIMIT, digit: int = DIGIT) -> DataFrame:
+def sorted_suffixes(listed: DataFrame, width: int, gram: int, limit: int = LIMIT, digit: int = DIGIT) -> DataFrame:
     """FOUND of classes of runs (see repeats.find)."""
-    return deal(listed, symbols, cut, width, tuple(range(digit, width, digit)), limit, lambda table: order(table, width, digit))
+    return deal(listed, symbols, cut, Shape(width, gram), tuple(range(digit, width, digit)), limit, lambda table: order(table, width, digit))
 
 
 def repeated_bytes(docs: DataFrame, width: int, gram: int, id_col: str, text_col: str, limit: int = LIMIT) -> Found:
     if gram > width:
         raise ValueError("windows are too narrow")
-    return find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: sorted_suffixes(x, width, limit))
+    return find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: sorted_suffixes(x, width, gram, limit))
 
 
 def whole(x: np.ndarray, mask: np.ndarray) -> np.ndarray:

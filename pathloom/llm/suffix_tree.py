@@ -2,8 +2,8 @@
 
 A suffix's prefix is its words up to the end of the anchor of its first window (repeats.py), so prefixes differ in length,
 and suffixes that share a window share their prefix. Prefixes go to tasks by their anchors, as many as fit the memory of
-a task, whole runs of neighbouring suffixes at once; the suffixes of an anchor that has too many are dealt by their first
-12 words, then 24, then a window. A task builds the tree of its suffixes, to the depth of a window: the suffixes in order, the
+a task, whole runs of neighbouring suffixes at once; the suffixes of an anchor that has too many are dealt by longer
+prefixes (repeats.py), of 12 words, 24, and a window at last. A task builds the tree of its suffixes, to the depth of a window: the suffixes in order, the
 longest common prefixes of neighbours, in words, and the inner nodes, which are the stretches of neighbours with a common
 prefix. Inner nodes as deep as a window are the maximal repeats, and their leaves are the windows to remove.
 
@@ -123,7 +123,7 @@ def grow(table: pa.Table, width: int) -> pa.Table:
 def trees(listed: DataFrame, width: int, gram: int, limit: int = LIMIT) -> DataFrame:
     """FOUND of classes of runs (see repeats.find): which windows are leaves below an inner node as deep as they are wide."""
     lengths = tuple(range(gram, width, gram))
-    return deal(listed, word_hashes, cut, width, lengths, limit, lambda table: grow(table, width))
+    return deal(listed, word_hashes, cut, Shape(width, gram), lengths, limit, lambda table: grow(table, width))
 
 
 def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
