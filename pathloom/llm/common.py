@@ -5,19 +5,20 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between Spark and Python, about: what a task holds of its input at once.
 BATCH_BYTES = 4 << 20
-#: White space between words; odd random numbers for the places of a word; bytes of text that are hashed at once.
+#: White space between words; places of a word that have numbers of their own; bytes of text that are hashed at once.
 SPACE, IS_SPACE = re.compile(rb"[ \t-\r]"), np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-PLACES = np.random.default_rng(1).integers(0, 1 << 63, 128, np.uint64) << np.uint64(1) | np.uint64(1)
+PLACED = 128
 PIECE = 1 << 18
 
 
@@ -59,6 +60,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_by
     return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), (text.cast("binary") if as_bytes else text).alias("text")))
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts apart: the first half of their SHA-256."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
 def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
     """mapInArrow by one function of a batch of so many rows at most; it may return None for no rows."""
 
@@ -90,27 +96,45 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: its bytes times fixed random numbers, one for each place in a word, summed and mixed.
-    Two words have the same sum with a chance of 2 ** -56 at most. Words that are longer than there are numbers are
-    hashed by blake2b."""
-    return np.concatenate([np.zeros(0, np.uint64), *map(_word_hashes, _pieces(text))])
+def new_salt() -> int:
+    """A secret number for the hashes of one run: drawn by the driver, sent to the tasks with their code. Nobody can make
+    words that collide without knowing it."""
+    return secrets.randbits(128)
+
+
+@lru_cache(maxsize=4)
+def _places(salt: int) -> np.ndarray:
+    """Random odd numbers for the places of a word, for each of the two halves of a name."""
+    return np.random.default_rng(salt).integers(0, 1 << 63, (2, PLACED), np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def word_hashes(text: bytes, salt: int) -> np.ndarray:
+    """A salted 64-bit hash of each word: the first half of word_names()."""
+    return np.concatenate([np.zeros(0, np.uint64), *(_word_names(p, salt, 1)[0] for p in _pieces(text))])
+
+
+def word_names(text: bytes, salt: int) -> np.ndarray:
+    """Salted 128-bit names of the words, as two rows of 64-bit halves: a word's bytes times random numbers, one for each
+    place in a word, summed and mixed. The halves use independent numbers, so two given words share a name with a
+    chance of 2 ** -112 at most. Words that are longer than there are numbers are hashed by keyed blake2b."""
+    return np.concatenate([np.zeros((2, 0), np.uint64), *(_word_names(p, salt, 2) for p in _pieces(text))], 1)
 
 
-def _word_hashes(text: bytes) -> np.ndarray:
+def _word_names(text: bytes, salt: int, halves: int) -> np.ndarray:
     b = np.frombuffer(text, np.uint8)
     inside = np.concatenate([[False], ~IS_SPACE[b], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, length = edge[::2], edge[1::2] - edge[::2]
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros((halves, 0), np.uint64)
     first = np.cumsum(length) - length
     own = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
-    at = own + np.repeat(start, length)
-    terms = PLACES[np.minimum(own, len(PLACES) - 1)] * (b[at].astype(np.uint64) + np.uint64(1))
-    h = np.add.reduceat(terms, first)
-    for k in np.flatnonzero(length > len(PLACES)).tolist():
-        h[k] = int.from_bytes(hashlib.blake2b(text[start[k] : start[k] + length[k]], digest_size=8).digest(), "little")
+    symbols = b[own + np.repeat(start, length)].astype(np.uint64) + np.uint64(1)
+    own = np.minimum(own, PLACED - 1)
+    h = np.stack([np.add.reduceat(places[own] * symbols, first) for places in _places(salt)[:halves]])
+    for k in np.flatnonzero(length > PLACED).tolist():
+        word = hashlib.blake2b(text[start[k] : start[k] + length[k]], digest_size=16, key=salt.to_bytes(16, "little")).digest()
+        h[:, k] = np.frombuffer(word, "<u8")[:halves]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)

@@ -16,7 +16,8 @@ counted, so that no link is lost.
 
 All links are pairs within a component, so links() counts them there: every pair of a component's nodes is looked at once.
 
-Texts that are equal are one node; a node is the MD5 of its text.
+Texts that are equal are one node; a node is named by SHA-256 of its text. N-grams have salted names of 128 bits, by which
+sets are compared; buckets, ranges and the sketch use the first half.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows, partitions, release, texts, word_hashes
+from .common import batch, map_rows, new_salt, partitions, release, text_key, texts, word_names
 from .components import components
 from .sieve import sieve
 from .storage import scratch, stash
@@ -51,22 +52,28 @@ MEMO = 400_000
 MEMBERS, COLUMNS = 512, 4096
 
 
-def all_grams(text: bytes, n: int) -> np.ndarray:
-    """Hashes of the n-grams of lower-cased words; of fewer words, one of the whole sequence; of none, none."""
-    x = word_hashes(text.translate(LOWER))
-    n = min(n, len(x))
+def all_grams(text: bytes, n: int, salt: int) -> np.ndarray:
+    """Names (two rows of 64-bit halves) of the n-grams of lower-cased words; of fewer words, one of the whole sequence; of
+    none, none."""
+    x = word_names(text.translate(LOWER), salt)
+    n = min(n, x.shape[1])
     if not n:
         return x
-    h = np.full(len(x) - n + 1, n, np.uint64)
+    h = np.full((2, x.shape[1] - n + 1), n, np.uint64)
     for k in range(n):
-        h = (h ^ x[k : k + len(h)]) * U(0x9E3779B97F4A7C15)
+        h = (h ^ x[:, k : k + h.shape[1]]) * U(0x9E3779B97F4A7C15)
         h ^= h >> U(32)
     return h
 
 
-def gram_set(text: bytes, n: int) -> np.ndarray:
-    h = np.sort(all_grams(text, n))
-    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+def gram_set(text: bytes, n: int, salt: int) -> np.ndarray:
+    """The different ones of all_grams(), in order of their first halves, then of the second."""
+    h = all_grams(text, n, salt)
+    h = h[:, np.argsort(h[0])]
+    again = h[0, 1:] == h[0, :-1]
+    if (h[1, 1:] != h[1, :-1])[again].any():  # equal first halves of different names
+        h = h[:, np.lexsort((h[1], h[0]))]
+    return h[:, np.append(True, (h[:, 1:] != h[:, :-1]).any(0))] if h.shape[1] else h
 
 
 def prefix_size(size: int, percent: int) -> int:
@@ -92,7 +99,7 @@ def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool
     return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def scan(docs: DataFrame, n: int) -> DataFrame:
+def scan(docs: DataFrame, n: int, salt: int) -> DataFrame:
     """A row (key, doc_id, n_shingles, bits) for each row of docs, and rows (block, counts) of partial sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +108,7 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
         for b in batches:
             sizes, bits, held = [], [], []
             for t in b.column(2):
-                h = gram_set(t.as_py(), n)
+                h = gram_set(t.as_py(), n, salt)[0]
                 sizes.append(len(h))
                 bits.append(bitmap(h))
                 held.append((h >> U(COUNTER)).astype(np.int32))
@@ -133,7 +140,7 @@ def sketch(scanned: DataFrame) -> np.ndarray:
     return np.where(beyond < 1, 0, 1 + np.floor(np.log2(np.maximum(1, beyond)))).astype(np.uint8)
 
 
-def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: int) -> DataFrame:
+def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: int, salt: int) -> DataFrame:
     """(bucket, key, size, pos): prefix n-grams that at least two nodes have. docs: (key, text).
 
     A task sends its prefixes as packed arrays, one for each range of hashes, and a node once; a range is one group. A
@@ -150,15 +157,13 @@ def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: i
             node = np.repeat(np.arange(len(held)), [len(x) for x, _ in held])
             pos = np.concatenate([np.arange(len(x)) for x, _ in held]).astype(np.uint32)
             keys = np.array([k for _, k in held], "V20")
-            rng = ((h >> U(48)) * U(ranges)) >> U(16)
+            rng = ((h >> U(32)) * U(ranges)) >> U(32)
             order = np.argsort(rng, kind="stable")
-            cuts = np.searchsorted(rng[order], np.arange(ranges + 1))
+            there, first = np.unique(rng[order], return_index=True)
             out = []
-            for r in range(ranges):
-                some = order[cuts[r] : cuts[r + 1]]
-                if len(some):
-                    used, local = np.unique(node[some], return_inverse=True)
-                    out.append((r, h[some].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), pos[some].tobytes(), keys[used].tobytes()))
+            for r, some in zip(there.tolist(), np.split(order, first[1:]), strict=True):
+                used, local = np.unique(node[some], return_inverse=True)
+                out.append((r, h[some].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), pos[some].tobytes(), keys[used].tobytes()))
             columns = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(next(columns), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["rng", "tokens", "nodes", "pos", "keys"])
 
@@ -168,11 +173,11 @@ def buckets(docs: DataFrame, rarity: np.ndarray, n: int, percent: int, ranges: i
                     continue
                 if len(seen) < MEMO:
                     seen.add(key)
-                h = gram_set(text, n)
+                h, second = gram_set(text, n, salt)
                 if not len(h):
                     continue
                 p = prefix_size(len(h), percent)
-                order = np.lexsort((h, rare[(h >> U(COUNTER)).astype(np.int64)]))[:p]
+                order = np.lexsort((second, h, rare[(h >> U(COUNTER)).astype(np.int64)]))[:p]
                 held.append((h[order], key + len(h).to_bytes(4, "little")))
                 size += p
                 if size >= HELD:
@@ -303,9 +308,11 @@ def across(found: DataFrame, percent: int, rows: int = ROWS, few: int | None = N
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets have the asked similarity, exactly."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    """Whether two sets of names (gram_set) have the asked similarity."""
+    names = np.concatenate([a, b], 1)
+    names = names[:, np.lexsort((names[1], names[0]))]
+    both = int((names[:, 1:] == names[:, :-1]).all(0).sum())
+    return 100 * both >= percent * (a.shape[1] + b.shape[1] - both)
 
 
 def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +327,7 @@ def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return map_rows(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y", "m", "n"), run, "a binary, b binary")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, salt: int, sift=sift) -> DataFrame:
     """(a, b, ok): of the pairs (a, b) that the suffix filter leaves, whether their texts in docs (key, text) have sets of
     the asked similarity. Sets are only made for the nodes of these pairs."""
     left = stash(sift(pairs, nodes, percent), "pairs")
@@ -328,10 +335,10 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent:
     texts_ = docs.filter(sieve(wanted, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
 
     def grams(b: pa.RecordBatch) -> pa.RecordBatch:
-        return batch(key=b.column(0), grams=pa.array([gram_set(t.as_py(), n).tobytes() for t in b.column(1)], pa.binary()))
+        return batch(key=b.column(0), grams=pa.array([gram_set(t.as_py(), n, salt).tobytes() for t in b.column(1)], pa.binary()))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
+        ok = [similar(np.frombuffer(x.as_py(), np.uint64).reshape(2, -1), np.frombuffer(y.as_py(), np.uint64).reshape(2, -1), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
         return batch(a=b.column(0), b=b.column(1), ok=pa.array(ok, pa.bool_()))
 
     sets = stash(map_rows(texts_.select("key", "text"), grams, "key binary, grams binary"), "sets")
@@ -347,14 +354,14 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
     A text of fewer words than n has one n-gram, all its words; one without words, or null, has none, and no links. Rows
     of equal texts are in one component. Rows without doc_id are compared too; a component of nothing else has a null
     component_id. Other columns don't matter; an empty table gives no rows."""
-    spark = docs.sparkSession
-    own = texts(docs, id_col, text_col, as_bytes=True).select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
-    scanned = stash(scan(own, n), "scan", keep=True)
+    spark, salt = docs.sparkSession, new_salt()
+    own = texts(docs, id_col, text_col, as_bytes=True).select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    scanned = stash(scan(own, n, salt), "scan", keep=True)
     rows = scanned.filter("block IS NULL").select("doc_id", "key", "n_shingles")
     with scratch():
         total = rows.agg(F.sum("n_shingles")).first()[0] or 0
         ranges = max(16, partitions(spark), prefix_size(total, percent) // RANGE)
-        found = stash(buckets(own.select("key", "text"), sketch(scanned), n, percent, ranges), "buckets")
+        found = stash(buckets(own.select("key", "text"), sketch(scanned), n, percent, ranges, salt), "buckets")
         nodes = scanned.filter("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
         nodes = stash(nodes.join(found.select("key").distinct(), "key", "left_semi"), "nodes")
         corpus = own.select("key", "text")
@@ -363,7 +370,7 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str
         def count(pairs: DataFrame) -> DataFrame:
             """(node, component) with the links among these pairs as well."""
             nonlocal rejected
-            counted = verify(pairs if rejected is None else pairs.join(rejected, ["a", "b"], "left_anti"), nodes, corpus, n, percent)
+            counted = verify(pairs if rejected is None else pairs.join(rejected, ["a", "b"], "left_anti"), nodes, corpus, n, percent, salt)
             no = counted.filter("NOT ok").select("a", "b")
             rejected = no if rejected is None else rejected.unionByName(no)
             links = counted.filter("ok").select("a", "b")
@@ -406,11 +413,21 @@ def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def numbered(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Sets of names as sorted sets of numbers: equal ones of equal names."""
+    names = np.concatenate([np.zeros((2, 0), U), *sets], 1)
+    order = np.lexsort((names[1], names[0]))
+    new = np.append(False, (names[:, order[1:]] != names[:, order[:-1]]).any(0)) if len(order) else np.zeros(0, bool)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return np.split(out, np.cumsum([x.shape[1] for x in sets])[:-1]) if sets else []
+
+
 def count_links(members: DataFrame, n: int, percent: int, block: int, groups: int) -> DataFrame:
     """(key, links): the rows that a node is linked to, those of its own text aside. members: (key, group, members,
     copies, text), a component's nodes and how many these are. Nodes of a component are dealt into blocks, and each block
     meets each in a task of its own; components of one block share tasks."""
-    blocks = F.ceil(F.col("members") / block).cast("int")
+    blocks, salt = F.ceil(F.col("members") / block).cast("int"), new_salt()
     own = members.withColumn("blocks", blocks).withColumn("k", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")})
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(groups))).otherwise(F.xxhash64("group", "i", "j"))
@@ -423,7 +440,7 @@ def count_links(members: DataFrame, n: int, percent: int, block: int, groups: in
         links = np.zeros(table.num_rows, np.int64)
         for (_, i, j), rows in where.items():
             at = np.array(rows)
-            sets = {r: gram_set(texts_[r].as_py(), n) for r in rows}
+            sets = dict(zip(rows, numbered([gram_set(texts_[r].as_py(), n, salt) for r in rows]), strict=True))
             a, b = at[block_of[at] == i], at[block_of[at] == j]
             if not len(a) or not len(b):
                 continue
@@ -449,9 +466,9 @@ def links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     with scratch():
         sizes = nodes.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
         wanted = stash(nodes.join(sizes, "group"), "members")
-        own = texts(docs, id_col, text_col, as_bytes=True).select(F.unhex(F.md5("text")).alias("key"), "text")
+        own = texts(docs, id_col, text_col, as_bytes=True).select(text_key(F.col("text")).alias("key"), "text")
         members = own.filter(sieve(wanted, "key")(F.col("key"))).groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
-        found = stash(count_links(members, n, percent, block, max(16, partitions(docs.sparkSession))), "counts", keep=True)
+        found = stash(count_links(members, n, percent, block, max(partitions(docs.sparkSession), wanted.count() // block)), "counts", keep=True)
     counts = nodes.join(found, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return named.join(counts, "key", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -467,7 +484,7 @@ def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_
     chosen = counted.filter("size > 0").groupBy("group").agg(F.min(F.struct(order.alias("o"), "n")).alias("it")).select("it.o.doc_id", "it.o.key", "it.n")
     empty = counted.filter("size = 0").select("doc_id", "key", F.lit(1).cast("long").alias("n"))
     wanted = stash(chosen.unionByName(empty).withColumnsRenamed({"doc_id": "id", "key": "k"}), "wanted")
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))).alias("key"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("key"))
     meets = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))
     kept = own.join(wanted.filter("n = 1"), meets, "left_semi").select("row.*")
     several = wanted.filter("n > 1")

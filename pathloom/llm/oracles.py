@@ -52,4 +52,23 @@ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
-ORACLES: dict[str, str] = {"op5_suffix_tree": OP5, "op6_secrets": OP6, "op7_jaccard": OP7, "op7_links": OP7_LINKS, "op9_warc": OP9, "op10_bit_sliced": OP10}
+OP11 = OP7.replace("len(w) - 4, least", "len(w) - 3, least").replace("w[i:i + 4]", "w[i:i + 3]").replace(">= 75 *", ">= 80 *")
+OP11 = "SELECT *, doc_id = component_id AS kept FROM (" + OP11 + ")"
+
+OP12 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, list_transform(range(4), lambda k: CAST('0x' || substr(sha256('1:' || doc_id), CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM documents),
+c AS (SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS x, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS y,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, t, len(u) AS n, form, coalesce(array_to_string(u[1:x], ''), '') AS p, coalesce(array_to_string(u[x + 1:y], ''), '') AS m, coalesce(array_to_string(u[y + 1:], ''), '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+_LENGTHS = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS p, count(*) AS f FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM g) GROUP BY ALL" for k in range(1, 6))
+OP13 = f"""WITH g AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+n AS (SELECT lang, sum(len(w)) AS n FROM g GROUP BY lang), f AS ({_LENGTHS}), o AS (SELECT *, string_split(p, ' ') AS w FROM f WHERE f >= 100),
+c AS (SELECT o.lang, o.k, o.p, o.w, o.f AS a, x.f AS l, y.f AS r, n.n, CAST(1000 AS HUGEINT) * o.f * n.n // (CAST(x.f AS HUGEINT) * y.f) AS score, x.k AS cut FROM o JOIN n ON n.lang = o.lang
+JOIN o x ON x.lang = o.lang AND x.k < o.k AND x.p = array_to_string(o.w[1:x.k], ' ') JOIN o y ON y.lang = o.lang AND y.k = o.k - x.k AND y.p = array_to_string(o.w[x.k + 1:], ' ')),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+s AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM b z WHERE z.lang = b.lang AND z.k > b.k AND z.a >= b.a AND contains(' ' || z.p || ' ', ' ' || b.p || ' ')))
+SELECT lang, CAST(rank AS BIGINT) AS rank, p AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM s) WHERE rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op5_suffix_tree": OP5, "op6_secrets": OP6, "op7_jaccard": OP7, "op7_links": OP7_LINKS, "op9_warc": OP9, "op10_bit_sliced": OP10, "op11_minhash": OP11, "op12_fim": OP12, "op13_phrases": OP13}

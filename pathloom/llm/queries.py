@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, bpe, jaccard, media, packing, quality, secrets, suffix_array, suffix_tree, warc
+from . import bitslice, bpe, fim, jaccard, media, minhash, packing, phrases, quality, secrets, suffix_array, suffix_tree, warc
 from .common import table
 from .oracles import ORACLES
 from .storage import stash
@@ -68,6 +68,18 @@ def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
@@ -80,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_warc": op9_warc,
     "op10_bit_sliced": op10_bit_sliced,
+    "op11_minhash": op11_minhash,
+    "op12_fim": op12_fim,
+    "op13_phrases": op13_phrases,
 }

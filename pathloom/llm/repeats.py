@@ -10,13 +10,14 @@ anchor, as long as the windows in it still overlap. This rules windows out, and
 4. Each class is written out with the text that it covers, and the operator's own method compares the classes' windows,
    symbol by symbol. A class of weight two or more stands for so many windows at each of its places.
 
-Symbols are 64-bit hashes; where they are bytes, they are hashed part by part. Names of grams double in length: a name of 2n symbols is a mix of two names of n. Names only
-tell which windows need not be compared, but in one place: that runs of one anchor are of one class is told by their
-64-bit names. That two different ones among n runs of an anchor have one has a chance of about n * n / 2 ** 65.
+Symbols are bytes, or salted 128-bit names of words (common.word_names). That runs are of one class is told by 128 bits of
+BLAKE2b of all symbols that they cover. Anchors come from 64-bit hashes, and names of grams double in length: a name of 2n
+symbols is a mix of two names of n. These only deal windows to tasks, where those that collide are told apart.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, release
+from .common import batch, release, text_key
 from .sieve import sieve
 from .storage import scratch, stash
 
@@ -50,11 +51,6 @@ class Shape:
         """Grams in a window, and windows in a run at most."""
         return self.width - self.gram + 1
 
-    @property
-    def power(self) -> int:
-        """Length of the names that windows and runs are covered with."""
-        return 1 << (self.width.bit_length() - 1)
-
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * M1
@@ -79,14 +75,6 @@ def names(symbols: np.ndarray, *lengths: int) -> list[np.ndarray]:
         n *= 2
 
 
-def cover(power: np.ndarray, at: np.ndarray, length: np.ndarray, p: int) -> np.ndarray:
-    """Names of stretches of p to 3p symbols, from those of their p-grams."""
-    last = at + length - p
-    x = mix(power[at], power[np.minimum(at + p, last)])
-    x = mix(x, power[last])
-    return mix(x, length.astype(U))
-
-
 def ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For stretches of so many numbers from each first on, one after the other: which stretch, and the number."""
     which = np.repeat(np.arange(len(count)), count)
@@ -104,15 +92,14 @@ def slide(x: np.ndarray, n: int, of) -> np.ndarray:
 
 def runs(symbols: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """Of texts that lie one after the other in symbols (bounds: where they begin, and the end): for each run, its text's
-    number, its first window's start, number of windows, the anchor, the name of what the run covers, and whether it may
-    hold the anchor more than once."""
-    w, p = shape.width, shape.power
+    number, its first window's start, number of windows, the anchor, and whether it may hold the anchor more than once."""
+    w = shape.width
     none = np.zeros(0, np.int64)
     sizes = np.diff(bounds)
     ok = np.flatnonzero(sizes >= w)
     if not len(ok):
-        return none, none, none, none.astype(U), none.astype(U), none.astype(bool)
-    gram, power = names(symbols, shape.gram, p)
+        return none, none, none, none.astype(U), none.astype(bool)
+    (gram,) = names(symbols, shape.gram)
     least = slide(gram, shape.span, np.minimum)
     edge = np.zeros(shape.span - 1, U)
     some = np.flatnonzero(gram == slide(np.concatenate([edge, least, edge]), shape.span, np.maximum))  # grams that are anchors
@@ -128,28 +115,34 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndar
     at = starts[first]
     text = np.searchsorted(bounds, at, "right") - 1
     low, high = np.searchsorted(some, at), np.searchsorted(some, at + count - 1 + shape.span) - 1
-    return text, at - bounds[text], count, anchor[first], cover(power, at, count + w - 1, p), twice[high] > twice[low]
+    return text, at - bounds[text], count, anchor[first], twice[high] > twice[low]
 
 
 def hashed(x: np.ndarray) -> np.ndarray:
-    return BYTES[x] if x.dtype == np.uint8 else x
+    """64 bits of each symbol: of a byte, or of a word's name (a row of two halves)."""
+    return BYTES[x] if x.dtype == np.uint8 else x[:, 0]
+
+
+def digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
-def parts(arrays: Iterator[np.ndarray], width: int) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
-    """Symbols in parts of about PART: (number of the text, offset in it) of each piece, symbols, bounds."""
+def parts(arrays: Iterator[np.ndarray], width: int) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Symbols in parts of about PART: (number of the text, offset in it) of each piece, the pieces, the hashes of their
+    symbols, bounds."""
     held: list[np.ndarray] = []
     ids: list[tuple[int, int]] = []
     size = 0
 
     def done():
-        return ids, np.concatenate(held), np.cumsum([0, *map(len, held)])
+        return ids, held, np.concatenate([hashed(x) for x in held]), np.cumsum([0, *map(len, held)])
 
     for i, x in enumerate(arrays):
         for s in range(0, max(1, len(x) - width + 1), PART):
             piece = x[s : s + PART + width - 1]
             if len(piece) < width:
                 continue
-            held.append(hashed(piece))
+            held.append(piece)
             ids.append((i, s))
             size += len(piece)
             if size >= PART:
@@ -163,7 +156,7 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-#: A text's symbols, as hashes or as bytes.
+#: A text's symbols, as names of words or as bytes.
 Symbols = Callable[[bytes], np.ndarray]
 #: Gives stretches (starts, lengths) of a text's symbols as texts of their own.
 Cut = Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]
@@ -186,28 +179,30 @@ def find(docs: DataFrame, symbols: Symbols, cut: Cut, shape: Shape, compare: Cal
     """docs: (doc_id, text binary). compare: gets classes of runs as (run long, anchor long, weight long, windows int,
     region binary): a number, the anchor, how many runs they are, how many windows a run has, and the text of all that
     these cover. It returns FOUND for the windows that occur twice or more, in weight. Equal windows have equal anchors."""
-    own = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
+    own = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = lambda y: pa.array(y.astype(np.int32))
         for b in batches:
             keys, weights = b.column(0), b.column(2)
-            for ids, x, bounds in parts((symbols(t.as_py()) for t in b.column(1)), shape.width):
-                text, at, count, anchor, whole, inner = runs(x, bounds, shape)
+            for ids, pieces, x, bounds in parts((symbols(t.as_py()) for t in b.column(1)), shape.width):
+                text, at, count, anchor, inner = runs(x, bounds, shape)
                 if len(text):
                     which, offset = np.array(ids).T
                     row = pa.array(which[text])
-                    yield batch(key=keys.take(row), weight=weights.take(row), start=small(at + offset[text]), windows=small(count), anchor=signed(anchor), whole=signed(whole), inner=pa.array(inner))
+                    whole = [digest(pieces[i][s : s + n]) for i, s, n in zip(text.tolist(), at.tolist(), (count + (shape.width - 1)).tolist(), strict=True)]
+                    yield batch(key=keys.take(row), weight=weights.take(row), start=small(at + offset[text]), windows=small(count), anchor=signed(anchor), whole=pa.array(whole, pa.binary()), inner=pa.array(inner))
         release()
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, asked in zip(b.column(0), b.column(1), strict=True):
-                start, windows, anchor, whole, weight = (np.asarray(asked.values.field(k)) for k in range(5))
+                start, windows, anchor, weight = (np.asarray(asked.values.field(k)) for k in (0, 1, 2, 4))
+                whole = asked.values.field(3)
                 for k in range(0, len(start), 2000):
                     some = slice(k, k + 2000)
                     region = cut(text.as_py(), start[some], windows[some] + (shape.width - 1))
-                    yield batch(anchor=pa.array(anchor[some]), whole=pa.array(whole[some]), weight=pa.array(weight[some]), windows=pa.array(windows[some]), region=pa.array(region, pa.binary()))
+                    yield batch(anchor=pa.array(anchor[some]), whole=whole.slice(k, 2000), weight=pa.array(weight[some]), windows=pa.array(windows[some]), region=pa.array(region, pa.binary()))
         release()
 
     with scratch():
@@ -217,14 +212,14 @@ def find(docs: DataFrame, symbols: Symbols, cut: Cut, shape: Shape, compare: Cal
         several = marked.filter("copied").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("weight"))
         several = stash(several, "several", keep=True)  # copies are shuffled once, one of each map task at most
         distinct = marked.filter("NOT copied").select("key", "text", F.lit(1).cast("long").alias("weight")).unionByName(several)
-        found = stash(distinct.select("key", "text", "weight").mapInArrow(anchors, "key binary, weight long, start int, windows int, anchor long, whole long, inner boolean"), "runs")
+        found = stash(distinct.select("key", "text", "weight").mapInArrow(anchors, "key binary, weight long, start int, windows int, anchor long, whole binary, inner boolean"), "runs")
         groups = stash(found.groupBy("anchor").agg(F.sum("weight").alias("n"), F.bool_or("inner").alias("inner")).filter("n > 1 OR inner").select("anchor"), "anchors")
         again = stash(found.filter(sieve(groups, "anchor")(F.col("anchor"))).join(groups, "anchor", "left_semi"), "again")
         classes = again.groupBy("anchor", "whole").agg(F.sum("weight").alias("weight"), F.min(F.struct("key", "start", "windows")).alias("run"))
         todo = classes.select("anchor", "whole", "weight", "run.*").groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "whole", "weight")).alias("runs"))
         todo = stash(todo, "classes")
         rows = distinct.filter(sieve(todo, "key")(F.col("key"))).select("key", "text").join(todo, "key").select("text", "runs")
-        rows = rows.mapInArrow(regions, "anchor long, whole long, weight long, windows int, region binary")
+        rows = rows.mapInArrow(regions, "anchor long, whole binary, weight long, windows int, region binary")
         listed = stash(rows.withColumn("run", F.monotonically_increasing_id()), "regions")  # numbers are fixed once written
         places = listed.select("run", "anchor", "whole").join(compare(listed.drop("whole")), "run").drop("run")
         gone = again.join(places, ["anchor", "whole"]).groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))).alias("gone"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows, small_batches, texts
+from .common import batch, map_rows, small_batches, text_key, texts
 from .repeats import Found, Shape, covered, deal, find, lists, ranges, spans, stretches
 
 WIDTH, GRAM, DIGIT = 400, 64, 64
@@ -162,7 +162,7 @@ def strip(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text_col: str =
     and rows that repeat are stripped alike. length_col: gets the new length in characters, where a text has changed. An
     empty table stays empty; columns may have any names, `key`, `new` and `row` too, as long as no two are the same."""
     text = F.col(f"`{text_col}`").cast("string")
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(F.coalesce(text, F.lit(""))).alias("key"))
     found = repeated_bytes(small_batches(docs).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), width, gram, "doc_id", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

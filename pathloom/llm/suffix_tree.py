@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import IS_SPACE, SPACE, map_rows, texts, word_hashes
-from .repeats import Shape, covered, deal, find, lists, ranges, stretches
+from .common import IS_SPACE, SPACE, map_rows, new_salt, texts, word_names
+from .repeats import Shape, Symbols, covered, deal, find, lists, ranges, stretches
 
 WIDTH, GRAM = 35, 12
 #: Suffixes that a task may hold.
@@ -120,10 +120,10 @@ def grow(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"run": pa.array(run[k]), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
 
 
-def trees(listed: DataFrame, width: int, gram: int, limit: int = LIMIT) -> DataFrame:
+def trees(listed: DataFrame, symbols: Symbols, width: int, gram: int, limit: int = LIMIT) -> DataFrame:
     """FOUND of classes of runs (see repeats.find): which windows are leaves below an inner node as deep as they are wide."""
     lengths = tuple(range(gram, width, gram))
-    return deal(listed, word_hashes, cut, Shape(width, gram), lengths, limit, lambda table: grow(table, width))
+    return deal(listed, symbols, cut, Shape(width, gram), lengths, limit, lambda table: grow(table, width))
 
 
 def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -134,7 +134,9 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = L
     Null texts have no words; texts shorter than a window keep everything; rows that repeat remove one another, whatever
     their doc_id, which may be null. Other columns don't matter; an empty table gives no rows. A text that many rows have
     is examined once."""
-    found = find(texts(docs, id_col, text_col, as_bytes=True), word_hashes, cut, Shape(width, gram), lambda x: trees(x, width, gram, limit))
+    salt = new_salt()
+    symbols = lambda text: np.ascontiguousarray(word_names(text, salt).T)
+    found = find(texts(docs, id_col, text_col, as_bytes=True), symbols, cut, Shape(width, gram), lambda x: trees(x, symbols, width, gram, limit))
     name = "kept_sha256" if digest else "kept"
 
     def one(text: bytes, gone: tuple | None) -> tuple:

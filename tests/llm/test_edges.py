@@ -220,7 +220,7 @@ def test_runs_tell_where_an_anchor_is_twice():
     for _ in range(60):
         x = repeats.hashed(r.integers(0, 2, 80).astype(np.uint8))
         gram = repeats.names(x, 4, 8)[0]
-        _, at, count, anchor, _, twice = repeats.runs(x, np.array([0, 80]), shape)
+        _, at, count, anchor, twice = repeats.runs(x, np.array([0, 80]), shape)
         assert at.tolist() == np.cumsum([0, *count[:-1]]).tolist() and count.sum() == 69
         for a, n, v, t in zip(at, count, anchor, twice, strict=True):
             region = gram[a : a + n - 1 + shape.span]
