@@ -36,6 +36,8 @@ WORDS, LEAST, TOP = 5, 100, 2000
 BYTES, FEWEST, COUNTERS = 32, 1 << 20, 1 << 28
 #: Hashes that a task holds before it sends them on, and what a range gets, about.
 HELD = RANGE = 1 << 21
+#: Phrases that a task counts before it sends them on.
+PHRASES = 1 << 19
 #: Bytes of a text that are taken apart at once, and words that are counted at once.
 CHUNK, TOKENS = 1 << 20, 1 << 19
 TABLE = bytes(10 if c in ENDS else 32 if c in GAPS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -225,11 +227,20 @@ def counted(docs: DataFrame, longest: int = WORDS, least: int = LEAST) -> DataFr
     more = lambda h: admitted(second.value, h, counters, ranges)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], dict[bytes, int]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(lang, k, phrase, n) for (lang, k), found in held.items() for phrase, n in found.items()]
+            langs, kinds, names, times = zip(*rows, strict=True)
+            return batch(lang=pa.array(langs), k=pa.array(kinds, pa.int32()), phrase=pa.array([x.decode(errors="replace") for x in names]), n=pa.array(times, pa.int64()))
+
         for b in batches:
             for lang, x in by_lang(b, longest):
                 h = start(lang, x)
                 ok = frequent_pairs(x, h, pairs)
-                kinds, names, times = [0], [""], [len(x.starts(1))]
+                words = held.setdefault((lang, 0), {})
+                words[b""] = words.get(b"", 0) + len(x.starts(1))
                 name = x.ids  # exact numbers of the phrases from each place on, longer and longer
                 for k in range(1, longest + 1):
                     if k > 1:
@@ -238,10 +249,18 @@ def counted(docs: DataFrame, longest: int = WORDS, least: int = LEAST) -> DataFr
                     at = inner(ok, x.starts(k), k)
                     at = at[(pairs if k < 3 else more)(mixed(h, at, k))]
                     _, one, n = np.unique(name[at], return_index=True, return_counts=True)
-                    kinds += [k] * len(one)
-                    names += [b" ".join(x.words[w] for w in row).decode(errors="replace") for row in x.ids[at[one][:, None] + np.arange(k)].tolist()]
-                    times += n.tolist()
-                yield batch(lang=pa.array([lang] * len(kinds)), k=pa.array(kinds, pa.int32()), phrase=pa.array(names), n=pa.array(times, pa.int64()))
+                    found = held.setdefault((lang, k), {})
+                    before = len(found)
+                    for row, times in zip(x.ids[at[one][:, None] + np.arange(k)].tolist(), n.tolist(), strict=True):
+                        phrase = b" ".join([x.words[w] for w in row])
+                        found[phrase] = found.get(phrase, 0) + times
+                    size += len(found) - before
+                if size >= PHRASES:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
+        held.clear()
         release()
 
     found = docs.mapInArrow(exact, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
