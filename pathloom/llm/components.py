@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .storage import stash
 
+#: Links of a task, about.
+TASK = 100_000
+
 
 def _large(links: DataFrame) -> DataFrame:
     """Each node gives its larger neighbours to the least of its neighbours and itself."""
@@ -28,10 +31,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Null ends and links of a node to itself don't count; links may repeat. Each round shuffles the links four times,
     with partial sums for nodes that have many; none is collected anywhere. Rounds go on until nothing changes, about as
     many as the logarithm of the longest path."""
-    now = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b").distinct()
+    now = stash(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b").distinct(), "links")
+    tasks = 1 + now.count() // TASK  # few links need few tasks, and few files between them
     last, mark = None, ()
     while mark != last:
-        now = stash(_small(_large(now)).distinct(), "links")
+        now = stash(_small(_large(now).coalesce(tasks)).distinct().coalesce(tasks), "links")
         last, mark = mark, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64(F.lit(1), "a", "b").cast("decimal(38,0)"))).first())
         if not mark[0]:
             break

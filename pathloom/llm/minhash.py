@@ -6,9 +6,10 @@ pairs. Of each minimum only BITS low bits are kept, packed to a signature. The b
 estimate the similarity: by chance alone one of 2 ** BITS minima agrees, which the estimate takes off. Pairs whose estimate
 lies more than SIGMAS deviations below the threshold go; all others are counted on whole sets, so every link is exact.
 
-As in jaccard.py, few pairs of a bucket are looked at: nodes meet the heads of their buckets first, and what then is in one
-component needs nothing more; then a few pairs of each two components; at last every pair of a bucket whose nodes are still
-in different components. So the only links that may be missing are those whose sets share no bucket.
+Few pairs of a bucket are counted: nodes meet the heads of their buckets first, and what then is in one component needs
+nothing more. Of buckets of several components the nodes get their signatures, which are compared within the bucket's task:
+first each component's pairs with the highest estimates go on; at last every pair of different components whose estimate
+admits it. So the only links that may be missing are those whose sets share no bucket, or whose estimate errs so far.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, new_salt, release, text_key, texts
+from .common import map_rows, new_salt, partitions, release, text_key, texts
 from .components import components
-from .jaccard import across, gram_set, heads, labelled, split_buckets, verify
+from .jaccard import gram_set, heads, labelled, split_buckets, verify
 from .storage import scratch, stash
 
 U = np.uint64
@@ -32,6 +33,8 @@ HASHES = BANDS * ROWS
 SIGMAS = 5.5
 #: N-grams that are hashed at once; texts that a task remembers, so as to sign copies once.
 SOME, MEMO = 4096, 200_000
+#: Rows of a bucket that meet others in one task, rows of a task, about, and pairs that a component gives at first.
+BLOCK, TASK, FEW = 4096, 50_000, 4
 #: The lowest bit of each group of BITS.
 LOWEST = U(0x1111111111111111)
 
@@ -71,9 +74,12 @@ def bands(least: np.ndarray) -> np.ndarray:
     return h
 
 
-def estimates(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """The similarity of each two sets with these signatures, corrected for minima whose bits agree by chance."""
-    x, y = (np.frombuffer(b"".join(s), "<u8").reshape(len(s), -1) for s in (a, b))
+def unpacked(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), "<u8").reshape(len(bits), HASHES * BITS // 64)
+
+
+def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The similarity of each two sets with these signatures (unpacked), corrected for minima whose bits agree by chance."""
     differ = x ^ y
     any_bit = differ.copy()
     for k in range(1, BITS):
@@ -95,7 +101,7 @@ def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     floor = least_estimate(percent)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ok = estimates(b.column(2).to_pylist(), b.column(3).to_pylist()) >= floor
+        ok = estimates(unpacked(b.column(2).to_pylist()), unpacked(b.column(3).to_pylist())) >= floor
         return b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     first = nodes.select(F.col("key").alias("a"), F.col("bits").alias("x"), F.col("n_shingles").alias("m"))
@@ -136,6 +142,59 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return rows.join(several, "bucket", "left_semi").select("bucket", "key", "size", F.lit(0).alias("pos"))
 
 
+def across(live: DataFrame, signs: DataFrame, percent: int, few: int | None) -> DataFrame:
+    """(a, b): in each bucket of live (bucket, key, size, pos, component), the pairs of nodes of different components whose
+    sizes and signatures in signs (key, bits) may be those of similar sets; few: of each component's pairs in a task, so many
+    with the highest estimates. A bucket of more than BLOCK rows is dealt into blocks, and each block meets each in a task."""
+    floor = least_estimate(percent)
+    sizes = live.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    total = sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    own = live.join(sizes.select("bucket", "blocks"), "bucket").join(signs.select("key", "bits"), "key")
+    own = own.withColumn("k", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")})
+    own = own.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(total // TASK + partitions(live.sparkSession))))
+
+    def best(pairs: list[np.ndarray]) -> np.ndarray:
+        """Rows a, b, part of a, part of b, and estimate in millionths, of each component's best."""
+        rows = np.concatenate(pairs, 1)
+        if few is None or not rows.shape[1]:
+            return rows
+        kept = np.zeros(rows.shape[1], bool)
+        for part in rows[2:4]:
+            order = np.lexsort((-rows[4], part))
+            first = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            kept[order[rank < few]] = True
+        return rows[:, kept]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("bucket", "i", "j", "size", "key")])
+        number = lambda c: np.unique(np.array(table.column(c).to_pylist(), object), return_inverse=True)
+        (keys, node), (_, part) = number("key"), number("component")
+        bucket, i_, j_, k, size = (table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j", "k", "size"))
+        bits = unpacked(table.column("bits").to_pylist())
+        new = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(i_) != 0) | (np.diff(j_) != 0)))
+        held, count = [np.zeros((5, 0), np.int64)], 0
+        for s, e in zip(new.tolist(), np.append(new[1:], len(bucket)).tolist(), strict=True):
+            ends = s + np.searchsorted(size[s:e], size[s:e] * 100 // percent, "right")  # sizes are in order
+            for x in range(s, e - 1):
+                y = np.arange(x + 1, ends[x - s])
+                y = y[(part[y] != part[x]) & ((k[y] != k[x]) | (i_[x] == j_[x]))]
+                if not len(y):
+                    continue
+                found = estimates(bits[x][None], bits[y])
+                ok = found >= floor
+                y, found = y[ok], found[ok]
+                held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.full(len(y), part[x]), part[y], (1e6 * found).astype(np.int64)]))
+                count += len(y)
+                if few is not None and count > TASK:
+                    held, count = [best(held)], 0
+        a, b = np.unique(best(held)[:2], axis=1)
+        return pa.table({"a": pa.array(keys[a].tolist(), pa.binary()), "b": pa.array(keys[b].tolist(), pa.binary())})
+
+    return own.select("task", "bucket", "i", "j", "k", "key", "size", "component", "bits").groupBy("task").applyInArrow(run, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, n_shingles, component_id, kept) for each row of docs: its text's key, the size of its set of n-grams of
     words, the smallest doc_id among the documents that links lead to, its own included, and whether that is its own. Two
@@ -168,11 +227,11 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_
             return stash(components(links), "parts", keep=True)
 
         parts = count(heads(found.withColumn("component", F.col("key")), percent))
-        for few in (1, None):
+        for few in (FEW, None):
             live = stash(split_buckets(labelled(found, parts)), "live")
             if live.isEmpty():
                 break
-            parts = count(across(live, percent, few=few))
+            parts = count(across(live, signs, percent, few))
     named = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
