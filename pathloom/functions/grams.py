@@ -33,26 +33,6 @@ def gram_names(positions: DataFrame, length: int, key: str = "seq_id") -> DataFr
     return named.filter(F.col("gram").isNotNull()).select(key, "pos", F.col("gram.h0").alias("g0"), F.col("gram.h1").alias("g1"), "prev", "next")
 
 
-def names_up_to(positions: DataFrame, longest: int, key: str = "seq_id") -> DataFrame:
-    """(key, pos, n, g0, g1): the names of all grams of 1 to `longest` nodes, as gram_names() gives them, in one pass over
-    the sorted positions."""
-    w = Window.partitionBy(key).orderBy("pos")
-    named = positions.select(key, "pos", F.struct(*(F.xxhash64(F.lit(s), "node").alias(f"h{i}") for i, s in enumerate(SALTS))).alias("p1"))
-    n = 1
-    while 2 * n <= longest:
-        named = named.withColumn("ahead", F.lead(f"p{n}", n).over(w)).withColumn(f"p{2 * n}", F.when(F.col("ahead").isNotNull(), _pair(F.col(f"p{n}"), F.col("ahead")))).drop("ahead")
-        n *= 2
-    columns = {}
-    for k in range(1, longest + 1):
-        p = 1 << (k.bit_length() - 1)
-        if k != p:
-            named = named.withColumn(f"a{k}", F.lead(f"p{p}", k - p).over(w))
-        columns[k] = F.col(f"p{k}") if k == p else F.when(F.col(f"a{k}").isNotNull(), _pair(F.col(f"p{p}"), F.col(f"a{k}")))
-    all_ = F.array(*(F.struct(F.lit(k).alias("n"), c.alias("g")) for k, c in columns.items()))
-    rows = named.select(key, "pos", F.explode(F.filter(all_, lambda x: x["g"].isNotNull())).alias("x"))
-    return rows.select(key, "pos", F.col("x.n").cast("long").alias("n"), F.col("x.g.h0").alias("g0"), F.col("x.g.h1").alias("g1"))
-
-
 def pattern_name(nodes: list, kind: str) -> tuple[Column, Column]:
     """The name of one pattern, as gram_names() gives it."""
     level = [F.struct(*(F.xxhash64(F.lit(s), F.lit(x).cast(kind)).alias(f"h{i}") for i, s in enumerate(SALTS))) for x in nodes]

@@ -15,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grams import gram_names, names_up_to, pattern_name
+from ..functions.grams import gram_names, pattern_name
+from ..sources.kept import keep
 from ..sources.panel import Panel
+from . import nearest
+from .navigate import lf_to_many
+from .order import ordered
 
 ROW = ["query_id", "q_start", "length", "seq_id", "t_start"]
 
@@ -110,60 +114,31 @@ def verified(matches: DataFrame, queries: DataFrame, panel: Panel) -> DataFrame:
 OTHERS = "seq_id != query_id"  # text, as a column needs a session
 
 
-def _probed(q: DataFrame, panel: Panel, limit: int, others: bool = False) -> DataFrame:
-    """(query_id, pos, m): for each position, the most symbols from there on, up to limit, that the panel has somewhere:
-    a semi-join with the panel's distinct grams of all lengths up to limit, at once."""
-    names, asked = names_up_to(panel.positions, limit), names_up_to(q, limit, "query_id")
-    if others:  # a gram is elsewhere if the least or the greatest sequence that has it is another one
-        ends = names.groupBy("n", "g0", "g1").agg(F.min("seq_id").alias("low"), F.max("seq_id").alias("high"))
-        hit = asked.join(ends, ["n", "g0", "g1"]).filter("low != query_id OR high != query_id").select("query_id", "pos", "n")
-    else:
-        hit = asked.join(names.select("n", "g0", "g1").distinct(), ["n", "g0", "g1"], "left_semi").select("query_id", "pos", "n")
-    none = q.select("query_id", "pos", F.lit(0).cast("long").alias("n"))
-    return none.unionByName(hit).groupBy("query_id", "pos").agg(F.max("n").alias("m"))
+def matching_statistics(queries: DataFrame, panel: Panel, on_unknown: str = "empty", others: bool = False) -> DataFrame:
+    """(query_id, pos, m): the longest match that starts at each position: what its nearest neighbours in the order of all
+    that follows have in common with it. others: queries aren't matched with the sequence of their own id."""
+    rows = nearest.together(guard(queries, panel, on_unknown), panel.positions, back=True)
+    return nearest.longest(ordered(rows), rows, others).select("query_id", F.col("at").alias("pos"), "m")
 
 
-def matching_statistics(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty", others: bool = False) -> DataFrame:
-    """(query_id, pos, m): the longest match that starts at each position. Up to `probes` symbols by semi-joins; longer
-    ones from the long matches of more, of which the furthest end so far tells how far the symbols from here go on.
-    others: queries aren't matched with the sequence of their own id."""
-    q = guard(queries, panel, on_unknown)
-    short = _probed(q, panel, probes, others)
-    far = long_matches(q, panel, probes + 1, on_unknown="ignore", residual=OTHERS if others else None).groupBy("query_id", F.col("q_start").alias("pos")).agg(F.max(F.col("q_start") + F.col("length")).alias("end"))
-    w = Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    both = short.join(far, ["query_id", "pos"], "left").withColumn("end", F.max("end").over(w))
-    return both.select("query_id", "pos", F.greatest("m", F.coalesce(F.col("end") - F.col("pos"), F.lit(0))).cast("long").alias("m"))
-
-
-def matching_statistics_end(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty", others: bool = False) -> DataFrame:
-    """(query_id, pos, m): the longest match that ends with each position: those of the sequences read backwards."""
-    def back(df: DataFrame, key: str) -> DataFrame:
-        w = Window.partitionBy(key)
-        return df.select(key, (F.max("pos").over(w) - F.col("pos")).alias("pos"), "node")
+def matching_statistics_end(queries: DataFrame, panel: Panel, on_unknown: str = "empty", others: bool = False) -> DataFrame:
+    """(query_id, pos, m): the longest match that ends with each position: the same in the order of what lies before."""
+    rows = nearest.together(guard(queries, panel, on_unknown), panel.positions)
+    return nearest.longest(ordered(rows), rows, others).select("query_id", F.col("at").alias("pos"), "m")
 
-    found = matching_statistics(back(queries, "query_id"), Panel(back(panel.positions, "seq_id")), probes, on_unknown, others)
-    w = Window.partitionBy("query_id")
-    return found.select("query_id", (F.max("pos").over(w) - F.col("pos")).alias("pos"), "m")
 
-
-def set_maximal_matches(queries: DataFrame, panel: Panel, probes: int = 12, on_unknown: str = "empty", others: bool = False) -> DataFrame:
+def set_maximal_matches(queries: DataFrame, panel: Panel, on_unknown: str = "empty", others: bool = False) -> DataFrame:
     """(query_id, q_start, length, seq_id, t_start): matches that lie in no longer match's part of the query: each
-    position's longest ones, where they are no shorter than at the position before. Those of more than `probes` symbols are
-    told from long matches alone: they end further than all that begin before. Shorter ones are told from probes alone: if
-    the position before has more than `probes`, so that it reaches further, its probes are one more."""
-    q = guard(queries, panel, on_unknown)
-    far = long_matches(q, panel, probes + 1, on_unknown="ignore", residual=OTHERS if others else None).withColumn("end", F.col("q_start") + F.col("length"))
-    here = Window.partitionBy("query_id", "q_start")
-    before = Window.partitionBy("query_id").orderBy("q_start").rangeBetween(Window.unboundedPreceding, -1)
-    far = far.withColumns({"best": F.max("end").over(here), "reach": F.max("end").over(before)})
-    far = far.filter((F.col("end") == F.col("best")) & (F.col("reach").isNull() | (F.col("end") > F.col("reach"))))
-    stats = _probed(q, panel, probes + 1, others).withColumn("before", F.lag("m").over(Window.partitionBy("query_id").orderBy("pos")))
-    kept = stats.filter((F.col("m") > 0) & (F.col("m") <= probes) & (F.col("before").isNull() | (F.col("m") >= F.col("before")))).select("query_id", "pos", F.col("m").alias("n"))
-    on = ["n", "g0", "g1"]
-    asked = names_up_to(q, probes, "query_id").join(kept, ["query_id", "pos", "n"], "left_semi").select("query_id", F.col("pos").alias("q_start"), *on)
-    rows = asked.join(names_up_to(panel.positions, probes).select("seq_id", F.col("pos").alias("t_start"), *on), on)
-    rows = rows.filter(OTHERS) if others else rows
-    return far.select(*ROW).unionByName(rows.select("query_id", "q_start", F.col("n").alias("length"), "seq_id", "t_start"))
+    position's longest ones, where they are no shorter than at the position before. All places of one are an interval of
+    the order of what follows (nearest.intervals)."""
+    rows = nearest.together(guard(queries, panel, on_unknown), panel.positions, back=True)
+    table = nearest.order_of(rows)
+    stats = nearest.longest(table, rows, others).withColumn("before", F.lag("m").over(Window.partitionBy("query_id").orderBy("at")))
+    kept = keep(stats.filter((F.col("m") > 0) & (F.col("before").isNull() | (F.col("m") >= F.col("before")))).select("query_id", "at", "i", "m"), "maximal")
+    found = kept.join(nearest.intervals(table, kept), "i")
+    met = nearest.members(table, found, ["seq_id", "at"])
+    met = met.select("query_id", F.col("at").alias("q_start"), F.col("m").alias("length"), F.col("t_seq_id.id").alias("seq_id"), F.col("t_at").alias("t_start"))
+    return met.filter(OTHERS) if others else met
 
 
 def without_places(matches: DataFrame) -> DataFrame:
@@ -178,8 +153,45 @@ def locate(panel: Panel, pattern: list) -> DataFrame:
     return gram_names(panel.positions, len(pattern)).filter((F.col("g0") == g0) & (F.col("g1") == g1)).select("seq_id", F.col("pos").alias("t_start"))
 
 
-def locate_many(panel: Panel, patterns: DataFrame, length: int) -> DataFrame:
-    """(pattern_id, seq_id, t_start) for patterns (pattern_id, pos, node) that all have this length."""
+def _found(panel: Panel, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The order of panel and patterns, and (pattern_id, node, i, m, low, high): the interval of places where each ends."""
+    rows = nearest.together(patterns.withColumnRenamed("pattern_id", "query_id"), panel.positions)
+    table = nearest.order_of(rows)
+    last = table.filter("seq_id.asked").groupBy("seq_id").agg(F.max(F.struct("pos", "i", "node")).alias("x"))
+    asked = keep(last.select(F.col("seq_id.id").alias("pattern_id"), "x.node", "x.i", (F.col("x.pos") + 1).alias("m")), "patterns")
+    return table, asked.join(nearest.intervals(table, asked), "i")
+
+
+def find_many(panel: Panel, patterns: DataFrame) -> DataFrame:
+    """(pattern_id, node, first, last) for patterns (pattern_id, pos, node) of any lengths: the visits, by their places in the
+    order of node's visits, whose paths have the pattern up to there; no row for a pattern that occurs nowhere. All
+    patterns are found at once, in one order of panel and patterns."""
+    table, found = _found(panel, patterns)
+    counted = keep(nearest.panel_before(table).select("seq_id", "i", "c", "c_first"), "states")
+    found = found.join(counted.select("i", "c_first"), "i")
+    for column, name in (("low", "first"), ("high", "last")):
+        found = nearest.at_places(found, column, counted, name)
+    return found.filter("last > first").select("pattern_id", "node", (F.col("first") - F.col("c_first")).alias("first"), (F.col("last") - F.col("c_first") - 1).alias("last"))
+
+
+def extend_many(states: DataFrame, table: DataFrame, by: DataFrame) -> DataFrame:
+    """(pattern_id, node, first, last): each state of find_many() after one more node, that of by (pattern_id, node); no row
+    if nothing goes that way. table: visits, of which those from a state that go to the node are counted."""
+    both = states.select("pattern_id", F.col("node").alias("from"), "first", "last").join(by.select("pattern_id", F.col("node").alias("to")), "pattern_id")
+    asked = both.select("pattern_id", F.col("from").alias("node"), "to", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("first").alias("off")), F.struct(F.lit(1).alias("end"), (F.col("last") + 1).alias("off")))).alias("x"))
+    landed = lf_to_many(table, asked.select("node", "to", "x.off").distinct())
+    met = asked.select("pattern_id", "node", "to", "x.end", "x.off").join(landed, ["node", "off", "to"])
+    ends = met.groupBy("pattern_id", "to").agg(F.min("to_off").alias("first"), (F.max("to_off") - 1).alias("last"))
+    return ends.filter("last >= first").select("pattern_id", F.col("to").alias("node"), "first", "last")
+
+
+def locate_many(panel: Panel, patterns: DataFrame, length: int | None = None) -> DataFrame:
+    """(pattern_id, seq_id, t_start) for patterns (pattern_id, pos, node) of any lengths: all places where one occurs.
+    length: if all patterns have this length, its grams alone are joined."""
+    if length is None:
+        table, found = _found(panel, patterns)
+        met = nearest.members(table, found, ["seq_id", "pos"])
+        return met.select("pattern_id", F.col("t_seq_id.id").alias("seq_id"), (F.col("t_pos") - F.col("m") + 1).alias("t_start"))
     asked = gram_names(patterns, length, "pattern_id").filter("pos = 0").select("pattern_id", "g0", "g1")
     return asked.join(gram_names(panel.positions, length).select("seq_id", F.col("pos").alias("t_start"), "g0", "g1"), ["g0", "g1"]).select("pattern_id", "seq_id", "t_start")
 

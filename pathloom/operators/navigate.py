@@ -1,9 +1,7 @@
 """Tables for finding one's way in a panel: visits in co-lexicographic order, edges, runs, suffixes and text.
 
 A visit is a place where a path meets a node. A node's visits are ordered by the path's prefix that ends there, read
-backwards; at equal prefixes, by sequence. Prefixes are ranked by doubling: those of 2n nodes by the ranks of their last n
-nodes and of the n before. A round shuffles narrow rows twice, once by sequence and once by what still ties, so no
-task sorts all visits of a frequent node, and there are as many rounds as the logarithm of the longest path.
+backwards; at equal prefixes, by sequence (order.py).
 """
 
 from __future__ import annotations
@@ -11,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grams import gram_names
+from ..sources.kept import keep
 from ..sources.panel import Panel
+from . import nearest
+from .asof import covering
+from .order import in_common, ordered
 
 LONG = "long"
-#: Nodes of a prefix that are compared at once before ranks double.
-LAST = 8
 
 
 def node_sizes(panel: Panel) -> DataFrame:
@@ -69,57 +68,15 @@ def outgoing(panel: Panel) -> DataFrame:
     return counted.withColumn("first", F.coalesce(F.sum("visits").over(before), F.lit(0)).cast(LONG))
 
 
-def _longest(rows: DataFrame) -> int:
-    return (rows.agg(F.max("pos")).first()[0] or 0) + 1
-
-
-def ranks(rows: DataFrame, counted: Column | None = None) -> DataFrame:
-    """rows (seq_id, pos, node, ...) with r: how many rows of the same node have a smaller prefix, read backwards, a path's
-    start being smaller than any node; rows of equal prefixes share theirs. counted: which rows count; then r_all is as if
-    all did."""
-    longest = _longest(rows)
-    near = min(LAST, longest)
-    sums = {"_all": F.lit(1).cast(LONG)} | ({} if counted is None else {"_r": F.when(counted, 1).otherwise(0).cast(LONG)})
-    by_seq = Window.partitionBy("seq_id").orderBy("pos")
-    own = rows.select("*", *(v.alias(f"{k}_n") for k, v in sums.items()), *(F.lag("node", k).over(by_seq).alias(f"_c{k}") for k in range(1, near)))
-    if near > 1:  # visits that come from smaller nodes: a sum over a node's predecessors, of which there are few
-        first = own.groupBy("node", "_c1").agg(*(F.sum(f"{k}_n").alias(k) for k in sums))
-        before = Window.partitionBy("node").orderBy(F.asc_nulls_first("_c1")).rowsBetween(Window.unboundedPreceding, -1)
-        first = first.select(F.col("node").alias("_node"), F.col("_c1").alias("_b1"), *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums))
-        own = own.join(first, F.col("node").eqNullSafe(F.col("_node")) & F.col("_c1").eqNullSafe(F.col("_b1"))).drop("_node", "_b1")
-        own = _refined(own, ["node", "_c1"], [f"_c{k}" for k in range(2, near)], [*sums])
-    else:
-        own = own.withColumns({k: F.lit(0).cast(LONG) for k in sums})
-    own, n = own.drop(*(f"_c{k}" for k in range(1, near))), near
-    while n < longest:
-        ahead = own.withColumns({"_c0": F.lag("node", n).over(by_seq), "_c1": F.lag("_all", n).over(by_seq)})
-        own, n = _refined(ahead, ["node", "_all"], ["_c0", "_c1"], [*sums]).drop("_c0", "_c1"), 2 * n
-    names = {"_all": "r"} if counted is None else {"_r": "r", "_all": "r_all"}
-    return own.withColumnsRenamed(names).drop(*(f"{k}_n" for k in sums))
-
-
-def _refined(own: DataFrame, ties: list[str], by: list[str], sums: list[str]) -> DataFrame:
-    """The sums with the rows of a tie put in order of `by`, nulls first."""
-    if not by:
-        return own
-    w = Window.partitionBy(*ties).orderBy(*(F.asc_nulls_first(c) for c in by))
-    more = {"_all": F.rank().over(w).cast(LONG) - 1}
-    if "_r" in sums:
-        up = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        more["_r"] = F.sum("_r_n").over(up) - F.sum("_r_n").over(Window.partitionBy(*ties, *by))
-    return own.withColumns({f"{k}_more": v for k, v in more.items()}).withColumns({k: F.col(k) + F.col(f"{k}_more") for k in more}).drop(*(f"{k}_more" for k in more))
-
-
-def visits(panel: Panel, end: Column) -> DataFrame:
-    """(node, off, seq_id, pos, next_node, seq_offset, prefix): prefix is read backwards from the visit; as it's as long as
-    the path so far, better drop it where it isn't needed."""
+def visits(panel: Panel, end: Column, prefix: bool = False) -> DataFrame:
+    """(node, off, seq_id, pos, next_node, seq_offset), and prefix, which is read backwards from the visit; as it's as long
+    as the path so far, only where it's asked for."""
     w = Window.partitionBy("seq_id").orderBy("pos")
-    prefix = F.reverse(F.collect_list("node").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = ranks(panel.positions.select("seq_id", "pos", "node"))
-    tied = Window.partitionBy("node", "r").orderBy("seq_id")
-    rows = rows.select("seq_id", "pos", "node", (F.col("r") + F.row_number().over(tied) - 1).cast(LONG).alias("off"))
-    rows = rows.select("*", F.coalesce(F.lead("node").over(w), end).alias("next_node"), (F.max("pos").over(Window.partitionBy("seq_id")) - F.col("pos")).cast(LONG).alias("seq_offset"), prefix.alias("prefix"))
-    return rows.select("node", "off", "seq_id", "pos", "next_node", "seq_offset", "prefix")
+    rows = ordered(panel.positions.select("seq_id", "pos", "node")).select("seq_id", "pos", "node", (F.col("i") - F.col("first")).alias("off"))
+    more = {"prefix": F.reverse(F.collect_list("node").over(w.rowsBetween(Window.unboundedPreceding, 0)))} if prefix else {}
+    last = F.max("pos").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumns({"next_node": F.coalesce(F.lead("node").over(w), end), "seq_offset": (last - F.col("pos")).cast(LONG)} | more)
+    return rows.select("node", "off", "seq_id", "pos", "next_node", "seq_offset", *more)
 
 
 def lf(table: DataFrame) -> DataFrame:
@@ -207,21 +164,23 @@ def suffix_neighbours(table: DataFrame) -> DataFrame:
 def adjacent_lcp(table: DataFrame) -> DataFrame:
     """(node, off, lcp): nodes that a visit's path shares, going backwards from the node itself, with the visit before.
 
-    Stretches of 2 ** k nodes that end at a place have names by doubling (grams.py). A pair of visits goes back together
-    by the longest stretch of one name first, then by half of it, and so on: the binary digits of what they share."""
-    rows = table.select("seq_id", "pos", "node")
-    pair = table.select("node", "off", F.col("seq_id").alias("x"), F.col("pos").alias("x_at"))
-    before = table.select("node", (F.col("off") + 1).alias("off"), F.col("seq_id").alias("y"), F.col("pos").alias("y_at"))
-    now = pair.join(before, ["node", "off"]).withColumn("lcp", F.lit(0).cast(LONG))
-    lengths = [1 << k for k in range(_longest(rows).bit_length())]
-    for n in reversed(lengths):
-        named = gram_names(rows, n).select("seq_id", (F.col("pos") + n - 1).alias("at"), "g0", "g1")
-        sides = (named.select(F.col("seq_id").alias(s), F.col("at").alias(f"{s}_at"), F.struct("g0", "g1").alias(f"{s}_name")) for s in ("x", "y"))
-        for s, side in zip(("x", "y"), sides, strict=True):
-            now = now.join(side, [s, f"{s}_at"], "left")
-        same = F.coalesce(F.col("x_name") == F.col("y_name"), F.lit(False))
-        now = now.withColumns({c: F.when(same, F.col(c) + step).otherwise(F.col(c)) for c, step in (("lcp", n), ("x_at", -n), ("y_at", -n))}).drop("x_name", "y_name")
-    return table.select("node", "off").join(now.select("node", "off", "lcp"), ["node", "off"], "left").select("node", "off", F.coalesce("lcp", F.lit(0)).cast(LONG).alias("lcp"))
+    A visit whose path comes from the visit after that from which the path of the visit before comes shares one node more
+    than these two. So only heads, whose paths come from elsewhere, are compared (order.in_common); the rest follows from
+    the last head on the path and the distance from it. Visits are joined twice, to what lies before them on the path and
+    in the node, and heads alone for each level of lengths."""
+    by_seq = Window.partitionBy("seq_id").orderBy("pos")
+    own = table.select("node", "off", "seq_id", "pos", F.lag(F.struct("node", "off")).over(by_seq).alias("came"))
+    before = own.select("node", (F.col("off") + 1).alias("off"), F.col("seq_id").alias("y"), F.col("pos").alias("y_at"), F.col("came").alias("y_came"))
+    met = own.join(before, ["node", "off"], "left")
+    follows = F.coalesce((F.col("came.node") == F.col("y_came.node")) & (F.col("came.off") == F.col("y_came.off") + 1), F.lit(False))
+    apart = ~F.coalesce(F.col("came.node") == F.col("y_came.node"), F.lit(False))
+    told = F.when(F.col("y").isNull(), F.lit(0)).when(apart, F.lit(1))
+    met = keep(met.select("node", "off", "seq_id", "pos", "y", "y_at", told.cast(LONG).alias("head"), follows.alias("follows")), "heads")
+    asked = keep(met.filter("head IS NULL AND NOT follows").select("seq_id", "pos", F.col("seq_id").alias("x"), F.col("pos").alias("x_at"), "y", "y_at"), "compared")
+    found = in_common(asked, table.select("seq_id", "pos", "node"), ["seq_id", "pos"])
+    rows = met.join(found, ["seq_id", "pos"], "left").withColumn("head", F.coalesce("head", "common"))
+    passed = F.last(F.col("head") - F.col("pos"), ignorenulls=True).over(by_seq.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("node", "off", (passed + F.col("pos")).cast(LONG).alias("lcp"))
 
 
 def path_lengths(panel: Panel) -> DataFrame:
@@ -247,8 +206,13 @@ def text(panel: Panel, end: Column) -> DataFrame:
 
 
 def text_at(panel: Panel, places: DataFrame, end: Column) -> DataFrame:
-    """(i, node) for the asked places (i); null outside of the text."""
-    return places.select("i").join(text(panel, end), "i", "left")
+    """(i, node) for the asked places (i); null outside of the text. A place's path is the one that begins last before it;
+    then one join of these few places reads the nodes. The text itself isn't made."""
+    starts = path_starts(panel).withColumn("n", F.col("length") + 1)
+    asked = places.select(F.col("i").cast(LONG).alias("i"), F.lit(0).alias("text"))
+    met = covering(asked, "i", starts.withColumn("text", F.lit(0)), "start", "n", ["text"], ["seq_id", "start", "length"])
+    at = met.select("i", "seq_id", (F.col("start") + F.col("length") - 1 - F.col("i")).alias("pos"))
+    return at.join(panel.positions, ["seq_id", "pos"], "left").select("i", F.when(F.col("pos") == -1, end).otherwise(F.col("node")).alias("node"))
 
 
 def text_violations(panel: Panel, written: DataFrame, end: Column) -> DataFrame:
@@ -316,7 +280,7 @@ def suffixes(table: DataFrame) -> DataFrame:
 
 def dump(panel: Panel, end: Column, n: int = 20) -> None:
     """Prints all that this module derives from a panel, n rows of each."""
-    table = visits(panel, end).drop("prefix")
+    table = visits(panel, end)
     for name, df in {
         "paths": panel.paths(), "nodes": node_sizes(panel), "edges": edges(panel, end), "from smaller nodes": outgoing(panel), "visits, successors and suffixes": table, "steps": lf(table), "steps back": inverse_lf(table),
         "runs": runs(table, end), "samples of runs": run_samples(table, end), "shared with the visit before": adjacent_lcp(table), "text": text(panel, end), "starts of paths": path_starts(panel),
@@ -328,7 +292,12 @@ def dump(panel: Panel, end: Column, n: int = 20) -> None:
 def insertion_offsets(queries: DataFrame, table: DataFrame) -> DataFrame:
     """(query_id, pos, off): before which visit of its node each query prefix would stand, in co-lexicographic order; at
     equal prefixes, before all. Only queries whose nodes all have visits should be asked."""
-    panel = table.select(F.struct(F.lit(False).alias("asked"), F.col("seq_id").alias("id")).alias("seq_id"), "pos", "node")
-    asked = queries.select(F.struct(F.lit(True).alias("asked"), F.col("query_id").cast(LONG).alias("id")).alias("seq_id"), "pos", "node")
-    both = ranks(panel.unionByName(asked), ~F.col("seq_id.asked"))
-    return both.filter("seq_id.asked").select(F.col("seq_id.id").alias("query_id"), "pos", F.col("r").alias("off"))
+    return insertion_places(queries, table).select("query_id", "pos", "off")
+
+
+def insertion_places(queries: DataFrame, table: DataFrame) -> DataFrame:
+    """(query_id, pos, node, off, after, new_off): as insertion_offsets(); after: at equal prefixes after all visits of the
+    table; new_off: where the prefix stands once all queries are inserted, in this way and by their ids."""
+    rows = nearest.together(queries, table.select("seq_id", "pos", "node"))
+    asked = nearest.panel_before(ordered(rows)).filter("seq_id.asked")
+    return asked.select(F.col("seq_id.id").alias("query_id"), "pos", "node", (F.col("c_r") - F.col("c_first")).alias("off"), (F.col("c") - F.col("c_first")).alias("after"), (F.col("i") - F.col("first")).alias("new_off"))

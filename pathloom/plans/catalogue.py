@@ -121,7 +121,7 @@ def long_matches_contamination_all(spark: SparkSession, sf_dir: str) -> DataFram
 @query("set_maximal_events", islands(10) + BEST + f" SELECT {MATCH} FROM found")
 def set_maximal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = split(events(spark, sf_dir), 10)
-    return matches.set_maximal_matches(q, t, probes=7)
+    return matches.set_maximal_matches(q, t)
 
 
 @query("set_maximal_ids_bag", islands(10) + BEST + f" SELECT {longs('query_id', 'q_start', 'length', 'seq_id')} FROM found")
@@ -132,13 +132,13 @@ def set_maximal_ids_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("matching_stats_start", islands(10) + " SELECT CAST(q.query_id AS BIGINT) AS query_id, CAST(q.pos AS BIGINT) AS pos, CAST(coalesce(max(i.q_start + i.length - q.pos), 0) AS BIGINT) AS m FROM q LEFT JOIN isl i ON i.query_id = q.query_id AND q.pos >= i.q_start AND q.pos < i.q_start + i.length GROUP BY ALL")
 def matching_stats_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = split(events(spark, sf_dir), 10)
-    return matches.matching_statistics(q, t, probes=6)
+    return matches.matching_statistics(q, t)
 
 
 @query("matching_stats_end", islands(10) + " SELECT CAST(q.query_id AS BIGINT) AS query_id, CAST(q.pos AS BIGINT) AS pos, CAST(coalesce(max(q.pos - i.q_start + 1), 0) AS BIGINT) AS m FROM q LEFT JOIN isl i ON i.query_id = q.query_id AND q.pos >= i.q_start AND q.pos < i.q_start + i.length GROUP BY ALL")
 def matching_stats_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = split(events(spark, sf_dir), 10)
-    return matches.matching_statistics_end(q, t, probes=6)
+    return matches.matching_statistics_end(q, t)
 
 
 #: The same with each query against all sequences but its own.
@@ -167,7 +167,7 @@ def long_matches_orders_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("set_maximal_events_whole", ORACLES["set_maximal_events"].replace(islands(10), islands_whole()))
 def set_maximal_events_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches.set_maximal_matches(*whole(events(spark, sf_dir)), probes=7, others=True)
+    return matches.set_maximal_matches(*whole(events(spark, sf_dir)), others=True)
 
 
 @query("set_maximal_ids_bag_whole", ORACLES["set_maximal_ids_bag"].replace(islands(10), islands_whole()))
@@ -177,12 +177,12 @@ def set_maximal_ids_bag_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("matching_stats_start_whole", ORACLES["matching_stats_start"].replace(islands(10), islands_whole()))
 def matching_stats_start_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches.matching_statistics(*whole(events(spark, sf_dir)), probes=6, others=True)
+    return matches.matching_statistics(*whole(events(spark, sf_dir)), others=True)
 
 
 @query("matching_stats_end_whole", ORACLES["matching_stats_end"].replace(islands(10), islands_whole()))
 def matching_stats_end_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches.matching_statistics_end(*whole(events(spark, sf_dir)), probes=6, others=True)
+    return matches.matching_statistics_end(*whole(events(spark, sf_dir)), others=True)
 
 
 def with_unknown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Panel]:
@@ -260,6 +260,42 @@ def find_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate_positions(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
+#: Patterns of two to seven symbols: what follows every fifth place of every thirtieth sequence.
+PATTERNS = f"WITH {EVENTS}, a AS (SELECT seq_id, list(node ORDER BY pos) AS p FROM pos GROUP BY seq_id), pat AS (SELECT x.seq_id * 1000 + x.pos AS pattern_id, a.p[x.pos + 1:x.pos + 2 + x.pos % 6] AS w FROM pos x JOIN a USING (seq_id) WHERE x.seq_id % 30 = 0 AND x.pos % 5 = 0)"
+
+
+def patterns(panel: Panel) -> DataFrame:
+    begun = panel.positions.filter("seq_id % 30 = 0 AND pos % 5 = 0").select("seq_id", F.col("pos").alias("start"))
+    own = begun.select("*", F.explode(F.sequence(F.lit(0).cast("long"), 1 + F.col("start") % 6)).alias("k")).withColumn("pos", F.col("start") + F.col("k"))
+    return own.join(panel.positions, ["seq_id", "pos"]).select((F.col("seq_id") * 1000 + F.col("start")).alias("pattern_id"), F.col("k").alias("pos"), "node")
+
+
+@query("locate_mixed", PATTERNS + " SELECT CAST(pattern_id AS BIGINT) AS pattern_id, CAST(seq_id AS BIGINT) AS seq_id, CAST(t_start AS BIGINT) AS t_start FROM (SELECT seq_id, p, unnest(range(len(p))) AS t_start FROM a) h JOIN pat ON h.p[t_start + 1:t_start + len(pat.w)] = pat.w")
+def locate_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of different lengths, all at once."""
+    panel = events(spark, sf_dir)
+    return matches.locate_many(panel, patterns(panel))
+
+
+FOUND = PATTERNS + ", pre AS (SELECT pos.seq_id, pos.pos, pos.node, list_reverse(a.p[1:pos.pos + 1]) AS prefix FROM pos JOIN a USING (seq_id)), v AS (SELECT node, row_number() OVER (PARTITION BY node ORDER BY prefix, seq_id) - 1 AS off, prefix FROM pre)"
+
+
+@query("find_mixed", FOUND + " SELECT CAST(pattern_id AS BIGINT) AS pattern_id, v.node, CAST(min(off) AS BIGINT) AS first, CAST(max(off) AS BIGINT) AS last FROM v JOIN pat ON v.node = pat.w[len(pat.w)] AND v.prefix[1:len(pat.w)] = list_reverse(pat.w) GROUP BY pattern_id, v.node")
+def find_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states that patterns of different lengths lead to: a node, and an interval of its visits."""
+    panel = events(spark, sf_dir)
+    return matches.find_many(panel, patterns(panel))
+
+
+@query("extend_mixed", FOUND + ", more AS (SELECT pattern_id, list_append(w, (SELECT min(node) FROM pos)) AS w FROM pat) SELECT CAST(pattern_id AS BIGINT) AS pattern_id, v.node, CAST(min(off) AS BIGINT) AS first, CAST(max(off) AS BIGINT) AS last FROM v JOIN more ON v.node = more.w[len(more.w)] AND v.prefix[1:len(more.w)] = list_reverse(more.w) GROUP BY pattern_id, v.node")
+def extend_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states after one more symbol, the least of all."""
+    panel = events(spark, sf_dir)
+    asked = patterns(panel)
+    least = panel.positions.agg(F.min("node").alias("node"))  # one row
+    return matches.extend_many(matches.find_many(panel, asked), event_visits(spark, sf_dir), asked.select("pattern_id").distinct().crossJoin(F.broadcast(least)))
+
+
 @query("extract_positions", f"WITH {EVENTS} SELECT {longs('seq_id', 'pos')}, node FROM pos")
 def extract_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).positions
@@ -304,7 +340,7 @@ def event_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("visits", VISITS + f" SELECT node, {longs('off', 'seq_id', 'pos')}, next_node, {longs('seq_offset')} FROM v")
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_visits(spark, sf_dir).drop("prefix")
+    return event_visits(spark, sf_dir)
 
 
 @query("lf_step", VISITS + " SELECT a.node, CAST(a.off AS BIGINT) AS off, b.node AS next_node, CAST(b.off AS BIGINT) AS next_off FROM v a JOIN v b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1")
@@ -449,7 +485,7 @@ SELECT a.node, CAST(a.off AS BIGINT) AS off, e.to_node, CAST(coalesce((SELECT su
 + coalesce(sum(CASE WHEN a.next_node = e.to_node THEN 1 ELSE 0 END) OVER (PARTITION BY a.node, e.to_node ORDER BY a.off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS to_off FROM v a JOIN e ON a.node = e.node""")
 def lf_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each visit would land by each way out of its node."""
-    table = event_visits(spark, sf_dir).drop("prefix")
+    table = event_visits(spark, sf_dir)
     ways = table.filter(F.col("next_node") != END).select("node", F.col("next_node").alias("to")).distinct()
     return navigate.lf_to_many(table, table.select("node", "off").join(ways, "node")).withColumnRenamed("to", "to_node")
 
@@ -493,7 +529,7 @@ def text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("suffix_check", VISITS + f" SELECT node, {longs('off', 'seq_id', 'seq_offset')} FROM v WHERE off < 0")
 def suffix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No visit's next suffix has another one before it."""
-    return navigate.suffix_violations(event_visits(spark, sf_dir).drop("prefix"))
+    return navigate.suffix_violations(event_visits(spark, sf_dir))
 
 
 def both_ways(spark: SparkSession, sf_dir: str) -> Panel:

@@ -55,7 +55,7 @@ def test_growing_panel(spark):
         q = panel(spark, {0: asked}).as_queries()
         rows = lambda df: sorted((x.q_start, x.length, x.seq_id, x.t_start) for x in df.collect())
         assert rows(matches.long_matches(q, own, 2)) == brute.long_matches(asked, brute.both_ways(paths), 2)
-        assert rows(matches.set_maximal_matches(q, own, probes=2)) == brute.set_maximal(asked, brute.both_ways(paths))
+        assert rows(matches.set_maximal_matches(q, own)) == brute.set_maximal(asked, brute.both_ways(paths))
 
 
 def test_removed_haplotypes(toy):

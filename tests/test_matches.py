@@ -36,7 +36,7 @@ def test_toy_counts_and_rows(spark, toy):
 
 
 def test_set_maximal_toy(spark, toy):
-    found = matches.set_maximal_matches(queries(spark, {0: brute.QUERY}), toy, probes=3)
+    found = matches.set_maximal_matches(queries(spark, {0: brute.QUERY}), toy)
     assert rows(found) == brute.set_maximal(brute.QUERY, brute.both_ways(brute.TOY))
     assert len(rows(found)) == 13
     assert matches.without_places(found).count() == 13
@@ -57,9 +57,9 @@ def test_plans_agree_with_the_definition(spark, seed):
         found = matches.long_matches(q, p, least, plan, "ignore").collect()
         for i, x in asked.items():
             assert sorted((r.q_start, r.length, r.seq_id, r.t_start) for r in found if r.query_id == i) == brute.long_matches(x, paths, least), (plan, least, i)
-    stats = matches.matching_statistics(q, p, probes=2, on_unknown="ignore").collect()
-    ends = matches.matching_statistics_end(q, p, probes=2, on_unknown="ignore").collect()
-    maximal = matches.set_maximal_matches(q, p, probes=2, on_unknown="ignore").collect()
+    stats = matches.matching_statistics(q, p, on_unknown="ignore").collect()
+    ends = matches.matching_statistics_end(q, p, on_unknown="ignore").collect()
+    maximal = matches.set_maximal_matches(q, p, on_unknown="ignore").collect()
     back = {s: x[::-1] for s, x in paths.items()}
     for i, x in asked.items():
         assert [r.m for r in sorted(stats, key=lambda r: r.pos) if r.query_id == i] == brute.statistics(x, paths)
@@ -84,8 +84,8 @@ def test_queries_within_the_panel(spark):
     own, asked = panel(spark, paths), {s: paths[s] for s in (0, 2)}
     q = queries(spark, asked)
     found = matches.long_matches(q, own, 2, residual=matches.OTHERS).collect()
-    stats = matches.matching_statistics(q, own, probes=2, others=True).collect()
-    maximal = matches.set_maximal_matches(q, own, probes=2, others=True).collect()
+    stats = matches.matching_statistics(q, own, others=True).collect()
+    maximal = matches.set_maximal_matches(q, own, others=True).collect()
     for i, x in asked.items():
         rest = {s: p for s, p in paths.items() if s != i}
         assert sorted((f.q_start, f.length, f.seq_id, f.t_start) for f in found if f.query_id == i) == brute.long_matches(x, rest, 2)
@@ -123,7 +123,7 @@ def test_shared_segments(spark, tmp_path):
 
 def test_navigation(spark, toy):
     end = F.lit(0).cast("long")
-    table = navigate.visits(toy, end).cache()
+    table = navigate.visits(toy, end, prefix=True).cache()
     runs = navigate.runs(table, end).agg(F.sum("concrete").alias("c"), F.sum("logical").alias("l")).first()
     starts = spark.createDataFrame(sorted((s, p[0]) for s, p in brute.both_ways(brute.TOY).items()), "seq_id long, node long").orderBy("seq_id").collect()
     first = [r.node for r in starts]
