@@ -130,6 +130,35 @@ def run_ids(table: DataFrame, end: Column, bucket: int = 65536) -> DataFrame:
     return sums.select("node", "off", (F.col("n") + F.col("n0") - 1).cast(LONG).alias("run_id"), (F.col("l") + F.col("l0") - 1).cast(LONG).alias("logical_id"))
 
 
+def run_table(table: DataFrame, end: Column) -> DataFrame:
+    """(node, run, next_node, first, length, to_first): visits as runs of equal successors; to_first is where the first of
+    them leads, and the others lead to the places after it; null at paths' ends. It has all that lf() has, in as many
+    rows as there are runs: paths that go the same way, as copies do, share theirs."""
+    steps = table.join(run_ids(table, end), ["node", "off"]).join(lf(table).select("node", "off", "next_off"), ["node", "off"], "left")
+    rows = steps.groupBy("node", F.col("run_id").alias("run")).agg(F.first("next_node").alias("next_node"), F.min("off").alias("first"), F.count("*").alias("length"), F.min("next_off").alias("to_first"))
+    return rows.select("node", "run", "next_node", "first", "length", "to_first")
+
+
+def lf_by_runs(runs_: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, off, next_node, next_off) for asked (node, off): lf() from run_table() alone, by the run that begins last before
+    a place. At a path's end next_off is null; beyond a node's visits next_node is, too."""
+    met = covering(asked.select("node", "off"), "off", runs_, "first", "length", ["node"], ["next_node", "first", "to_first"])
+    return met.select("node", "off", "next_node", (F.col("to_first") + F.col("off") - F.col("first")).alias("next_off"))
+
+
+def lf_to_by_runs(runs_: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, off, to, to_off): lf_to_many() from run_table() alone: the first run that goes to `to` and ends after the place
+    leads there, or else where the last one ends; no row if no path goes that way."""
+    ways = runs_.filter("to_first IS NOT NULL").withColumn("to", F.col("next_node"))
+    before = Window.partitionBy("node", "to").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    ways = ways.withColumn("from", F.coalesce(F.max(F.col("first") + F.col("length")).over(before), F.lit(0)))  # over runs, not visits
+    ways = ways.select("node", "to", "from", "first", (F.col("first") + F.col("length") - F.col("from")).alias("reach"), "to_first")
+    last = ways.groupBy("node", "to").agg(F.max(F.col("to_first") + F.col("reach") - (F.col("first") - F.col("from"))).alias("beyond"))
+    met = covering(asked.select("node", "to", "off"), "off", ways, "from", "reach", ["node", "to"], ["first", "to_first"]).join(last, ["node", "to"])
+    inside = F.col("to_first") + F.greatest(F.col("off") - F.col("first"), F.lit(0))
+    return met.select("node", "off", "to", F.coalesce(inside, F.col("beyond")).cast(LONG).alias("to_off"))
+
+
 def run_samples(table: DataFrame, end: Column) -> DataFrame:
     """(node, run_id, head_seq, head_offset, tail_seq, tail_offset): the suffixes of a logical run's first and last visit."""
     at = F.struct("seq_id", "seq_offset")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import shared_segments
 from ..operators import ibd, maintain, matches, navigate
+from ..sources.kept import keep
 from ..sources.panel import Panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -548,6 +549,86 @@ def ibd_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_segments.call(both_ways(spark, sf_dir), 6)
 
 
+@query("run_table", RUNS + ", r AS (SELECT f.node, f.off, f.next_node, sum(n) OVER (PARTITION BY f.node ORDER BY f.off) - 1 AS run FROM f) SELECT r.node, CAST(r.run AS BIGINT) AS run, any_value(r.next_node) AS next_node, CAST(min(r.off) AS BIGINT) AS first, CAST(count(*) AS BIGINT) AS length, CAST(min(b.off) AS BIGINT) AS to_first FROM r JOIN v a ON a.node = r.node AND a.off = r.off LEFT JOIN v b ON b.seq_id = a.seq_id AND b.pos = a.pos + 1 GROUP BY r.node, r.run")
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigate.run_table(event_visits(spark, sf_dir), F.lit(END))
+
+
+@query("lf_by_runs", VISITS + " SELECT a.node, CAST(a.off AS BIGINT) AS off, a.next_node, CAST(b.off AS BIGINT) AS next_off FROM v a LEFT JOIN v b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1")
+def lf_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each visit's step, from the runs alone."""
+    table = keep(event_visits(spark, sf_dir), "visits")
+    return navigate.lf_by_runs(navigate.run_table(table, F.lit(END)), table)
+
+
+@query("lf_to_by_runs", ORACLES["lf_to"])
+def lf_to_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each visit would land by each way out of its node, from the runs alone."""
+    table = keep(event_visits(spark, sf_dir), "visits")
+    ways = table.filter(F.col("next_node") != END).select("node", F.col("next_node").alias("to")).distinct()
+    return navigate.lf_to_by_runs(navigate.run_table(table, F.lit(END)), table.select("node", "off").join(ways, "node")).withColumnRenamed("to", "to_node")
+
+
+COPIES = f"WITH {EVENTS}, one AS (SELECT * FROM pos), s AS (SELECT a.*, coalesce(b.node, '$') AS next_node FROM one a LEFT JOIN one b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1)" + VISITS[len(STEPS):] + ", f AS (SELECT node, off, next_node, CASE WHEN lag(next_node) OVER (PARTITION BY node ORDER BY off) = next_node THEN 0 ELSE 1 END AS n FROM v)"
+
+
+@query("run_table_of_copies", COPIES + " SELECT node, CAST(sum(n) AS BIGINT) AS runs, CAST(3 * count(*) AS BIGINT) AS visits FROM f GROUP BY node")
+def run_table_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a panel that has each path three times: as many runs as of one that has it once, three times the visits."""
+    panel = events(spark, sf_dir)
+    thrice = panel.positions.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).select((3 * F.col("seq_id") + F.col("k")).alias("seq_id"), "pos", "node")
+    found = navigate.run_table(navigate.visits(Panel(thrice), F.lit(END)), F.lit(END))
+    return found.groupBy("node").agg(F.count("*").alias("runs"), F.sum("length").alias("visits"))
+
+
+OF_PANEL = ", a AS (SELECT seq_id, list(node ORDER BY pos) AS p FROM pos GROUP BY seq_id)," + VISITS.split("GROUP BY seq_id),", 1)[1]
+STEP = ", s AS (SELECT a.*, coalesce(b.node, '$') AS next_node FROM pos a LEFT JOIN pos b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1)"
+ALL_VISITS = f" SELECT node, {longs('off', 'seq_id', 'pos')}, next_node, {longs('seq_offset')} FROM v"
+
+
+@query("visits_inserted", "WITH " + EVENTS.replace("pos AS", "old AS", 1) + ", pos AS (SELECT * FROM old UNION ALL SELECT seq_id + 1 + (SELECT max(seq_id) FROM old), pos, node FROM old WHERE seq_id % 9 = 0)" + STEP + OF_PANEL + ALL_VISITS)
+def visits_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths are added to the visits that there are; the SQL builds them anew."""
+    panel = events(spark, sf_dir)
+    last = panel.positions.agg((F.max("seq_id") + 1).alias("shift"))  # one row
+    added = panel.where("seq_id % 9 = 0").positions.crossJoin(F.broadcast(last)).select((F.col("seq_id") + F.col("shift")).alias("seq_id"), "pos", "node")
+    return maintain.insert_visits(keep(event_visits(spark, sf_dir), "visits"), Panel(added), F.lit(END))
+
+
+@query("visits_removed", "WITH " + EVENTS.replace("pos AS", "old AS", 1) + ", pos AS (SELECT * FROM old WHERE seq_id % 7 <> 0)" + STEP + OF_PANEL + ALL_VISITS)
+def visits_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths are removed from the visits that there are; the SQL builds them anew."""
+    table = event_visits(spark, sf_dir)
+    return maintain.remove_visits(table, table.select("seq_id").distinct().filter("seq_id % 7 = 0"))
+
+
+@query("random_walks", f"""WITH RECURSIVE {EVENTS}, e AS (SELECT seq_id, pos, lag(node) OVER w AS a, node AS b, lead(node) OVER w AS c FROM pos WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
+c AS (SELECT coalesce(a, '^') AS node, coalesce(b, '$') AS nxt, count(*) AS n FROM (SELECT a, b FROM e UNION ALL SELECT b, c FROM e WHERE c IS NULL) GROUP BY 1, 2),
+k AS (SELECT node, nxt, n, sum(n) OVER (PARTITION BY node) AS total, sum(n) OVER (PARTITION BY node ORDER BY nxt <> '$', nxt) - n AS low FROM c),
+al AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS comp, count(*) OVER () AS sigma FROM (SELECT DISTINCT node FROM pos)),
+walk AS (SELECT seq_id AS walk_id, CAST(-1 AS BIGINT) AS pos, '^' AS node FROM pos WHERE seq_id % 10 = 0 GROUP BY seq_id UNION ALL
+SELECT x.walk_id, x.pos, x.node FROM (SELECT w.walk_id, w.pos + 1 AS pos, CASE WHEN CAST('0x' || left(md5('5:jump:' || w.walk_id || ':' || (w.pos + 1)), 8) AS BIGINT) % 1000 < 50
+THEN (SELECT min(al.node) FROM al WHERE al.comp = CAST('0x' || left(md5('5:node:' || w.walk_id || ':' || (w.pos + 1)), 8) AS BIGINT) % al.sigma) ELSE k.nxt END AS node
+FROM walk w JOIN k ON k.node = w.node AND CAST('0x' || left(md5('5:step:' || w.walk_id || ':' || (w.pos + 1)), 8) AS BIGINT) % k.total >= k.low AND CAST('0x' || left(md5('5:step:' || w.walk_id || ':' || (w.pos + 1)), 8) AS BIGINT) % k.total < k.low + k.n) x WHERE x.node <> '$' AND x.pos < 8)
+SELECT CAST(walk_id AS BIGINT) AS walk_id, CAST(pos AS BIGINT) AS pos, node FROM walk WHERE pos >= 0""")
+def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk for every tenth sequence, all step by step together; one of twenty steps goes anywhere."""
+    panel = events(spark, sf_dir)
+    walks = panel.positions.filter("seq_id % 10 = 0").select(F.col("seq_id").alias("walk_id")).distinct()
+    return maintain.random_walks(panel, walks, 8, 5, jump=50)
+
+
+@query("suffix_check_damaged", VISITS + """, w AS (SELECT a.node, a.off, coalesce(b.seq_id, a.seq_id) AS seq_id, coalesce(b.seq_offset, a.seq_offset) AS seq_offset FROM v a LEFT JOIN v b ON a.off % 7 = 3 AND b.node = a.node AND b.off = a.off + 1),
+n AS (SELECT *, lag(struct_pack(s := seq_id, o := seq_offset)) OVER (PARTITION BY node ORDER BY off) AS p, lead(struct_pack(s := seq_id, o := seq_offset)) OVER (PARTITION BY node ORDER BY off) AS x FROM w)
+SELECT a.node, CAST(a.off AS BIGINT) AS off, CAST(a.seq_id AS BIGINT) AS seq_id, CAST(a.seq_offset AS BIGINT) AS seq_offset FROM n a JOIN n b ON b.node = a.node AND b.seq_id = a.x.s AND b.seq_offset = a.x.o WHERE b.p IS NULL OR b.p.s <> a.seq_id OR b.p.o <> a.seq_offset""")
+def suffix_check_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of visits some of which were written with the suffix of the next one."""
+    table = keep(event_visits(spark, sf_dir), "visits")
+    after = table.select("node", (F.col("off") - 1).alias("off"), F.col("seq_id").alias("s"), F.col("seq_offset").alias("o")).filter("off % 7 = 3")
+    damaged = table.join(after, ["node", "off"], "left").withColumns({"seq_id": F.coalesce("s", "seq_id"), "seq_offset": F.coalesce("o", "seq_offset")}).drop("s", "o")
+    return navigate.suffix_violations(damaged)
+
+
 #: The queries with unknown symbols, each against all sequences but its own.
 def with_unknown_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Panel]:
     q, t = whole(events(spark, sf_dir))
