@@ -6,7 +6,8 @@ gives each rule's candidates. Only candidates are searched with the rule's expre
 search every text.
 
 Spark has no function for the places of all matches, but split() gives the texts between them and regexp_extract_all()
-the matches; running sums of their lengths are the places, in code points.
+the matches; running sums of their lengths are the places, in code points. Sums run within chunks of matches, from what
+all earlier chunks add up to, so that no growing array is copied for each match.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ ADDED = (
 )
 RULES = BASE + ADDED
 MASK = "[SECRET]"
+#: Matches of a text that are added up one by one.
+CHUNK = 256
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -82,14 +85,29 @@ def places(text: Column, kind: int, rule: Rule) -> Column:
     between, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     part = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     lengths = F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("b"), whole.alias("w"), part.alias("p")), lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["w"]).alias("w"), F.length(x["p"]).alias("p")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start, end = acc["at"] + x["b"], acc["at"] + x["b"] + x["w"]
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["p"] >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(lengths, empty, step)["spans"]
+    def of(chunks: Column, totals: Column) -> Column:
+        before = lambda k: F.aggregate(F.slice(totals, F.lit(1), k), F.lit(0), lambda a, x: a + x)
+        start = lambda k: F.struct(before(k).alias("at"), F.array().cast(SPANS).alias("spans"))
+        return F.flatten(F.transform(chunks, lambda x, k: F.aggregate(x, start(k), step)["spans"]))
+
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y["b"] + y["w"])
+    return once(in_chunks(lengths), lambda c: once(F.transform(c, total), lambda t: of(c, t)))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it's used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def in_chunks(items: Column) -> Column:
+    """An array in arrays of CHUNK items: what grows item by item is copied within one only."""
+    return once(items, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(CHUNK)), lambda k: F.slice(x, k + 1, F.lit(CHUNK))))
 
 
 def located(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -126,19 +144,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
     """The text with each stretch that spans cover replaced by the mask; spans are in order of their start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def of(chunk: Column, low: Column, part: Column) -> Column:
+        """What the chunk's spans make of part, the text from `low` on."""
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"))
-        more = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] < acc["at"]) & (acc["at"] > 0), more).otherwise(fresh)
+        def step(acc: Column, s: Column) -> Column:
+            fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(part, acc["at"] - low + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"))
+            more = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+            return F.when((s["start"] < acc["at"]) & (acc["at"] > 0), more).otherwise(fresh)
 
-    done = F.aggregate(spans, start, step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+        return F.aggregate(chunk, F.struct(low.alias("at"), F.lit("").alias("out")), step)["out"]
+
+    def chunk_of(x: Column, low: Column) -> Column:
+        high = F.greatest(F.array_max(F.transform(x, lambda s: s["start"])), low)
+        return once(F.substring(text, low + 1, high - low), lambda part: of(x, low, part))
+
+    def whole(chunks: Column, ends: Column) -> Column:
+        low = lambda k: F.coalesce(F.array_max(F.slice(ends, F.lit(1), k)), F.lit(0))
+        out = F.transform(chunks, lambda x, k: once(low(k), lambda at: chunk_of(x, at)))
+        return F.concat(F.array_join(out, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    return once(in_chunks(spans), lambda c: once(F.transform(c, lambda x: F.array_max(F.transform(x, lambda s: s["end"]))), lambda e: whole(c, e)))
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, mask: str = MASK) -> DataFrame:
-    """docs, all rows and columns, with secrets in texts masked; null texts stay null. length_col: gets the new length."""
+    """docs, all rows and columns, with secrets in texts masked. length_col: gets the new length.
+
+    Null texts stay null, and empty ones empty; rows that repeat are masked alike, and all stay. Columns of any names are
+    kept as they are, as long as no two are the same; an empty table gives no rows. What a text takes follows its length,
+    however many secrets it has."""
     found = located(docs, text_col)
     new = F.when(F.size("spans") > 0, masked(F.col("text"), F.col("spans"), mask)).otherwise(F.col(f"row.`{text_col}`"))
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: new}
