@@ -4,7 +4,8 @@ A text's set of word n-grams has HASHES minima, each under its own permutation.
 sets of similarity s share one of BANDS buckets with a chance of 1 - (1 - s ** ROWS) ** BANDS; at 0.8, all but 5 of 10 ** 8
 pairs. Of each minimum only BITS low bits are kept, packed to a signature. The bits of two signatures that differ, counted,
 estimate the similarity: by chance alone one of 2 ** BITS minima agrees, which the estimate takes off. Pairs whose estimate
-lies more than SIGMAS deviations below the threshold go; all others are counted on whole sets, so every link is exact.
+lies more than SIGMAS deviations below the threshold go. Of the others, bitmaps of the sets (jaccard.py) tell what can't be
+shared, without error; what is left is counted on whole sets, so every link is exact.
 
 Few pairs of a bucket are counted: nodes meet the heads of their buckets first, and what then is in one component needs
 nothing more. Of buckets of several components the nodes get their signatures, which are compared within the bucket's task:
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, new_salt, partitions, release, text_key, texts
 from .components import components
-from .jaccard import gram_set, heads, labelled, split_buckets, verify
+from .jaccard import bitmap, gram_set, heads, labelled, may_be_similar, split_buckets, verify
 from .storage import scratch, stash
 
 U = np.uint64
@@ -97,27 +98,30 @@ def least_estimate(percent: int) -> float:
 
 
 def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures in nodes (key, n_shingles, bits) may be those of similar sets."""
+    """The pairs (a, b) whose sizes, signatures and bitmaps in nodes (key, n_shingles, bits, parts) may be those of similar
+    sets."""
     floor = least_estimate(percent)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ok = estimates(unpacked(b.column(2).to_pylist()), unpacked(b.column(3).to_pylist())) >= floor
+        for k in np.flatnonzero(ok).tolist():
+            ok[k] = may_be_similar(*(b.column(c)[k].as_py() for c in (4, 5, 6, 7)), percent)
         return b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    first = nodes.select(F.col("key").alias("a"), F.col("bits").alias("x"), F.col("n_shingles").alias("m"))
-    second = nodes.select(F.col("key").alias("b"), F.col("bits").alias("y"), F.col("n_shingles").alias("n"))
+    first = nodes.select(F.col("key").alias("a"), F.col("bits").alias("x"), F.col("parts").alias("u"), F.col("n_shingles").alias("m"))
+    second = nodes.select(F.col("key").alias("b"), F.col("bits").alias("y"), F.col("parts").alias("v"), F.col("n_shingles").alias("n"))
     met = pairs.join(first, "a").join(second, "b").filter(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
-    return map_rows(met.select("a", "b", "x", "y"), run, "a binary, b binary", 10_000)
+    return map_rows(met.select("a", "b", "x", "y", "u", "v", "m", "n"), run, "a binary, b binary", 1000)
 
 
 def signed(docs: DataFrame, n: int, salt: int) -> DataFrame:
-    """(doc_id, key, n_shingles, bits, buckets) for each row of docs (doc_id, key, text); of a text that its task has signed
-    before, and of one without words, bits and buckets are null."""
+    """(doc_id, key, n_shingles, bits, parts, buckets) for each row of docs (doc_id, key, text): signature, bitmap, and the
+    buckets of its bands; of a text that its task has signed before, and of one without words, these are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
-            sizes, bits, buckets = [], [], []
+            sizes, bits, maps, buckets = [], [], [], []
             for key, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 size = seen.get(key)
                 grams = gram_set(text.as_py(), n, salt)[0] if size is None else ()
@@ -125,14 +129,15 @@ def signed(docs: DataFrame, n: int, salt: int) -> DataFrame:
                 least = minima(grams, salt) if fresh else None
                 sizes.append(len(grams) if size is None else size)
                 bits.append(signature(least) if fresh else None)
+                maps.append(bitmap(grams) if fresh else None)
                 buckets.append(bands(least).view(np.int64) if fresh else None)
                 if len(seen) < MEMO:
                     seen[key] = sizes[-1]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "bits", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(maps, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "bits", "parts", "buckets"])
         seen.clear()
         release()
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, bits binary, buckets array<long>")
+    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, bits binary, parts binary, buckets array<long>")
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -144,12 +149,12 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
 
 def across(live: DataFrame, signs: DataFrame, percent: int, few: int | None) -> DataFrame:
     """(a, b): in each bucket of live (bucket, key, size, pos, component), the pairs of nodes of different components whose
-    sizes and signatures in signs (key, bits) may be those of similar sets; few: of each component's pairs in a task, so many
-    with the highest estimates. A bucket of more than BLOCK rows is dealt into blocks, and each block meets each in a task."""
+    sizes, signatures and bitmaps in signs (key, bits, parts) may be those of similar sets; few: of each component's pairs in
+    a task, so many with the highest estimates. A bucket of more than BLOCK rows is dealt into blocks, and each block meets each in a task."""
     floor = least_estimate(percent)
     sizes = live.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     total = sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    own = live.join(sizes.select("bucket", "blocks"), "bucket").join(signs.select("key", "bits"), "key")
+    own = live.join(sizes.select("bucket", "blocks"), "bucket").join(signs.select("key", "bits", "parts"), "key")
     own = own.withColumn("k", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")})
     own = own.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(total // TASK + partitions(live.sparkSession))))
@@ -172,7 +177,15 @@ def across(live: DataFrame, signs: DataFrame, percent: int, few: int | None) ->
         number = lambda c: np.unique(np.array(table.column(c).to_pylist(), object), return_inverse=True)
         (keys, node), (_, part) = number("key"), number("component")
         bucket, i_, j_, k, size = (table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j", "k", "size"))
-        bits = unpacked(table.column("bits").to_pylist())
+        bits, maps = unpacked(table.column("bits").to_pylist()), table.column("parts").to_pylist()
+        told: dict[tuple[int, int], bool] = {}  # pairs may share several buckets
+
+        def similar(x: int, y: int) -> bool:
+            pair = (min(node[x], node[y]), max(node[x], node[y]))
+            if pair not in told:
+                told[pair] = may_be_similar(maps[x], maps[y], int(size[x]), int(size[y]), percent)
+            return told[pair]
+
         new = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(i_) != 0) | (np.diff(j_) != 0)))
         held, count = [np.zeros((5, 0), np.int64)], 0
         for s, e in zip(new.tolist(), np.append(new[1:], len(bucket)).tolist(), strict=True):
@@ -184,6 +197,7 @@ def across(live: DataFrame, signs: DataFrame, percent: int, few: int | None) ->
                     continue
                 found = estimates(bits[x][None], bits[y])
                 ok = found >= floor
+                ok[ok] = [similar(x, k) for k in y[ok].tolist()]
                 y, found = y[ok], found[ok]
                 held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.full(len(y), part[x]), part[y], (1e6 * found).astype(np.int64)]))
                 count += len(y)
@@ -192,7 +206,7 @@ def across(live: DataFrame, signs: DataFrame, percent: int, few: int | None) ->
         a, b = np.unique(best(held)[:2], axis=1)
         return pa.table({"a": pa.array(keys[a].tolist(), pa.binary()), "b": pa.array(keys[b].tolist(), pa.binary())})
 
-    return own.select("task", "bucket", "i", "j", "k", "key", "size", "component", "bits").groupBy("task").applyInArrow(run, "a binary, b binary").distinct()
+    return own.select("task", "bucket", "i", "j", "k", "key", "size", "component", "bits", "parts").groupBy("task").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +223,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_
     scanned = stash(signed(own, n, salt), "signed", keep=True)
     rows = scanned.select("doc_id", "key", "n_shingles")
     with scratch():
-        nodes = scanned.filter("bits IS NOT NULL").groupBy("key").agg(F.first(F.struct("n_shingles", "bits", "buckets")).alias("it")).select("key", "it.*")
+        nodes = scanned.filter("bits IS NOT NULL").groupBy("key").agg(F.first(F.struct("n_shingles", "bits", "parts", "buckets")).alias("it")).select("key", "it.*")
         nodes = stash(nodes, "nodes")
         found = stash(shared_buckets(nodes), "buckets")
         signs, corpus = nodes.drop("buckets"), own.select("key", "text")
