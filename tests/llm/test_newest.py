@@ -170,7 +170,7 @@ def test_words_of_one_sum_are_told_apart(spark):
 
 
 def test_classes_are_told_by_their_bytes(spark):
-    text = "".join(random.Random(4).choice("abcdefgh") for _ in range(500))
+    text = "".join(random.Random(4).choices("abcdefgh", k=500))
     other = text[:250] + "~" + text[251:]
     assert {r.n_removed for r in suffix_array.digests(docs(spark, [text, other])).collect()} == {0}
     assert {r.n_removed for r in suffix_array.digests(docs(spark, [text, text])).collect()} == {500}
