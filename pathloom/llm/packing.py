@@ -24,10 +24,11 @@ from .common import batch, release, texts
 SIZE, END, MIN_GAP = 4096, 2, 32
 #: Bytes of text in a group, about.
 GROUP_BYTES = 12_000_000
-#: Words that a task remembers, the first that it meets, and texts that it takes at once.
-MEMO, AT_ONCE = 300_000, 200
-#: White space to Python, but not to the tokenizer.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Words that a task remembers, about, the first of up to so many characters that it meets, and characters of text that it
+#: takes at once: the tokenizer needs some 200 bytes of memory for each.
+MEMO, REMEMBERED, AT_ONCE = 300_000, 64, 1 << 18
+#: White space to Python, but not to the tokenizer; white space to both.
+SEPARATORS, WHITE = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]")
 
 
 class FirstFit:
@@ -107,7 +108,8 @@ class _Known(dict):
 class Encoder:
     """Texts' ids, as little-endian 16-bit integers (the vocabulary has under 65,536 entries).
 
-    No token spans white space, so the ids of a text are those of its words, which are kept in a memo. New words are
+    No token spans white space, so the ids of a text are those of its words, and it is taken in parts of about AT_ONCE
+    characters, cut at white space; only a word that is longer is one part. Words are kept in a memo. New ones of a part are
     given to the tokenizer together, as one text; the places of its tokens tell which word they belong to. A special
     token's string in a text is that token, as the tokenizer has it; none has white space in it."""
 
@@ -125,7 +127,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        odd = [w for w in words if not unicodedata.is_normalized("NFC", w)]
+        odd = [w for w in words if SEPARATORS.search(w) or not unicodedata.is_normalized("NFC", w)]
         found = {w: self.plainly(w) for w in odd}
         words = [w for w in words if w not in found] if odd else words
         if words:
@@ -135,16 +137,50 @@ class Encoder:
             found.update(zip(words, map(ids.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if SEPARATORS.search(t) else t.split() for t in texts]
+    def known(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of these texts, which are taken at once."""
+        cut = [[w for w in WHITE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in parts]
         known = self.words
-        known.fresh = self.learn(list(dict.fromkeys(w for words in cut if words for w in words if w not in known)))
-        out = [self.plainly(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, cut, strict=True)]
+        known.fresh = self.learn(list(dict.fromkeys(w for words in cut for w in words if w not in known)))
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
         if len(known) < MEMO:
-            known.update(known.fresh)
+            known.update((w, x) for w, x in known.fresh.items() if len(w) <= REMEMBERED)
         known.fresh = {}
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        owner: list[int] = []
+        held: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            for k, ids in zip(owner, self.known(held), strict=True):
+                out[k].append(ids)
+            owner.clear()
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for part in parts(text):
+                owner.append(k)
+                held.append(part)
+                size += len(part)
+                if size >= AT_ONCE:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
+
+
+def parts(text: str) -> Iterator[str]:
+    """The text in parts of about AT_ONCE characters, cut at white space."""
+    at = 0
+    while at < len(text):
+        space = WHITE.search(text, at + AT_ONCE)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -161,10 +197,8 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = Encoder(path), np.array([END], "<u2").tobytes()  # what a task remembers goes with it
-        for whole in batches:
-            for k in range(0, whole.num_rows, AT_ONCE):
-                b = whole.slice(k, AT_ONCE)
-                yield batch(grp=b.column(0), doc_id=b.column(1), ids=pa.array([x + end for x in e.encode(b.column(2).to_pylist())], pa.binary()))
+        for b in batches:
+            yield batch(grp=b.column(0), doc_id=b.column(1), ids=pa.array([x + end for x in e.encode(b.column(2).to_pylist())], pa.binary()))
         del e
         release()
 

@@ -201,3 +201,15 @@ def test_archives_are_written(spark):
     assert found.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     (new,) = set(folder.glob("archives-*")) - before
     assert spark.read.parquet(str(new)).agg({"archive": "max"}).first()[0][1:4] == b"\x2a\x4d\x18"  # a skippable frame
+
+
+def test_packing_encodes_in_parts(monkeypatch):
+    """A text that is cut into many parts has the ids of the whole text, and long words aren't remembered."""
+    odd = ["a\x1cb c\x1d d \x1f", "é x " * 50, "  ", "", "x\x85y", "w" * 9000 + " " + "v" * 9, "<|endoftext|> a<|endoftext|>b", "ó\x1cz"]
+    odd += [f"q{i} \n\t z" * 9 for i in range(50)]
+    for at_once in 1, 50, 1 << 18:
+        monkeypatch.setattr(packing, "AT_ONCE", at_once)
+        e = packing.Encoder(P.path("word_bpe_49k.json"))
+        assert e.encode(odd) == [e.plainly(t) for t in odd]
+        assert max(map(len, e.words)) <= packing.REMEMBERED
+        assert ["".join(packing.parts(t)) for t in odd] == odd
