@@ -1,7 +1,8 @@
 """Bit sieves: small tables of hashes that rule rows out before they are shuffled.
 
 A sieve has a fixed number of bits whatever it's built from, so that it can be broadcast; one that is too full lets more
-rows through, which costs time, but it never holds back a row whose hash is in it.
+rows through, which costs time, but it never holds back a row whose hash is in it. A task sends the blocks that it has
+marked, and Spark's aggregate of bitmaps merges them row by row, so memory doesn't follow the number of tasks.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import release
 
-#: 2 MB, in blocks of 64 KB.
-BITS, BLOCKS = 1 << 24, 32
+#: 2 MB, in blocks of 4 KB, which is the size of Spark's bitmaps.
+BITS, BLOCKS = 1 << 24, 512
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,17 +35,14 @@ def sieve(df: DataFrame, *columns: str):
             for x in _bits(b.column(0).to_numpy(zero_copy_only=False)):
                 bits[x] = True
         parts = bits.reshape(BLOCKS, -1)
-        some = [k for k in range(BLOCKS) if parts[k].any()]
+        some = np.flatnonzero(parts.any(1)).tolist()
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.packbits(parts[k]).tobytes() for k in some], pa.binary())], names=["block", "bits"])
         del bits, parts
         release()
 
-    def merge(table: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
-        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    marked = df.select(F.xxhash64(*columns).alias("h")).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
+    marked = df.select(F.xxhash64(*columns).alias("h")).mapInArrow(mark, "block int, bits binary")
+    marked = marked.groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
     bits = np.zeros((BLOCKS, BITS // BLOCKS), bool)
     for block, x in marked.collect():
         bits[block] = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool)
