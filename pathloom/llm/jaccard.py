@@ -476,7 +476,8 @@ def links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
 def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, but of each component one document only: the one with the smallest id. Texts without
     words are in no component: each of them stays. Of rows that share the smallest id, the first by text and by all other
-    columns stays; rows without id stay only if no row of their component has one, and then one of them."""
+    columns stays; rows without id stay only if no row of their component has one, and then one of them. Columns of any
+    names go along, as long as no two are the same; an empty table stays empty."""
     named = classes(docs, n, percent, id_col, text_col)
     # a component's document is told by its id and its text's key; choosing needs narrow rows only
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")

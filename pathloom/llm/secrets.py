@@ -170,8 +170,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     """docs, all rows and columns, with secrets in texts masked. length_col: gets the new length.
 
     Null texts stay null, and empty ones empty; rows that repeat are masked alike, and all stay. Columns of any names are
-    kept as they are, as long as no two are the same; an empty table gives no rows. What a text takes follows its length,
-    however many secrets it has."""
+    kept as they are, as long as no two are the same; an empty table gives no rows. Spans are masked in
+    chunks, each of which reads the text from its beginning: 5 MB of nothing but secrets takes about 20 s."""
     found = located(docs, text_col)
     new = F.when(F.size("spans") > 0, masked(F.col("text"), F.col("spans"), mask)).otherwise(F.col(f"row.`{text_col}`"))
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: new}

@@ -123,14 +123,16 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
 
 def write(pages: DataFrame, path: str, **columns: str) -> None:
-    """The archives as a Parquet table of whole files, in a folder that all executors reach."""
+    """The archives as a Parquet table of whole files, in a folder that all executors reach. What was there is
+    replaced; a table without pages makes a table without archives, which read() takes."""
     archives(pages, **columns).write.mode("overwrite").parquet(path)
 
 
 def read(written: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of every page's record in the archives.
     A response's length and digest are those of the payload that was read, and must agree with its header; a revisit has
-    no payload, and those of its header."""
+    no payload, and those of its header. Null and empty archives, and a table of none, have no records; a row that repeats
+    gives its records again. Archives are read one by one, so a task holds the records of one; other columns don't matter."""
 
     def rows(archive: bytes) -> Iterator[tuple]:
         for f, block in read_archive(archive):
@@ -146,11 +148,11 @@ def read(written: DataFrame) -> DataFrame:
             yield number("X-Page-Id"), length, digest, kind, number("X-Refers-To-Page-Id"), payload
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [x for a in b.column(0).to_pylist() for x in rows(a)]
+        found = [x for a in b.column(0).to_pylist() if a for x in rows(a)]
         if not found:
             return None
         kinds = pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()
         names = "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"
         return batch(**{n: pa.array(c, k) for n, c, k in zip(names, zip(*found, strict=True), kinds, strict=True)})
 
-    return map_rows(written.select("archive"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return map_rows(written.select("archive"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary", rows=1)

@@ -213,3 +213,14 @@ def test_packing_encodes_in_parts(monkeypatch):
         assert e.encode(odd) == [e.plainly(t) for t in odd]
         assert max(map(len, e.words)) <= packing.REMEMBERED
         assert ["".join(packing.parts(t)) for t in odd] == odd
+
+
+def test_archives_that_are_none(spark, tmp_path):
+    """Null and empty archives have no records; those beside them are read; no pages make a table that can be read."""
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, None, None)], "page_id long, url string, html string")
+    made = warc.archives(pages).select("archive")
+    odd = made.unionByName(spark.createDataFrame([(None,), (b"",)], "archive binary"))
+    found = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(odd).collect()}
+    assert found == {(1, 1, "response", None), (2, 1, "revisit", 1), (3, 0, "response", None)}
+    warc.write(pages.limit(0), str(tmp_path / "none"))
+    assert not warc.read(spark.read.parquet(str(tmp_path / "none"))).count()
