@@ -35,8 +35,9 @@ from .sieve import sieve
 from .storage import scratch, stash
 
 WORDS, PERCENT = 5, 75
-#: Counters of the sketch, in blocks, and where a hash's counter is; the table of classes is 2 MB whatever the input is.
-COUNTERS, BLOCKS, COUNTER = 1 << 21, 64, 43
+#: Counters of the sketch, in blocks, where a hash's counter is, and parts of a block that are added up by themselves; the
+#: table of classes is 2 MB whatever the input is.
+COUNTERS, BLOCKS, COUNTER, FAN = 1 << 21, 64, 43, 16
 #: Prefix n-grams that a task holds before it sends them on.
 HELD = 1_000_000
 #: Prefix n-grams of a range of hashes, about, and rows of a bucket that meet others in one task.
@@ -100,11 +101,12 @@ def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool
 
 
 def scan(docs: DataFrame, n: int, salt: int) -> DataFrame:
-    """A row (key, doc_id, n_shingles, bits) for each row of docs, and rows (block, counts) of partial sketches."""
+    """A row (key, doc_id, n_shingles, bits) for each row of docs, and a row (block, places, counts) for each block of the
+    sketch that a task has touched, with the counters that it has touched there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(COUNTERS, np.uint32), ["doc_id", "key", "n_shingles", "bits", "block", "counts"]
-        kinds = pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()
+        counts, names = np.zeros(COUNTERS, np.uint32), ["doc_id", "key", "n_shingles", "bits", "block", "places", "counts"]
+        kinds = pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()
         for b in batches:
             sizes, bits, held = [], [], []
             for t in b.column(2):
@@ -116,23 +118,36 @@ def scan(docs: DataFrame, n: int, salt: int) -> DataFrame:
             counts[where] += times.astype(np.uint32)
             none = [pa.nulls(b.num_rows, k) for k in kinds[4:]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, kinds[2]), pa.array(bits, kinds[3]), *none], names=names)
-        if counts.any():
-            parts = [x.tobytes() for x in counts.reshape(BLOCKS, -1)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, k) for k in kinds[:4]), pa.array(range(BLOCKS), kinds[4]), pa.array(parts, kinds[5])], names=names)
+        there = [(k, at, x[at]) for k, x in enumerate(counts.reshape(BLOCKS, -1)) if len(at := np.flatnonzero(x))]
+        if there:
+            blocks, places, times = zip(*there, strict=True)
+            packed = (pa.array([x.astype(kind).tobytes() for x in some], pa.binary()) for some, kind in ((places, np.uint16), (times, np.uint32)))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(there), k) for k in kinds[:4]), pa.array(blocks, kinds[4]), *packed], names=names)
         release()
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, bits binary, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, bits binary, block int, places binary, counts binary")
 
 
 def sketch(scanned: DataFrame) -> np.ndarray:
     """The class of each counter: 0 as long as chance may have filled it beyond the others, then one more for each doubling
-    of what it has beyond the median."""
-
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()).tobytes()], pa.binary())})
+    of what it has beyond the median. A block's rows are added up as they come, whatever the number of tasks that sent some;
+    those of FAN of its parts first, so that no one adds up what all have sent."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, block = np.zeros(COUNTERS // BLOCKS, np.int64), None
+        for b in batches:
+            block = b.column("block")[0].as_py() if b.num_rows else block
+            for places, x in zip(b.column("places"), b.column("counts"), strict=True):
+                if places.is_valid:
+                    sums[np.frombuffer(places.as_py(), np.uint16)] += np.frombuffer(x.as_py(), np.uint32)
+                else:
+                    sums += np.frombuffer(x.as_py(), np.int64)
+        yield batch(block=pa.array([block], pa.int32()), places=pa.nulls(1, pa.binary()), counts=pa.array([sums.tobytes()], pa.binary()))
+
+    sent, schema = scanned.filter("block IS NOT NULL").select("block", "places", "counts"), "block int, places binary, counts binary"
+    parts = sent.groupBy("block", F.pmod(F.xxhash64("places", "counts"), F.lit(FAN))).applyInArrow(add, schema)
     counts = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
-    for block, x in scanned.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+    for block, x in parts.groupBy("block").applyInArrow(add, schema).select("block", "counts").collect():  # of fixed size
         counts[block] = np.frombuffer(x, np.int64)
     counts = counts.ravel()
     usual = np.median(counts)
