@@ -180,16 +180,18 @@ def sketched(docs: DataFrame, counters: int, ranges: int, least: int, phrases) -
         held.clear()
         release()
 
-    def merge(table: pa.Table) -> pa.Table:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = counters // ranges
-        sums = np.zeros((2, width), np.int64)
-        for hashes, counts in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            h, n = np.frombuffer(hashes, np.uint32).astype(U), np.frombuffer(counts, kind)
-            for row, at in enumerate(places(h, counters, ranges)[1:]):
-                sums[row] += np.bincount(at.astype(np.int64), n, width).astype(np.int64)
+        sums, rng = np.zeros((2, width), np.int64), None
+        for b in batches:  # a range's rows are added up as they come
+            rng = b.column("rng")[0].as_py() if b.num_rows else rng
+            for hashes, counts in zip(b.column("hashes"), b.column("counts"), strict=True):
+                h, n = np.frombuffer(hashes.as_py(), np.uint32).astype(U), np.frombuffer(counts.as_py(), kind)
+                for row, at in enumerate(places(h, counters, ranges)[1:]):
+                    sums[row] += np.bincount(at.astype(np.int64), n, width).astype(np.int64)
         bits = [np.packbits(x >= least, bitorder="little").tobytes() for x in sums]
         release()
-        return pa.table({"rng": table.column("rng").slice(0, 1), "first": pa.array([bits[0]], pa.binary()), "second": pa.array([bits[1]], pa.binary())})
+        yield batch(rng=pa.array([rng], pa.int32()), first=pa.array([bits[0]], pa.binary()), second=pa.array([bits[1]], pa.binary()))
 
     sent = docs.mapInArrow(send, "rng int, hashes binary, counts binary")
     out = np.zeros((2, ranges, counters // ranges // 8), np.uint8)
