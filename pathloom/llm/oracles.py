@@ -40,6 +40,18 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(r.a
 
 OP7_LINKS = OP7.replace("AS component_id FROM", "AS component_id, (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links FROM")
 
+OP8 = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+g AS (SELECT rid, i, md5_number(array_slice(t, i, i + 399)) AS win FROM (SELECT rid, t, unnest(range(1, octet_length(t) - 398)) AS i FROM d)),
+c AS (SELECT win FROM g GROUP BY win HAVING count(*) > 1),
+s AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM g SEMI JOIN c ON g.win = c.win),
+r AS (SELECT rid, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM s),
+p AS (SELECT rid, run, min(i) AS st, max(i) + 399 AS en FROM r GROUP BY rid, run),
+k AS (SELECT rid, list(st ORDER BY st) AS st, list(en ORDER BY st) AS en FROM p GROUP BY rid),
+f AS (SELECT doc_id, t, coalesce(st, []) AS st, coalesce(en, []) AS en FROM d LEFT JOIN k ON d.rid = k.rid),
+h AS (SELECT doc_id, octet_length(t) AS n_bytes, coalesce(list_sum(en) - list_sum(st), 0) + len(st) AS n_removed, len(st) AS n_spans,
+array_to_string(list_transform(range(1, len(st) + 2), lambda j: hex(array_slice(t, CASE WHEN j = 1 THEN 1 ELSE en[j - 1] + 1 END, CASE WHEN j > len(st) THEN octet_length(t) ELSE st[j] - 1 END))), '') AS kept FROM f)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256, CAST(n_bytes - n_removed AS BIGINT) AS kept_bytes FROM h"""
+
 _BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 _CHUNK = "CAST('0x' || substr(sha1(h), 5 * k + 1, 5) AS BIGINT)"
 OP9 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
@@ -71,4 +83,4 @@ b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY s
 s AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM b z WHERE z.lang = b.lang AND z.k > b.k AND z.a >= b.a AND contains(' ' || z.p || ' ', ' ' || b.p || ' ')))
 SELECT lang, CAST(rank AS BIGINT) AS rank, p AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM s) WHERE rank <= 2000"""
 
-ORACLES: dict[str, str] = {"op5_suffix_tree": OP5, "op6_secrets": OP6, "op7_jaccard": OP7, "op7_links": OP7_LINKS, "op9_warc": OP9, "op10_bit_sliced": OP10, "op11_minhash": OP11, "op12_fim": OP12, "op13_phrases": OP13}
+ORACLES: dict[str, str] = {"op5_suffix_tree": OP5, "op6_secrets": OP6, "op7_jaccard": OP7, "op7_links": OP7_LINKS, "op8_suffix_array": OP8, "op9_warc": OP9, "op10_bit_sliced": OP10, "op11_minhash": OP11, "op12_fim": OP12, "op13_phrases": OP13}
