@@ -99,6 +99,28 @@ def long_matches(queries: DataFrame, panel: Panel, length: int, strategy: str =
     return _events(gq, gt, length, residual)
 
 
+def sweep(found: DataFrame, lengths: list[int]) -> DataFrame:
+    """(min_length, query_id, q_start, length, seq_id, t_start): for each of the lengths, the matches of so many symbols at
+    least. found: long_matches() of the smallest one, which has those of all others, so nothing is named or joined again.
+    A length that is given twice counts once; one that no match reaches has no rows."""
+    if not lengths or min(lengths) < 1:
+        raise ValueError("lengths are 1 at least, and there is one")
+    reached = F.filter(F.array(*(F.lit(x).cast("long") for x in sorted(set(lengths)))), lambda x: x <= F.col("length"))
+    return found.select(F.explode(reached).alias("min_length"), *ROW)
+
+
+def sweep_counts(found: DataFrame, least: int) -> DataFrame:
+    """(min_length, matches, symbols): for `least` and its doubles, up to the longest match, how many matches have so many
+    symbols at least, and their symbols. found: long_matches() of `least`. Matches are counted by length first, so what is
+    repeated for each double is a row for each length. Symbols are decimals of 38 digits."""
+    if least < 1:
+        raise ValueError("length is 1 at least")
+    by_length = found.filter(F.col("length") >= least).groupBy("length").agg(F.count("*").alias("n"))
+    doubles = F.expr(f"transform(sequence(0, 62), k -> {int(least)} * cast(shiftleft(1L, k) as decimal(19,0)))")
+    each = by_length.withColumn("x", F.explode(F.filter(doubles, lambda x: x <= F.col("length"))))
+    return each.groupBy(F.col("x").cast("long").alias("min_length")).agg(F.sum("n").alias("matches"), F.sum(F.col("n").cast("decimal(19,0)") * F.col("length").cast("decimal(18,0)")).cast("decimal(38,0)").alias("symbols"))
+
+
 def verified(matches: DataFrame, queries: DataFrame, panel: Panel) -> DataFrame:
     """The matches whose stretches are equal symbol by symbol: all of them, unless two names of 128 bits collide. Only the
     symbols of the stretches are joined, one row for each."""

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -43,7 +44,7 @@ def arguments(args: list[str]) -> argparse.Namespace:
     parser.add_argument("--max-haps", type=_count(0), help="only haplotypes with smaller ids are the first of a pair")
     parser.add_argument("--version", type=int, choices=sorted(VERSIONS), default=4, help="3 and 4 ask for a bidirectional panel")
     parser.add_argument("--output", help="a folder for tab-separated files; else standard output")
-    parser.add_argument("--verbose", action="store_true", help="says on standard error what is done")
+    parser.add_argument("--verbose", action="store_true", help="says on standard error what is done, and when")
     return parser.parse_args(args)
 
 
@@ -60,11 +61,16 @@ def call(panel: Panel, min_length: int, max_haps: int | None = None, version: in
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = arguments(sys.argv[1:] if args is None else args)
-    say = (lambda x: print(x, file=sys.stderr)) if given.verbose else (lambda x: None)
+    began = time.monotonic()
+    say = (lambda x: print(f"{time.monotonic() - began:.1f} s: {x}", file=sys.stderr)) if given.verbose else (lambda x: None)
     spark = spark or SparkSession.builder.appName("shared_segments").getOrCreate()
     try:
         panel = Panel.load(spark, given.panel, given.bidirectional)
         say(f"panel: {given.panel}")
+        if given.verbose:
+            asked = ibd.forward(panel).positions.select("seq_id").distinct()
+            asked = asked if given.max_haps is None else asked.filter(asked["seq_id"] < given.max_haps)
+            say(f"{asked.count()} haplotypes to process")
         found = call(panel, given.min_length, given.max_haps, given.version)
         if given.output:
             write_segments(found, given.output)

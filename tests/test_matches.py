@@ -35,6 +35,22 @@ def test_toy_counts_and_rows(spark, toy):
     assert (7, 5, 8, 1) in rows(matches.long_matches(q, toy, 4))
 
 
+def test_sweep(spark, toy):
+    found = matches.long_matches(queries(spark, {0: brute.QUERY}), toy, 1).cache()
+    swept = matches.sweep(found, [4, 2, 4, 100]).collect()
+    for least in (2, 4, 100):
+        own = sorted((r.q_start, r.length, r.seq_id, r.t_start) for r in swept if r.min_length == least)
+        assert own == brute.long_matches(brute.QUERY, brute.both_ways(brute.TOY), least)
+    counts = {r.min_length: (r.matches, int(r.symbols)) for r in matches.sweep_counts(found, 1).collect()}
+    want = {k: brute.long_matches(brute.QUERY, brute.both_ways(brute.TOY), k) for k in (1, 2, 4, 8, 16)}
+    assert counts == {k: (len(x), sum(n for _, n, _, _ in x)) for k, x in want.items() if x}
+    assert not matches.sweep(found.limit(0), [1]).count() and not matches.sweep_counts(found.limit(0), 1).count()
+    for wrong in ([], [0, 3]):
+        with pytest.raises(ValueError):
+            matches.sweep(found, wrong)
+    found.unpersist()
+
+
 def test_set_maximal_toy(spark, toy):
     found = matches.set_maximal_matches(queries(spark, {0: brute.QUERY}), toy)
     assert rows(found) == brute.set_maximal(brute.QUERY, brute.both_ways(brute.TOY))
