@@ -20,14 +20,15 @@ def forward(panel: Panel) -> Panel:
 def segments(panel: Panel, length: int, max_haps: int | None = None, strategy: str = "events") -> DataFrame:
     """(hap1_id, hap2_id, hap1_start, hap2_start, length_nodes): maximal segments of at least `length` nodes that two
     haplotypes share, forward, hap1 < hap2. max_haps: only haplotypes with smaller ids are hap1. One self-join of all
-    haplotypes by grams, in which the order of the pair is a residual condition; nothing loops over haplotypes."""
+    haplotypes by grams, in which the order of the pair is a residual condition; nothing loops over haplotypes. A segment is
+    made once, so none is compared with others to drop duplicates."""
     if length < 1 or (max_haps is not None and max_haps < 0):
         raise ValueError("length is 1 at least, max_haps 0")
     own = forward(panel)
     queries = own.as_queries()
     queries = queries if max_haps is None else queries.filter(F.col("query_id") < max_haps)
     found = long_matches(queries, own, length, strategy, "ignore", F.col("seq_id") > F.col("query_id"))
-    return found.select(F.col("query_id").alias("hap1_id"), F.col("seq_id").alias("hap2_id"), F.col("q_start").alias("hap1_start"), F.col("t_start").alias("hap2_start"), F.col("length").alias("length_nodes")).dropDuplicates()
+    return found.select(F.col("query_id").alias("hap1_id"), F.col("seq_id").alias("hap2_id"), F.col("q_start").alias("hap1_start"), F.col("t_start").alias("hap2_start"), F.col("length").alias("length_nodes"))
 
 
 def pairs(found: DataFrame) -> DataFrame:
