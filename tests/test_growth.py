@@ -57,3 +57,18 @@ def brute_matches(a, b):
                 while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
                     n += 1
                 yield i, n, j
+
+
+def test_counts_without_matches(spark):
+    def counted(p, others):
+        q = p.where("seq_id % 6 = 0").as_queries()
+        return matches.match_counts(q, p if others else p.where("seq_id % 6 != 0"), 3, others=others)
+
+    small = panel(spark, 2)
+    for others in (True, False):
+        q = small.where("seq_id % 6 = 0").as_queries()
+        found = matches.long_matches(q, small if others else small.where("seq_id % 6 != 0"), 3, residual=F.col("seq_id") != F.col("query_id"))
+        want = sorted(map(tuple, matches.sweep_counts(found, 3).collect()))
+        assert len(want) > 1 and sorted(map(tuple, counted(small, others).collect())) == want
+    (_, sent), (_, more) = (shuffled(spark, lambda: counted(panel(spark, k), True)) for k in (2, 8))  # noqa: B023
+    assert more < 5 * sent
