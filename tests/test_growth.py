@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from pathloom.operators import ibd, matches
+from pathloom.plans import catalogue
 from pathloom.sources.panel import Panel
 
 
@@ -72,3 +73,22 @@ def test_counts_without_matches(spark):
         assert len(want) > 1 and sorted(map(tuple, counted(small, others).collect())) == want
     (_, sent), (_, more) = (shuffled(spark, lambda: counted(panel(spark, k), True)) for k in (2, 8))  # noqa: B023
     assert more < 5 * sent
+
+
+def test_documents_that_share_nothing_are_not_shuffled(spark):
+    """Found among many: a passage at a document's beginning, middle or end, twice in one, none shorter than asked."""
+    r = random.Random(7)
+    passage = "one two three four five six seven eight nine".split()
+    texts = {k: [f"w{r.randrange(10**6)}" for _ in range(200)] for k in range(300)}
+    texts[3][:0], texts[5][9:9], texts[7][200:], texts[9][9:9], texts[11][50:50] = passage, passage[:8], passage, passage + ["x"] + passage, passage[:7]
+    texts |= {900: [], 901: passage[2:]}
+    docs = catalogue.words(spark.createDataFrame([(k, " ".join(x)) for k, x in texts.items()] + [(999, None)], "doc_id long, text string"), "doc_id")
+    asked = catalogue.words(spark.createDataFrame([(1, " ".join(["unheard", *passage])), (2, " ".join(passage)), (3, ""), (4, None)], "item_id long, text string"), "item_id").as_queries()
+    want = {3: [(0, 9, 0)], 5: [(0, 8, 9)], 7: [(0, 9, 200)], 9: [(0, 9, 9), (0, 9, 19)]}
+    rows, sent = shuffled(spark, lambda: matches.long_matches(asked, docs, 8, on_unknown="ignore"))
+    assert rows == 2 * sum(map(len, want.values())) and sent < 10000
+    for strategy in ("events", "grams"):
+        found = matches.long_matches(asked, docs, 8, strategy, on_unknown="ignore").select(*matches.ROW).collect()
+        assert sorted(map(tuple, found)) == sorted((q, a + (q == 1), n, t, b) for q in (1, 2) for t, x in want.items() for a, n, b in x)
+    found = matches.long_matches(asked, docs, 8)
+    assert {x.query_id for x in found.collect()} == {2}
