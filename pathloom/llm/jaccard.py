@@ -323,9 +323,10 @@ def across(found: DataFrame, percent: int, rows: int = ROWS, few: int | None = N
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sets of names (gram_set) have the asked similarity."""
+    """Whether two sets of names (gram_set, or of 64 bits) have the asked similarity."""
+    a, b = np.atleast_2d(a), np.atleast_2d(b)
     names = np.concatenate([a, b], 1)
-    names = names[:, np.lexsort((names[1], names[0]))]
+    names = names[:, np.lexsort(names[::-1])]
     both = int((names[:, 1:] == names[:, :-1]).all(0).sum())
     return 100 * both >= percent * (a.shape[1] + b.shape[1] - both)
 
