@@ -174,7 +174,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     chunks, each of which reads the text from its beginning: 5 MB of nothing but secrets takes about 20 s."""
     found = located(docs, text_col)
     new = F.when(F.size("spans") > 0, masked(F.col("text"), F.col("spans"), mask)).otherwise(F.col(f"row.`{text_col}`"))
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: new}
+    found = found.select("row", (F.size("spans") > 0).alias("hit"), new.alias("new"))  # made once, for the text and its length
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.col("new")}
     if length_col:
-        columns[length_col] = F.when(F.size("spans") > 0, F.length(new)).otherwise(F.col(f"row.`{length_col}`")).cast(docs.schema[length_col].dataType)
+        columns[length_col] = F.when(F.col("hit"), F.length("new")).otherwise(F.col(f"row.`{length_col}`")).cast(docs.schema[length_col].dataType)
     return found.select(*(v.alias(c) for c, v in columns.items()))
