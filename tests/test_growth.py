@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import ibd, matches
+from pathloom.operators import ibd, matches, order
 from pathloom.plans import catalogue
 from pathloom.sources.panel import Panel
 
@@ -92,3 +92,24 @@ def test_documents_that_share_nothing_are_not_shuffled(spark):
         assert sorted(map(tuple, found)) == sorted((q, a + (q == 1), n, t, b) for q in (1, 2) for t, x in want.items() for a, n, b in x)
     found = matches.long_matches(asked, docs, 8)
     assert {x.query_id for x in found.collect()} == {2}
+
+
+def test_order_of_copies_is_one_sort(spark):
+    """Places that tie only with their copies take no rounds: as many rows are shuffled as of sequences that don't tie."""
+    r = random.Random(11)
+    apart = [[r.randrange(10**6) for _ in range(40)] for _ in range(64)]
+    of = lambda paths: Panel.from_paths(spark.createDataFrame(list(enumerate(paths)), "seq_id long, path array<long>")).positions
+    (rows, sent), (same, more) = (shuffled(spark, lambda: order.ordered(of(p), 4, near=True)) for p in (apart, apart[:8] * 8))  # noqa: B023
+    assert same == rows and more < 1.2 * sent
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """More rows make more ranges, not larger ones; what comes out is the same."""
+    r = random.Random(13)
+    paths = [[r.randrange(2) for _ in range(20)] for _ in range(8)] * 3
+    rows = Panel.from_paths(spark.createDataFrame(list(enumerate(paths)), "seq_id long, path array<long>")).positions
+    monkeypatch.setattr(order, "RANGE", 40)
+    found = order.ordered(rows, 4).collect()
+    back = lambda x: (paths[x.seq_id][x.pos :: -1], x.seq_id)
+    assert [(x.seq_id, x.pos) for x in sorted(found, key=lambda x: x.i)] == [(x.seq_id, x.pos) for x in sorted(found, key=back)]
+    assert len({x.part for x in found}) > 6
