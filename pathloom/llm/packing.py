@@ -9,10 +9,13 @@ cutting what lies in the emptiest ones, and the one that is left at last is cut
 
 from __future__ import annotations
 
+import json
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, islice
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,33 @@ from pyspark.sql import functions as F
 
 from .common import batch, release, texts
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 SIZE, END, MIN_GAP = 4096, 2, 32
 #: Bytes of text in a group, about.
 GROUP_BYTES = 12_000_000
-#: Words that a task remembers, about, the first of up to so many characters that it meets, and characters of text that it
-#: takes at once: the tokenizer needs some 200 bytes of memory for each.
+#: Pieces that a task remembers, about, those of up to so many characters, and characters of text that it takes at once: the
+#: tokenizer needs some 200 bytes of memory for each.
 MEMO, REMEMBERED, AT_ONCE = 300_000, 64, 1 << 18
 #: White space to Python, but not to the tokenizer; white space to both.
 SEPARATORS, WHITE = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]")
+#: A character that isn't white space, a visible ASCII character or a letter of Latin-1; the pieces of a text of others, in lower
+#: case; and the tokenizer's normalizer and pre-tokenizer that take a text apart like this.
+OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
+PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\\sa-zß-öø-ÿ0-9]+")
+TAKEN_APART = json.dumps(
+    [
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ]
+)
 
 
 class FirstFit:
@@ -97,56 +119,122 @@ def pack(lengths: list[int], size: int = SIZE, min_gap: int = MIN_GAP) -> list[l
 
 
 class _Known(dict):
-    """Ids of words: those that are remembered, and those of the words that are new in the texts at hand."""
-
-    fresh: dict[str, bytes]
-
-    def __missing__(self, word: str) -> bytes:
-        return self.fresh[word]
+    """Numbers of pieces: those that are remembered, and those that are new in the texts at hand."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = len(self)
+        return len(self) - 1
+
+
+@lru_cache(maxsize=2)
+def loaded(path: str, light: bool) -> Tokenizer:
+    """The tokenizer of a file; light: one that takes pieces between spaces, in lower case, as they are. Of fixed size, so a
+    Python worker keeps it."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    if light:
+        tokenizer.normalizer = None
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer
+
+
+@lru_cache(maxsize=1)
+def described(path: str) -> tuple[np.ndarray | None, tuple[str, ...]]:
+    """Which ids end a piece, or None if the tokenizer doesn't take texts apart as PIECE does; and its special tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special, model = tuple(x["content"] for x in spec["added_tokens"]), spec["model"]
+    size = 1 + max([*model["vocab"].values(), *(x["id"] for x in spec["added_tokens"])])
+    if size > 1 << 16:
+        raise ValueError("ids must fit 16 bits")
+    if any(x.split() != [x] for x in special):
+        raise ValueError("a special token has white space in it")
+    if json.dumps([spec["normalizer"], spec["pre_tokenizer"]]) != TAKEN_APART or not (end := model.get("end_of_word_suffix")):
+        return None, special
+    ends = np.zeros(size, bool)
+    ends[[k for x, k in model["vocab"].items() if x.endswith(end)]] = True
+    return ends, special
 
 
 class Encoder:
     """Texts' ids, as little-endian 16-bit integers (the vocabulary has under 65,536 entries).
 
-    No token spans white space, so the ids of a text are those of its words, and it is taken in parts of about AT_ONCE
-    characters, cut at white space; only a word that is longer is one part. Words are kept in a memo. New ones of a part are
-    given to the tokenizer together, as one text; the places of its tokens tell which word they belong to. A special
-    token's string in a text is that token, as the tokenizer has it; none has white space in it."""
+    The tokenizer puts a text in lower case and takes it apart into pieces, none of which has white space in it; its ids are
+    those of the pieces. Texts are taken in parts of about AT_ONCE characters, cut at white space. In a part of plain
+    characters, the pieces are told by PIECE; in others, by words: one with other characters, or with a special token's
+    string, is given to the tokenizer as it is. Pieces have numbers. New ones of a part are given to the tokenizer together;
+    the last token of a piece is told by its id. Those that are met most are kept in a memo."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        if tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
-        if any(x.content.split() != [x.content] for x in tokenizer.get_added_tokens_decoder().values()):
-            raise ValueError("a special token has white space in it")
-        self.tokenizer, self.words = tokenizer, _Known()
+        self.path, (self.ends, self.special) = path, described(path)
+        self.forget()
+
+    def forget(self, most: int = 0) -> None:
+        """Keeps the `most` pieces that were met most often."""
+        if not most:
+            self.words, self.ids, self.start, self.met = _Known(), np.zeros(0, "<u2"), np.zeros(1, np.int64), np.zeros(0, np.int64)
+            return
+        some = np.sort(np.argsort(-self.met, kind="stable")[:most])
+        names = list(self.words)
+        self.words = _Known((names[k], i) for i, k in enumerate(some.tolist()))
+        self.ids, self.start = self.of(some)
+        self.met = self.met[some] // 2
+
+    def of(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces, one behind another, and where each begins."""
+        length = (self.start[1:] - self.start[:-1])[pieces]
+        to = np.append(0, np.cumsum(length))
+        return self.ids[np.arange(to[-1]) + np.repeat(self.start[pieces] - to[:-1], length)], to
 
     def plainly(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        odd = [w for w in words if SEPARATORS.search(w) or not unicodedata.is_normalized("NFC", w)]
-        found = {w: self.plainly(w) for w in odd}
-        words = [w for w in words if w not in found] if odd else words
-        if words:
-            tokens = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            ids, ends = np.array(tokens.ids, "<u2").tobytes(), np.array(tokens.offsets).reshape(-1, 2)[:, 1]
-            cuts = (np.searchsorted(ends, np.cumsum([len(w) + 1 for w in words])) * 2).tolist()
-            found.update(zip(words, map(ids.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
-        return found
+        return np.array(loaded(self.path, False).encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one behind another, and how many each has. One that begins with a line's end is a word."""
+        if any(p[0] == "\n" for p in pieces):
+            plain = [p for p in pieces if p[0] != "\n"]
+            ids, n = self.learn(plain) if plain else (np.zeros(0, "<u2"), np.zeros(0, np.int64))
+            found = iter(np.split(ids, np.cumsum(n)[:-1]) if plain else ())
+            own = [np.frombuffer(self.plainly(p[1:]), "<u2") if p[0] == "\n" else next(found) for p in pieces]
+            return np.concatenate(own), np.array([*map(len, own)], np.int64)
+        ids = np.array(loaded(self.path, True).encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u2")
+        to = np.flatnonzero(self.ends[ids]) + 1
+        if len(to) == len(pieces) and to[-1] == len(ids):
+            return ids, np.diff(to, prepend=0)
+        own = [self.plainly(p) for p in pieces]  # an id ends something else
+        return np.frombuffer(b"".join(own), "<u2"), np.array([len(x) // 2 for x in own], np.int64)
+
+    def pieces(self, text: str) -> list[str]:
+        if self.ends is not None and not OTHER.search(text) and not any(x in text for x in self.special):
+            return PIECE.findall(text.lower())
+        out = []
+        for word in WHITE.split(text) if SEPARATORS.search(text) else text.split():
+            if self.ends is None or OTHER.search(word) or any(x in word for x in self.special):
+                out += ["\n" + word] * bool(word)
+            else:
+                out += PIECE.findall(word.lower())
+        return out
 
     def known(self, parts: list[str]) -> list[bytes]:
         """The ids of each of these texts, which are taken at once."""
-        cut = [[w for w in WHITE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in parts]
-        known = self.words
-        known.fresh = self.learn(list(dict.fromkeys(w for words in cut for w in words if w not in known)))
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        if len(known) < MEMO:
-            known.update((w, x) for w, x in known.fresh.items() if len(w) <= REMEMBERED)
-        known.fresh = {}
-        return out
+        cut = [self.pieces(t) for t in parts]
+        before = len(self.words)
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        new = list(islice(self.words, before, None))
+        if new:
+            ids, n = self.learn(new)
+            self.ids, self.start = np.append(self.ids, ids), np.append(self.start, self.start[-1] + np.cumsum(n))
+            self.met = np.append(self.met, np.zeros(len(new), np.int64))
+        self.met += np.bincount(numbers, minlength=len(self.met))
+        ids, to = self.of(numbers)
+        to = to[np.cumsum([0, *map(len, cut)])].tolist()
+        if long := [k for k, p in enumerate(new, before) if len(p) > REMEMBERED]:
+            self.met[long] = -1
+            self.forget(len(self.words) - len(long))
+        elif len(self.words) > MEMO:
+            self.forget(MEMO // 2)
+        return [ids[i:j].tobytes() for i, j in zip(to, to[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]

@@ -215,6 +215,21 @@ def test_packing_encodes_in_parts(monkeypatch):
         assert ["".join(packing.parts(t)) for t in odd] == odd
 
 
+def test_packing_takes_each_piece_once(monkeypatch):
+    """Words that differ in case and in what stands beside them are the same pieces; forgotten ones are learned again; and
+    characters of all kinds have the tokenizer's ids."""
+    e = packing.Encoder(P.path("word_bpe_49k.json"))
+    e.encode(["Paper, paper PAPER. (paper) paper's", "\"PAPER\""])
+    assert set(e.words) == {"paper", ",", ".", "(", ")", "'s", '"'}
+    r = random.Random(4)
+    kinds = [*"aBzéÉßẞİſµ²½×÷ÿŸΣςªº一ﬁ01?!'\"", "e\u0301", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u200b", "\x00", "'S", "'ll", "</w>", "<|endoftext|>"]
+    odd = ["".join(r.choice(kinds) for _ in range(r.randrange(30))) for _ in range(600)]
+    monkeypatch.setattr(packing, "MEMO", 40)
+    for k in range(0, len(odd), 20):
+        assert e.encode(odd[k : k + 20]) == [e.plainly(t) for t in odd[k : k + 20]]
+        assert len(e.words) <= packing.MEMO
+
+
 def test_archives_that_are_none(spark, tmp_path):
     """Null and empty archives have no records; those beside them are read; no pages make a table that can be read."""
     pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, None, None)], "page_id long, url string, html string")
