@@ -5,7 +5,8 @@ Three passes over the texts, and none counts what can't be frequent:
 1. Count-min sketches of words and pairs of words, of each task, are merged; a sketch never counts too few.
 2. The same for three words and more, but only where the first sketch admits every pair in them: a phrase is no more frequent
    than its parts.
-3. Phrases that both sketches admit are counted exactly, as strings, first in each task. So no frequent one is lost.
+3. Phrases that both sketches admit are counted exactly, as strings, first in each task. So no frequent one is lost. A task
+   sends its counts in ranges of phrases, a row for each, and a range's counts are added up as they come.
 
 A sketch is cut into ranges of hashes. A task sends only the counters that it has touched, so what is shuffled follows the
 text; each range is merged by itself, and of its counters one bit is left: whether it has reached the threshold. A phrase is
@@ -17,11 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ HELD = RANGE = 1 << 21
 PHRASES = 1 << 19
 #: Bytes of a text that are taken apart at once, and words that are counted at once.
 CHUNK, TOKENS = 1 << 20, 1 << 19
+#: Counts of phrases.
+COUNTED = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 TABLE = bytes(10 if c in ENDS else 32 if c in GAPS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 TOKEN = re.compile(rb"[^ \n]+|\n")
 #: Odd multipliers of the mixing steps.
@@ -233,9 +238,13 @@ def counted(docs: DataFrame, longest: int = WORDS, least: int = LEAST) -> DataFr
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, k, phrase, n) for (lang, k), found in held.items() for phrase, n in found.items()]
-            langs, kinds, names, times = zip(*rows, strict=True)
-            return batch(lang=pa.array(langs), k=pa.array(kinds, pa.int32()), phrase=pa.array([x.decode(errors="replace") for x in names]), n=pa.array(times, pa.int64()))
+            rows = [(lang, k, phrase.decode(errors="replace"), n) for (lang, k), found in held.items() for phrase, n in found.items()]
+            rng = np.array([zlib.crc32(x[2].encode()) % ranges for x in rows], np.int32)
+            order = np.argsort(rng, kind="stable")
+            some, first = np.unique(rng[order], return_index=True)
+            cuts, order = pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(order)
+            columns = (pa.ListArray.from_arrays(cuts, pa.array(x, kind).take(order)) for x, kind in zip(zip(*rows, strict=True), COUNTED.types, strict=True))
+            return batch(rng=pa.array(some), **dict(zip(COUNTED.names, columns, strict=True)))
 
         for b in batches:
             for lang, x in by_lang(b, longest):
@@ -265,8 +274,18 @@ def counted(docs: DataFrame, longest: int = WORDS, least: int = LEAST) -> DataFr
         held.clear()
         release()
 
-    found = docs.mapInArrow(exact, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return found.filter((F.col("n") >= least) | (F.col("k") == 0))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = COUNTED.empty_table()
+        for b in batches:  # a range's rows are added up as they come
+            new = pa.table({c: pc.list_flatten(b.column(c)).cast(kind) for c, kind in zip(COUNTED.names, COUNTED.types, strict=True)})
+            held = pa.concat_tables([held, new]).group_by(COUNTED.names[:3]).aggregate([("n", "sum")]).rename_columns(COUNTED.names)
+        held = held.filter(pc.or_(pc.greater_equal(held["n"], least), pc.equal(held["k"], 0)))
+        yield from held.cast(COUNTED).to_batches()
+        del held
+        release()
+
+    sent = docs.mapInArrow(exact, "rng int, lang array<string>, k array<int>, phrase array<string>, n array<long>")
+    return sent.groupBy("rng").applyInArrow(add, "lang string, k int, phrase string, n long")
 
 
 def _part(words: str, start: Column, length: Column) -> Column:

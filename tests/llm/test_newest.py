@@ -150,6 +150,16 @@ def test_phrases_beside_loops(spark, monkeypatch, tokens):
     assert phrases.collocations(df.limit(0)).count() == 0
 
 
+def test_phrases_are_sent_by_range(spark, monkeypatch):
+    """What tasks send has a row for each range at most, however many phrases there are."""
+    df = spark.createDataFrame([("en", " ".join(f"w{i}" for i in range(600)).encode())] * 4, "lang string, text binary").repartition(2)
+    frames, of = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: frames.append(of(self, *a, **k)) or frames[-1])
+    got = {(r.k, r.phrase): r.n for r in phrases.counted(df, 2, 4).collect()}
+    assert got == {(0, ""): 2400} | {(1, f"w{i}"): 4 for i in range(600)} | {(2, f"w{i} w{i + 1}"): 4 for i in range(599)}
+    assert frames[-1].count() <= 2 * 256
+
+
 def test_a_full_sketch_loses_nothing(spark, monkeypatch):
     """Counters that many phrases share admit too many, never too few."""
     monkeypatch.setattr(phrases, "FEWEST", 1 << 13)
