@@ -10,7 +10,7 @@ shared, without error; what is left is counted on whole sets, so every link is e
 Few pairs of a bucket are counted: nodes meet the heads of their buckets first, and what then is in one component needs
 nothing more. Of buckets of several components the nodes get their signatures, which are compared within the bucket's task:
 first each component's pairs with the highest estimates go on; at last every pair of different components whose estimate
-admits it. So the only links that may be missing are those whose sets share no bucket, or whose estimate errs so far.
+admits it. A pair that shares several buckets is told in the first of them only, so a large group sends no pair twice. So the only links that may be missing are those whose sets share no bucket, or whose estimate errs so far.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,13 +149,13 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
 
 
 def across(live: DataFrame, signs: DataFrame, percent: int, few: int | None) -> DataFrame:
-    """(a, b): in each bucket of live (bucket, key, size, pos, component), the pairs of nodes of different components whose
-    sizes, signatures and bitmaps in signs (key, bits, parts) may be those of similar sets; few: of each component's pairs in
-    a task, so many with the highest estimates. A bucket of more than BLOCK rows is dealt into blocks, and each block meets each in a task."""
+    """(a, b), each once: in each bucket of live (bucket, key, size, pos, component), the pairs of nodes of different components
+    that share no earlier bucket, and whose sizes, signatures and bitmaps in signs (key, bits, parts, buckets) may be those of
+    similar sets; few: of each component's pairs in a task, so many with the highest estimates. A bucket of more than BLOCK rows is dealt into blocks, and each block meets each in a task."""
     floor = least_estimate(percent)
     sizes = live.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     total = sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    own = live.join(sizes.select("bucket", "blocks"), "bucket").join(signs.select("key", "bits", "parts"), "key")
+    own = live.join(sizes.select("bucket", "blocks"), "bucket").join(signs.select("key", "bits", "parts", "buckets"), "key")
     own = own.withColumn("k", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")})
     own = own.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(total // TASK + partitions(live.sparkSession))))
@@ -178,13 +179,7 @@ def across(live: DataFrame, signs: DataFrame, percent: int, few: int | None) ->
         (keys, node), (_, part) = number("key"), number("component")
         bucket, i_, j_, k, size = (table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j", "k", "size"))
         bits, maps = unpacked(table.column("bits").to_pylist()), table.column("parts").to_pylist()
-        told: dict[tuple[int, int], bool] = {}  # pairs may share several buckets
-
-        def similar(x: int, y: int) -> bool:
-            pair = (min(node[x], node[y]), max(node[x], node[y]))
-            if pair not in told:
-                told[pair] = may_be_similar(maps[x], maps[y], int(size[x]), int(size[y]), percent)
-            return told[pair]
+        bands_ = pc.list_flatten(table.column("buckets")).to_numpy().reshape(-1, BANDS)
 
         new = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(i_) != 0) | (np.diff(j_) != 0)))
         held, count = [np.zeros((5, 0), np.int64)], 0
@@ -197,7 +192,9 @@ def across(live: DataFrame, signs: DataFrame, percent: int, few: int | None) ->
                     continue
                 found = estimates(bits[x][None], bits[y])
                 ok = found >= floor
-                ok[ok] = [similar(x, k) for k in y[ok].tolist()]
+                both = bands_[y[ok]] == bands_[x]
+                ok[ok] = both.argmax(1) == np.argmax(bands_[x] == bucket[x])  # the first bucket that they share is this one
+                ok[ok] = [may_be_similar(maps[x], maps[o], int(size[x]), int(size[o]), percent) for o in y[ok].tolist()]
                 y, found = y[ok], found[ok]
                 held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.full(len(y), part[x]), part[y], (1e6 * found).astype(np.int64)]))
                 count += len(y)
@@ -206,7 +203,7 @@ def across(live: DataFrame, signs: DataFrame, percent: int, few: int | None) ->
         a, b = np.unique(best(held)[:2], axis=1)
         return pa.table({"a": pa.array(keys[a].tolist(), pa.binary()), "b": pa.array(keys[b].tolist(), pa.binary())})
 
-    return own.select("task", "bucket", "i", "j", "k", "key", "size", "component", "bits", "parts").groupBy("task").applyInArrow(run, "a binary, b binary").distinct()
+    return own.select("task", "bucket", "i", "j", "k", "key", "size", "component", "bits", "parts", "buckets").groupBy("task").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +242,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_
             live = stash(split_buckets(labelled(found, parts)), "live")
             if live.isEmpty():
                 break
-            parts = count(across(live, signs, percent, few))
+            parts = count(across(live, nodes, percent, few))
     named = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))

@@ -71,6 +71,26 @@ def test_minhash_of_many_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts)).collect()} == want
 
 
+@pytest.mark.parametrize("few", [None, 2])
+def test_minhash_sends_no_pair_twice(spark, monkeypatch, few):
+    """Near copies share many buckets, but a pair is told in one of them, and all pairs are, if few is None."""
+    texts = [near(words(100, 5), k % 3, k) for k in range(1, 40)]
+    own = docs(spark, texts).select("doc_id", F.encode("key", "utf-8").alias("x"), F.unhex(F.sha2("text", 256)).alias("key"), F.encode("text", "utf-8").alias("text"))
+    nodes = minhash.signed(own.select("doc_id", "key", "text"), 4, 1).filter("bits IS NOT NULL").drop("doc_id").distinct()
+    live = minhash.shared_buckets(nodes).withColumn("component", F.col("key"))
+    rows = nodes.collect()
+
+    def may(a, b):
+        close = minhash.estimates(minhash.unpacked([a.bits]), minhash.unpacked([b.bits]))[0] >= minhash.least_estimate(80)
+        return close and set(a.buckets) & set(b.buckets) and jaccard.may_be_similar(a.parts, b.parts, a.n_shingles, b.n_shingles, 80)
+
+    want = {(bytes(a.key), bytes(b.key)) for a in rows for b in rows if a.key < b.key and may(a, b)}
+    monkeypatch.setattr(type(live), "distinct", lambda self: self)
+    got = [tuple(sorted((bytes(r.a), bytes(r.b)))) for r in minhash.across(live, nodes, 80, few).collect()]
+    assert len(got) == len(set(got)) > 0 and set(got) <= want
+    assert few or len(got) == len(want)
+
+
 def test_minhash_rows_without_id_and_rows_that_repeat(spark):
     rows = spark.createDataFrame([(None, "one two three four five"), (4, "one two three four five"), (4, "one two three four five"), (None, "none like it at all"), (None, None)], "doc_id long, text string")
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(rows).collect())
