@@ -31,8 +31,9 @@ SIZE, END, MIN_GAP = 4096, 2, 32
 #: Bytes of text in a group, about.
 GROUP_BYTES = 12_000_000
 #: Pieces that a task remembers, about, those of up to so many characters, and characters of text that it takes at once: the
-#: tokenizer needs some 200 bytes of memory for each.
-MEMO, REMEMBERED, AT_ONCE = 300_000, 64, 1 << 18
+#: tokenizer needs some 200 bytes of memory for each; new pieces that it is given at once, and rows of a batch that are.
+MEMO, REMEMBERED, AT_ONCE = 200_000, 64, 1 << 18
+LEARNED, ROWS = 2000, 200
 #: White space to Python, but not to the tokenizer; white space to both.
 SEPARATORS, WHITE = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]")
 #: A character that isn't white space, a visible ASCII character or a letter of Latin-1; the pieces of a text of others, in lower
@@ -126,22 +127,23 @@ class _Known(dict):
         return len(self) - 1
 
 
-@lru_cache(maxsize=2)
-def loaded(path: str, light: bool) -> Tokenizer:
-    """The tokenizer of a file; light: one that takes pieces between spaces, in lower case, as they are. Of fixed size, so a
-    Python worker keeps it."""
+@lru_cache(maxsize=1)
+def loaded(path: str) -> tuple[Tokenizer, Tokenizer]:
+    """The tokenizer of a file; and one that takes pieces between spaces, in lower case, as they are. Both have one model, so
+    its vocabulary is held once. Of fixed size, so a Python worker keeps them."""
     from tokenizers import Tokenizer, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
-    if light:
-        tokenizer.normalizer = None
-        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return tokenizer
+    whole = Tokenizer.from_file(path)
+    light = Tokenizer(whole.model)
+    light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    release()
+    return whole, light
 
 
 @lru_cache(maxsize=1)
 def described(path: str) -> tuple[np.ndarray | None, tuple[str, ...]]:
-    """Which ids end a piece, or None if the tokenizer doesn't take texts apart as PIECE does; and its special tokens."""
+    """Which ids end a piece, or None if the tokenizer doesn't take texts apart as PIECE does; and its special tokens. Reading
+    the whole file takes some 30 MB that Python doesn't give back, so the driver does it, for all tasks."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special, model = tuple(x["content"] for x in spec["added_tokens"]), spec["model"]
@@ -166,8 +168,9 @@ class Encoder:
     string, is given to the tokenizer as it is. Pieces have numbers. New ones of a part are given to the tokenizer together;
     the last token of a piece is told by its id. Those that are met most are kept in a memo."""
 
-    def __init__(self, path: str):
-        self.path, (self.ends, self.special) = path, described(path)
+    def __init__(self, path: str, told: tuple[np.ndarray | None, tuple[str, ...]] | None = None):
+        """told: described(path)."""
+        self.path, (self.ends, self.special) = path, told or described(path)
         self.forget()
 
     def forget(self, most: int = 0) -> None:
@@ -188,7 +191,7 @@ class Encoder:
         return self.ids[np.arange(to[-1]) + np.repeat(self.start[pieces] - to[:-1], length)], to
 
     def plainly(self, text: str) -> bytes:
-        return np.array(loaded(self.path, False).encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(loaded(self.path)[0].encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces, one behind another, and how many each has. One that begins with a line's end is a word."""
@@ -198,7 +201,10 @@ class Encoder:
             found = iter(np.split(ids, np.cumsum(n)[:-1]) if plain else ())
             own = [np.frombuffer(self.plainly(p[1:]), "<u2") if p[0] == "\n" else next(found) for p in pieces]
             return np.concatenate(own), np.array([*map(len, own)], np.int64)
-        ids = np.array(loaded(self.path, True).encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u2")
+        if len(pieces) > LEARNED:
+            ids, n = zip(*(self.learn(pieces[k : k + LEARNED]) for k in range(0, len(pieces), LEARNED)), strict=True)
+            return np.concatenate(ids), np.concatenate(n)
+        ids = np.array(loaded(self.path)[1].encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u2")
         to = np.flatnonzero(self.ends[ids]) + 1
         if len(to) == len(pieces) and to[-1] == len(ids):
             return ids, np.diff(to, prepend=0)
@@ -281,12 +287,14 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     are shuffled once, as 16-bit integers, by groups; how many is set by the bytes of text, so that a group fits a task."""
     own = texts(docs, id_col, text_col)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // group_bytes))
+    groups, told = max(1, -(-total // group_bytes)), described(path)
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = Encoder(path), np.array([END], "<u2").tobytes()  # what a task remembers goes with it
-        for b in batches:
-            yield batch(grp=b.column(0), doc_id=b.column(1), ids=pa.array([x + end for x in e.encode(b.column(2).to_pylist())], pa.binary()))
+        e, end = Encoder(path, told), np.array([END], "<u2").tobytes()  # what a task remembers goes with it
+        for whole in batches:
+            for b in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
+                yield batch(grp=b.column(0), doc_id=b.column(1), ids=pa.array([x + end for x in e.encode(b.column(2).to_pylist())], pa.binary()))
+            release()
         del e
         release()
 

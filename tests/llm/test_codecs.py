@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import pickle
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -230,6 +233,29 @@ def test_packing_takes_each_piece_once(monkeypatch):
         assert len(e.words) <= packing.MEMO
 
 
+def test_packing_takes_little_memory():
+    """What a process needs beside what Python, Arrow and numpy take: the vocabulary once, the memo, and a part's new pieces."""
+    path = P.path("word_bpe_49k.json")
+    code = f"""
+import pickle, random, re, sys
+from pathlib import Path
+from pathloom.llm import common, packing
+anon = lambda: sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+r = random.Random(1)
+text = lambda: " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(30000))
+packing.PIECE.findall(text())
+common.release()
+before = anon()
+e = packing.Encoder({path!r}, *pickle.loads(bytes.fromhex(sys.argv[1])))
+for _ in range(2):
+    e.encode([text()])
+print(anon() - before)
+"""
+    told = (packing.described(path),)
+    out = subprocess.run([sys.executable, "-c", code, pickle.dumps(told).hex()], capture_output=True, text=True, check=True, cwd=Path(packing.__file__).parents[2])
+    assert float(out.stdout) < 38
+
+
 def test_archives_that_are_none(spark, tmp_path):
     """Null and empty archives have no records; those beside them are read; no pages make a table that can be read."""
     pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, None, None)], "page_id long, url string, html string")
