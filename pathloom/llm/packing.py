@@ -130,7 +130,7 @@ class _Known(dict):
 @lru_cache(maxsize=1)
 def loaded(path: str) -> tuple[Tokenizer, Tokenizer]:
     """The tokenizer of a file; and one that takes pieces between spaces, in lower case, as they are. Both have one model, so
-    its vocabulary is held once. Of fixed size, so a Python worker keeps them."""
+    its vocabulary is held once. For one task: workers that wait for others would hold it too."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     whole = Tokenizer.from_file(path)
@@ -296,11 +296,11 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield batch(grp=b.column(0), doc_id=b.column(1), ids=pa.array([x + end for x in e.encode(b.column(2).to_pylist())], pa.binary()))
             release()
         del e
+        loaded.cache_clear()
         release()
 
     dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "doc_id", "text")
     dealt = dealt.mapInArrow(tokenised, "grp long, doc_id long, ids binary")
-    kind = pa.list_(pa.int32())
 
     def packed(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("ids", "ascending")])  # the same result after a retry
@@ -310,13 +310,16 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for k, sequence in enumerate(pack([len(x) for x in ids])):
             offset = 0
             for d, start, n in sequence:
-                part = ids[d][start : start + n].astype("<u4")
-                rows.append((names[d], start, n, zlib.crc32(part.tobytes()), len(ids[d]), first + k, offset))
+                part = ids[d][start : start + n]
+                rows.append((names[d], start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids[d]), first + k, offset))
                 offset += n
                 if with_ids:
-                    parts.append(part.astype(np.int32))
-        release()
+                    parts.append(part)
         columns = dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), (pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), strict=True))
-        return pa.table(columns | ({"ids": pa.array(parts, kind)} if with_ids else {}))
+        if with_ids:
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).astype(np.int32)))
+        del group, ids, parts, rows
+        release()
+        return pa.table(columns)
 
     return dealt.groupBy("grp").applyInArrow(packed, PIECES + ", ids array<int>" * with_ids)
