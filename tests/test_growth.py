@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import ibd, matches, order
+from pathloom.operators import ibd, lists, matches, order
 from pathloom.plans import catalogue
 from pathloom.sources.panel import Panel
 
@@ -113,3 +113,29 @@ def test_ranges_follow_the_rows(spark, monkeypatch):
     back = lambda x: (paths[x.seq_id][x.pos :: -1], x.seq_id)
     assert [(x.seq_id, x.pos) for x in sorted(found, key=lambda x: x.i)] == [(x.seq_id, x.pos) for x in sorted(found, key=back)]
     assert len({x.part for x in found}) > 6
+
+
+def test_matches_by_lists(spark, monkeypatch):
+    """Lists of all lengths, cut and dealt to several tasks; ends of paths; a query that isn't matched with itself."""
+    r = random.Random(17)
+    paths = {k: [r.randrange(2) for _ in range(r.randrange(1, 30))] for k in range(9)} | {20: [1] * 12, 21: [0] * 9, 22: [0, 1] * 10}
+    paths |= {40 + k: x[:] for k, x in paths.items()}
+    own = Panel.from_paths(spark.createDataFrame(list(paths.items()), "seq_id long, path array<long>"))
+    few = {k: x for k, x in paths.items() if k % 4 == 0}
+    want = {n: sorted((q, s, m, t, u) for q, a in few.items() for t, b in paths.items() if q != t for s, m, u in brute_matches(a, b) if m >= n) for n in (1, 3, 9)}
+    for most in ((1 << 16, 64, 128, 8), (5, 2, 3, 1)):
+        for name, value in zip(("BLOCK", "LONGEST", "ASKED", "FEW"), most, strict=True):
+            monkeypatch.setattr(lists, name, value)
+        for length in want:
+            found = matches.long_matches(own.where("seq_id % 4 = 0").as_queries(), own, length, "lists", residual=matches.OTHERS)
+            assert sorted(tuple(x) for x in found.select(*matches.ROW).collect()) == want[length]
+    swept = matches.sweep(found, [9, 10, 12, 9]).collect()
+    assert sorted(map(tuple, swept)) == sorted((n, *x) for x in want[9] for n in (9, 10, 12) if x[2] >= n)
+
+
+def test_a_pair_of_lists_is_small(spark):
+    """However many places one gram has, no list is longer than what a task may hold the pairs of."""
+    rows = spark.range(40_000).select(F.lit(1).cast("long").alias("g0"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("x"), F.col("id").alias("a"), (-F.col("id")).alias("b"))
+    made = lists.gathered(rows, ["g0", "x"], ["a", "b"], lists.LONGEST).collect()
+    assert max(x["_n"] for x in made) == lists.LONGEST and len(made) < 2 * 40_000 / lists.LONGEST
+    assert sorted((a, b, x["x"]) for x in made for a, b in zip(x["_l_a"], x["_l_b"], strict=True)) == [(k, -k, k % 3 or None) for k in range(40_000)]
