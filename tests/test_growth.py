@@ -139,3 +139,28 @@ def test_a_pair_of_lists_is_small(spark):
     made = lists.gathered(rows, ["g0", "x"], ["a", "b"], lists.LONGEST).collect()
     assert max(x["_n"] for x in made) == lists.LONGEST and len(made) < 2 * 40_000 / lists.LONGEST
     assert sorted((a, b, x["x"]) for x in made for a, b in zip(x["_l_a"], x["_l_b"], strict=True)) == [(k, -k, k % 3 or None) for k in range(40_000)]
+
+
+def test_patterns_by_lengths(spark, monkeypatch):
+    """Few lengths take no order of all places; both ways find the same. What is shuffled doesn't follow what is found."""
+
+    def asked(copies):
+        p = panel(spark, copies)
+        paths = p.paths().filter("seq_id % 4 = 0").select((F.col("seq_id") * 10).alias("id"), "path")
+        cut = paths.select("id", "path", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).select((F.col("id") + F.col("k")).alias("id"), F.slice("path", F.col("k") * 2, F.col("k")).alias("w"))
+        return p, cut.select(F.col("id").alias("pattern_id"), F.posexplode("w").alias("pos", "node")).withColumn("pos", F.col("pos").cast("long"))
+
+    (few, sent), (many, more) = (shuffled(spark, lambda: matches.locate_many(*asked(k))) for k in (2, 8))  # noqa: B023
+    assert many > 12 * few and more < 6 * sent + 1000 and sent < 20 * 2 * 24 * 30
+    p, patterns = asked(2)
+    patterns = patterns.unionByName(spark.createDataFrame([(7, k, 5) for k in range(3)], patterns.schema))  # is nowhere
+    found = sorted(map(tuple, matches.locate_many(p, patterns).collect()))
+    words = {x[0]: x[1] for x in Panel(patterns.withColumnRenamed("pattern_id", "seq_id")).paths().collect()}
+    paths = {x[0]: x[1] for x in p.paths().collect()}
+    assert found == sorted((k, s, i) for k, w in words.items() for s, x in paths.items() for i in range(len(x)) if x[i : i + len(w)] == w)
+    monkeypatch.setattr(lists, "BLOCK", 50)
+    monkeypatch.setattr(lists, "FEW", 1)
+    assert sorted(map(tuple, matches.locate_many(p, patterns).collect())) == found
+    monkeypatch.setattr(matches, "LENGTHS", 2)
+    assert sorted(map(tuple, matches.locate_many(p, patterns).collect())) == found
+    assert matches.locate_many(p, patterns.filter("pattern_id < 0")).isEmpty()
